@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding, urls
+from . import sharding, tokens, urls
 
 QUERIES = {
+    "op1_token_counts": tokens.query,
     "op3_feistel_sharding": sharding.query,
     "op4_url_filter": urls.query,
 }
