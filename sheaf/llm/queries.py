@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import sharding, tokens, urls
+from . import decontaminate, sharding, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
     "op3_feistel_sharding": sharding.query,
     "op4_url_filter": urls.query,
+    "op6_decontamination": decontaminate.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_decontamination": decontaminate.ORACLE,
+}
