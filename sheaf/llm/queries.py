@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, tokens, urls
+from . import decontaminate, fingerprint, language, sharding, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
     "op3_feistel_sharding": sharding.query,
     "op4_url_filter": urls.query,
+    "op5_language": language.query,
     "op6_decontamination": decontaminate.query,
+    "op7_fingerprints": fingerprint.query,
 }
 
 ORACLES: dict[str, str] = {
