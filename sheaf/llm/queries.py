@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, sharding, tokens, urls
+from . import decontaminate, fingerprint, language, pieces, sharding, tokens, urls
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language": language.query,
     "op6_decontamination": decontaminate.query,
     "op7_fingerprints": fingerprint.query,
+    "op9_sentencepiece": pieces.query,
 }
 
 ORACLES: dict[str, str] = {
