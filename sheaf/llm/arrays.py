@@ -100,14 +100,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def winnow(hashes: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
-    """Sorted positions that are the leftmost minimum of some window of `width` hashes; valid marks the windows, by start.
+def window_choice(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` hashes the place of its least one, the leftmost of equal ones.
 
     Equal windows choose the same place within them, so two equal stretches of width + k - 1
     units share a chosen gram of k units.
     """
-    n = len(hashes) - width + 1
-    if n <= 0 or not valid[:n].any():
+    if len(hashes) < width:
         return np.zeros(0, np.int64)
     bits = np.uint64(max(24, int(len(hashes)).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
@@ -118,5 +117,8 @@ def winnow(hashes: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
         have *= 2
     if have < width:
         least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-    chosen = (least[valid[:n]] & low).astype(np.int64)
-    return chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
+    return (least & low).astype(np.int64)
+
+
+def distinct_sorted(x: np.ndarray) -> np.ndarray:
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x

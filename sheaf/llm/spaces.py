@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are checkpointed; call it once nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
