@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, pieces, sharding, tokens, urls
+from . import decontaminate, fingerprint, language, pieces, sharding, suffixes, tokens, urls, windows
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -11,9 +11,12 @@ QUERIES = {
     "op5_language": language.query,
     "op6_decontamination": decontaminate.query,
     "op7_fingerprints": fingerprint.query,
+    "op8_suffix_dedup": suffixes.query,
     "op9_sentencepiece": pieces.query,
+    "op10_window_dedup": windows.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
+    "op10_window_dedup": windows.ORACLE,
 }

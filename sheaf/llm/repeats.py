@@ -44,7 +44,7 @@ LEAST_BUCKETS = 256
 #: Records that a map task gathers before it sends them.
 GATHER = 1 << 20
 
-BLOB = "bucket int, settled boolean, n int, head binary, tail binary, ids binary, places binary"
+BLOB = "bucket int, settled boolean, old boolean, n int, head binary, tail binary, ids binary, places binary"
 CODES = "doc_id long, code long"
 
 
@@ -112,17 +112,19 @@ def unpack(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), kind)
 
 
-def later(rule: Rule, ids: np.ndarray, group: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of records sorted by group, doc_id and place (first: each group's first record): which have an earlier equal."""
+def later(rule: Rule, ids: np.ndarray, group: np.ndarray, first: np.ndarray, old: np.ndarray | bool = False) -> np.ndarray:
+    """Of records sorted by group, age, doc_id and place (first: each group's first record): which have an earlier equal."""
     head = first[group]
-    return np.arange(len(ids)) != head if rule.within else ids > ids[head]
+    if rule.within:
+        return np.arange(len(ids)) != head
+    return (ids > ids[head]) | (np.broadcast_to(old, len(ids))[head] & ~np.broadcast_to(old, len(ids)))
 
 
 class Gatherer:
     """Map side: gathers records and sends them by bucket, equal ones merged."""
 
-    def __init__(self, rule: Rule, buckets: int, limit: int = GATHER):
-        self.rule, self.buckets, self.limit = rule, buckets, limit
+    def __init__(self, rule: Rule, buckets: int, old: bool = False, limit: int = GATHER):
+        self.rule, self.buckets, self.old, self.limit = rule, buckets, old, limit
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
@@ -135,97 +137,104 @@ class Gatherer:
 
     def flush(self) -> pa.RecordBatch:
         if not self.n:
-            return pa.RecordBatch.from_pylist([], schema=blob_schema())
+            return blob_batch([])
         ids, places, head, tail = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
         order = np.lexsort((places, ids, tail, head))
         ids, places, head, tail = ids[order], places[order], head[order], tail[order]
         new = np.concatenate(([True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        known = later(self.rule, ids, group, first)
-        bucket = (head % np.uint64(self.buckets)).astype(np.int64)
-        rows = [*self.rows(bucket, ~known, ids, places, head, tail, False), *self.rows(bucket, known, ids, places, head, tail, True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), blob_schema(), strict=True)], schema=blob_schema())
-
-    def rows(self, bucket, which, ids, places, head, tail, settled: bool) -> Iterator[tuple]:
-        at = np.flatnonzero(which)
-        at = at[np.lexsort((places[at], ids[at], bucket[at]))]
-        edges = np.flatnonzero(np.concatenate(([True], bucket[at][1:] != bucket[at][:-1], [True]))) if len(at) else []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            k = at[a:b]
-            yield (
-                int(bucket[k[0]]), settled, len(k),
-                b"" if settled else (head[k] // np.uint64(self.buckets)).astype(np.uint32).tobytes(), b"" if settled else tail[k].tobytes(),
-                pack(np.diff(ids[k], prepend=0)), pack(places[k].astype(np.int64) if len(k) and places[k].max() >= 1 << 31 else places[k].astype(np.int32)),
-            )
+        known = later(self.rule, ids, np.cumsum(new) - 1, np.flatnonzero(new))
+        bucket, head = (head % np.uint64(self.buckets)).astype(np.int64), (head // np.uint64(self.buckets)).astype(np.uint32)
+        rows = []
+        for which, settled in ((~known, False), (known, True)):
+            if settled and self.old:
+                continue
+            at = np.flatnonzero(which)
+            at = at[np.lexsort((places[at], ids[at], bucket[at]))]
+            edges = np.flatnonzero(np.concatenate(([True], bucket[at][1:] != bucket[at][:-1], [True]))) if len(at) else []
+            rows += [blob(int(bucket[at[a]]), settled, self.old, *(c[at[a:b]] for c in (ids, places, head, tail))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return blob_batch(rows)
+
+
+def blob(bucket: int, settled: bool, old: bool, ids: np.ndarray, places: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple:
+    """Records of one bucket as a row; the hashes of settled ones are not needed any more."""
+    wide = np.int64 if len(places) and places.max() >= 1 << 31 else np.int32
+    return bucket, settled, old, len(ids), b"" if settled else head.tobytes(), b"" if settled else tail.tobytes(), pack(np.diff(ids, prepend=0)), pack(places.astype(wide))
+
+
+def blob_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [*zip(*rows, strict=True)] if rows else [[] for _ in blob_schema()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, blob_schema(), strict=True)], schema=blob_schema())
 
 
 def blob_schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("n", pa.int32()), ("head", pa.binary()), ("tail", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
+    return pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("old", pa.bool_()), ("n", pa.int32()), ("head", pa.binary()), ("tail", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
 
 
-def unpacked(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(settled, ids, places, head, tail) of a bucket's rows, end to end; head and tail of settled ones are 0."""
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
-    for r in batch.to_pylist():
+def unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(settled, old, ids, places, head, tail) of a bucket's rows, end to end; head and tail of settled ones are 0."""
+    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    for r in table.to_pylist():
+        n, settled = r["n"], r["settled"]
         places = zstandard.decompress(r["places"])
-        n = r["n"]
-        kind = np.int64 if len(places) == 8 * n else np.int32
-        for o, x in zip(out, (
-            np.full(n, r["settled"]), np.cumsum(unpack(r["ids"], np.int64)), np.frombuffer(places, kind).astype(np.int64),
-            np.zeros(n, np.uint32) if r["settled"] else np.frombuffer(r["head"], np.uint32), np.zeros(n, np.uint64) if r["settled"] else np.frombuffer(r["tail"], np.uint64),
-        ), strict=True):
+        places = np.frombuffer(places, np.int64 if len(places) == 8 * n else np.int32).astype(np.int64)
+        head = np.zeros(n, np.uint32) if settled else np.frombuffer(r["head"], np.uint32)
+        tail = np.zeros(n, np.uint64) if settled else np.frombuffer(r["tail"], np.uint64)
+        for o, x in zip(out, (np.full(n, settled), np.full(n, r["old"]), np.cumsum(unpack(r["ids"], np.int64)), places, head, tail), strict=True):
             o.append(x)
-    return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def code_batch(ids: np.ndarray, codes: np.ndarray) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "code": pa.array(codes, pa.int64())})
 
 
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins in sorted columns."""
+    if not len(columns[0]):
+        return np.zeros(0, np.bool_)
+    new = np.zeros(len(columns[0]), np.bool_)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
 def reduce_anchors(rule: Rule) -> Callable[[pa.Table], pa.Table]:
-    """Reduce side of step 1: codes of settled (even) and open (odd) anchors, code = 2 * place + open."""
+    """Reduce side of step 1: a code for each settled or open anchor, 4 * place + 2 * old + open; old ones are never settled anew."""
 
     def run(table: pa.Table) -> pa.Table:
-        settled, ids, places, head, tail = unpacked(table)
-        out_ids, out_codes = [ids[settled]], [2 * places[settled]]
+        settled, old, ids, places, head, tail = unpacked(table)
+        out_ids, out_codes = [ids[settled]], [4 * places[settled]]
         keep = np.flatnonzero(~settled)
         order = keep[np.argsort(head[keep], kind="stable")]
-        h = head[order]
-        new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, np.bool_)
-        group = np.cumsum(new) - 1
-        many = np.bincount(group)[group] > 1 if len(h) else np.zeros(0, np.bool_)
-        order = order[many]
+        group = np.cumsum(changes(head[order])) - 1
+        order = order[np.bincount(group)[group] > 1] if len(order) else order
         if len(order):
-            order = order[np.lexsort((places[order], ids[order], tail[order], head[order]))]
-            h, t, i, p = head[order], tail[order], ids[order], places[order]
-            new_head = np.concatenate(([True], h[1:] != h[:-1]))
-            new = new_head | np.concatenate(([True], t[1:] != t[:-1]))
-            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-            known = later(rule, i, group, first)
-            contexts = np.bincount(np.cumsum(new_head)[new] - 1)[np.cumsum(new_head) - 1]
-            out_ids.append(i[known])
-            out_codes.append(2 * p[known])
-            is_open = ~known & (contexts > 1)
-            out_ids.append(i[is_open])
-            out_codes.append(2 * p[is_open] + 1)
+            order = order[np.lexsort((places[order], ids[order], ~old[order], tail[order], head[order]))]
+            h, t, i, p, o = (c[order] for c in (head, tail, ids, places, old))
+            new_head, new = changes(h), changes(h, t)
+            known = later(rule, i, np.cumsum(new) - 1, np.flatnonzero(new), o) & ~o
+            of_head = np.cumsum(new_head) - 1
+            contexts, fresh = np.bincount(of_head[new])[of_head], np.bincount(of_head[~o], minlength=of_head[-1] + 1)[of_head]
+            is_open = ~known & (contexts > 1) & (fresh > 0)
+            out_ids += [i[known], i[is_open]]
+            out_codes += [4 * p[known], 4 * p[is_open] + 2 * o[is_open] + 1]
         return code_batch(np.concatenate(out_ids), np.concatenate(out_codes))
 
     return run
 
 
 def reduce_pairs(rule: Rule) -> Callable[[pa.Table], pa.Table]:
-    """Reduce side of step 2: places of the windows with an earlier equal."""
+    """Reduce side of step 2: places of the windows, not old ones, with an earlier equal."""
 
     def run(table: pa.Table) -> pa.Table:
-        settled, ids, places, head, tail = unpacked(table)
+        settled, old, ids, places, head, tail = unpacked(table)
         keep = np.flatnonzero(~settled)
-        order = keep[np.lexsort((places[keep], ids[keep], tail[keep], head[keep]))]
-        h, t, i, p = head[order], tail[order], ids[order], places[order]
-        if not len(order):
-            return code_batch(ids[settled], places[settled])
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1])))
-        known = later(rule, i, np.cumsum(new) - 1, np.flatnonzero(new))
+        order = keep[np.lexsort((places[keep], ids[keep], ~old[keep], tail[keep], head[keep]))]
+        h, t, i, p, o = (c[order] for c in (head, tail, ids, places, old))
+        new = changes(h, t)
+        known = later(rule, i, np.cumsum(new) - 1, np.flatnonzero(new), o) & ~o if len(order) else new
         return code_batch(np.concatenate((ids[settled], i[known])), np.concatenate((places[settled], p[known])))
 
     return run
@@ -260,11 +269,11 @@ def by_bucket(blobs: DataFrame, reducer: Callable[[pa.Table], pa.Table]) -> Data
     return blobs.groupBy("bucket").applyInArrow(reducer, CODES)
 
 
-def pair_blobs(pending: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+def pair_blobs(pending: DataFrame, rule: Rule, buckets: int, old: bool = False) -> DataFrame:
     """Map side of step 2 over (doc_id, compressed text, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gatherer(rule, buckets)
+        gather = Gatherer(rule, buckets, old)
         for whole in batches:
             for batch in pieces_of(whole):
                 ids = batch.column(0).to_numpy()
@@ -272,8 +281,9 @@ def pair_blobs(pending: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 for first, end, data, offsets in text_blocks(texts_of(batch.column(1))):
                     values, at, _, _ = rule.units(data, offsets)
                     mine = code[code_at[first] : code_at[end]]
-                    place = (mine >> 1) + np.repeat(at[:-1], np.diff(code_at[first : end + 1]))
-                    row, place, head, tail = rank_pairs(rule, values, at, place[(mine & 1) == 1])
+                    rows = np.repeat(np.arange(end - first), np.diff(code_at[first : end + 1]))
+                    place = (mine >> 2) + at[rows]
+                    row, place, head, tail = rank_pairs(rule, values, at, place[((mine & 1) == 1) & (place < at[rows + 1])])
                     yield from gather.add(ids[first + row], place, head, tail)
         yield gather.flush()
 
@@ -350,12 +360,17 @@ def marked(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_column:
     joined = checkpoint(squeezed(docs, text_column).join(codes, "_key", "left"))
     del codes
     release(spark)
-    pending = joined.filter(F.exists("_codes", lambda c: c % 2 == 1)).select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"), F.col("_codes").alias("codes"))
+    pending = open_ones(joined, text_column)
     windows = checkpoint(lists(by_bucket(pair_blobs(pending, rule, buckets), reduce_pairs(rule)), "_windows"))
     release(spark)
     return joined.join(windows, "_key", "left")
 
 
+def open_ones(joined: DataFrame, text_column: str) -> DataFrame:
+    """What step 2 takes: documents with open anchors."""
+    return joined.filter(F.exists("_codes", lambda c: c % 2 == 1)).select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"), F.col("_codes").alias("codes"))
+
+
 def finished(rows: DataFrame, rule: Rule, text_column: str, kept_columns: list[str], extra: str, make: Callable) -> DataFrame:
     """Apply make(rule, row columns, bytes, offsets, unit starts, unit ends, covered) block by block; extra are the columns that it makes."""
     fields = [rows.schema[c] for c in kept_columns]
@@ -370,7 +385,7 @@ def finished(rows: DataFrame, rule: Rule, text_column: str, kept_columns: list[s
                 for first, end, data, offsets in text_blocks(texts):
                     _, at, starts, ends = rule.units(data, offsets)
                     mine = code[code_at[first] : code_at[end]]
-                    anchor = (mine >> 1) + np.repeat(at[:-1], np.diff(code_at[first : end + 1]))
+                    anchor = (mine >> 2) + np.repeat(at[:-1], np.diff(code_at[first : end + 1]))
                     window = win[win_at[first] : win_at[end]] + np.repeat(at[:-1], np.diff(win_at[first : end + 1]))
                     covered = covered_units(rule, at, anchor[(mine & 1) == 0], window)
                     made = make(batch.slice(first, end - first), texts.slice(first, end - first), data, offsets, at, starts, ends, covered)
