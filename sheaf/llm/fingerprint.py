@@ -9,8 +9,8 @@ own. Likeness of two exact digests is 1 if they are equal and else 0.
 Neighbours in ascending doc_id come from one range partitioning by doc_id: texts move once.
 The last document of a partition meets the first of the next one in a small second step.
 
-Defined results: a null text is empty; equal doc_ids follow each other in the order of their
-texts; a single document is its own next one; an empty table gives an empty result; other
+Defined results: a null text is empty; equal doc_ids follow each other in an order
+that their texts fix; a single document is its own next one; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -23,12 +23,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .spaces import checkpoint
+from .squeeze import squeezed
 
 SPACE = re.compile(r"\s+")
 
@@ -88,7 +90,8 @@ def ranged_pass(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        last, mark, id_type = None, None, None
+        last, mark = None, None
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
             id_type = batch.schema.field(0).type
@@ -96,7 +99,7 @@ def ranged_pass(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 if marks:
                     mark = doc_id, head
                     continue
-                text = text or ""
+                text = "" if text is None else decompress(text).decode()
                 form = canonical(text)
                 own = xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
                 if mark is not None and mark[0] == doc_id:
@@ -110,8 +113,8 @@ def ranged_pass(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         if last is not None:
             yield batch_of([(last[0], len(last[1]), None, last[2], None, None, None, part, "last", last[1])], id_type)
 
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.lit(None).cast(kind).alias("head"), F.lit(False).alias("marks"), F.col(text_column).alias("text"))
-    marks = shared_prints(docs, id_column, text_column).select("doc_id", "head", F.lit(True).alias("marks"), F.lit(None).cast("string").alias("text"))
+    texts = squeezed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "text").select("doc_id", F.lit(None).cast(kind).alias("head"), F.lit(False).alias("marks"), "text")
+    marks = shared_prints(docs, id_column, text_column).select("doc_id", "head", F.lit(True).alias("marks"), F.lit(None).cast("binary").alias("text"))
     ranged = texts.unionByName(marks).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.desc("marks"), "text")
     return checkpoint(ranged.mapInArrow(run, schema))
 

@@ -47,6 +47,7 @@ LONG = 64
 NONE = np.int64(1) << 40
 #: Bytes of text whose segments are worked on together; the more, the more of them are alike.
 TOGETHER = 2 << 20
+STEP = 1 << 16
 
 
 class Pieces:
@@ -142,7 +143,8 @@ def run_agendas(model: Pieces, symbols: np.ndarray, starts: np.ndarray, keys: np
     n = len(starts) - 1
     lengths = np.diff(starts)
     owner = np.repeat(np.arange(n), lengths)
-    begin = np.arange(len(symbols)) - np.repeat(starts[:-1], lengths) + np.repeat(base, lengths)
+    symbols = symbols.copy()
+    begin = np.arange(len(symbols)) - np.repeat(starts[:-1], lengths)
     done_owner, done_symbol = [], []
     long = lengths > LONG
     if long.any():
@@ -153,42 +155,63 @@ def run_agendas(model: Pieces, symbols: np.ndarray, starts: np.ndarray, keys: np
         keep = ~long[owner]
         owner, begin, symbols = owner[keep], begin[keep], symbols[keep]
     stop = begin + 1
-    fresh = True
+
+    def offers(at: np.ndarray) -> None:
+        """Look up the pairs of the symbols at these places with the next ones."""
+        rank[at] = NONE
+        at = at[at + 1 < len(symbols)]
+        at = at[owner[at] == owner[at + 1]]
+        found, to = model.merges(symbols[at], symbols[at + 1])
+        some = np.flatnonzero(found < NONE)
+        at, found, to = at[some], found[some], to[some]
+        if dropout > 0 and len(at):
+            whose = owner[at]
+            stay = ~skipped(keys[whose], base[whose] + begin[at], base[whose] + begin[at + 1], base[whose] + stop[at + 1], dropout)
+            at, found, to = at[stay], found[stay], to[stay]
+        rank[at], into[at] = found, to
+
+    rank, into = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
+    offers(np.arange(len(symbols)))
     while len(symbols):
-        if fresh:
-            rank, into = model.merges(symbols[:-1], symbols[1:])
-            same = owner[:-1] == owner[1:]
-            rank[~same] = NONE
-            if dropout > 0:
-                cand = np.flatnonzero(rank < NONE)
-                rank[cand[skipped(keys[owner[cand]], begin[cand], begin[cand + 1], stop[cand + 1], dropout)]] = NONE
-        full = np.concatenate((rank, [NONE]))
         heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        sizes = np.diff(np.concatenate((heads, [len(symbols)])))
         # the best rank, the leftmost of equal ones
-        score = (np.minimum(full, NONE) << 22) | (np.arange(len(full)) - np.repeat(heads, np.diff(np.concatenate((heads, [len(full)])))))
-        best = np.minimum.reduceat(score, heads)
+        best = np.minimum.reduceat((rank << 22) | begin, heads)
         live = best >> 22 < NONE
         if not live.all():
-            mine = np.repeat(live, np.diff(np.concatenate((heads, [len(full)]))))
+            mine = np.repeat(live, sizes)
             done_owner.append(owner[~mine])
             done_symbol.append(symbols[~mine])
-        if not live.any():
-            break
-        at = heads[live] + (best[live] & ((1 << 22) - 1))
-        symbols, stop = symbols.copy(), stop.copy()
+            symbols, owner, begin, stop, rank, into = (x[mine] for x in (symbols, owner, begin, stop, rank, into))
+            if not len(symbols):
+                break
+            sizes, best = sizes[live], best[live]
+        at = np.flatnonzero((rank << 22 | begin) == np.repeat(best, sizes))
         symbols[at] = into[at]
         stop[at] = stop[at + 1]
         keep = np.ones(len(symbols), np.bool_)
         keep[at + 1] = False
-        if not live.all():
-            keep &= mine
-        symbols, owner, begin, stop = symbols[keep], owner[keep], begin[keep], stop[keep]
+        at = at - np.arange(len(at))  # each of these places lost one symbol for every merge before it
+        symbols, owner, begin, stop, rank, into = (x[keep] for x in (symbols, owner, begin, stop, rank, into))
+        offers(np.concatenate((at, at[at > 0] - 1)))
     owner = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
     symbol = np.concatenate(done_symbol) if done_symbol else np.zeros(0, np.int32)
     order = np.argsort(owner, kind="stable")
     return symbol[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
+def in_parts(model: Pieces, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, base: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """run_agendas on parts of about STEP symbols, whose arrays stay in the processor's caches."""
+    out, sizes, a, n = [], [np.zeros(1, np.int64)], 0, len(starts) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + STEP, side="right")) - 1)
+        got, at = run_agendas(model, symbols[starts[a] : starts[b]], starts[a : b + 1] - starts[a], keys[a:b], base[a:b], dropout)
+        out.append(got)
+        sizes.append(np.diff(at))
+        a = b
+    return np.concatenate(out), np.cumsum(np.concatenate(sizes))
+
+
 def one_agenda(model: Pieces, symbols: np.ndarray, key: np.uint64, base: int, dropout: float) -> np.ndarray:
     """The agenda of one long segment, with a heap."""
     sym = symbols.tolist()
@@ -268,7 +291,7 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
         seg_start = np.flatnonzero(free)
         seg_of = np.searchsorted(offs, seg_start, side="right") - 1
         base = seg_start - offs[seg_of]
-    symbols, sym_at = run_agendas(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), keys[chosen][seg_of], base, dropout)
+    symbols, sym_at = in_parts(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), keys[chosen][seg_of], base, dropout)
     ids, id_at = with_bytes(model, symbols, sym_at)
     id_at = id_at[np.concatenate((np.searchsorted(seg_of, np.arange(len(chosen))), [len(seg_of)]))]
     # back to the occurrences

@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from .arrays import BYTE_VALUES, distinct_sorted, mix, prefix_hash, span_hash, text_blocks, window_choice, window_hash, word_spans
 from .numbering import row_numbers
 from .spaces import checkpoint, release
+from .squeeze import squeezed, texts_of
 
 BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
@@ -307,25 +308,6 @@ def lists(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list("code").alias(name))
 
 
-def squeezed(docs: DataFrame, text_column: str) -> DataFrame:
-    """docs with the text as compressed bytes, for shuffles."""
-    place = docs.columns.index(text_column)
-    schema = T.StructType([T.StructField(f.name, T.BinaryType() if i == place else f.dataType) for i, f in enumerate(docs.schema)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            small = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column(place).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([small if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def texts_of(column: pa.Array) -> pa.Array:
-    """Compressed texts as text; nulls stay."""
-    return pa.array([None if z is None else zstandard.decompress(z) for z in column.to_pylist()], pa.large_binary()).view(pa.large_string())
-
-
 def pieces_of(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .spaces import checkpoint, release, shared_dir
+from .squeeze import squeezed
 
 LENGTH, GRAM, BATCHES, MAX_RUNS = 20, 8, 2, 4
 SEPARATORS = b" \t\n\v\f\r"
@@ -73,7 +74,7 @@ class FingerprintIndex:
         run, text = f"{self.folder}/run-{self.made:05d}", f"{self.folder}/text-{self.made:05d}"
         source = batch.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
         repeats.anchor_blobs(source, rule, self.buckets).groupBy("bucket").applyInArrow(sorted_run(rule), repeats.BLOB).write.parquet(run)
-        repeats.squeezed(batch, text_column).write.parquet(text)
+        squeezed(batch, text_column).write.parquet(text)
         release(spark)
         merged = spark.read.parquet(run)
         if self.runs:
