@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, pieces, sharding, suffixes, tokens, urls, windows
+from . import decontaminate, fingerprint, language, near, pieces, sharding, suffixes, tokens, urls, windows
 
 QUERIES = {
     "op1_token_counts": tokens.query,
+    "op2_near_duplicates": near.query,
     "op3_feistel_sharding": sharding.query,
     "op4_url_filter": urls.query,
     "op5_language": language.query,

@@ -339,18 +339,18 @@ def marked(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_column:
     source = docs.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
     codes = checkpoint(lists(by_bucket(anchor_blobs(source, rule, buckets), reduce_anchors(rule)), "_codes"))
     release(spark)
-    joined = checkpoint(squeezed(docs, text_column).join(codes, "_key", "left"))
-    del codes
+    texts = squeezed(docs, text_column)
+    pairs = pair_blobs(open_ones(texts, codes, text_column), rule, buckets)
+    windows = checkpoint(lists(by_bucket(pairs, reduce_pairs(rule)), "_windows"))
+    del pairs
     release(spark)
-    pending = open_ones(joined, text_column)
-    windows = checkpoint(lists(by_bucket(pair_blobs(pending, rule, buckets), reduce_pairs(rule)), "_windows"))
-    release(spark)
-    return joined.join(windows, "_key", "left")
+    return texts.join(codes, "_key", "left").join(windows, "_key", "left")
 
 
-def open_ones(joined: DataFrame, text_column: str) -> DataFrame:
-    """What step 2 takes: documents with open anchors."""
-    return joined.filter(F.exists("_codes", lambda c: c % 2 == 1)).select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"), F.col("_codes").alias("codes"))
+def open_ones(texts: DataFrame, codes: DataFrame, text_column: str) -> DataFrame:
+    """What step 2 takes: texts of the documents with open anchors, and those."""
+    some = codes.select("_key", F.filter("_codes", lambda c: c % 2 == 1).alias("codes")).filter(F.size("codes") > 0)
+    return texts.select("_key", text_column).join(some, "_key").select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"), "codes")
 
 
 def finished(rows: DataFrame, rule: Rule, text_column: str, kept_columns: list[str], extra: str, make: Callable) -> DataFrame:

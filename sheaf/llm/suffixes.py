@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats
 
-LENGTH, GRAM = 50, 18
+LENGTH, GRAM = 50, 28
 
 
 def rule_for(length: int = LENGTH) -> repeats.Rule:
-    return repeats.Rule(length, min(GRAM, max(1, length // 2)), False, None)
+    return repeats.Rule(length, max(1, min(GRAM, length * 9 // 16)), False, None)
 
 
 def kept_bytes(data: np.ndarray, offsets: np.ndarray, covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -82,18 +82,19 @@ class FingerprintIndex:
         codes = repeats.by_bucket(merged, repeats.reduce_anchors(rule))
         codes = checkpoint(codes.groupBy(F.col("doc_id").alias("_key"), (F.col("code").bitwiseAND(2) > 0).alias("_old")).agg(F.collect_list("code").alias("_codes")))
         release(spark)
-        joined = checkpoint(spark.read.parquet(text).join(codes.filter("not _old").drop("_old"), "_key", "left"))
-        pairs = repeats.pair_blobs(repeats.open_ones(joined, text_column), rule, self.buckets)
+        texts, fresh = spark.read.parquet(text), codes.filter("not _old").drop("_old")
+        pairs = repeats.pair_blobs(repeats.open_ones(texts, fresh, text_column), rule, self.buckets)
         if self.texts:
-            history = spark.read.parquet(*self.texts).select("_key", text_column).join(codes.filter("_old").drop("_old"), "_key")
-            pairs = pairs.unionByName(repeats.pair_blobs(repeats.open_ones(history, text_column), rule, self.buckets, old=True))
+            history = repeats.open_ones(spark.read.parquet(*self.texts), codes.filter("_old").drop("_old"), text_column)
+            pairs = pairs.unionByName(repeats.pair_blobs(history, rule, self.buckets, old=True))
         windows = checkpoint(repeats.lists(repeats.by_bucket(pairs, repeats.reduce_pairs(rule)), "_windows"))
+        del pairs
         release(spark)
         self.runs.append(run)
         self.texts.append(text)
         if len(self.runs) > MAX_RUNS:
             self.compact()
-        return joined.join(windows, "_key", "left")
+        return texts.join(fresh, "_key", "left").join(windows, "_key", "left")
 
     def compact(self) -> None:
         """Merge all runs to one."""
