@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are checkpointed; call it once nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 2, pause: float = 0.4) -> None:
+    """Let Spark drop the shuffle files of steps whose results are checkpointed; call it once nothing refers to them.
+
+    What the first collection leaves for the JVM's finalisers only the second one frees; the
+    pauses are for Spark's cleaner, which works in the background.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
