@@ -13,8 +13,9 @@ GATE_SCORE, FEEDBACK_THRESHOLD = 4, 3
 
 
 def clamped(digits: Column) -> Column:
-    n = F.expr("cast(null as bigint)") if digits is None else digits.try_cast("bigint")
-    return F.greatest(F.lit(1), F.least(F.lit(5), n)).cast("int")
+    """Digits as a score between 1 and 5; null stays null."""
+    n = digits.try_cast("bigint")
+    return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), n))).cast("int")
 
 
 def lone_digit(text: Column) -> Column:
@@ -30,7 +31,7 @@ def parsed_score(reply: Column) -> Column:
     """
     text = strip(reply)
     inner = strip(tag_body(text, "score"))
-    whole = F.when(inner.rlike(r"^[+-]?\d+$"), F.when(clamped(inner).isNull(), F.lit(None)).otherwise(clamped(inner)))
+    whole = F.when(inner.rlike(r"^[+-]?\d+$"), clamped(inner))
     tagged = clamped(F.nullif(F.regexp_extract(text, r"<score>\s*(\d+)\s*</score>", 1), F.lit("")))
     return F.when(~blank(reply), F.coalesce(whole, lone_digit(inner), tagged, lone_digit(F.substring(text, 1, 200))))
 

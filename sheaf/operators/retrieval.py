@@ -79,15 +79,16 @@ def quality(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     single = {c: F.col(c).cast("float") for c in ("min_relevance", "mean_relevance", "max_concentration")}
     floor, mean, share = (F.lit(x).cast("float") for x in (FLOOR, MEAN_FLOOR, MAX_SHARE))
     many = F.col("n_hits") >= 3
+    shown = {c: F.bround(x.cast("double"), 2) for c, x in single.items()}  # two places of the single-precision value, ties to even
     bad = {
         "low": single["min_relevance"] < floor, "mean": single["mean_relevance"] < mean,
         "share": many & (single["max_concentration"] > share), "few": many & (F.col("unique_sources") < MIN_SOURCES),
     }
     reasons = F.concat_ws(
         "; ",
-        F.when(bad["low"], F.format_string(f"min relevance %.2f below {FLOOR:.2f}", "min_relevance")),
-        F.when(bad["mean"], F.format_string(f"mean relevance %.2f below {MEAN_FLOOR:.2f}", "mean_relevance")),
-        F.when(bad["share"], F.format_string(f"source concentration %.2f above {MAX_SHARE:.2f}", "max_concentration")),
+        F.when(bad["low"], F.format_string(f"min relevance %.2f below {FLOOR:.2f}", shown["min_relevance"])),
+        F.when(bad["mean"], F.format_string(f"mean relevance %.2f below {MEAN_FLOOR:.2f}", shown["mean_relevance"])),
+        F.when(bad["share"], F.format_string(f"source concentration %.2f above {MAX_SHARE:.2f}", shown["max_concentration"])),
         F.when(bad["few"], F.format_string(f"only %d unique sources, need {MIN_SOURCES}", "unique_sources")),
     )
     none = F.col("n_hits") == 0

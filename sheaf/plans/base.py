@@ -34,11 +34,12 @@ BASES = {
         CASE WHEN o_orderkey % 6 = 0 THEN 2000 + o_orderkey % 20 END AS year, CASE WHEN o_orderkey % 3 = 0 THEN '[]' WHEN o_orderkey % 3 = 1 THEN NULL ELSE concat('["', o_orderkey, '"]') END AS authors,
         CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey % 90 END AS citation_count, concat('f', o_orderkey) AS fetched_at FROM {orders}""",
     "claims": """SELECT o_orderkey AS claim_id, o_custkey AS run_id, concat('claim of order ', o_orderkey, ' by customer ', o_custkey) AS text, CASE WHEN o_orderkey % 5 = 0 THEN 'consensus' WHEN o_orderkey % 5 = 1 THEN 'minority' ELSE NULL END AS agreement_level FROM {orders}""",
-    "claim_sources": """SELECT l_orderkey AS claim_id, l_linenumber AS source_ord, CASE WHEN l_suppkey % 9 = 0 THEN 'system' WHEN l_suppkey % 9 = 1 THEN concat('new_e', l_suppkey % 13, '_n', l_linenumber) WHEN l_suppkey % 9 = 2 THEN concat('e', l_suppkey % 13, ':evidence_', l_linenumber)
+    "claim_sources": """SELECT l_orderkey AS claim_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS source_ord, CASE WHEN l_suppkey % 9 = 0 THEN 'system' WHEN l_suppkey % 9 = 1 THEN concat('new_e', l_suppkey % 13, '_n', l_linenumber) WHEN l_suppkey % 9 = 2 THEN concat('e', l_suppkey % 13, ':evidence_', l_linenumber)
         WHEN l_suppkey % 9 = 3 THEN concat('arxiv:', l_suppkey) WHEN l_suppkey % 9 = 4 THEN concat('cand', l_suppkey) ELSE concat('e', l_suppkey % 13) END AS source_id FROM {lineitem}""",
     "panel": "SELECT DISTINCT concat('e', s_suppkey % 11) AS source_id FROM {supplier}",
-    "scores": """SELECT o_custkey AS run_id, o_orderkey AS candidate, l_linenumber AS dim_ord, concat('dim', l_linenumber) AS dim, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS score FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "weights": "SELECT concat('dim', k) AS dim, k / 15.0 AS weight FROM (SELECT DISTINCT l_linenumber AS k FROM {lineitem} WHERE l_linenumber <= 5) x",
+    "scores": """SELECT run_id, candidate, dim_ord, concat('dim', dim_ord) AS dim, score FROM (SELECT o_custkey AS run_id, o_orderkey AS candidate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dim_ord,
+        CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 1 + l_partkey % 5 END AS score FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) x""",
+    "weights": "SELECT concat('dim', k) AS dim, CAST(k AS DOUBLE) / 15 AS weight FROM (SELECT DISTINCT l_linenumber AS k FROM {lineitem} WHERE l_linenumber <= 5) x",
     "nodes": "SELECT concat('n', l_partkey % 300) AS node_id, l_linenumber AS graph_ord, l_orderkey AS node_ord, concat('e', l_suppkey % 13) AS expert_id, l_returnflag AS claim FROM {lineitem}",
     "edges": "SELECT concat('n', l_partkey % 200) AS source, concat('n', l_suppkey % 90) AS target, l_linenumber AS graph_ord, l_orderkey AS edge_ord, l_linestatus AS relation FROM {lineitem}",
     "quotes": "SELECT item_id AS quote_id, doc_id AS source_id, CASE WHEN item_id % 3 = 0 THEN upper(b.text) WHEN item_id % 3 = 1 THEN concat(' ', b.text, ' ') ELSE concat(b.text, ' x') END AS quote, d.text AS text FROM {benchmark} b JOIN {documents} d ON d.doc_id % 20 = b.item_id % 20 AND contains(d.text, b.text)",

@@ -65,7 +65,7 @@ def sectioned(t):
     return t("documents").select(F.col("doc_id").alias("doc"), "doc_id", F.expr(PLANNED).alias("text"))
 
 
-WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), w -> w <> ''))"
+WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
 
 @query("section_budget", f", w AS (SELECT doc_id AS doc, {WORDS} AS n, 20 + doc_id % 400 AS b FROM documents) SELECT doc, 'One' AS heading, n AS words, round(n / b, 6) AS ratio, 'budget' AS problem FROM w WHERE n / b < 0.5 OR n / b > 2.0 UNION ALL SELECT doc, 'Three', NULL, NULL, 'missing' FROM w".replace(", w AS", " WITH w AS", 1))
@@ -137,7 +137,7 @@ def markdown_sections(t):
     return sectioned(t).select("doc", F.explode(tx.sections(F.col("text"))).alias("s")).select("doc", "s.heading", F.length("s.body").alias("n"))
 
 
-@query("paragraph_counts", " SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), x -> trim(x, ' ' || chr(9) || chr(13) || chr(10))), x -> x <> '')) AS n FROM documents")
+@query("paragraph_counts", " SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')) AS n FROM documents")
 def paragraph_counts(t):
     return t("documents").select("doc_id", F.size(tx.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")))).alias("n"))
 
@@ -147,7 +147,7 @@ def last_paragraph(t):
     return t("documents").select("doc_id", tx.last_paragraph(F.concat("text", F.lit("\n\n end "), F.col("doc_id").cast("string"), F.lit(" \n\n  "))).alias("last"))
 
 
-@query("statement_split", r" SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), x -> trim(x, ' ' || chr(9) || chr(10) || chr(13))), x -> x <> '')) AS n FROM documents")
+@query("statement_split", r" SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS n FROM documents")
 def statement_split(t):
     return t("documents").select("doc_id", F.size(tx.statements(F.col("text"))).alias("n"))
 

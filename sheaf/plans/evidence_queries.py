@@ -150,7 +150,7 @@ def quote_verify(t):
     return provenance.quotes_verified(q.select("quote_id", "source_id", "quote"), texts).select("quote_id", "source_id", "status")
 
 
-TOKENS = "list_distinct(list_transform(list_filter(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), w -> strlen(w) > 2), w -> lower(w)))"
+TOKENS = "list_distinct(list_transform(list_filter(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) > 2), lambda w: lower(w)))"
 
 
 @query("content_tokens", f" SELECT item_id, len({TOKENS.format('text')}) AS n_tokens, array_to_string(list_sort({TOKENS.format('text')}), ' ') AS tokens FROM benchmark")
@@ -159,7 +159,7 @@ def content_tokens_query(t):
     return t("benchmark").select("item_id", F.size(tokens).alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
-@query("quote_snap", f", q AS (SELECT item_id AS quote_id, text AS quote FROM benchmark), s AS (SELECT quote_id, quote, row_number() OVER () AS pos, trim(x, ' ' || chr(10) || chr(9)) AS sentence FROM (SELECT b.item_id AS quote_id, b.text AS quote, unnest(regexp_split_to_array(regexp_replace(d.text, '([.!?])[ \\t\\n\\r\\f]', '\\1' || chr(1), 'g'), chr(1) || '|\\n')) AS x FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)), k AS (SELECT quote_id, sentence, len(list_intersect({TOKENS.format('quote')}, {TOKENS.format('sentence')})) AS o, len({TOKENS.format('quote')}) AS n FROM s WHERE sentence <> '') SELECT quote_id, round(max(o / n), 6) AS score FROM k WHERE o >= 4 AND n >= 4 AND o / n >= 0.55 GROUP BY quote_id")
+@query("quote_snap", f"WITH q AS (SELECT item_id AS quote_id, text AS quote FROM benchmark), s AS (SELECT quote_id, quote, row_number() OVER () AS pos, trim(x, ' ' || chr(10) || chr(9)) AS sentence FROM (SELECT b.item_id AS quote_id, b.text AS quote, unnest(regexp_split_to_array(regexp_replace(d.text, '([.!?])[ \\t\\n\\r\\f]', '\\1' || chr(1), 'g'), chr(1) || '|\\n')) AS x FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)), k AS (SELECT quote_id, sentence, len(list_intersect({TOKENS.format('quote')}, {TOKENS.format('sentence')})) AS o, len({TOKENS.format('quote')}) AS n FROM s WHERE sentence <> '') SELECT quote_id, round(max(o / n), 6) AS score FROM k WHERE o >= 4 AND n >= 4 AND o / n >= 0.55 GROUP BY quote_id")
 def quote_snap(t):
     met = t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")).join(t("documents").select(F.col("doc_id").alias("quote_id"), "text"), "quote_id")
     return provenance.snapped(met).select("quote_id", "score")
@@ -191,12 +191,12 @@ def inherit_quote(t):
     return provenance.inherited_quotes(claims, sources, nodes, none, none.select("claim_id"))
 
 
-@query("merge_graph_nodes", " SELECT node_id, arg_min(expert_id, graph_ord * 1000000000 + node_ord) AS expert_id FROM nodes GROUP BY node_id", "nodes")
+@query("merge_graph_nodes", " SELECT node_id, arg_min(expert_id, CAST(graph_ord AS BIGINT) * 1000000000 + node_ord) AS expert_id FROM nodes GROUP BY node_id", "nodes")
 def merge_graph_nodes(t):
     return graph.merged_nodes(t("nodes").dropDuplicates(["node_id", "graph_ord", "node_ord"])).select("node_id", "expert_id")
 
 
-@query("merge_graph_edges", " SELECT source, target, arg_min(relation, graph_ord * 1000000000 + edge_ord) AS relation FROM edges GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY source, target"), "edges")
+@query("merge_graph_edges", " SELECT source, target, arg_min(relation, CAST(graph_ord AS BIGINT) * 1000000000 + edge_ord) AS relation FROM edges GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY source, target"), "edges")
 def merge_graph_edges(t):
     return graph.merged_edges(t("edges")).select("source", "target", "relation")
 

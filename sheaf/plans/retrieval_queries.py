@@ -9,8 +9,8 @@ from ..functions import vectors
 from ..operators import corpus, retrieval
 from .base import query
 
-DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), i -> (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))))"
-COSINE = "list_sum(list_transform(range(1, 65), i -> CAST(q.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(range(1, 65), i -> CAST(q.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))) * sqrt(list_sum(list_transform(range(1, 65), i -> CAST(e.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE)))))"
+DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))))"
+COSINE = "list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE))) / (sqrt(list_sum(list_transform(range(1, 65), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))) * sqrt(list_sum(list_transform(range(1, 65), lambda i: CAST(e.embedding[i] AS DOUBLE) * CAST(e.embedding[i] AS DOUBLE)))))"
 MET = f"met AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, e.label, {DISTANCE} AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q)"
 
 
@@ -68,7 +68,7 @@ def rrf_lane_repeats(t):
 QUALITY = """, q AS (SELECT query_id, count(*) AS n_hits, min(CAST(relevance AS DOUBLE)) AS lo, avg(CAST(relevance AS DOUBLE)) AS me, count(DISTINCT source_id) AS u FROM {hits} GROUP BY query_id),
 c AS (SELECT query_id, max(n) AS m FROM (SELECT query_id, source_id, count(*) AS n FROM {hits} GROUP BY ALL) GROUP BY query_id),
 r AS (SELECT q.*, m / n_hits AS sh, CAST(lo AS FLOAT) < CAST(0.3 AS FLOAT) AS b1, CAST(me AS FLOAT) < CAST(0.48 AS FLOAT) AS b2, n_hits >= 3 AND CAST(m / n_hits AS FLOAT) > CAST(0.6 AS FLOAT) AS b3, n_hits >= 3 AND u < 3 AS b4 FROM q JOIN c USING (query_id))"""
-REASON = "CASE WHEN NOT (b1 OR b2 OR b3 OR b4) THEN NULL ELSE concat_ws('; ', CASE WHEN b1 THEN format('min relevance {:.2f} below 0.30', lo) END, CASE WHEN b2 THEN format('mean relevance {:.2f} below 0.48', me) END, CASE WHEN b3 THEN format('source concentration {:.2f} above 0.60', sh) END, CASE WHEN b4 THEN format('only {} unique sources, need 3', u) END) END"
+REASON = "CASE WHEN NOT (b1 OR b2 OR b3 OR b4) THEN NULL ELSE concat_ws('; ', CASE WHEN b1 THEN format('min relevance {:.2f} below 0.30', CAST(CAST(lo AS FLOAT) AS DOUBLE)) END, CASE WHEN b2 THEN format('mean relevance {:.2f} below 0.48', CAST(CAST(me AS FLOAT) AS DOUBLE)) END, CASE WHEN b3 THEN format('source concentration {:.2f} above 0.60', CAST(CAST(sh AS FLOAT) AS DOUBLE)) END, CASE WHEN b4 THEN format('only {} unique sources, need 3', u) END) END"
 
 
 @query("quality_report", QUALITY.format(hits="hits") + " SELECT query_id, n_hits, round(lo, 6) AS min_relevance, round(me, 6) AS mean_relevance, round(sh, 6) AS max_concentration, u AS unique_sources, NOT (b1 OR b2 OR b3 OR b4) AS passed FROM r", "hits")
@@ -100,7 +100,7 @@ def s2_lane_relevance(t):
     return retrieval.citation_relevance(hits).select("doc_id", "query_id", "relevance", "canonical_id")
 
 
-@query("topicality_keep", ", h AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, source_id) AS position, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT * FROM hits)), k AS (SELECT *, query_id % 2 = 0 AND position IN (1, 3) AS keep FROM h), s AS (SELECT *, max(CAST(keep AS INT)) OVER (PARTITION BY query_id) AS some FROM k) SELECT query_id, source_id, position FROM s WHERE n < 2 OR some = 0 OR keep", "hits")
+@query("topicality_keep", ", h AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, source_id) AS position, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT * FROM hits)), k AS (SELECT *, query_id % 2 = 0 AND position IN (1, 3) AS keep FROM h), s AS (SELECT *, max(CAST(keep AS INT)) OVER (PARTITION BY query_id) AS any_kept FROM k) SELECT query_id, source_id, position FROM s WHERE n < 2 OR any_kept = 0 OR keep", "hits")
 def topicality_keep(t):
     hits = t("hits").distinct().withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance"), "source_id")).cast("long"))
     replies = hits.select("query_id").distinct().withColumn("reply", F.when(F.col("query_id") % 2 == 0, "keep 0 and 2, not more").otherwise("none of them"))

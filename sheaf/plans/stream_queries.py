@@ -19,7 +19,7 @@ def call_budget(t):
     return pacing.budgeted(t("calls"), 40, ["endpoint"], "arrival", "call_id").select("call_id", "allowed")
 
 
-@query("retry_backoff", " SELECT call_id, CASE call_id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 7.0 END AS wait FROM calls", "calls")
+@query("retry_backoff", " SELECT call_id, CAST(CASE call_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 7 END AS DOUBLE) AS wait FROM calls", "calls")
 def retry_backoff(t):
     return t("calls").select("call_id", pacing.backoff((F.col("call_id") % 4).cast("int"), F.when(F.col("call_id") % 4 == 1, 7)).alias("wait"))
 
