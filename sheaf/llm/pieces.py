@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import MASK, mix, text_blocks
 
@@ -366,7 +367,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
                 tokens = pc.if_else(pc.is_valid(column), tokens, pa.scalar(None, tokens.type))
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model: str | None = None, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
@@ -379,7 +380,7 @@ def decode(encoded: DataFrame, model: str | None = None, tokens: str = "tokens",
             texts = decode_column(pieces(path), batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, encoded.schema.add(name, "string"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -241,13 +241,16 @@ def reduce_pairs(rule: Rule) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a plan's input size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+#: Estimates from here on are Spark's way to say that it does not know.
+UNKNOWN_BYTES = 1 << 55
 
 
-def bucket_count(df: DataFrame) -> int:
-    return max(LEAST_BUCKETS, plan_bytes(df) // BUCKET_BYTES)
+def bucket_count(docs: DataFrame, text_column: str) -> int:
+    """Buckets in proportion to the input's size: Spark's estimate of it, or where there is none the texts' bytes."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= UNKNOWN_BYTES:
+        size = docs.agg(F.sum(F.octet_length(text_column))).first()[0] or 0
+    return max(LEAST_BUCKETS, size // BUCKET_BYTES)
 
 
 def anchor_blobs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
@@ -334,7 +337,7 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def marked(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with compressed text, `_codes` and `_windows`: settled anchors, and removed windows of open ones."""
     spark = docs.sparkSession
-    buckets = bucket_count(docs)
+    buckets = bucket_count(docs, text_column)
     docs = keyed(docs, id_column, text_column)
     source = docs.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
     codes = checkpoint(lists(by_bucket(anchor_blobs(source, rule, buckets), reduce_anchors(rule)), "_codes"))

@@ -116,7 +116,7 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 def indexed(docs: DataFrame, length: int, id_column: str, text_column: str, batches: int) -> tuple[DataFrame, repeats.Rule]:
     rule = rule_for(length)
-    index = FingerprintIndex(docs.sparkSession, rule, repeats.bucket_count(docs))
+    index = FingerprintIndex(docs.sparkSession, rule, repeats.bucket_count(docs, text_column))
     out = None
     for batch in batches_of(repeats.keyed(docs, id_column, text_column), batches):
         rows = index.append(batch, text_column)
