@@ -93,6 +93,8 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
             for key, reply in zip(batch["reply_id"], batch["reply"], strict=True):
                 parser = Reply()
                 parser.feed(reply or "")
+                parser.close()
+                parser.close_row()
                 for i, (kind, attrs, fields, children) in enumerate(parser.rows):
                     source = attrs.get("source") or attrs.get("from") or fields.get("source", "")
                     kids = [(c["kind"], c.get("id") or c.get("expert_id") or c.get("source") or "", c["text"].strip()) for c in children]

@@ -10,6 +10,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import CHUNK_BYTES, is_references_heading, packed, paragraphs
 
@@ -217,7 +218,7 @@ def full_text(body: Column, abstract: Column, status: Column) -> Column:
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimensions: int, text: str = "embed_text", size: int = 128) -> DataFrame:
     """rows with the vectors of their texts by an injected service, in requests of at most `size`; a wrong count or length fails."""
-    schema = rows.schema.add("embedding", "array<float>")
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
