@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import cosine, l2, similarity
+from ..functions.vectors import cosine, similarity
 
 RRF_K, FLOOR, MEAN_FLOOR, MAX_SHARE, MIN_SOURCES, OVERFETCH = 60, 0.3, 0.48, 0.6, 3, 3
-#: Query vectors that are joined by broadcast at once.
+#: Query vectors that are sent to the executors at once.
 QUERY_BLOCK = 4096
 
 
@@ -17,28 +23,59 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | N
 
     condition filters chunks. `exact` filters first; `overfetch` takes OVERFETCH * k first and
     filters these, as an index that filters afterwards does. Queries are a stated set; they go
-    to the executors in blocks of at most QUERY_BLOCK, so what is broadcast is bounded, and
-    each block keeps its k best by a window that Spark limits before its shuffle.
+    to the executors in blocks of at most QUERY_BLOCK, so what is sent is bounded. Each Arrow
+    batch of chunks keeps its k best for each query, found by a matrix product and then
+    measured exactly, so few rows are shuffled. Vectors of another length than the query's match nothing.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
     keep = F.lit(True) if condition is None else condition
     source = chunks.filter(keep) if mode == "exact" else chunks
     fetch = k * OVERFETCH if mode == "overfetch" and condition is not None else k
     order = Window.partitionBy("query_id").orderBy("distance", id_column)
-    parts = []
+    place = source.columns.index(vector)
+    others = [f for i, f in enumerate(source.schema.fields) if i != place]
+    schema = T.StructType([queries.schema["query_id"], *others, T.StructField("distance", T.DoubleType())])
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
     for b in range(blocks):
         some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        met = source.crossJoin(F.broadcast(some.select("query_id", "query_vector"))).withColumn("distance", l2(F.col(vector), F.col("query_vector"))).filter("distance is not null")
-        parts.append(met.drop("query_vector").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fetch))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = source.mapInArrow(best_of_batches(some.select("query_id", "query_vector").toArrow(), place, fetch), schema)
+        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fetch)
+        out = part if out is None else out.unionByName(part)
     if fetch != k:
         out = out.filter(keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return out.withColumn("similarity", similarity(F.col("distance")))
 
 
+def best_of_batches(queries: pa.Table, place: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: each batch's k nearest rows of every query, ties with the last one included."""
+    by_length: dict[int, list[int]] = {}
+    vectors = queries.column("query_vector").to_pylist()
+    for i, v in enumerate(vectors):
+        if v:
+            by_length.setdefault(len(v), []).append(i)
+    matrices = {n: (np.array(at), np.array([vectors[i] for i in at], np.float64)) for n, at in by_length.items()}
+    names = queries.column("query_id").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(place)
+            lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+            rest = batch.select([i for i in range(batch.num_columns) if i != place])
+            for n, (at, q) in matrices.items():
+                have = np.flatnonzero(lengths == n)
+                if not len(have):
+                    continue
+                e = column.take(pa.array(have)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
+                squares = (e * e).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (e @ q.T)
+                last = np.partition(squares, min(k, len(e)) - 1, axis=0)[min(k, len(e)) - 1]
+                row, which = np.nonzero(squares <= last + 1e-9 * (1 + np.abs(last)))
+                distance = np.sqrt(((e[row] - q[which]) ** 2).sum(axis=1))
+                taken = rest.take(pa.array(have[row]))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at[which])), *taken.columns, pa.array(distance)], ["query_id", *taken.schema.names, "distance"])
+
+    return run
+
+
 def ranked_by_cosine(candidates: DataFrame, anchor: Column, least: float, most: int, group: str = "query_id", id_column: str = "id", vector: str = "embedding") -> DataFrame:
     """Candidates of each group with a cosine of at least `least` to the anchor, the best `most`."""
     scored = candidates.withColumn("relevance", cosine(F.col(vector), anchor)).filter(F.col("relevance") >= least)
