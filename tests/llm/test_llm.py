@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sheaf.llm import decontaminate, fingerprint, language, near, pieces, queries, repeats, sharding, suffixes, tokens, urls, windows
+from sheaf.llm import decontaminate, fingerprint, language, near, pieces, queries, repeats, sharding, spaces, suffixes, tokens, urls, windows
 from sheaf.llm.arrays import distinct_sorted, text_blocks, window_choice
 
 DATA = "/root/testdata/sf0.001"
@@ -39,6 +39,13 @@ def words(n, seed):
     return " ".join(r.choice(["alpha", "beta", "gamma", "Δelta", "the", "of"]) + str(r.randint(0, 40)) for _ in range(n))
 
 
+@pytest.fixture(autouse=True)
+def no_pauses(monkeypatch):
+    """Tests have no shuffle files to wait for."""
+    monkeypatch.setattr(spaces.release, "__defaults__", (0, 0.0))
+    monkeypatch.setattr(repeats, "LEAST_BUCKETS", 8)
+
+
 @pytest.fixture(scope="module")
 def texts():
     base, passage = words(300, 1), words(60, 2)
