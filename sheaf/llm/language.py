@@ -184,6 +184,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_trainin
         return used, x
 
     random = np.random.default_rng(SEED)
+    del got
     table = (random.standard_normal((BUCKETS, WIDTH)) * 0.5).astype(np.float32)
     weight = np.zeros((WIDTH, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -214,6 +215,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_trainin
         model.temperature = float(temperatures[int(np.argmin(loss))])
         p = softmax(logits / model.temperature)
         model.floor = float(min(MAX_FLOOR, np.quantile(p.max(axis=1), 1 - KEEP)))
+    del idx, val, at, lists, dense
+    pa.default_memory_pool().release_unused()  # the driver is small
     return model
 
 
