@@ -64,7 +64,8 @@ def shared_prints(docs: DataFrame, id_column: str, text_column: str) -> DataFram
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(printed, f"doc_id {kind.simpleString()}, fingerprint string")
     rows = checkpoint(rows)
-    heads = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    # checkpointed, for Spark splits a large group only between plain shuffles
+    heads = checkpoint(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1"))
     return rows.join(heads, "fingerprint").select("doc_id", "head").distinct()
 
 
@@ -133,10 +134,10 @@ def compared(kept: DataFrame) -> DataFrame:
     SHA-256 of their form.
     """
     shared = kept.filter("role in ('head', 'copy')").select("doc_id", "fingerprint", "role", F.col("edge").alias("form"))
-    heads = shared.filter("role = 'head'").groupBy("fingerprint").agg(F.min("form").alias("head_form"))
+    heads = checkpoint(shared.filter("role = 'head'").groupBy("fingerprint").agg(F.min("form").alias("head_form")))
     met = shared.join(heads, "fingerprint").select("doc_id", "fingerprint", F.when(F.col("form") == F.col("head_form"), F.lit("")).otherwise(F.sha2("form", 256)).alias("other"))
     met = checkpoint(met)
-    sizes = met.groupBy("fingerprint", "other").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
+    sizes = checkpoint(met.groupBy("fingerprint", "other").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies")))
     return met.distinct().join(sizes, ["fingerprint", "other"]).select("doc_id", "fingerprint", "group_id", "copies")
 
 
