@@ -94,14 +94,25 @@ def plan_of(reply: Column) -> Column:
 
 
 def plan_vetoes(plan_sections: DataFrame, claims: DataFrame) -> DataFrame:
-    """(plan_id, reason, detail): unknown claim ids, ids in more than two sections, and coverage under 0.6; a plan without sections passes."""
-    ids = plan_sections.select("plan_id", "section_ord", F.explode("claim_ids").alias("claim_no"))
-    unknown = ids.join(claims.select("plan_id", "claim_no").distinct(), ["plan_id", "claim_no"], "left_anti").groupBy("plan_id").agg(F.min("claim_no").cast("string").alias("detail")).withColumn("reason", F.lit("unknown_id"))
-    often = ids.groupBy("plan_id", "claim_no").agg(F.count_distinct("section_ord").alias("n")).filter(F.col("n") > MOST_SECTIONS).groupBy("plan_id").agg(F.min("claim_no").cast("string").alias("detail")).withColumn("reason", F.lit("too_many_sections"))
-    all_ = claims.groupBy("plan_id").agg(F.count_distinct("claim_no").alias("n"))
-    used = ids.join(claims.select("plan_id", "claim_no").distinct(), ["plan_id", "claim_no"]).groupBy("plan_id").agg(F.count_distinct("claim_no").alias("m"))
-    low = plan_sections.select("plan_id").distinct().join(all_, "plan_id").join(used, "plan_id", "left").withColumn("share", F.coalesce("m", F.lit(0)) / F.col("n")).filter(F.col("share") < MIN_COVERAGE).select("plan_id", F.format_string("%.2f", "share").alias("detail"), F.lit("low_coverage").alias("reason"))
-    return unknown.unionByName(often).unionByName(low).select("plan_id", "reason", "detail")
+    """(plan_id, reason, detail) of each plan's first fault: an id that does not exist, one given more than two times, coverage of the claims under 0.6.
+
+    plan_sections (plan_id, section_ord, claim_ids); claims (plan_id, claim_no) has claims
+    (`C1`) and tensions (`T1`). A plan without sections passes.
+    """
+    ids = plan_sections.select("plan_id", "section_ord", F.posexplode("claim_ids").alias("i", "claim_no"))
+    real = claims.select("plan_id", "claim_no").distinct()
+    unknown = ids.join(real, ["plan_id", "claim_no"], "left_anti").groupBy("plan_id").agg(F.min_by("claim_no", F.struct("section_ord", "i")).alias("detail")).select("plan_id", F.lit(1).alias("n"), F.lit("unknown_id").alias("reason"), "detail")
+    often = ids.groupBy("plan_id", "claim_no").agg(F.count("*").alias("k")).filter(F.col("k") > MOST_SECTIONS).groupBy("plan_id").agg(F.min("claim_no").alias("detail")).select("plan_id", F.lit(2).alias("n"), F.lit("too_many_sections").alias("reason"), "detail")
+    counted = real.filter(F.col("claim_no").startswith("C"))
+    used = ids.join(counted, ["plan_id", "claim_no"]).groupBy("plan_id").agg(F.count_distinct("claim_no").alias("m"))
+    share = F.coalesce("m", F.lit(0)) / F.col("k")
+    low = plan_sections.select("plan_id").distinct().join(counted.groupBy("plan_id").agg(F.count("*").alias("k")), "plan_id").join(used, "plan_id", "left").filter(share < MIN_COVERAGE).select("plan_id", F.lit(3).alias("n"), F.lit("low_coverage").alias("reason"), F.format_string("%.2f", share).alias("detail"))
+    return unknown.unionByName(often).unionByName(low).groupBy("plan_id").agg(F.min_by(F.struct("reason", "detail"), "n").alias("f")).select("plan_id", "f.reason", "f.detail")
+
+
+def plan_core_fault(terms: Column, threads: Column) -> Column:
+    """What a plan must have and has not: a term registry, then planted threads (counts of them)."""
+    return F.when(terms == 0, "term_registry is empty").when(threads == 0, "planted_threads is empty")
 
 
 def phrase_hits(documents: DataFrame, phrases: tuple[str, ...] = BANNED_PHRASES) -> DataFrame:
@@ -113,30 +124,46 @@ def phrase_hits(documents: DataFrame, phrases: tuple[str, ...] = BANNED_PHRASES)
 
 def drifting_terms(documents: DataFrame, registry: DataFrame) -> DataFrame:
     """(doc, term, banned) of a plan's banned synonyms (doc, term, banned array) in its document."""
-    each = registry.select("doc", "term", F.explode("banned").alias("banned")).filter(F.col("banned") != "")
-    return documents.join(each, "doc").filter(F.contains(F.lower("text"), F.lower("banned"))).select("doc", "term", "banned")
+    each = registry.select("doc", "term", F.explode("banned").alias("banned")).filter(~blank(F.col("banned")))
+    return documents.join(each, "doc").filter(F.contains(F.lower("text"), F.lower(strip(F.col("banned"))))).select("doc", "term", "banned")
+
+
+def first_sections(documents: DataFrame) -> DataFrame:
+    """(doc, key, body) of the first section of each heading, whatever its case."""
+    parts = documents.select("doc", F.posexplode(sections(F.col("text"))).alias("pos", "s"))
+    return parts.groupBy("doc", F.lower("s.heading").alias("key")).agg(F.min_by("s.body", "pos").alias("body"))
 
 
 def budget_hits(documents: DataFrame, plan_sections: DataFrame) -> DataFrame:
-    """(doc, heading, words, ratio, problem): planned sections that are missing, or whose words are under half or over twice the budget."""
-    have = documents.select("doc", F.explode(sections(F.col("text"))).alias("s")).select("doc", F.col("s.heading").alias("heading"), F.size(F.filter(F.split("s.body", r"\s+"), lambda w: w != "")).alias("words"))
-    have = have.groupBy("doc", "heading").agg(F.sum("words").alias("words"))
-    ratio = F.col("words") / F.col("budget_words")
-    out = plan_sections.join(have, ["doc", "heading"], "left").withColumn("ratio", ratio)
+    """(doc, heading, words, ratio, problem): planned sections that are missing, or whose words are under half or over twice a budget that they have."""
+    have = first_sections(documents).select("doc", "key", F.size(F.filter(F.split("body", r"\s+"), lambda w: w != "")).alias("words"))
+    ratio = F.col("words") / F.nullif(F.col("budget_words"), F.lit(0))
+    out = plan_sections.withColumn("key", F.lower("heading")).join(have, ["doc", "key"], "left").withColumn("ratio", ratio)
     return out.withColumn("problem", F.when(F.col("words").isNull(), "missing").when((ratio < 0.5) | (ratio > 2.0), "budget")).filter("problem is not null").select("doc", "heading", "words", "ratio", "problem")
 
 
 def thread_hits(documents: DataFrame, threads: DataFrame) -> DataFrame:
-    """(doc, marker, times, in_payoff) of threads (doc, marker, payoff) that do not come back: fewer than two times, or not in their payoff section."""
-    parts = documents.select("doc", F.explode(sections(F.col("text"))).alias("s")).groupBy("doc", F.col("s.heading").alias("payoff")).agg(F.array_join(F.collect_list("s.body"), "\n").alias("body"))
-    met = threads.join(documents, "doc").join(parts, ["doc", "payoff"], "left").withColumn("times", occurrences(F.col("text"), F.col("marker"))).withColumn("in_payoff", F.coalesce(F.contains("body", F.col("marker")), F.lit(False)))
-    return met.filter((F.col("times") < 2) | ~F.col("in_payoff")).select("doc", "marker", "times", "in_payoff")
-
-
-def digest(claims: DataFrame) -> DataFrame:
-    """(doc, digest): a line `[Cn] (support; evidence) text` for each claim in order."""
-    line = F.concat(F.lit("[C"), F.col("claim_no").cast("string"), F.lit("] ("), F.concat_ws("; ", "support_level", "evidence_grade"), F.lit(") "), "text")
-    return claims.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_no", line.alias("l")))), lambda x: x["l"]), "\n").alias("digest"))
+    """(doc, marker, times, problem) of threads (doc, marker, payoff) that do not come back: fewer than two times, or, in a document with sections, not in their payoff section. Case counts for nothing."""
+    mark = F.lower(strip(F.col("marker")))
+    parts = documents.select("doc", F.explode(sections(F.col("text"))).alias("s"))
+    bodies = parts.groupBy("doc", F.lower("s.heading").alias("key")).agg(F.array_join(F.collect_list(F.lower("s.body")), "\n").alias("body"))
+    sectioned = parts.select("doc", F.lit(True).alias("sectioned")).distinct()
+    met = threads.filter(~blank(F.col("marker"))).join(documents, "doc").withColumn("key", F.lower("payoff")).join(bodies, ["doc", "key"], "left").join(sectioned, "doc", "left")
+    met = met.withColumn("times", occurrences(F.lower("text"), mark))
+    unpaid = F.col("sectioned") & (F.coalesce("payoff", F.lit("")) != "") & ~F.coalesce(F.contains("body", mark), F.lit(False))
+    return met.withColumn("problem", F.when(F.col("times") < 2, "needs setup and payoff").when(unpaid, "not in its payoff section")).filter("problem is not null").select("doc", "marker", "times", "problem")
+
+
+def digest(claims: DataFrame, tensions: DataFrame) -> DataFrame:
+    """(doc, digest): each document's claims (claim_no, support_level, evidence_grade, text) and tensions (tension_no, text), in order."""
+
+    def listed(df: DataFrame, order: str, line: Column, name: str) -> DataFrame:
+        return df.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda x: F.concat(x["l"], F.lit("\n"))), "").alias(name))
+
+    claim = F.concat(F.lit("[C"), F.col("claim_no").cast("string"), F.lit("] (support: "), F.coalesce("support_level", F.lit("unknown")), F.lit("; evidence: "), F.coalesce("evidence_grade", F.lit("unknown")), F.lit(") "), "text")
+    tension = F.concat(F.lit("[T"), F.col("tension_no").cast("string"), F.lit("] "), "text")
+    both = listed(claims, "claim_no", claim, "c").join(listed(tensions, "tension_no", tension, "t"), "doc", "left")
+    return both.select("doc", F.concat(F.lit("## Corpus digest (full texts — not titles)\n\n### Claims\n\n"), "c", F.lit("\n### Tensions\n\n"), F.coalesce("t", F.lit("(none recorded)\n"))).alias("digest"))
 
 
 def mergeable(candidates: DataFrame, plan_sections: DataFrame) -> DataFrame:

@@ -82,8 +82,8 @@ def vectors_replaced(log: DataFrame, dimensions: int) -> DataFrame:
 
 
 def lookup_id() -> Column:
-    """The id by which a paper's signals are looked up: ARXIV:, else the S2 id, else the DOI."""
-    return F.when(F.col("source") == "arxiv", F.concat(F.lit("ARXIV:"), "arxiv_id")).otherwise(F.coalesce("s2_paper_id", F.concat(F.lit("DOI:"), "doi")))
+    """The id by which a paper's signals are looked up: the arXiv id of arXiv papers, else the S2 id."""
+    return F.when(F.col("source") == "arxiv", F.col("arxiv_id")).otherwise(F.col("s2_paper_id"))
 
 
 def backfill_targets(papers: DataFrame) -> DataFrame:
@@ -158,14 +158,14 @@ def seed_kind(seed: Column) -> Column:
 
 
 def bare_arxiv_id(text: Column) -> Column:
-    """An arXiv id without URL and version."""
-    return F.regexp_replace(F.regexp_replace(strip(text), r"^.*arxiv\.org/(abs|pdf)/", ""), r"(\.pdf)?$|v\d+(\.pdf)?$", "")
+    """An arXiv id without the abstract page's URL and the version."""
+    return F.regexp_replace(F.regexp_replace(text, r"^(https?://arxiv\.org/abs/)+", ""), r"v[0-9]+$", "")
 
 
 def api_id(paper_id: Column) -> Column:
-    """`S2:` stripped; arXiv-like ids as `ARXIV:` without their version."""
-    raw = F.regexp_replace(paper_id, r"(?i)^(s2|arxiv):", "")
-    return F.when(raw.rlike(r"^[0-9.]+(v\d+)?$"), F.concat(F.lit("ARXIV:"), F.regexp_replace(raw, r"v\d+$", ""))).otherwise(raw)
+    """`S2:` stripped; `ARXIV:` ids as they are; numbers with a dot as `ARXIV:` without their version; others as they are."""
+    base = F.regexp_replace(paper_id, r"v[0-9]+$", "")
+    return F.when(paper_id.startswith("S2:"), F.substring(paper_id, 4, 1 << 30)).when(paper_id.startswith("ARXIV:"), paper_id).when(base.rlike(r"^[0-9.]*\.[0-9.]*$"), F.concat(F.lit("ARXIV:"), base)).otherwise(paper_id)
 
 
 def fulltext_status(status: Column, chunks: Column, branch: Column) -> Column:

@@ -83,6 +83,12 @@ def gaps(claims: DataFrame, sources: DataFrame, counterarguments: DataFrame) ->
     return single.unionByName(agreed.select("claim_id", F.lit("no_counterargument").alias("kind")))
 
 
+def draft_gaps(agreements: Column, disagreements: Column, uncertainties: Column) -> Column:
+    """What a whole draft lacks, by its counts: disagreement, where agreements are over twice as many; uncertainties, where there are none."""
+    found = F.array(F.when(agreements > 2 * disagreements, F.lit("Check for additional areas of disagreement")), F.when(uncertainties == 0, F.lit("Identify uncertainties in the expert responses")))
+    return F.filter(found, lambda g: g.isNotNull())
+
+
 def resolved_sources(sources: DataFrame, retrieved: DataFrame) -> DataFrame:
     """sources, and all retrieved ids (claim_id, ord, source_id) for claims that have exactly one, without repeats."""
     single = sources.groupBy("claim_id").agg(F.count("*").alias("n")).filter("n = 1").select("claim_id")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
 from ..functions.vectors import cosine, similarity
 
 RRF_K, FLOOR, MEAN_FLOOR, MAX_SHARE, MIN_SOURCES, OVERFETCH = 60, 0.3, 0.48, 0.6, 3, 3
@@ -194,7 +195,8 @@ def subqueries(replies: DataFrame, most: int = 8) -> DataFrame:
     Bullets, numbers and quotes go; lines of more than 80 bytes or 8 words too; then equal ones
     but for case, and all after the eighth. A reply without any gives the question itself.
     """
-    line = F.regexp_replace(F.regexp_replace("line", r"^[\s\-*•\d.)]+", ""), r"""^["'`\s]+|["'`\s]+$""", "")
+    bare = F.regexp_replace(F.regexp_replace(strip(F.col("line")), r"^[-*•]+", ""), r"^[0-9.)]+", "")
+    line = F.regexp_replace(strip(bare), '^"+|"+$', "")
     lines = replies.select("query_id", F.posexplode(F.split("reply", "\n")).alias("ord", "line")).withColumn("text", line)
     good = lines.filter((F.col("text") != "") & (F.octet_length("text") <= 80) & (F.size(F.split("text", r"\s+")) <= 8))
     once = good.withColumn("r", F.row_number().over(Window.partitionBy("query_id", F.lower("text")).orderBy("ord"))).filter("r = 1")

@@ -131,6 +131,11 @@ def gap_candidates(t):
     return provenance.gaps(t("claims"), t("claim_sources"), t("claims").filter("claim_id % 10 = 0").select("claim_id"))
 
 
+@query("draft_gaps", " SELECT doc_id, list_filter([CASE WHEN doc_id % 7 > 2 * (doc_id % 3) THEN 'Check for additional areas of disagreement' END, CASE WHEN doc_id % 2 = 0 THEN 'Identify uncertainties in the expert responses' END], lambda g: g IS NOT NULL) AS gaps FROM documents")
+def draft_gaps(t):
+    return t("documents").select("doc_id", provenance.draft_gaps(F.col("doc_id") % 7, F.col("doc_id") % 3, F.col("doc_id") % 2).alias("gaps"))
+
+
 @query("heuristic_resolve", ", one AS (SELECT claim_id FROM claim_sources GROUP BY claim_id HAVING count(*) = 1) SELECT DISTINCT claim_id, source_id FROM (SELECT claim_id, source_id FROM claim_sources UNION ALL SELECT claim_id, concat('e', claim_id % 5) FROM one UNION ALL SELECT claim_id, 'r' FROM one)", "claim_sources")
 def heuristic_resolve(t):
     claims = t("claims").select("claim_id")

@@ -166,7 +166,7 @@ def vector_upsert(t):
     return corpus.vectors_replaced(log, 2).select("source_id", "seq")
 
 
-@query("backfill_targets", " SELECT paper_id, l AS lookup_id FROM (SELECT *, CASE WHEN source = 'arxiv' THEN concat('ARXIV:', arxiv_id) ELSE coalesce(s2_paper_id, 'DOI:' || doi) END AS l FROM papers) WHERE influential_count IS NULL AND l IS NOT NULL", "papers")
+@query("backfill_targets", " SELECT paper_id, l AS lookup_id FROM (SELECT *, CASE WHEN source = 'arxiv' THEN arxiv_id ELSE s2_paper_id END AS l FROM papers) WHERE influential_count IS NULL AND l IS NOT NULL", "papers")
 def backfill_targets(t):
     return corpus.backfill_targets(t("papers"))
 
@@ -228,7 +228,7 @@ def seed_id_classify(t):
 
 @query("id_resolution", " SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('ARXIV:2101.', 10000 + doc_id) WHEN 1 THEN concat('x', doc_id) ELSE concat('ARXIV:2101.', 10000 + doc_id) END AS api_id, concat('2101.', 10000 + doc_id) AS bare FROM documents")
 def id_resolution(t):
-    paper = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('arxiv:2101.', 10000 + doc_id, 'v3') WHEN 1 THEN concat('S2:x', doc_id) ELSE concat('2101.', 10000 + doc_id) END")
+    paper = F.expr("CASE doc_id % 3 WHEN 0 THEN concat('2101.', 10000 + doc_id, 'v3') WHEN 1 THEN concat('S2:x', doc_id) ELSE concat('ARXIV:2101.', 10000 + doc_id) END")
     return t("documents").select("doc_id", corpus.api_id(paper).alias("api_id"), corpus.bare_arxiv_id(F.expr("concat('http://arxiv.org/abs/2101.', 10000 + doc_id, 'v12')")).alias("bare"))
 
 
