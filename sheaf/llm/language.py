@@ -29,18 +29,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, mix, text_blocks
+from .arrays import BYTE_VALUES, mix, text_blocks, tidied
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 13
 WIDTH = 16
 MAX_TRAINING = 3000
-EPOCHS, BATCH, RATE, SEED = 6, 32, 0.5, 11
+EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE, SEED = 6, 800, 32, 0.5, 10, 11
 SHORT = 12
-KEEP, MAX_FLOOR = 0.999, 0.6
+KEEP, MAX_FLOOR = 0.999, 0.5
 
 #: Letters are ASCII letters and, for the bytes of a word, everything above ASCII.
 PART = np.zeros(256, np.uint8)
@@ -130,24 +131,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def stretch(text: str, key: int) -> str:
+    """1 to SHORT words of a text, chosen by the key."""
+    words = text.split()
+    n = 1 + key % SHORT
+    begin = (key >> 8) % max(1, len(words) - n + 1)
+    return " ".join(words[begin : begin + n])
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, calibrate, text) to (lang, calibrate, buckets, counts); a short stretch of each text is a second row."""
+    """(lang, calibrate, text) to (lang, calibrate, key, buckets, counts); a short stretch of each text is a second row. Nothing depends on the partitioning."""
     for batch in batches:
         texts = batch.column(2)
-        short = []
-        for i, t in enumerate(texts.to_pylist()):
-            words = (t or "").split()
-            n = 1 + (len(t or "") * 7 + i) % SHORT
-            begin = (len(t or "") * 31) % max(1, len(words) - n + 1)
-            short.append(" ".join(words[begin : begin + n]))
-        for column in (texts, pa.array(short, texts.type)):
+        keys = [xxhash.xxh64_intdigest(t, SEED) >> 2 for t in texts.to_pylist()]
+        short = pa.array([stretch(t, k) for t, k in zip(texts.to_pylist(), keys, strict=True)], texts.type)
+        for second, column in enumerate((texts, short)):
             rows = []
             for _, _, data, offsets in text_blocks(column):
                 buckets, at = grams(data, offsets)
                 rows += [np.unique(buckets[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
-                ["lang", "calibrate", "buckets", "counts"],
+                [batch.column(0), batch.column(1), pa.array([2 * k + second for k in keys], pa.int64()), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
+                ["lang", "calibrate", "key", "buckets", "counts"],
             )
 
 
@@ -158,12 +163,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_trainin
     limit = min(1.0, max_training / max(1, total))
     key = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 30))
     taken = rows.filter(key < int(limit * (1 << 30))).select("lang", (F.pmod(F.xxhash64(F.lit(SEED + 1), "text"), F.lit(5)) == 0).alias("calibrate"), "text")
-    got = taken.mapInArrow(counted, "lang string, calibrate boolean, buckets array<int>, counts array<float>").toArrow()
+    got = taken.mapInArrow(tidied(counted), "lang string, calibrate boolean, key long, buckets array<int>, counts array<float>").toArrow()
     got = got.filter(pc.greater(pc.list_value_length(got["buckets"]), 0))
     languages = sorted(set(got["lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
-    order = pc.sort_indices(pa.table({"a": got["lang"], "b": pc.list_value_length(got["buckets"]), "c": pc.list_element(got["buckets"], 0)}), sort_keys=[("a", "ascending"), ("b", "ascending"), ("c", "ascending")])
+    order = pc.sort_indices(got.select(["lang", "key"]), sort_keys=[("lang", "ascending"), ("key", "ascending")])
     got = got.take(order)
     y = np.array([languages.index(v) for v in got["lang"].to_pylist()])
     held = np.array(got["calibrate"].to_pylist())
@@ -189,9 +194,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_trainin
     weight = np.zeros((WIDTH, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     train = np.flatnonzero(~held)
-    steps = EPOCHS * -(-len(train) // BATCH)
-    done = 0
-    for _ in range(EPOCHS):
+    each = max(1, -(-len(train) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each)) if len(train) else 0
+    steps, done = epochs * each, 0
+    for _ in range(epochs):
         random.shuffle(train)
         for b in range(0, len(train), BATCH):
             rows_ = train[b : b + BATCH]
@@ -201,9 +207,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_trainin
             p = softmax((hidden @ weight + bias).astype(np.float64)).astype(np.float32)
             p[np.arange(len(rows_)), y[rows_]] -= 1
             g = p @ weight.T
-            weight -= rate * (hidden.T @ p)
+            g /= np.maximum(1, np.linalg.norm(g, axis=1, keepdims=True))  # short texts move few rows far
+            weight -= rate * (hidden.T @ p) / len(rows_)
             bias -= rate * p.mean(axis=0)
-            table[used] -= rate * 20 * (x.T @ g)
+            table[used] -= rate * TABLE_RATE * (x.T @ g)
             done += 1
     flat = (table @ weight).astype(np.float32)
     model = Model(languages, flat, bias.astype(np.float64), 1.0, 0.0)
@@ -235,7 +242,7 @@ def predictions(docs: DataFrame, model: Model, *columns: Column, text_column: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{kept}, lang_pred string, score double, rejected boolean")
+    return source.mapInArrow(tidied(run), f"{kept}, lang_pred string, score double, rejected boolean")
 
 
 def confident(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -247,7 +254,7 @@ def confident(docs: DataFrame, model: Model, text_column: str = "text") -> DataF
             rejected = model.predict(batch.column(place))[2]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
