@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUES, prefix_hash, span_hash, text_blocks, word_spans
+from .arrays import BYTE_VALUES, prefix_hash, span_hash, text_blocks, tidied, word_spans
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -228,9 +228,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_co
 
     schema = f"doc_id {kind}, n_words long, items array<string>, longest int, spans array<struct<begin:int,end:int>>"
     if len(blocks) == 1:
-        found = source.mapInArrow(scanned(blocks[0]), schema)
+        found = source.mapInArrow(tidied(scanned(blocks[0])), schema)
     else:
-        parts = [source.mapInArrow(scanned(b), schema) for b in blocks]
+        parts = [source.mapInArrow(tidied(scanned(b)), schema) for b in blocks]
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
@@ -293,7 +293,7 @@ def _cleaned(docs: DataFrame, automaton: Automaton, min_span: int, max_coverage:
                 batch = batch.set_column(place, batch.schema.field(place), pa.array(texts, column.type))
             yield batch if keep.all() else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import tidied
 from .spaces import checkpoint
 from .squeeze import squeezed
 
@@ -62,7 +63,7 @@ def shared_prints(docs: DataFrame, id_column: str, text_column: str) -> DataFram
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], pa.string())], ["doc_id", "fingerprint"])
 
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(printed, f"doc_id {kind.simpleString()}, fingerprint string")
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(printed), f"doc_id {kind.simpleString()}, fingerprint string")
     rows = checkpoint(rows)
     # checkpointed, for Spark splits a large group only between plain shuffles
     heads = checkpoint(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1"))
@@ -117,7 +118,7 @@ def ranged_pass(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     texts = squeezed(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")), "text").select("doc_id", F.lit(None).cast(kind).alias("head"), F.lit(False).alias("marks"), "text")
     marks = shared_prints(docs, id_column, text_column).select("doc_id", "head", F.lit(True).alias("marks"), F.lit(None).cast("binary").alias("text"))
     ranged = texts.unionByName(marks).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.desc("marks"), "text")
-    return checkpoint(ranged.mapInArrow(run, schema))
+    return checkpoint(ranged.mapInArrow(tidied(run), schema))
 
 
 def done(doc_id, text: str, own: str, following: str, other: str) -> tuple:
@@ -160,7 +161,7 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         for batch in batches:
             yield batch_of([done(*r.values()) for r in batch.to_pylist()], batch.schema.field(0).type)
 
-    closed = opened.mapInArrow(close, T.StructType([T.StructField(n, kind if t is None else t) for n, t in FIELDS]))
+    closed = opened.mapInArrow(tidied(close), T.StructType([T.StructField(n, kind if t is None else t) for n, t in FIELDS]))
     rows = kept.filter("role = 'done'").unionByName(closed).drop("part", "role", "edge")
     return rows.join(compared(kept), ["doc_id", "fingerprint"], "left").withColumns({"group_id": F.coalesce("group_id", "doc_id"), "copies": F.coalesce("copies", F.lit(1).cast("long"))})
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import MASK, mix, text_blocks
+from .arrays import MASK, mix, text_blocks, tidied
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 16
@@ -47,7 +47,7 @@ LITERAL_MARK = 0x110000
 LONG = 64
 NONE = np.int64(1) << 40
 #: Bytes of text whose segments are worked on together; the more, the more of them are alike.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 STEP = 1 << 16
 
 
@@ -367,7 +367,7 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
                 tokens = pc.if_else(pc.is_valid(column), tokens, pa.scalar(None, tokens.type))
             yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(encoded: DataFrame, model: str | None = None, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
@@ -380,7 +380,7 @@ def decode(encoded: DataFrame, model: str | None = None, tokens: str = "tokens",
             texts = decode_column(pieces(path), batch.column(place))
             yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, name])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+    return encoded.mapInArrow(tidied(run), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -398,7 +398,7 @@ def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: floa
                 same = pc.equal(back, pc.fill_null(part.column(1).cast(pa.large_string()), ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.list_value_length(tokens).cast(pa.int64()), tokens, same], ["doc_id", "n_tokens", "tokens", "lossless"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, tokens array<int>, lossless boolean")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, tokens array<int>, lossless boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

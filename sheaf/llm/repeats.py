@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import BYTE_VALUES, distinct_sorted, mix, prefix_hash, span_hash, text_blocks, window_choice, window_hash, word_spans
+from .arrays import BYTE_VALUES, distinct_sorted, mix, prefix_hash, span_hash, text_blocks, tidied, window_choice, window_hash, word_spans
 from .numbering import row_numbers
 from .spaces import checkpoint, release
 from .squeeze import squeezed, texts_of
@@ -43,7 +43,7 @@ from .squeeze import squeezed, texts_of
 BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
 #: Records that a map task gathers before it sends them.
-GATHER = 1 << 20
+GATHER = 1 << 19
 
 BLOB = "bucket int, settled boolean, old boolean, n int, head binary, tail binary, ids binary, places binary"
 CODES = "doc_id long, code long"
@@ -266,7 +266,7 @@ def anchor_blobs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
                 yield from gather.add(ids[first + row], place, head, tail)
         yield gather.flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, BLOB)
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), BLOB)
 
 
 def by_bucket(blobs: DataFrame, reducer: Callable[[pa.Table], pa.Table]) -> DataFrame:
@@ -291,7 +291,7 @@ def pair_blobs(pending: DataFrame, rule: Rule, buckets: int, old: bool = False)
                     yield from gather.add(ids[first + row], place, head, tail)
         yield gather.flush()
 
-    return pending.mapInArrow(run, BLOB)
+    return pending.mapInArrow(tidied(run), BLOB)
 
 
 def covered_units(rule: Rule, at: np.ndarray, settled: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -376,4 +376,4 @@ def finished(rows: DataFrame, rule: Rule, text_column: str, kept_columns: list[s
                     made = make(batch.slice(first, end - first), texts.slice(first, end - first), data, offsets, at, starts, ends, covered)
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in kept_columns), *made], [f.name for f in schema])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidied(run), schema)

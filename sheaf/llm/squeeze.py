@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .arrays import tidied
+
 
 def squeezed(docs: DataFrame, text_column: str) -> DataFrame:
     """docs with the text as compressed bytes, for shuffles."""
@@ -18,10 +20,10 @@ def squeezed(docs: DataFrame, text_column: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            small = pa.array([None if t is None else press.compress(t.encode()) for t in batch.column(place).to_pylist()], pa.binary())
+            small = pa.array([None if (t := x.as_py()) is None else press.compress(t.encode()) for x in batch.column(place)], pa.binary())
             yield pa.RecordBatch.from_arrays([small if i == place else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def texts_of(column: pa.Array) -> pa.Array:

@@ -38,6 +38,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import tidied
+
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 CHUNK = 1 << 20
@@ -259,7 +261,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(counted, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(tidied(counted), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
