@@ -274,8 +274,15 @@ def test_language_held_out(spark):
     assert out.filter("rejected and length(text) > 60").count() <= 2
 
 
+def test_language_fit_is_reproducible(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    a, b = language.fit(df.repartition(3, "n_chars")), language.fit(df.repartition(7))
+    assert np.isfinite(a.table).all() and (a.table == b.table).all() and (a.temperature, a.floor) == (b.temperature, b.floor)
+
+
 def test_language_edges(docs, texts, empty):
     model = language.fit(docs)
+    assert np.isfinite(model.table).all()
     out = by_id(language.predictions(docs, model, F.col("doc_id")))
     for i, t in enumerate(texts):
         letter = any(c.isalpha() for c in t or "")
