@@ -13,10 +13,13 @@ of the alignment is as wide as that threshold lets the alignment stray, so it is
 Texts with equal words are one text from the start, so copies are never compared. In a bucket
 of a sketch every text meets two leaders (the least key and the least hashed key), not every
 other text; those that match no leader of theirs meet new leaders among themselves in LATER
-further rounds. Classes are the connected components of the verified links, found by
-alternating large and small stars with checkpoints. Rows grow with texts times sketches, never
-with the square of a group; a bucket's leaders are pre-aggregated and its members joined to
-them, which Spark splits when a bucket is large.
+further rounds. That only saves comparisons: the members of a bucket that is still in more than
+one component, matched ones too, are the rest, and every pair of the rest that can reach the
+threshold is compared, but for pairs of one component. Such pairs come from an exact prefix
+filter: similar texts share one of their rarest labelled k-mers, see `rest_pairs`. Classes are the
+connected components of the verified links, found by alternating large and small stars with
+checkpoints. A bucket's leaders are pre-aggregated and its members joined to them, which Spark
+splits when a bucket is large.
 
 Defined results: texts without words (null, empty, white space) are classes of their own;
 texts of fewer words than a k-mer have one k-mer, all their words; repeated rows are copies;
@@ -38,10 +41,12 @@ from pyspark.sql import functions as F
 from .arrays import BYTE_VALUES, mix, prefix_hash, span_hash, text_blocks, tidied, word_spans
 from .repeats import keyed
 from .spaces import checkpoint, release
-from .squeeze import squeezed
+from .squeeze import squeezed, texts_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, LEAST, LATER = 10, 2, 1
+#: Counters of k-mers, by hash, for the order of the prefix filter; the order decides on work only, not on results.
+COUNTERS = 1 << 18
 SEPARATORS = b" \t\n\v\f\r"
 IS_WORD = np.ones(256, np.bool_)
 IS_WORD[list(SEPARATORS)] = False
@@ -58,18 +63,23 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
     return span_hash(words, begin, np.minimum(begin + k, np.repeat(at[1:], count))), to, span_hash(words, at[:-1], at[1:]), n
 
 
-def order_sketches(grams: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, least: int = LEAST) -> np.ndarray:
-    """A row of sketches for each document that has k-mers."""
-    sizes = np.diff(at)
-    heads = at[:-1][sizes > 0]
-    row = np.repeat(np.arange(len(sizes)), sizes)
+def labelled_kmers(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the k-mers with their occurrence in the document; a document has each once."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     same = grams ^ mix(row.astype(np.uint64) + np.uint64(1))
     order = np.argsort(same, kind="stable")
     new = np.concatenate(([True], same[order][1:] != same[order][:-1]))
     first = np.flatnonzero(new)
     occurrence = np.empty(len(grams), np.uint64)
     occurrence[order] = np.arange(len(grams)) - first[np.cumsum(new) - 1]
-    labelled = mix(grams + occurrence * np.uint64(0xA0761D6478BD642F))
+    return mix(grams + occurrence * np.uint64(0xA0761D6478BD642F))
+
+
+def order_sketches(grams: np.ndarray, at: np.ndarray, sketches: int = SKETCHES, least: int = LEAST) -> np.ndarray:
+    """A row of sketches for each document that has k-mers."""
+    sizes = np.diff(at)
+    heads = at[:-1][sizes > 0]
+    labelled = labelled_kmers(grams, at)
     bits = np.uint64(max(18, len(grams).bit_length()))
     low = (np.uint64(1) << bits) - np.uint64(1)
     place = np.arange(len(grams), dtype=np.uint64)
@@ -185,6 +195,58 @@ def shingles_of(z: bytes, unpack, shingle: int) -> np.ndarray:
     return shingles(data, np.array([0, len(data)]), shingle)[0]
 
 
+def rest_pairs(rest: DataFrame, content: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Pairs (leader, member) of different components in rest (_key, comp) that may be near-duplicates; none that is one is left out.
+
+    A similarity m / (a + b - m) of at least t needs t / (1 + t) * (a + b) common labelled k-mers,
+    and so of t * a. In any one order of all k-mers, two such texts share one of their first
+    a - t * a + 1 and b - t * b + 1 k-mers, and after the first shared one enough are left in both.
+    The order is from rare to common k-mers.
+    """
+    spark = rest.sparkSession
+    texts = checkpoint(content.join(rest, "_key").select("_key", "comp", "_text"))
+
+    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for first, end, data, offsets in text_blocks(texts_of(batch.column(2))):
+            grams, at, _, _ = shingles(data, offsets, shingle)
+            yield first, end, labelled_kmers(grams, at), at
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for _, _, kmers, _ in blocks(batch):
+                seen += np.bincount((kmers % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
+
+    counted = texts.mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(COUNTERS, np.int64)
+    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.minimum(frequency, (1 << 32) - 1).astype(np.uint32))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, kmers, at in blocks(batch):
+                sizes = np.diff(at)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((kmers, shared.value[(kmers % np.uint64(COUNTERS)).astype(np.int64)], row))
+                place = np.arange(len(kmers)) - np.repeat(at[:-1], sizes)
+                kept = place < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
+                whose = pa.array(first + row[kept])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kmers[order][kept].view(np.int64)), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(sizes[row[kept]].astype(np.int64)), pa.array((sizes[row[kept]] - place[kept]).astype(np.int64))],
+                    ["kmer", "_key", "comp", "size", "left"],
+                )
+
+    found = checkpoint(texts.mapInArrow(tidied(prefixes), "kmer long, _key long, comp long, size long, left long"))
+    mixed = checkpoint(found.groupBy("kmer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("kmer"))
+    found = checkpoint(found.join(mixed, "kmer"))
+    a, b = (found.select("kmer", *[F.col(c).alias(f"{c}_{s}") for c in ("_key", "comp", "size", "left")]) for s in "ab")
+    needed = F.ceil(F.lit(threshold) * (F.col("size_a") + F.col("size_b")) / F.lit(1 + threshold) - 1e-9)
+    met = a.join(b, "kmer").filter("_key_a < _key_b and comp_a <> comp_b").filter(F.least("left_a", "left_b") >= needed)
+    return met.select(F.col("_key_a").alias("leader"), F.col("_key_b").alias("member")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (u, v): alternating large and small stars, each round checkpointed."""
     edges = checkpoint(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
@@ -212,7 +274,7 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     texts = checkpoint(texts)
     members = texts.filter("_key = _head").select("_key", F.posexplode("_sketches").alias("band", "sketch"))
     mixed = F.struct(F.xxhash64("_key").alias("h"), "_key")
-    open_, links, content = members, None, None
+    open_, links, content, buckets, compared = members, None, None, None, None
     for round_ in range(later + 1):
         leaders = checkpoint(open_.groupBy("band", "sketch").agg(F.min("_key").alias("l1"), F.min(mixed)["_key"].alias("l2"), F.count("*").alias("n")).filter("n > 1").drop("n"))
         met = checkpoint(open_.join(leaders, ["band", "sketch"]))
@@ -221,9 +283,11 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         pairs = met.select("_key", F.explode(F.array("l1", "l2")).alias("leader")).filter("_key <> leader").select(F.greatest("leader", "_key").alias("member"), F.least("leader", "_key").alias("leader")).distinct()
         if content is None:
             wanted = met.select("_key").distinct()
+            buckets = met
             content = checkpoint(squeezed(docs.select("_key", F.col(text_column).alias("_text")), "_text").join(wanted, "_key"))
             release(spark)
         judged = checkpoint(verified(pairs, content, shingle, threshold))
+        compared = judged if compared is None else compared.unionByName(judged)
         found = judged.filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v"))
         links = found if links is None else links.unionByName(found)
         if round_ == later:
@@ -237,6 +301,16 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     placed = texts.select("_key", "_head")
     if links is not None:
         roots = components(links)
+        # the rest: buckets of more than one component in which the leaders' pairs are not all pairs
+        placed_in = checkpoint(buckets.join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("comp", F.coalesce("root", "_key")).select("_key", "comp", "band", "sketch", F.expr("IF(l1 <> l2, 3, 2)").alias("all_met")))
+        split = checkpoint(placed_in.groupBy("band", "sketch").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("all_met").alias("all_met")).filter("lo < hi and n > all_met").select("band", "sketch"))
+        rest = checkpoint(placed_in.join(split, ["band", "sketch"]).select("_key", "comp").distinct())
+        if rest.limit(1).count():
+            pairs = checkpoint(rest_pairs(rest, content, shingle, threshold).join(compared.select("leader", "member"), ["leader", "member"], "left_anti"))
+            release(spark)
+            found = checkpoint(verified(pairs, content, shingle, threshold).filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v")))
+            if found.limit(1).count():
+                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
         placed = placed.join(roots, placed["_head"] == roots["node"], "left").select("_key", F.coalesce("root", "_head").alias("_class"))
     else:
         placed = placed.select("_key", F.col("_head").alias("_class"))

@@ -174,6 +174,26 @@ def test_near_fixture(spark):
     assert {k: r["class_id"] for k, r in by_id(near.query(spark, DATA)).items()} == brute_classes(pairs)
 
 
+def test_near_rest_of_a_bucket(spark):
+    """Version chains of many clusters that share boilerplate: all similar pairs of a bucket are in one class."""
+    boilerplate = [f"license{i}" for i in range(30)]
+    texts = []
+    for c in range(30):
+        own = [f"c{c}w{i}" for i in range(20)]
+        for at in (None, 2, 7, 12, 17):
+            if at is not None:
+                own = [*own[:at], f"c{c}edit{at}", *own[at + 1 :]]
+            texts.append(" ".join(boilerplate + own))
+    blob = np.frombuffer("".join(texts).encode(), np.uint8)
+    grams, at, _, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
+    sketch = near.order_sketches(grams, at, 1)[:, 0]
+    similar = [(a, b) for b in range(len(texts)) for a in range(b) if sketch[a] == sketch[b] and near.similarity(grams[at[a] : at[a + 1]], grams[at[b] : at[b + 1]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["_key"]: r["_class"] for r in near.classes(docs, sketches=1)[1].collect()}
+    assert len(similar) > 10 and [p for p in similar if got[p[0]] != got[p[1]]] == []
+    assert all(c // 5 == k // 5 for k, c in got.items())
+
+
 def test_near_repeated_ids(spark, empty):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here now"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(r["class_size"] for r in near.near_classes(df).collect()) == [1, 1, 3, 3, 3]
