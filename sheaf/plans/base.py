@@ -57,6 +57,30 @@ def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
 
 
+#: Words of the runs by which quotes find their documents.
+RUN = 5
+
+
+def all_quotes(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """As the base `quotes`, but of all documents that contain an item's text, whatever their ids.
+
+    An item's words but the first and the last are whole words of such a document, so that the
+    second to the sixth are one of the document's runs; items of fewer than seven words have no
+    such run and are looked for in every document.
+    """
+    cut = lambda column: F.split(column, r"\s+", -1)
+    b = items.select(F.col("item_id").alias("quote_id"), F.col("text").alias("item")).withColumn("words", cut(F.col("item")))
+    d = documents.select(F.col("doc_id").alias("source_id"), "text")
+    long = b.filter(F.size("words") >= RUN + 2).select("quote_id", F.array_join(F.slice("words", 2, RUN), " ").alias("run"))
+    runs = F.expr(f"array_distinct(transform(sequence(1, size(words) - {RUN - 1}), i -> array_join(slice(words, i, {RUN}), ' ')))")
+    by_run = d.withColumn("words", cut(F.col("text"))).filter(F.size("words") >= RUN).select("source_id", F.explode(runs).alias("run"))
+    ids = by_run.join(long, "run").select(F.col("source_id").alias("s"), F.col("quote_id").alias("q")).distinct()
+    with_text = ids.join(d, F.col("s").eqNullSafe(F.col("source_id"))).join(b.filter(F.size("words") >= RUN + 2).drop("words"), F.col("q").eqNullSafe(F.col("quote_id"))).drop("s", "q")
+    met = with_text.unionByName(d.join(b.filter(F.size("words") < RUN + 2).drop("words"), F.contains("text", "item")))
+    quote = F.expr("CASE WHEN quote_id % 3 = 0 THEN upper(item) WHEN quote_id % 3 = 1 THEN concat(' ', item, ' ') ELSE concat(item, ' x') END")
+    return met.filter(F.contains("text", "item")).select("quote_id", "source_id", quote.alias("quote"), "text")
+
+
 def ctes(*names: str) -> str:
     """The same bases as common table expressions for DuckDB."""
     return ", ".join(f"{n} AS ({BASES[n].format(**{t: t for t in TABLES})})" for n in names)

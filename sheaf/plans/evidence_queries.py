@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
 from ..operators import fitness, graph, provenance
-from .base import query
+from .base import all_quotes, query
 
 REPLY = "CASE doc_id % 8 WHEN 0 THEN concat('<fitness_evaluation><score> ', doc_id % 9, ' </score><rationale>ok</rationale></fitness_evaluation>') WHEN 1 THEN concat('score is ', 1 + doc_id % 5, ' of many') WHEN 2 THEN '  ' WHEN 3 THEN 'no digits at all, 77' WHEN 4 THEN concat('<score>about ', 1 + doc_id % 5, '</score>') WHEN 5 THEN concat('<score>', doc_id, '</score> trailing <b>') WHEN 6 THEN concat(repeat('x ', 110), ' 3') ELSE concat('a4b ', 1 + doc_id % 5) END"
 SCORED = "CASE doc_id % 8 WHEN 0 THEN greatest(1, least(5, doc_id % 9)) WHEN 1 THEN 1 + doc_id % 5 WHEN 4 THEN 1 + doc_id % 5 WHEN 5 THEN greatest(1, least(5, doc_id)) WHEN 7 THEN 1 + doc_id % 5 END"
@@ -173,7 +173,7 @@ def quote_snap(t):
 @query("snap_verified", None)
 def snap_verified(t):
     texts = t("documents").select(F.col("doc_id").alias("source_id"), "text")
-    return provenance.quotes_resolved(t("quotes").select("quote_id", "source_id", "quote"), texts).select("quote_id", "source_id", "status", "snapped")
+    return provenance.quotes_resolved(all_quotes(t("benchmark"), t("documents")).select("quote_id", "source_id", "quote"), texts).select("quote_id", "source_id", "status", "snapped")
 
 
 REFS = ", n1 AS (SELECT node_id, arg_min(expert_id, node_ord * 10 + graph_ord) AS e, arg_min(CASE WHEN node_ord % 2 = 0 THEN 'verified' ELSE 'absent' END, node_ord * 10 + graph_ord) AS st, arg_min(concat('q', node_ord), node_ord * 10 + graph_ord) AS q FROM nodes GROUP BY node_id)"
@@ -231,7 +231,7 @@ def reply_elements(t):
 
 @query("graph_evidence", None)
 def graph_evidence(t):
-    nodes = t("quotes").select(F.col("source_id").alias("expert_id"), F.col("quote_id").alias("node_ord"), F.col("quote"), F.lit("verified").alias("status"))
+    nodes = all_quotes(t("benchmark"), t("documents")).select(F.col("source_id").alias("expert_id"), F.col("quote_id").alias("node_ord"), F.col("quote"), F.lit("verified").alias("status"))
     texts = t("documents").select(F.col("doc_id").alias("source_id"), F.concat(F.lit("## head\n"), "text").alias("text"))
     tiers = t("documents").select(F.col("doc_id").alias("source_id"), F.lit("High").alias("tier"))
     return graph.evidence(nodes, texts, tiers).select("source_id", F.size("quotes").alias("n_quotes"), F.size("sections").alias("n_sections"), "tier")

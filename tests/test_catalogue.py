@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sheaf.plans import catalogue
-from sheaf.plans.base import TABLES
+from sheaf.plans.base import TABLES, all_quotes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -47,3 +47,18 @@ def test_rows(spark, name):
 
 def test_flagship(spark):
     assert catalogue.flagship(spark, DATA).count() > 0
+
+
+def test_all_quotes(spark, duck):
+    pairs = sorted(duck.execute("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)").fetchall())
+    items, docs = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("benchmark", "documents"))
+    assert pairs and sorted((r["quote_id"], r["source_id"]) for r in all_quotes(items, docs).collect()) == pairs
+    found = catalogue.QUERIES["snap_verified"](spark, DATA).select("quote_id", "source_id").collect()
+    assert sorted(map(tuple, found)) == pairs
+    assert {r["source_id"] for r in catalogue.QUERIES["graph_evidence"](spark, DATA).filter("n_quotes > 0").collect()} == {d for _, d in pairs}
+
+
+def test_all_quotes_at_word_borders(spark):
+    items = spark.createDataFrame([(1, "ne two three four five six sev"), (2, "short"), (3, "one two three four five six  seven"), (4, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "one two three four five six seven"), (8, "a shorter text"), (9, None)], "doc_id long, text string")
+    assert sorted((r["quote_id"], r["source_id"]) for r in all_quotes(items, docs).collect()) == [(1, 7), (2, 8)]
