@@ -4,8 +4,8 @@ A merge-type (BPE) SentencePiece model is applied by its agenda: of all adjacent
 concatenation is a piece, the one with the best score merges, the leftmost first. Before that
 a keyed hash of the candidate's place decides whether it is skipped, with probability
 DROPOUT; a skipped candidate never merges, later ones over the same characters are candidates
-of their own. The key is made of the seed and the ordinal of the segment in its text (VARIANTS
-keys), so that a word is cut differently at different places, and a text always alike.
+of their own. The key is made of the seed, the text's hash and the ordinal of the segment in it, so
+that each occurrence of a word has decisions of its own, and a text is always cut alike.
 
 Segments (spaces with what follows them) never merge with each other in such a vocabulary, so
 the agendas of all distinct (segment, key) pairs of a block run in step with numpy, one merge
@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import MASK, mix, text_blocks, tidied
+from .arrays import BYTE_VALUES, MASK, mix, prefix_hash, span_hash, text_blocks, tidied
 
 MODEL = "piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 16
+DROPOUT, SEED = 0.1, 17
 #: The mark of a space in pieces.
 MARK = 0x2581
 LITERAL_MARK = 0x110000
@@ -245,7 +245,7 @@ def one_agenda(model: Pieces, symbols: np.ndarray, key: np.uint64, base: int, dr
     return np.array([s for s, a in zip(sym, alive, strict=True) if a], np.int32)
 
 
-def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(token ids, offsets of the documents) of a block of texts."""
     docs = len(offsets) - 1
     codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -270,7 +270,10 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     of_doc = np.searchsorted(bounds, starts, side="right") - 1
     first = np.searchsorted(starts, bounds)
     ordinal = np.arange(len(starts)) - first[of_doc]
-    variant = mix(ordinal.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & MASK)) % np.uint64(variants) if dropout > 0 else np.zeros(len(starts), np.uint64)
+    variant = np.zeros(len(starts), np.uint64)
+    if dropout > 0:
+        whose = span_hash(prefix_hash(BYTE_VALUES[data]), offsets[:-1], offsets[1:])
+        variant = mix(whose[of_doc] ^ mix(ordinal.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & MASK)))
     keys = mix(variant + np.uint64(seed * 0xD1B54A32D192ED03 & MASK))
     # distinct segments by two independent sums of hashed characters; their lengths count too
     value = mix(marked.astype(np.uint64) + np.uint64(1))
@@ -334,11 +337,11 @@ def decode_block(model: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.nda
     return data[keep], offsets - np.concatenate(([0], np.cumsum(some)))
 
 
-def encode_column(model: Pieces, column: pa.Array, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> pa.ListArray:
+def encode_column(model: Pieces, column: pa.Array, dropout: float = DROPOUT, seed: int = SEED) -> pa.ListArray:
     """Token ids of each text of an Arrow column; null texts have none."""
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
     for _, _, data, offsets in text_blocks(column, TOGETHER):
-        i, at = encode_block(model, data, offsets, dropout, seed, variants)
+        i, at = encode_block(model, data, offsets, dropout, seed)
         ids.append(i)
         sizes.append(np.diff(at))
     return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))

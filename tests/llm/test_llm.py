@@ -526,6 +526,20 @@ def test_pieces_heap(model, texts, monkeypatch):
     assert pieces.encode_column(model, column, 0.3).to_pylist() == want
 
 
+def test_dropout_by_document(model):
+    """The first word of many texts is cut in many ways, and each of its merges is skipped somewhere."""
+    word, n = "internationally", 2000
+    got = pieces.encode_column(model, pa.array([f"{word} {i}" for i in range(n)]), 0.1).to_pylist()
+    first = []
+    for ids in got:
+        k = next(k for k in range(1, len(ids) + 1) if len(pieces.decode_column(model, pa.array([ids[:k]], pa.list_(pa.int32()))).to_pylist()[0]) >= len(word))
+        first.append(tuple(ids[:k]))
+    assert len(set(first)) > 30
+
+    plain = pieces.encode_column(model, pa.array([word]), 0.0).to_pylist()[0]
+    assert 0.05 < sum(list(f) == plain for f in first) / n < 0.95
+
+
 def test_pieces_vary(model):
     t = "international " * 60
     ids = pieces.encode_column(model, pa.array([t]), 0.3).to_pylist()[0]
