@@ -12,11 +12,11 @@ of the alignment is as wide as that threshold lets the alignment stray, so it is
 
 Texts with equal words are one text from the start, so copies are never compared. In a bucket
 of a sketch every text meets two leaders (the least key and the least hashed key), not every
-other text; those that match no leader of theirs meet new leaders among themselves in LATER
-further rounds. That only saves comparisons: the members of a bucket that is still in more than
-one component, matched ones too, are the rest, and every pair of the rest that can reach the
+other text. That only saves comparisons: the members of a bucket that is still in more than one
+component, matched ones too, are the rest, and every pair of the rest that can reach the
 threshold is compared, but for pairs of one component. Such pairs come from an exact prefix
-filter: similar texts share one of their rarest labelled k-mers, see `rest_pairs`. Classes are the
+filter: similar texts share one of their rarest labelled k-mers, at places that leave enough
+k-mers after it for texts of their sizes, see `rest_pairs`. Classes are the
 connected components of the verified links, found by alternating large and small stars with
 checkpoints. A bucket's leaders are pre-aggregated and its members joined to them, which Spark
 splits when a bucket is large.
@@ -24,6 +24,7 @@ splits when a bucket is large.
 Defined results: texts without words (null, empty, white space) are classes of their own;
 texts of fewer words than a k-mer have one k-mer, all their words; repeated rows are copies;
 equal or null doc_ids are told apart by their texts; an empty table gives an empty result;
+columns may have any names, also those that are made here;
 other columns are ignored by `classes` and kept by `deduplicated`.
 """
 
@@ -35,16 +36,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_VALUES, mix, prefix_hash, span_hash, text_blocks, tidied, word_spans
-from .repeats import keyed
+from .columns import box, boxed
+from .repeats import keyed, unique_ids
 from .spaces import checkpoint, release
 from .squeeze import squeezed, texts_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, LEAST, LATER = 10, 2, 1
+SKETCHES, LEAST = 10, 2
+#: Ratio of neighbouring size classes in the join of the rest; it decides on work only.
+SIZE_STEP = 1.05
 #: Counters of k-mers, by hash, for the order of the prefix filter; the order decides on work only, not on results.
 COUNTERS = 1 << 18
 SEPARATORS = b" \t\n\v\f\r"
@@ -200,8 +204,14 @@ def rest_pairs(rest: DataFrame, content: DataFrame, shingle: int, threshold: flo
 
     A similarity m / (a + b - m) of at least t needs t / (1 + t) * (a + b) common labelled k-mers,
     and so of t * a. In any one order of all k-mers, two such texts share one of their first
-    a - t * a + 1 and b - t * b + 1 k-mers, and after the first shared one enough are left in both.
-    The order is from rare to common k-mers.
+    a - t * a + 1 and b - t * b + 1 k-mers, and after the first shared one enough are left in both:
+    with `left` k-mers from there on, a text of a k-mers has no partner of more than
+    left * (1 + t) / t - a. The order is from rare to common k-mers, so that boilerplate comes
+    last, where too few are left for most.
+
+    The smaller text of a pair looks for larger ones in the size classes that its bound allows.
+    Of each k-mer the component with most texts is told apart, and its texts only meet those of
+    others, so the join looks at no more than a few times the pairs of different components.
     """
     spark = rest.sparkSession
     texts = checkpoint(content.join(rest, "_key").select("_key", "comp", "_text"))
@@ -232,19 +242,26 @@ def rest_pairs(rest: DataFrame, content: DataFrame, shingle: int, threshold: flo
                 order = np.lexsort((kmers, shared.value[(kmers % np.uint64(COUNTERS)).astype(np.int64)], row))
                 place = np.arange(len(kmers)) - np.repeat(at[:-1], sizes)
                 kept = place < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
-                whose = pa.array(first + row[kept])
+                whose, size = pa.array(first + row[kept]), sizes[row[kept]]
+                most = np.floor((size - place[kept]) * (1 + threshold) / threshold - size + 1e-9)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(kmers[order][kept].view(np.int64)), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(sizes[row[kept]].astype(np.int64)), pa.array((sizes[row[kept]] - place[kept]).astype(np.int64))],
-                    ["kmer", "_key", "comp", "size", "left"],
+                    [pa.array(kmers[order][kept].view(np.int64)), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(size.astype(np.int64)), pa.array(most.astype(np.int64))],
+                    ["kmer", "_key", "comp", "size", "most"],
                 )
 
-    found = checkpoint(texts.mapInArrow(tidied(prefixes), "kmer long, _key long, comp long, size long, left long"))
-    mixed = checkpoint(found.groupBy("kmer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("kmer"))
-    found = checkpoint(found.join(mixed, "kmer"))
-    a, b = (found.select("kmer", *[F.col(c).alias(f"{c}_{s}") for c in ("_key", "comp", "size", "left")]) for s in "ab")
-    needed = F.ceil(F.lit(threshold) * (F.col("size_a") + F.col("size_b")) / F.lit(1 + threshold) - 1e-9)
-    met = a.join(b, "kmer").filter("_key_a < _key_b and comp_a <> comp_b").filter(F.least("left_a", "left_b") >= needed)
-    return met.select(F.col("_key_a").alias("leader"), F.col("_key_b").alias("member")).distinct()
+    found = checkpoint(texts.mapInArrow(tidied(prefixes), "kmer long, _key long, comp long, size long, most long"))
+    of_comp = found.groupBy("kmer", "comp").agg(F.count("*").alias("n"))
+    mixed = checkpoint(of_comp.groupBy("kmer").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").drop("comps"))
+    found = checkpoint(found.join(mixed, "kmer").select("kmer", "_key", "comp", "size", "most", (F.col("comp") == F.col("major")).alias("major")))
+
+    def level(c: str) -> Column:
+        return F.floor(F.log(c) / F.log(F.lit(SIZE_STEP)))
+
+    larger = found.select("kmer", level("size").alias("level"), F.col("major").alias("to"), *[F.col(c).alias(f"{c}_b") for c in ("_key", "comp", "size", "most")])
+    smaller = found.filter("most >= size").select("kmer", F.explode(F.sequence(level("size"), level("most"))).alias("level"), "major", *[F.col(c).alias(f"{c}_a") for c in ("_key", "comp", "size", "most")])
+    smaller = smaller.select("*", F.explode(F.when(F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to")).drop("major")
+    met = smaller.join(larger, ["kmer", "level", "to"]).filter("(size_a < size_b or size_a = size_b and _key_a < _key_b) and size_b <= most_a and size_a <= most_b and comp_a <> comp_b")
+    return met.select(F.least("_key_a", "_key_b").alias("leader"), F.greatest("_key_a", "_key_b").alias("member")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,76 +279,71 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpoint(large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u > v").distinct())
 
 
-def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, sketches: int = SKETCHES, later: int = LATER) -> DataFrame:
-    """_key, _class (the least key of its class), and other columns of every document."""
+def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD, sketches: int = SKETCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxed docs with `_key`; _key, _head and _class of every document; the links (u, v).
+
+    _head is the least key of the documents of equal words, _class the least key of its class;
+    links are the verified pairs of different heads.
+    """
     spark = docs.sparkSession
+    text_column, id_column, docs = box(docs, text_column), box(docs, id_column), boxed(docs)
     docs = keyed(docs, id_column, text_column)
     rows = checkpoint(sketched(docs, text_column, shingle, sketches))
     # texts of equal words: one representative
     # aggregates that large groups are joined with are checkpointed, for Spark splits such a group only between plain shuffles
     heads = checkpoint(rows.filter("_words > 0").groupBy("_digest", "_other", "_words").agg(F.min("_key").alias("_head")))
-    texts = rows.join(heads, (rows["_digest"] == heads["_digest"]) & (rows["_other"] == heads["_other"]) & (rows["_words"] == heads["_words"])).select("_key", "_head", "_sketches")
-    texts = checkpoint(texts)
+    texts = checkpoint(rows.join(heads, ["_digest", "_other", "_words"]).select("_key", "_head", "_sketches"))
     members = texts.filter("_key = _head").select("_key", F.posexplode("_sketches").alias("band", "sketch"))
     mixed = F.struct(F.xxhash64("_key").alias("h"), "_key")
-    open_, links, content, buckets, compared = members, None, None, None, None
-    for round_ in range(later + 1):
-        leaders = checkpoint(open_.groupBy("band", "sketch").agg(F.min("_key").alias("l1"), F.min(mixed)["_key"].alias("l2"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-        met = checkpoint(open_.join(leaders, ["band", "sketch"]))
-        if not met.limit(1).count():
-            break
-        pairs = met.select("_key", F.explode(F.array("l1", "l2")).alias("leader")).filter("_key <> leader").select(F.greatest("leader", "_key").alias("member"), F.least("leader", "_key").alias("leader")).distinct()
-        if content is None:
-            wanted = met.select("_key").distinct()
-            buckets = met
-            content = checkpoint(squeezed(docs.select("_key", F.col(text_column).alias("_text")), "_text").join(wanted, "_key"))
-            release(spark)
-        judged = checkpoint(verified(pairs, content, shingle, threshold))
-        compared = judged if compared is None else compared.unionByName(judged)
-        found = judged.filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        if round_ == later:
-            break
-        linked = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # members that matched neither leader of a bucket
-        known = linked.select(F.col("u").alias("_key"), F.col("v").alias("other"), F.lit(True).alias("hit"))
-        first = known.select("_key", F.col("other").alias("l1"), F.col("hit").alias("hit1"))
-        second = known.select("_key", F.col("other").alias("l2"), F.col("hit").alias("hit2"))
-        open_ = met.filter("_key <> l1 and _key <> l2").join(first, ["_key", "l1"], "left").join(second, ["_key", "l2"], "left").filter("hit1 is null and hit2 is null").select("_key", "band", "sketch")
-    placed = texts.select("_key", "_head")
-    if links is not None:
-        roots = components(links)
-        # the rest: buckets of more than one component in which the leaders' pairs are not all pairs
-        placed_in = checkpoint(buckets.join(roots.withColumnRenamed("node", "_key"), "_key", "left").withColumn("comp", F.coalesce("root", "_key")).select("_key", "comp", "band", "sketch", F.expr("IF(l1 <> l2, 3, 2)").alias("all_met")))
-        split = checkpoint(placed_in.groupBy("band", "sketch").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("all_met").alias("all_met")).filter("lo < hi and n > all_met").select("band", "sketch"))
-        rest = checkpoint(placed_in.join(split, ["band", "sketch"]).select("_key", "comp").distinct())
-        if rest.limit(1).count():
-            pairs = checkpoint(rest_pairs(rest, content, shingle, threshold).join(compared.select("leader", "member"), ["leader", "member"], "left_anti"))
-            release(spark)
-            found = checkpoint(verified(pairs, content, shingle, threshold).filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v")))
-            if found.limit(1).count():
-                roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
-        placed = placed.join(roots, placed["_head"] == roots["node"], "left").select("_key", F.coalesce("root", "_head").alias("_class"))
-    else:
-        placed = placed.select("_key", F.col("_head").alias("_class"))
-    return docs, rows.select("_key").join(placed, "_key", "left").select("_key", F.coalesce("_class", "_key").alias("_class"))
+    leaders = checkpoint(members.groupBy("band", "sketch").agg(F.min("_key").alias("l1"), F.min(mixed)["_key"].alias("l2"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    met = checkpoint(members.join(leaders, ["band", "sketch"]))
+    pairs = met.select("_key", F.explode(F.array("l1", "l2")).alias("leader")).filter("_key <> leader").select(F.greatest("leader", "_key").alias("member"), F.least("leader", "_key").alias("leader")).distinct()
+    content = checkpoint(squeezed(docs.select("_key", F.col(text_column).alias("_text")), "_text").join(met.select("_key").distinct(), "_key"))
+    release(spark)
+    judged = checkpoint(verified(pairs, content, shingle, threshold))
+    links = judged.filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v"))
+    roots = components(links)
+    # the rest: buckets of more than one component in which the leaders' pairs are not all pairs
+    placed_in = checkpoint(met.join(roots.withColumnRenamed("node", "_key"), "_key", "left").select("_key", F.coalesce("root", "_key").alias("comp"), "band", "sketch", F.expr("IF(l1 <> l2, 3, 2)").alias("all_met")))
+    split = checkpoint(placed_in.groupBy("band", "sketch").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("all_met").alias("all_met")).filter("lo < hi and n > all_met").select("band", "sketch"))
+    rest = checkpoint(placed_in.join(split, ["band", "sketch"]).select("_key", "comp").distinct())
+    if rest.limit(1).count():
+        pairs = checkpoint(rest_pairs(rest, content, shingle, threshold).join(judged.select("leader", "member"), ["leader", "member"], "left_anti"))
+        release(spark)
+        found = checkpoint(verified(pairs, content, shingle, threshold).filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v")))
+        links = links.unionByName(found)
+        if found.limit(1).count():
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+    named = texts.select("_key", "_head").join(roots, F.col("_head") == roots["node"], "left").select("_key", "_head", F.coalesce("root", "_head").alias("_class"))
+    placed = rows.select("_key").join(named, "_key", "left").select("_key", F.coalesce("_head", "_key").alias("_head"), F.coalesce("_class", "_key").alias("_class"))
+    return docs, placed, links
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_size and kept (it is that document) of every document."""
-    with_keys, placed = classes(docs, id_column, text_column)
+    """doc_id, class_id (the least doc_id of its class), class_size, n_links and kept (it is the class's first) of every document.
+
+    n_links counts the verified links of the document's text with different texts, one for each
+    text, however many copies there are; pairs of one class that were not compared don't count.
+    """
+    with_keys, placed, links = classes(docs, id_column, text_column)
     placed = checkpoint(placed)
     sizes = checkpoint(placed.groupBy("_class").agg(F.count("*").alias("class_size")))
-    out = placed.join(sizes, "_class").select("_key", "_class", "class_size")
+    degrees = checkpoint(links.select(F.explode(F.array("u", "v")).alias("_head")).groupBy("_head").agg(F.count("*").alias("n_links")))
+    out = placed.join(sizes, "_class").join(degrees, "_head", "left").select("_key", "_class", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    kept = (F.col("_key") == F.col("_class")).alias("kept")
+    id_column = box(docs, id_column)
+    if unique_ids(with_keys, id_column):
+        kind = with_keys.schema[id_column].dataType
+        return out.select(F.col("_key").cast(kind).alias("doc_id"), F.col("_class").cast(kind).alias("class_id"), "class_size", "n_links", kept)
     names = with_keys.select("_key", F.col(id_column).alias("doc_id"))
-    return out.join(names, "_key").join(names.select(F.col("_key").alias("_class"), F.col("doc_id").alias("class_id")), "_class").select("doc_id", "class_id", "class_size", (F.col("_key") == F.col("_class")).alias("kept"))
+    return out.join(names, "_key").join(names.select(F.col("_key").alias("_class"), F.col("doc_id").alias("class_id")), "_class").select("doc_id", "class_id", "class_size", "n_links", kept)
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, all their columns, with the first document of each class only."""
-    with_keys, placed = classes(docs, id_column, text_column)
+    with_keys, placed, _ = classes(docs, id_column, text_column)
     gone = checkpoint(placed.filter("_key <> _class").select("_key"))
-    return with_keys.join(gone, "_key", "left_anti").select(*docs.columns)
+    return with_keys.join(gone, "_key", "left_anti").drop("_key").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,15 +322,21 @@ def list_parts(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(sizes))), column.flatten().to_numpy(zero_copy_only=False)
 
 
+def unique_ids(docs: DataFrame, id_column: str) -> bool:
+    """Whether the ids are whole numbers, unique and not null."""
+    if not isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return False
+    counts = docs.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null")
+    return not counts.limit(1).count()
+
+
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """docs with a long `_key` that is unique and ascends as (doc_id, text) does.
+    """Boxed docs with a long `_key` that is unique and ascends as (doc_id, text) does.
 
     It is the doc_id where those are whole numbers, unique and not null, and else a row number.
     """
-    if isinstance(docs.schema[id_column].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        counts = docs.groupBy(F.col(id_column).alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null")
-        if not counts.limit(1).count():
-            return docs.withColumn("_key", F.col(id_column).cast("long"))
+    if unique_ids(docs, id_column):
+        return docs.withColumn("_key", F.col(id_column).cast("long"))
     return row_numbers(docs, id_column, text_column, name="_key")[0]
 
 

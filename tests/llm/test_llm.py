@@ -189,11 +189,26 @@ def test_near_rest_of_a_bucket(spark):
     sketch = near.order_sketches(grams, at, 1)[:, 0]
     similar = [(a, b) for b in range(len(texts)) for a in range(b) if sketch[a] == sketch[b] and near.similarity(grams[at[a] : at[a + 1]], grams[at[b] : at[b + 1]])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["_key"]: r["_class"] for r in near.classes(docs, sketches=1)[1].collect()}
+    placed, links = near.classes(docs, sketches=1)[1:]
+    got = {r["_key"]: r["_class"] for r in placed.collect()}
+    assert {(r["v"], r["u"]) for r in links.collect()} <= {(a, b) for b in range(len(texts)) for a in range(b) if near.similarity(grams[at[a] : at[a + 1]], grams[at[b] : at[b + 1]])}
     assert len(similar) > 10 and [p for p in similar if got[p[0]] != got[p[1]]] == []
     assert all(c // 5 == k // 5 for k, c in got.items())
 
 
+@pytest.mark.parametrize(("shared", "changed"), [(0.88, 50), (0.88, 15), (0.8, 50), (0.8, 15)])
+def test_near_templates(spark, shared, changed):
+    """Pairs among documents of one template, whose other pairs are just below the threshold: none is missed."""
+    n, length = 150, 500
+    template, texts = [f"t{i}" for i in range(int(length * shared))], []
+    for c in range(n):
+        own = [f"c{c}w{i}" for i in range(length - len(template))]
+        texts += [" ".join(template + own), " ".join([*template, *own[:-changed], *(f"c{c}x{i}" for i in range(changed))])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = by_id(near.near_classes(df))
+    assert {k: r["class_id"] for k, r in out.items()} == {k: k - k % 2 for k in range(2 * n)} and all(r["n_links"] == 1 for r in out.values())
+
+
 def test_near_repeated_ids(spark, empty):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here now"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(r["class_size"] for r in near.near_classes(df).collect()) == [1, 1, 3, 3, 3]
@@ -334,7 +349,7 @@ def brute_hits(text, items, window):
 def test_contamination(spark, docs, texts, empty):
     items = [(1, words(60, 2)), (2, "Word! word"), (3, "x"), (4, None), (5, ""), (6, words(60, 2)), (10, "é" * 90), (11, words(300, 1)[500:900])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for blocks in (1 << 20, 300):
+    for blocks in (1 << 20, 300, 30):
         out = by_id(decontaminate.contamination(docs, bench, block_bytes=blocks))
         assert len(out) == len(texts)
         for i, t in enumerate(texts[:12] + texts[13:]):
@@ -350,13 +365,31 @@ def test_cleaned_of_benchmark(spark, docs, texts):
     assert words(60, 2) not in out[7]["text"] and words(30, 3) in out[7]["text"] and 9 not in out and out[0]["text"] == texts[0] and out[3]["text"] is None
 
 
+def test_blocks_of_items_change_nothing(spark):
+    """Repeated and null ids, equal word counts, spans of several blocks in one text, coverage over all blocks."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(8)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    clean = " ".join(f"c{j}" for j in range(30))
+    texts = [f"{items[0][1]} {items[1][1]} {clean}", f"{items[2][1]} {clean} {items[3][1]}", " ".join(t for _, t in items), clean, None, "", f"{items[4][1]} x {items[5][1]} y"]
+    df = spark.createDataFrame([(i, t, k) for i, k in ((1, "A"), (1, "B"), (None, "C")) for t in texts], "doc_id long, text string, key string")
+    results = []
+    for blocks in (4 << 20, 250, 30):
+        hit = sorted(map(repr, decontaminate.contamination(df, bench, block_bytes=blocks).select("doc_id", "n_words", "items", "longest", "spans", "n_hit").collect()))
+        cut = sorted(map(repr, decontaminate.cleaned(df, bench, block_bytes=blocks).collect()))
+        results.append((hit, cut))
+        assert len(hit) == len(texts) * 3
+    assert results[0] == results[1] == results[2]
+    assert len(results[0][1]) == (len(texts) - 2) * 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=9), max_size=4), st.lists(st.integers(0, 3), max_size=25))
 def test_automaton(items, text):
     names = [*enumerate(" ".join(map(str, i)) for i in items)]
     machine = decontaminate.Automaton([(k, t.encode().split()) for k, t in names if t], 3)
     got, found = set(), set()
-    for a, b, owners, _ in machine.stream([machine.number.get(str(x).encode(), -1) for x in text]):
+    number = {machine.word(n): n for n in range(len(machine.blob_at) - 1)}
+    for a, b, owners, _ in machine.stream([number.get(str(x).encode(), -1) for x in text]):
         got |= set(range(a, b))
         found |= {str(machine.ids[k]) for k in owners}
     assert (len(text), len(got), sorted(found)) == brute_hits(" ".join(map(str, text)), names, 3)
