@@ -8,8 +8,10 @@ of their own. The key is made of the seed, the text's hash and the ordinal of th
 that each occurrence of a word has decisions of its own, and a text is always cut alike.
 
 Segments (spaces with what follows them) never merge with each other in such a vocabulary, so
-the agendas of all distinct (segment, key) pairs of a block run in step with numpy, one merge
-in each at a time. Long segments are cut where no piece spans the cut, and what is still long
+the agendas of all distinct segments of a block run in step with numpy, one merge in each at a
+time. The occurrences of a segment share its agenda as long as their decisions are the same;
+where they differ the agenda is copied, one for each outcome, and goes on for those
+occurrences alone. Long segments are cut where no piece spans the cut, and what is still long
 has an agenda with a heap.
 
 Decoding concatenates the pieces' bytes and takes the added first space off. It is lossless
@@ -47,8 +49,8 @@ LITERAL_MARK = 0x110000
 LONG = 64
 NONE = np.int64(1) << 40
 #: Bytes of text whose segments are worked on together; the more, the more of them are alike.
-TOGETHER = 1 << 20
-STEP = 1 << 16
+TOGETHER = 1 << 21
+STEP = 1 << 17
 
 
 class Pieces:
@@ -130,87 +132,146 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-    """The keyed hash's decision for candidates, given by their characters' places in the segment."""
-    place = start.astype(np.uint64) << np.uint64(42) ^ middle.astype(np.uint64) << np.uint64(21) ^ end.astype(np.uint64)
-    return (mix(key ^ mix(place)) >> np.uint64(11)).astype(np.float64) < dropout * (1 << 53)
+def place_hash(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A candidate's hash, by its characters' places in the whole segment."""
+    return mix(start.astype(np.uint64) << np.uint64(42) ^ middle.astype(np.uint64) << np.uint64(21) ^ end.astype(np.uint64))
 
 
-def run_agendas(model: Pieces, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, base: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Segment all segments (starts: offsets into symbols, with the end) in step; the resulting symbols and offsets.
+def skipped(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+    """The keyed hash's decisions for candidates."""
+    return (mix(key ^ place) >> np.uint64(11)).astype(np.float64) < dropout * (1 << 53)
 
-    base is the place of each segment's first symbol in the whole segment it was cut from.
+
+def run_agendas(model: Pieces, symbols: np.ndarray, starts: np.ndarray, base: np.ndarray, of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(result of each occurrence, symbols of the results, their sizes) of segments (starts: offsets into symbols, with the end).
+
+    base is the place of each segment's first symbol in the whole segment that it was cut from;
+    of and keys are the occurrences' segments, ascending, and keys. A state is what an agenda has
+    come to, and has the occurrences that share it.
     """
-    n = len(starts) - 1
     lengths = np.diff(starts)
-    owner = np.repeat(np.arange(n), lengths)
-    symbols = symbols.copy()
-    begin = np.arange(len(symbols)) - np.repeat(starts[:-1], lengths)
-    done_owner, done_symbol = [], []
+    results, sizes, n_results = [], [], 0
+    result = np.zeros(len(of), np.int64)
     long = lengths > LONG
-    if long.any():
-        for s in np.flatnonzero(long):
-            out = one_agenda(model, symbols[starts[s] : starts[s + 1]], keys[s], int(base[s]), dropout)
-            done_owner.append(np.full(len(out), s))
-            done_symbol.append(out)
-        keep = ~long[owner]
-        owner, begin, symbols = owner[keep], begin[keep], symbols[keep]
+    for o in np.flatnonzero(long[of]) if long.any() else ():
+        s = of[o]
+        out = one_agenda(model, symbols[starts[s] : starts[s + 1]], keys[o], int(base[s]), dropout)
+        results.append(out)
+        sizes.append([len(out)])
+        result[o] = n_results
+        n_results += 1
+    begin = np.arange(len(symbols)) - np.repeat(starts[:-1], lengths)
+    stay, short = np.repeat(~long, lengths), np.flatnonzero(~long)
+    symbols, begin, count = symbols[stay], begin[stay], lengths[short]
+    owner, sbase = np.repeat(np.arange(len(short)), count), base[short]
     stop = begin + 1
-
-    def offers(at: np.ndarray) -> None:
-        """Look up the pairs of the symbols at these places with the next ones."""
-        rank[at] = NONE
-        at = at[at + 1 < len(symbols)]
+    number = np.cumsum(~long) - 1
+    who = np.flatnonzero(~long[of])  # occurrences that are not done
+    state, key = number[of[who]], keys[who]
+    rank, into = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
+    fresh = np.arange(len(symbols))  # places of new pairs with the next symbol
+    while len(symbols):
+        rank[fresh] = NONE
+        at = fresh[fresh + 1 < len(symbols)]
         at = at[owner[at] == owner[at + 1]]
         found, to = model.merges(symbols[at], symbols[at + 1])
         some = np.flatnonzero(found < NONE)
-        at, found, to = at[some], found[some], to[some]
+        at = at[some]
+        rank[at], into[at] = found[some], to[some]
+        heads = np.concatenate(([0], np.cumsum(count)))
         if dropout > 0 and len(at):
+            # every occurrence decides on the new candidates of its state, a bit for each
             whose = owner[at]
-            stay = ~skipped(keys[whose], base[whose] + begin[at], base[whose] + begin[at + 1], base[whose] + stop[at + 1], dropout)
-            at, found, to = at[stay], found[stay], to[stay]
-        rank[at], into[at] = found, to
-
-    rank, into = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
-    offers(np.arange(len(symbols)))
-    while len(symbols):
-        heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        sizes = np.diff(np.concatenate((heads, [len(symbols)])))
+            place = place_hash(sbase[whose] + begin[at], sbase[whose] + begin[at + 1], sbase[whose] + stop[at + 1])
+            n_new = np.bincount(whose, minlength=len(count))
+            new_at = np.concatenate(([0], np.cumsum(n_new)))
+            mine = n_new[state]
+            asked = np.flatnonzero(mine)
+            mine = mine[asked]
+            ends = np.cumsum(mine)
+            bit = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - mine, mine)
+            skip = skipped(np.repeat(key[asked], mine), place[np.repeat(new_at[state[asked]], mine) + bit], dropout)
+            pattern = np.zeros(len(state), np.uint64)
+            if len(asked):
+                pattern[asked] = np.add.reduceat(skip.astype(np.uint64) << bit.astype(np.uint64), ends - mine)
+            split = np.flatnonzero(pattern)
+            if len(split):
+                _, first, inverse = np.unique(mix(pattern[split] + mix(state[split].astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
+                parent, bits = state[split][first], pattern[split][first]
+                kept = np.bincount(state[pattern == 0], minlength=len(count)) > 0
+                # copies of the parents, without the candidates that they skip
+                width = count[parent]
+                offs = np.concatenate(([0], np.cumsum(width)))
+                copied = np.arange(offs[-1]) - np.repeat(offs[:-1] - heads[parent], width)
+                drops = n_new[parent]
+                child = np.repeat(np.arange(len(parent)), drops)
+                j = np.arange(len(child)) - np.repeat(np.cumsum(drops) - drops, drops)
+                gone = (bits[child] >> j.astype(np.uint64)) & np.uint64(1) == 1
+                child, j = child[gone], j[gone]
+                old = np.flatnonzero(kept[owner])
+                source = np.concatenate((old, copied))
+                symbols, begin, stop, rank, into = (x[source] for x in (symbols, begin, stop, rank, into))
+                rank[len(old) + offs[child] + at[new_at[parent[child]] + j] - heads[parent[child]]] = NONE
+                renamed = np.cumsum(kept) - 1
+                n_kept = int(kept.sum())
+                count, sbase = np.concatenate((count[kept], width)), np.concatenate((sbase[kept], sbase[parent]))
+                owner = np.repeat(np.arange(len(count)), count)
+                heads = np.concatenate(([0], np.cumsum(count)))
+                state = renamed[state]
+                state[split] = n_kept + inverse
         # the best rank, the leftmost of equal ones
-        best = np.minimum.reduceat((rank << 22) | begin, heads)
+        order = (rank << 22) | begin
+        best = np.minimum.reduceat(order, heads[:-1])
         live = best >> 22 < NONE
         if not live.all():
-            mine = np.repeat(live, sizes)
-            done_owner.append(owner[~mine])
-            done_symbol.append(symbols[~mine])
-            symbols, owner, begin, stop, rank, into = (x[mine] for x in (symbols, owner, begin, stop, rank, into))
+            mine = live[owner]
+            done = ~live
+            results.append(symbols[~mine])
+            sizes.append(count[done])
+            ended = done[state]
+            result[who[ended]] = n_results + (np.cumsum(done) - 1)[state[ended]]
+            n_results += int(done.sum())
+            who, key, state = who[~ended], key[~ended], (np.cumsum(live) - 1)[state[~ended]]
+            symbols, begin, stop, rank, into, order = (x[mine] for x in (symbols, begin, stop, rank, into, order))
+            count, sbase, best = count[live], sbase[live], best[live]
             if not len(symbols):
                 break
-            sizes, best = sizes[live], best[live]
-        at = np.flatnonzero((rank << 22 | begin) == np.repeat(best, sizes))
+        at = np.flatnonzero(order == np.repeat(best, count))
         symbols[at] = into[at]
         stop[at] = stop[at + 1]
         keep = np.ones(len(symbols), np.bool_)
         keep[at + 1] = False
         at = at - np.arange(len(at))  # each of these places lost one symbol for every merge before it
-        symbols, owner, begin, stop, rank, into = (x[keep] for x in (symbols, owner, begin, stop, rank, into))
-        offers(np.concatenate((at, at[at > 0] - 1)))
-    owner = np.concatenate(done_owner) if done_owner else np.zeros(0, np.int64)
-    symbol = np.concatenate(done_symbol) if done_symbol else np.zeros(0, np.int32)
-    order = np.argsort(owner, kind="stable")
-    return symbol[order], np.searchsorted(owner[order], np.arange(n + 1))
-
-
-def in_parts(model: Pieces, symbols: np.ndarray, starts: np.ndarray, keys: np.ndarray, base: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """run_agendas on parts of about STEP symbols, whose arrays stay in the processor's caches."""
-    out, sizes, a, n = [], [np.zeros(1, np.int64)], 0, len(starts) - 1
+        symbols, begin, stop, rank, into = (x[keep] for x in (symbols, begin, stop, rank, into))
+        count = count - 1
+        owner = np.repeat(np.arange(len(count)), count)
+        fresh = np.stack((at - 1, at), axis=1).ravel()
+        fresh = fresh[(fresh >= 0) & (owner[fresh] == np.repeat(np.arange(len(count)), 2))]
+    return result, np.concatenate([np.zeros(0, np.int32), *results]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+
+def in_parts(model: Pieces, symbols: np.ndarray, starts: np.ndarray, base: np.ndarray, of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """run_agendas on parts of about STEP symbols or occurrences, whose arrays stay in the processor's caches; offsets instead of sizes."""
+    n, a, before = len(starts) - 1, 0, 0
+    first = np.searchsorted(of, np.arange(n + 1))
+    result, out, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    load = starts + first
     while a < n:
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + STEP, side="right")) - 1)
-        got, at = run_agendas(model, symbols[starts[a] : starts[b]], starts[a : b + 1] - starts[a], keys[a:b], base[a:b], dropout)
+        b = max(a + 1, int(np.searchsorted(load, load[a] + STEP, side="right")) - 1)
+        r, got, size = run_agendas(model, symbols[starts[a] : starts[b]], starts[a : b + 1] - starts[a], base[a:b], of[first[a] : first[b]] - a, keys[first[a] : first[b]], dropout)
+        result.append(r + before)
         out.append(got)
-        sizes.append(np.diff(at))
+        sizes.append(size)
+        before += len(size)
         a = b
-    return np.concatenate(out), np.cumsum(np.concatenate(sizes))
+    return np.concatenate(result), np.concatenate(out), np.cumsum(np.concatenate(sizes))
+
+
+def mixed(x: int) -> int:
+    """arrays.mix of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
 
 
 def one_agenda(model: Pieces, symbols: np.ndarray, key: np.uint64, base: int, dropout: float) -> np.ndarray:
@@ -219,13 +280,18 @@ def one_agenda(model: Pieces, symbols: np.ndarray, key: np.uint64, base: int, dr
     n = len(sym)
     prev, nxt, stop = list(range(-1, n - 1)), list(range(1, n + 1)), [base + i + 1 for i in range(n)]
     heap: list[tuple[int, int, int, int, int]] = []
+    limit, plain = dropout * (1 << 53), int(key)
+
+    def drops(start: int, middle: int, end: int) -> bool:
+        """As `skipped` decides."""
+        return mixed(plain ^ mixed(start << 42 ^ middle << 21 ^ end)) >> 11 < limit
 
     def offer(i: int) -> None:
         j = nxt[i]
         if i < 0 or j >= n:
             return
         found = model.pairs.get(sym[i] << 32 | sym[j])
-        if found and not (dropout > 0 and skipped(np.array([key]), np.array([base + i]), np.array([base + j]), np.array([stop[j]]), dropout)[0]):
+        if found and not (dropout > 0 and drops(base + i, base + j, stop[j])):
             heapq.heappush(heap, (found[0], i, j, stop[j], found[1]))
 
     for i in range(n - 1):
@@ -279,8 +345,7 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     value = mix(marked.astype(np.uint64) + np.uint64(1))
     within = (np.arange(total) - np.repeat(starts, ends - starts)).astype(np.uint64)
     sums = np.add.reduceat(mix(value ^ within * np.uint64(0x9E3779B97F4A7C15)), starts)
-    name = mix(sums + (ends - starts).astype(np.uint64)) ^ mix(variant + np.uint64(0x5851F42D4C957F2D))
-    _, chosen, inverse = np.unique(name, return_index=True, return_inverse=True)
+    _, chosen, inverse = np.unique(mix(sums + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
     lengths = (ends - starts)[chosen]
     offs = np.concatenate(([0], np.cumsum(lengths)))
     flat = marked[np.arange(offs[-1]) - np.repeat(offs[:-1], lengths) + np.repeat(starts[chosen], lengths)]
@@ -295,14 +360,21 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
         seg_start = np.flatnonzero(free)
         seg_of = np.searchsorted(offs, seg_start, side="right") - 1
         base = seg_start - offs[seg_of]
-    symbols, sym_at = in_parts(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), keys[chosen][seg_of], base, dropout)
+    # an occurrence of a segment is one of each of its parts
+    part_at = np.concatenate((np.searchsorted(seg_of, np.arange(len(chosen))), [len(seg_of)]))
+    parts = np.diff(part_at)[inverse]
+    part_ends = np.cumsum(parts)
+    of = np.arange(part_ends[-1]) - np.repeat(part_ends - parts - part_at[inverse], parts)
+    order = np.argsort(of, kind="stable")
+    result, symbols, sym_at = in_parts(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), base, of[order], np.repeat(keys, parts)[order], dropout)
     ids, id_at = with_bytes(model, symbols, sym_at)
-    id_at = id_at[np.concatenate((np.searchsorted(seg_of, np.arange(len(chosen))), [len(seg_of)]))]
     # back to the occurrences
-    counts = np.diff(id_at)[inverse]
-    ends_ = np.cumsum(counts)
-    out = ids[np.arange(ends_[-1]) - np.repeat(ends_ - counts, counts) + np.repeat(id_at[:-1][inverse], counts)]
-    return out, np.concatenate(([0], ends_))[first]
+    mine = np.empty(len(of), np.int64)
+    mine[order] = result
+    counts = np.diff(id_at)[mine]
+    ends_ = np.concatenate(([0], np.cumsum(counts)))
+    out = ids[np.arange(ends_[-1]) - np.repeat(ends_[:-1] - id_at[mine], counts)]
+    return out, ends_[np.concatenate(([0], part_ends))[first]]
 
 
 def with_bytes(model: Pieces, symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
