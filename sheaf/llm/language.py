@@ -11,14 +11,17 @@ Calibrated rejection: a temperature is fitted on training rows that the descent
 and a document is rejected when its calibrated probability is under the level that all but
 KEEP of those rows reach (never above MAX_FLOOR), or when it has no letter.
 
-The fit takes at most about MAX_TRAINING labelled rows, chosen by a hash of the text; each is
-taken with its whole text, and a second time with one stretch of it of at most 12 words, so
-that short texts are learned too. What comes to the driver is at most MAX_TRAINING *
-2 * BUCKETS counts. Prediction reads every whole text.
+The fit takes at most MAX_TRAINING distinct labelled texts, as many of each language (FLOOR at
+least, should there be many languages): those of least hash, of a sample by text hash whose rate
+follows from the language's number of distinct texts. So copies count once, and rare
+languages keep their rows. Each text is taken whole, and a second time with one stretch of it of
+at most 12 words, so that short texts are learned too. What comes to the driver is at most 2 *
+BUCKETS counts for each of them. Prediction reads every whole text.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and rejected;
-with no labelled row every text is `und`; repeated rows are predicted alike; an empty table
-gives an empty result; the contract's query ignores other columns, `confident` keeps them.
+with no labelled row every text is `und`, and `confident` keeps all documents, for nothing can be
+judged; repeated rows are predicted alike; an empty table gives an empty result; the contract's
+query ignores other columns, `confident` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +33,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import BYTE_VALUES, mix, text_blocks, tidied
+from .columns import boxed, free_name, named
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 13
 WIDTH = 16
-MAX_TRAINING = 3000
+MAX_TRAINING, FLOOR = 3000, 50
 EPOCHS, LEAST_STEPS, BATCH, RATE, TABLE_RATE, SEED = 6, 800, 32, 0.5, 10, 11
 SHORT = 12
 KEEP, MAX_FLOOR = 0.999, 0.5
@@ -140,10 +145,18 @@ def stretch(text: str, key: int) -> str:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, calibrate, text) to (lang, calibrate, key, buckets, counts); a short stretch of each text is a second row. Nothing depends on the partitioning."""
+    """(lang, calibrate, text) to (lang, calibrate, key, buckets, counts), of each text once in a task; a short stretch of it is a second row. Nothing depends on the partitioning."""
+    done: set[tuple[str, int]] = set()
     for batch in batches:
         texts = batch.column(2)
         keys = [xxhash.xxh64_intdigest(t, SEED) >> 2 for t in texts.to_pylist()]
+        fresh = []
+        for i, (name, key) in enumerate(zip(batch.column(0).to_pylist(), keys, strict=True)):
+            if (name, key) not in done:
+                done.add((name, key))
+                fresh.append(i)
+        batch, keys = batch.take(pa.array(fresh, pa.int64())), [keys[i] for i in fresh]
+        texts = batch.column(2)
         short = pa.array([stretch(t, k) for t, k in zip(texts.to_pylist(), keys, strict=True)], texts.type)
         for second, column in enumerate((texts, short)):
             rows = []
@@ -156,14 +169,24 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def training_rows(labelled: DataFrame, text: str, lang: str, max_training: int) -> DataFrame:
+    """(lang, calibrate, key, buckets, counts) of the texts to learn from, two rows of each; a strict bound on both sides."""
+    rows = named(labelled, lang=lang, text=text).select(F.col("lang").cast("string").alias("lang"), "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    hashed = F.xxhash64(F.lit(SEED), "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(hashed).alias("n")).collect()}
+    each = max(FLOOR, max_training // max(1, len(sizes)))
+    # half as many again as are wanted, for the counts are estimates and hashes vary
+    rates = {k: min(1 << 30, int(1.5 * each / max(1, n) * (1 << 30)) + (100 << 30) // max(100, n)) for k, n in sizes.items()}
+    rate = F.try_element_at(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]), F.col("lang")) if rates else F.lit(0)
+    taken = rows.filter(F.pmod(hashed, F.lit(1 << 30)) < rate).select("lang", (F.pmod(F.xxhash64(F.lit(SEED + 1), "text"), F.lit(5)) == 0).alias("calibrate"), "text")
+    made = taken.mapInArrow(tidied(counted), "lang string, calibrate boolean, key long, buckets array<int>, counts array<float>")
+    order = Window.partitionBy("lang").orderBy("key")
+    return made.dropDuplicates(["lang", "key"]).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * each).drop("n")
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_training: int = MAX_TRAINING) -> Model:
     """Train on (text, lang) rows; null texts and labels are left out."""
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = rows.count()
-    limit = min(1.0, max_training / max(1, total))
-    key = F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1 << 30))
-    taken = rows.filter(key < int(limit * (1 << 30))).select("lang", (F.pmod(F.xxhash64(F.lit(SEED + 1), "text"), F.lit(5)) == 0).alias("calibrate"), "text")
-    got = taken.mapInArrow(tidied(counted), "lang string, calibrate boolean, key long, buckets array<int>, counts array<float>").toArrow()
+    got = training_rows(labelled, text, lang, max_training).toArrow()
     got = got.filter(pc.greater(pc.list_value_length(got["buckets"]), 0))
     languages = sorted(set(got["lang"].to_pylist()))
     if not languages:
@@ -233,20 +256,24 @@ def held_out(id_column: str) -> Column:
 
 
 def predictions(docs: DataFrame, model: Model, *columns: Column, text_column: str = "text") -> DataFrame:
-    """The given columns with lang_pred, score and rejected for every whole text."""
-    source = docs.select(*columns, F.col(text_column).alias("_text"))
+    """The given columns with lang_pred, score and rejected (with underscores after names that are taken) for every whole text."""
+    made = docs.select(*columns)
+    names_out = [*made.columns, *(free_name(made, c) for c in ("lang_pred", "score", "rejected"))]
+    source = boxed(docs.select(*columns, docs[text_column]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, score, rejected = model.predict(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(tidied(run), f"{kept}, lang_pred string, score double, rejected boolean")
+    added = T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields
+    return source.mapInArrow(tidied(run), T.StructType(source.schema.fields[:-1] + added)).toDF(*names_out)
 
 
 def confident(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """docs, all their columns, without the documents that the model rejects."""
+    """docs, all their columns, without the documents that the model rejects; all of them if it knows no language."""
+    if not model.languages:
+        return docs
     place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +281,7 @@ def confident(docs: DataFrame, model: Model, text_column: str = "text") -> DataF
             rejected = model.predict(batch.column(place))[2]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(tidied(run), docs.schema)
+    return boxed(docs).mapInArrow(tidied(run), boxed(docs).schema).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

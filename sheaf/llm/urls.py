@@ -1,12 +1,15 @@
 """Operator 4: URL verdicts by rules and, where none fits, by gradient-boosted trees.
 
 The trees see lexical features only: length, depth, digit ratio, character entropy, parameter
-counts, and statistics of the host's suffix (how the labelled URLs with the same last label
-and the same last two labels were judged). Labelled URLs are those that a rule decides. All
-is DataFrame expressions and Spark's own GBT, which trains on the executors.
+counts, and suffix statistics: how the labelled URLs with the same last label of the host, the
+same last two labels, and these with the same first part of the path were judged. Labelled URLs
+are those that a rule decides. All is DataFrame expressions and Spark's own GBT, which trains
+on the executors.
 
-The labelled rows used for the fit are chosen by a hash of the URL, about MAX_TRAINING rows
-at most; the suffix statistics count all labelled URLs.
+The trees are trained on at most MAX_TRAINING distinct labelled URLs, those of least hash; the
+suffix statistics count all labelled URLs. The statistics of a labelled URL leave out its own
+fold, one of FOLDS by a hash of the URL, so that no label is among its own features; with
+`held_out` the last fold is not learned from at all.
 
 Defined results: a null URL, or one without `://`, has empty host and path, no rule, and the
 method's verdict; repeated rows are judged alike; with no labelled URL, or labels of one kind
@@ -23,11 +26,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import named
+from .spaces import checkpoint
+
 #: (host, path, verdict): fixed values of the contract.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 MAX_TRAINING = 20_000
-TREES, DEPTH, BINS, SEED = 12, 4, 32, 5
-FEATURES = ["n_chars", "host_chars", "path_chars", "depth", "host_labels", "digit_ratio", "path_digits", "upper_ratio", "entropy", "n_params", "query_chars", "has_fragment", "has_extension", "is_https", "hyphens", "suffix_share", "suffix_count", "domain_share", "domain_count"]
+TREES, DEPTH, BINS, SEED, FOLDS = 12, 4, 32, 5, 5
+FEATURES = ["n_chars", "host_chars", "path_chars", "depth", "host_labels", "digit_ratio", "path_digits", "upper_ratio", "entropy", "n_params", "query_chars", "has_fragment", "has_extension", "is_https", "hyphens", "suffix_share", "suffix_count", "domain_share", "domain_count", "section_share", "section_count"]
 ASCII_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -67,6 +73,7 @@ def lexical(df: DataFrame) -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     n = F.greatest(F.length(url), F.lit(1))
     labels = F.split(F.col("host"), r"\.")
+    domain = F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))
     made = {
         "n_chars": F.length(url), "host_chars": F.length("host"), "path_chars": F.length("path"),
         "depth": count_of(F.col("path"), "/"), "host_labels": F.size(labels),
@@ -74,43 +81,58 @@ def lexical(df: DataFrame) -> DataFrame:
         "entropy": entropy(url), "n_params": F.when(query == "", 0).otherwise(count_of(query, "&") + 1), "query_chars": F.length(query),
         "has_fragment": F.contains(url, F.lit("#")), "has_extension": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$"), "is_https": F.lower(url).startswith("https:"), "hyphens": count_of(url, "_-"),
     }
-    return df.withColumns({k: v.cast("double") for k, v in made.items()} | {"_suffix": F.element_at(labels, -1), "_domain": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2))})
+    return df.withColumns({k: v.cast("double") for k, v in made.items()} | {"_suffix": F.element_at(labels, -1), "_domain": domain, "_section": F.concat(domain, F.regexp_extract("path", r"^/[^/]*", 0))})
 
 
-def with_suffix_statistics(df: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Smoothed share of allowed among labelled URLs of the same suffix, and log counts.
+def with_suffix_statistics(df: DataFrame) -> DataFrame:
+    """df (label, or null; fold) with the smoothed share of allowed among labelled URLs of the same suffix but not of the same fold, and log counts.
 
-    The counts are pre-aggregated on the map side. The tables have a row for each suffix and
-    each registered name; Spark joins them by a shuffle unless they are small, and splits the
-    partitions of frequent names.
+    The counts are pre-aggregated on the map side. The tables have a row for each suffix,
+    registered name and section; Spark joins them by a shuffle unless they are small, and splits
+    the partitions of frequent names.
     """
-    for key, name in (("_suffix", "suffix"), ("_domain", "domain")):
-        stats = labelled.groupBy(key).agg(F.sum("label").alias("_yes"), F.count("*").alias("_n"))
-        df = df.join(stats, key, "left").withColumns({f"{name}_share": (F.coalesce("_yes", F.lit(0.0)) + 1) / (F.coalesce("_n", F.lit(0)) + 2), f"{name}_count": F.log1p(F.coalesce("_n", F.lit(0)).cast("double"))}).drop("_yes", "_n")
+    labelled = df.filter("label is not null")
+    folds = [F.col("fold") == i for i in range(FOLDS)]
+    for key, name in (("_suffix", "suffix"), ("_domain", "domain"), ("_section", "section")):
+        yes, n = ([F.sum(F.when(f, x).otherwise(0.0)) for f in folds] for x in (F.col("label"), F.lit(1.0)))
+        stats = labelled.groupBy(key).agg(F.array(*yes).alias("_yes"), F.array(*n).alias("_n"))
+
+        def others(c: str) -> Column:
+            whole = F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+            own = F.when(F.col("label").isNotNull(), F.get(c, F.col("fold"))).otherwise(0.0)
+            return F.coalesce(whole - own, F.lit(0.0))
+
+        df = df.join(stats, key, "left").withColumns({f"{name}_share": (others("_yes") + 1) / (others("_n") + 2), f"{name}_count": F.log1p(others("_n"))}).drop("_yes", "_n")
     return df
 
 
-def classify(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_training: int = MAX_TRAINING, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict and the method's probability of allow for every URL."""
+def classify(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_training: int = MAX_TRAINING, id_column: str = "page_id", url_column: str = "url", held_out: bool = False) -> DataFrame:
+    """page_id, host, path, rule, verdict and the method's probability of allow for every URL; with held_out also fold, of which the last one was not learned from."""
     host, path = host_and_path(F.col("url"))
-    base = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url")).withColumn("host", host).withColumn("path", path)
-    base = base.withColumn("_rule", judged(F.col("host"), F.col("path"), rules))
-    featured = lexical(base)
-    labelled = featured.filter(F.col("_rule").isNotNull()).withColumn("label", (F.col("_rule.verdict") == "allow").cast("double"))
-    kinds = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    base = named(pages, page_id=id_column, url=url_column).withColumn("host", host).withColumn("path", path)
+    fold = F.pmod(F.xxhash64(F.lit(SEED + 1), "url"), F.lit(FOLDS)).cast("int")
+    base = base.withColumn("_rule", judged(F.col("host"), F.col("path"), rules)).withColumn("fold", fold)
+    learned = F.col("_rule").isNotNull() & ((F.col("fold") < FOLDS - 1) if held_out else F.lit(True))
+    featured = lexical(base).withColumn("label", F.when(learned, (F.col("_rule.verdict") == "allow").cast("double")))
+    labelled = featured.filter("label is not null")
+    kinds = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
     if len(kinds) < 2:
         only = "block" if 0.0 in kinds else "allow"
         scored = base.withColumn("score", F.lit(1.0 if only == "allow" else 0.0))
     else:
-        full = with_suffix_statistics(featured, labelled)
-        share = min(1.0, max_training / sum(kinds.values()))
-        chosen = F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1 << 30)) < int(share * (1 << 30))
-        train = full.filter(F.col("_rule").isNotNull() & chosen).select(*FEATURES, (F.col("_rule.verdict") == "allow").cast("double").alias("label"))
+        full = with_suffix_statistics(featured)
+        # the number of distinct URLs is an estimate; should the sample exceed the bound, those of least hash stay
+        share = min(1.0, 0.9 * max_training / sum(kinds.values()))
+        place = F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(1 << 30))
+        train = full.filter((F.col("label").isNotNull()) & (place < int(share * (1 << 30)))).dropDuplicates(["url"])
+        train = checkpoint(train.select(*FEATURES, "label", place.alias("_place"), "url"))
+        if train.count() > max_training:
+            train = train.orderBy("_place", "url").limit(max_training)
         gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, maxBins=BINS, seed=SEED)
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(train)
         scored = model.transform(full).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
-    return scored.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score")
+    return scored.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), "score", *(["fold"] if held_out else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
