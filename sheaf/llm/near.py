@@ -12,11 +12,9 @@ of the alignment is as wide as that threshold lets the alignment stray, so it is
 
 Texts with equal words are one text from the start, so copies are never compared. In a bucket
 of a sketch every text meets two leaders (the least key and the least hashed key), not every
-other text. That only saves comparisons: the members of a bucket that is still in more than one
-component, matched ones too, are the rest, and every pair of the rest that can reach the
-threshold is compared, but for pairs of one component. Such pairs come from an exact prefix
-filter: similar texts share one of their rarest labelled k-mers, at places that leave enough
-k-mers after it for texts of their sizes, see `rest_pairs`. Classes are the
+other text. That only saves comparisons: in a bucket that is still of more than one
+component, matched members too, the pairs of different components are compared in blocks, see
+`rest_links`, so no similar pair that shares a bucket is left apart. Classes are the
 connected components of the verified links, found by alternating large and small stars with
 checkpoints. A bucket's leaders are pre-aggregated and its members joined to them, which Spark
 splits when a bucket is large.
@@ -47,10 +45,10 @@ from .squeeze import squeezed, texts_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, LEAST = 10, 2
-#: Ratio of neighbouring size classes in the join of the rest; it decides on work only.
-SIZE_STEP = 1.05
-#: Counters of k-mers, by hash, for the order of the prefix filter; the order decides on work only, not on results.
-COUNTERS = 1 << 18
+#: Words, and texts at most, of a chunk of a bucket's rest; they decide on work only, as the two below do.
+CHUNK, CHUNK_TEXTS = 150_000, 1000
+#: Pairs of a k-mer up to which they are counted one by one, and columns of a matrix product.
+FEW, COLUMNS = 64, 4096
 SEPARATORS = b" \t\n\v\f\r"
 IS_WORD = np.ones(256, np.bool_)
 IS_WORD[list(SEPARATORS)] = False
@@ -199,69 +197,108 @@ def shingles_of(z: bytes, unpack, shingle: int) -> np.ndarray:
     return shingles(data, np.array([0, len(data)]), shingle)[0]
 
 
-def rest_pairs(rest: DataFrame, content: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Pairs (leader, member) of different components in rest (_key, comp) that may be near-duplicates; none that is one is left out.
+def rest_links(buckets: DataFrame, content: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links (u, v) that join different components of a bucket, exact but for links that others make needless.
 
-    A similarity m / (a + b - m) of at least t needs t / (1 + t) * (a + b) common labelled k-mers,
-    and so of t * a. In any one order of all k-mers, two such texts share one of their first
-    a - t * a + 1 and b - t * b + 1 k-mers, and after the first shared one enough are left in both:
-    with `left` k-mers from there on, a text of a k-mers has no partner of more than
-    left * (1 + t) / t - a. The order is from rare to common k-mers, so that boilerplate comes
-    last, where too few are left for most.
-
-    The smaller text of a pair looks for larger ones in the size classes that its bound allows.
-    Of each k-mer the component with most texts is told apart, and its texts only meet those of
-    others, so the join looks at no more than a few times the pairs of different components.
+    buckets has a row for each member of each sketch's bucket: _key, comp, words, band, sketch,
+    and all_met, the members up to which the leaders' pairs are all pairs. In a bucket of several
+    components every text outside the one with most words (the strays) meets every text of
+    another component, as blocks: both sides are cut into chunks of about CHUNK words, and a
+    cell of two chunks is worked on by one task, which counts the common labelled k-mers of all
+    its pairs by a matrix product and aligns those that have enough, until its components are one.
+    So no pair is ever a row, and no task has more than two chunks of a bucket.
     """
-    spark = rest.sparkSession
-    texts = checkpoint(content.join(rest, "_key").select("_key", "comp", "_text"))
-
-    def blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for first, end, data, offsets in text_blocks(texts_of(batch.column(2))):
-            grams, at, _, _ = shingles(data, offsets, shingle)
-            yield first, end, labelled_kmers(grams, at), at
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, kmers, _ in blocks(batch):
-                seen += np.bincount((kmers % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["slot", "n"])
-
-    counted = texts.mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(COUNTERS, np.int64)
-    frequency[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    shared = spark.sparkContext.broadcast(np.minimum(frequency, (1 << 32) - 1).astype(np.uint32))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, kmers, at in blocks(batch):
-                sizes = np.diff(at)
-                row = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((kmers, shared.value[(kmers % np.uint64(COUNTERS)).astype(np.int64)], row))
-                place = np.arange(len(kmers)) - np.repeat(at[:-1], sizes)
-                kept = place < np.repeat(sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1, sizes)
-                whose, size = pa.array(first + row[kept]), sizes[row[kept]]
-                most = np.floor((size - place[kept]) * (1 + threshold) / threshold - size + 1e-9)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kmers[order][kept].view(np.int64)), batch.column(0).take(whose), batch.column(1).take(whose), pa.array(size.astype(np.int64)), pa.array(most.astype(np.int64))],
-                    ["kmer", "_key", "comp", "size", "most"],
-                )
-
-    found = checkpoint(texts.mapInArrow(tidied(prefixes), "kmer long, _key long, comp long, size long, most long"))
-    of_comp = found.groupBy("kmer", "comp").agg(F.count("*").alias("n"))
-    mixed = checkpoint(of_comp.groupBy("kmer").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").drop("comps"))
-    found = checkpoint(found.join(mixed, "kmer").select("kmer", "_key", "comp", "size", "most", (F.col("comp") == F.col("major")).alias("major")))
+    weight = F.col("words") + CHUNK // CHUNK_TEXTS
+    of_comp = buckets.groupBy("band", "sketch", "comp").agg(F.sum(weight).alias("w"), F.count("*").alias("n"), F.min("all_met").alias("all_met"))
+    split = of_comp.groupBy("band", "sketch").agg(F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count("*").alias("comps"), F.min("all_met").alias("all_met"))
+    split = split.filter("comps > 1 and n > all_met")
+    split = checkpoint(split.select("band", "sketch", F.col("top.comp").alias("major"), F.ceil(F.col("w") / CHUNK).alias("chunks"), F.ceil((F.col("w") - F.col("top.w")) / CHUNK).alias("stray_chunks")))
+    inside = buckets.join(split, ["band", "sketch"])
+    mine, stray = F.pmod(F.xxhash64("_key"), "chunks"), F.pmod(F.xxhash64("_key", F.lit(1)), "stray_chunks")
+
+    def cells(i, j, as_stray: bool):
+        return F.struct(F.xxhash64("band", "sketch", i, j).alias("cell"), F.lit(as_stray).alias("stray"))
+
+    to_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("stray_chunks") - 1), lambda j: cells(mine, j, False))
+    to_strays = F.when(F.col("comp") != F.col("major"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda i: cells(i, stray, True))).otherwise(F.array().cast("array<struct<cell:bigint,stray:boolean>>"))
+    placed = checkpoint(inside.select("_key", "comp", "words", F.explode(F.concat(to_all, to_strays)).alias("at")).select("_key", "comp", "words", "at.*"))
+    groups = int((placed.agg(F.sum("words")).first()[0] or 0) // CHUNK) + 1
+    rows = placed.join(content, "_key").select(F.pmod("cell", F.lit(groups)).alias("group"), "cell", "stray", "_key", "comp", "_text")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell").combine_chunks()
+        cell = table["cell"].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        found = [cell_links(table.slice(a, b - a), shingle, threshold) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"u": pa.array([u for f in found for u, _ in f], pa.int64()), "v": pa.array([v for f in found for _, v in f], pa.int64())})
+
+    return rows.groupBy("group").applyInArrow(run, "u long, v long").distinct()
+
+
+def cell_links(cell: pa.Table, shingle: int, threshold: float) -> list[tuple[int, int]]:
+    """The links of one cell (stray, _key, comp, _text), the greater key first."""
+    stray, keys, comps = (cell[c].to_numpy(zero_copy_only=False) for c in ("stray", "_key", "comp"))
+    strays, others = np.flatnonzero(stray), np.flatnonzero(~stray)
+    if not len(strays) or not len(others):
+        return []
+    parts = [shingles(data, offsets, shingle)[:2] for _, _, data, offsets in text_blocks(texts_of(cell["_text"].combine_chunks()))]
+    grams = np.concatenate([g for g, _ in parts])
+    at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(to) for _, to in parts]))))
+    sizes = np.diff(at)
+    common = common_counts(labelled_kmers(grams, at), sizes, strays, others)
+    needed = np.ceil(threshold * (sizes[strays][:, None] + sizes[others][None, :]) / (1 + threshold) - 1e-9)
+    x, y = np.nonzero((common >= needed) & (comps[strays][:, None] != comps[others][None, :]))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for k in np.argsort(-common[x, y], kind="stable").tolist():
+        i, j = int(strays[x[k]]), int(others[y[k]])
+        p, q = find(int(comps[i])), find(int(comps[j]))
+        if p != q and similarity(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]], threshold):
+            root[max(p, q)] = min(p, q)
+            out.append((int(max(keys[i], keys[j])), int(min(keys[i], keys[j]))))
+    return out
 
-    def level(c: str) -> Column:
-        return F.floor(F.log(c) / F.log(F.lit(SIZE_STEP)))
 
-    larger = found.select("kmer", level("size").alias("level"), F.col("major").alias("to"), *[F.col(c).alias(f"{c}_b") for c in ("_key", "comp", "size", "most")])
-    smaller = found.filter("most >= size").select("kmer", F.explode(F.sequence(level("size"), level("most"))).alias("level"), "major", *[F.col(c).alias(f"{c}_a") for c in ("_key", "comp", "size", "most")])
-    smaller = smaller.select("*", F.explode(F.when(F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("to")).drop("major")
-    met = smaller.join(larger, ["kmer", "level", "to"]).filter("(size_a < size_b or size_a = size_b and _key_a < _key_b) and size_b <= most_a and size_a <= most_b and comp_a <> comp_b")
-    return met.select(F.least("_key_a", "_key_b").alias("leader"), F.greatest("_key_a", "_key_b").alias("member")).distinct()
+def common_counts(kmers: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many k-mers each text of left shares with each of right; a text has each k-mer once."""
+    side = np.full((2, len(sizes)), -1)
+    side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column = np.unique(kmers, return_inverse=True)
+    (lr, lc), (rr, rc) = ((side[s][row][side[s][row] >= 0], column[side[s][row] >= 0]) for s in (0, 1))
+    width = int(column.max()) + 1 if len(column) else 0
+    nl, nr = np.bincount(lc, minlength=width), np.bincount(rc, minlength=width)
+    out = np.zeros(len(left) * len(right), np.float32)
+    order = np.argsort(rc, kind="stable")
+    first = np.concatenate(([0], np.cumsum(nr)))
+    # k-mers of few pairs one by one
+    few = nl * nr <= FEW
+    some = few[lc] & (nr[lc] > 0)
+    n = nr[lc[some]]
+    ends = np.cumsum(n)
+    whose = order[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first[lc[some]], n)]
+    if len(whose):
+        out += np.bincount(np.repeat(lr[some], n) * len(right) + rr[whose], minlength=len(out)).astype(np.float32)
+    out = out.reshape(len(left), len(right))
+    # the others by matrix products
+    many = np.flatnonzero(~few)
+    number = np.full(width, -1)
+    number[many] = np.arange(len(many))
+    for a in range(0, len(many), COLUMNS):
+        sides = []
+        for r, c, n_ in ((lr, number[lc], len(left)), (rr, number[rc], len(right))):
+            inside = (c >= a) & (c < a + COLUMNS)
+            x = np.zeros((n_, min(COLUMNS, len(many) - a)), np.float32)
+            x[r[inside], c[inside] - a] = 1
+            sides.append(x)
+        out += sides[0] @ sides[1].T
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,8 +329,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     # texts of equal words: one representative
     # aggregates that large groups are joined with are checkpointed, for Spark splits such a group only between plain shuffles
     heads = checkpoint(rows.filter("_words > 0").groupBy("_digest", "_other", "_words").agg(F.min("_key").alias("_head")))
-    texts = checkpoint(rows.join(heads, ["_digest", "_other", "_words"]).select("_key", "_head", "_sketches"))
-    members = texts.filter("_key = _head").select("_key", F.posexplode("_sketches").alias("band", "sketch"))
+    texts = checkpoint(rows.join(heads, ["_digest", "_other", "_words"]).select("_key", "_head", "_words", "_sketches"))
+    members = texts.filter("_key = _head").select("_key", F.col("_words").alias("words"), F.posexplode("_sketches").alias("band", "sketch"))
     mixed = F.struct(F.xxhash64("_key").alias("h"), "_key")
     leaders = checkpoint(members.groupBy("band", "sketch").agg(F.min("_key").alias("l1"), F.min(mixed)["_key"].alias("l2"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     met = checkpoint(members.join(leaders, ["band", "sketch"]))
@@ -304,16 +341,12 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     links = judged.filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v"))
     roots = components(links)
     # the rest: buckets of more than one component in which the leaders' pairs are not all pairs
-    placed_in = checkpoint(met.join(roots.withColumnRenamed("node", "_key"), "_key", "left").select("_key", F.coalesce("root", "_key").alias("comp"), "band", "sketch", F.expr("IF(l1 <> l2, 3, 2)").alias("all_met")))
-    split = checkpoint(placed_in.groupBy("band", "sketch").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min("all_met").alias("all_met")).filter("lo < hi and n > all_met").select("band", "sketch"))
-    rest = checkpoint(placed_in.join(split, ["band", "sketch"]).select("_key", "comp").distinct())
-    if rest.limit(1).count():
-        pairs = checkpoint(rest_pairs(rest, content, shingle, threshold).join(judged.select("leader", "member"), ["leader", "member"], "left_anti"))
-        release(spark)
-        found = checkpoint(verified(pairs, content, shingle, threshold).filter("near").select(F.col("member").alias("u"), F.col("leader").alias("v")))
+    placed_in = checkpoint(met.join(roots.withColumnRenamed("node", "_key"), "_key", "left").select("_key", F.coalesce("root", "_key").alias("comp"), "words", "band", "sketch", F.expr("IF(l1 <> l2, 3, 2)").alias("all_met")))
+    found = checkpoint(rest_links(placed_in, content, shingle, threshold))
+    release(spark)
+    if found.limit(1).count():
         links = links.unionByName(found)
-        if found.limit(1).count():
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     named = texts.select("_key", "_head").join(roots, F.col("_head") == roots["node"], "left").select("_key", "_head", F.coalesce("root", "_head").alias("_class"))
     placed = rows.select("_key").join(named, "_key", "left").select("_key", F.coalesce("_head", "_key").alias("_head"), F.coalesce("_class", "_key").alias("_class"))
     return docs, placed, links
