@@ -19,7 +19,11 @@ grams of `gram` units; equal windows have equal anchors at equal places. So:
 
 Records travel as rows of packed arrays, one for each bucket of hashes; each bucket is sorted
 in one task, and the number of buckets grows with the input, so that one holds BUCKET_BYTES of
-it or so. No step has a row for each pair of anything.
+it or so. No step has a row for each pair of anything, and no bucket fills with one frequent
+string: what a map task settles itself needs no bucket of its gram and is dealt out by document;
+rank pairs are dealt out by both ranks; and a gram that has more than CROWD contexts in one map
+task is dealt out by context, with a single mark in the gram's bucket that it has several.
+(Equal contexts that then don't meet are left open, and their windows meet in step 2.)
 """
 
 from __future__ import annotations
@@ -44,6 +48,10 @@ BUCKET_BYTES = 2 << 20
 LEAST_BUCKETS = 256
 #: Records that a map task gathers before it sends them.
 GATHER = 1 << 19
+#: Contexts of one gram in a map task from which on they are dealt out by context. It decides on work only.
+CROWD = 16
+#: The place of a mark in a bucket, and the bit of a gram's name that tells that it is dealt out by context.
+MARK, CROWDED = -1, np.uint32(1 << 31)
 
 BLOB = "bucket int, settled boolean, old boolean, n int, head binary, tail binary, ids binary, places binary"
 CODES = "doc_id long, code long"
@@ -122,10 +130,14 @@ def later(rule: Rule, ids: np.ndarray, group: np.ndarray, first: np.ndarray, old
 
 
 class Gatherer:
-    """Map side: gathers records and sends them by bucket, equal ones merged."""
+    """Map side: gathers records and sends them by bucket, equal ones merged.
 
-    def __init__(self, rule: Rule, buckets: int, old: bool = False, limit: int = GATHER):
-        self.rule, self.buckets, self.old, self.limit = rule, buckets, old, limit
+    spread says how buckets are dealt out: `gram` by head; `pair` by head and tail; `crowd` by
+    head, but by both where a head has more than CROWD tails, with a mark in the head's bucket.
+    """
+
+    def __init__(self, rule: Rule, buckets: int, spread: str, old: bool = False, limit: int = GATHER):
+        self.rule, self.buckets, self.spread, self.old, self.limit = rule, buckets, spread, old, limit
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
@@ -143,9 +155,25 @@ class Gatherer:
         self.parts, self.n = [], 0
         order = np.lexsort((places, ids, tail, head))
         ids, places, head, tail = ids[order], places[order], head[order], tail[order]
-        new = np.concatenate(([True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
+        new_head, new = changes(head), changes(head, tail)
         known = later(self.rule, ids, np.cumsum(new) - 1, np.flatnonzero(new))
-        bucket, head = (head % np.uint64(self.buckets)).astype(np.int64), (head // np.uint64(self.buckets)).astype(np.uint32)
+        n = np.uint64(self.buckets)
+        by_head, by_both = (head % n).astype(np.int64), (mix(head ^ mix(tail)) % n).astype(np.int64)
+        name = (head // n).astype(np.uint32)
+        bucket = by_both if self.spread == "pair" else by_head
+        if self.spread != "pair":
+            name &= ~CROWDED
+        if self.spread == "crowd":
+            of_head = np.cumsum(new_head) - 1
+            crowded = np.bincount(of_head[new])[of_head] > CROWD
+            marks = np.flatnonzero(new_head & crowded)
+            bucket = np.where(crowded, by_both, by_head)
+            # a mark stands for other contexts, so its tail is no context's own
+            ids, places, head, tail, name = (np.concatenate((c, m)) for c, m in ((ids, ids[marks]), (places, np.full(len(marks), MARK)), (head, head[marks]), (tail, ~tail[marks]), (name, name[marks])))
+            known, bucket = np.concatenate((known, np.zeros(len(marks), np.bool_))), np.concatenate((bucket, by_head[marks]))
+            # in a bucket by context a record stays open whatever else is there
+            name[: len(crowded)][crowded] |= CROWDED
+        bucket = np.where(known, (mix(ids.astype(np.uint64)) % n).astype(np.int64), bucket)
         rows = []
         for which, settled in ((~known, False), (known, True)):
             if settled and self.old:
@@ -153,7 +181,7 @@ class Gatherer:
             at = np.flatnonzero(which)
             at = at[np.lexsort((places[at], ids[at], bucket[at]))]
             edges = np.flatnonzero(np.concatenate(([True], bucket[at][1:] != bucket[at][:-1], [True]))) if len(at) else []
-            rows += [blob(int(bucket[at[a]]), settled, self.old, *(c[at[a:b]] for c in (ids, places, head, tail))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rows += [blob(int(bucket[at[a]]), settled, self.old, *(c[at[a:b]] for c in (ids, places, name, tail))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return blob_batch(rows)
 
 
@@ -210,7 +238,7 @@ def reduce_anchors(rule: Rule) -> Callable[[pa.Table], pa.Table]:
         keep = np.flatnonzero(~settled)
         order = keep[np.argsort(head[keep], kind="stable")]
         group = np.cumsum(changes(head[order])) - 1
-        order = order[np.bincount(group)[group] > 1] if len(order) else order
+        order = order[(np.bincount(group)[group] > 1) | (head[order] >= CROWDED)] if len(order) else order
         if len(order):
             order = order[np.lexsort((places[order], ids[order], ~old[order], tail[order], head[order]))]
             h, t, i, p, o = (c[order] for c in (head, tail, ids, places, old))
@@ -218,7 +246,8 @@ def reduce_anchors(rule: Rule) -> Callable[[pa.Table], pa.Table]:
             known = later(rule, i, np.cumsum(new) - 1, np.flatnonzero(new), o) & ~o
             of_head = np.cumsum(new_head) - 1
             contexts, fresh = np.bincount(of_head[new])[of_head], np.bincount(of_head[~o], minlength=of_head[-1] + 1)[of_head]
-            is_open = ~known & (contexts > 1) & (fresh > 0)
+            is_open = ~known & ((contexts > 1) & (fresh > 0) | (h >= CROWDED))
+            known, is_open = known & (p != MARK), is_open & (p != MARK)
             out_ids += [i[known], i[is_open]]
             out_codes += [4 * p[known], 4 * p[is_open] + 2 * o[is_open] + 1]
         return code_batch(np.concatenate(out_ids), np.concatenate(out_codes))
@@ -253,11 +282,11 @@ def bucket_count(docs: DataFrame, text_column: str) -> int:
     return max(LEAST_BUCKETS, size // BUCKET_BYTES)
 
 
-def anchor_blobs(docs: DataFrame, rule: Rule, buckets: int) -> DataFrame:
+def anchor_blobs(docs: DataFrame, rule: Rule, buckets: int, spread: str) -> DataFrame:
     """Map side of step 1 over (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gatherer(rule, buckets)
+        gather = Gatherer(rule, buckets, spread)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, _, data, offsets in text_blocks(batch.column(1)):
@@ -277,7 +306,7 @@ def pair_blobs(pending: DataFrame, rule: Rule, buckets: int, old: bool = False)
     """Map side of step 2 over (doc_id, compressed text, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gatherer(rule, buckets, old)
+        gather = Gatherer(rule, buckets, "pair", old)
         for whole in batches:
             for batch in pieces_of(whole):
                 ids = batch.column(0).to_numpy()
@@ -340,13 +369,13 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return row_numbers(docs, id_column, text_column, name="_key")[0]
 
 
-def marked(docs: DataFrame, rule: Rule, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with compressed text, `_codes` and `_windows`: settled anchors, and removed windows of open ones."""
+def marked(docs: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
+    """Boxed docs with compressed text, `_codes` and `_windows`: settled anchors, and removed windows of open ones."""
     spark = docs.sparkSession
     buckets = bucket_count(docs, text_column)
     docs = keyed(docs, id_column, text_column)
     source = docs.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
-    codes = checkpoint(lists(by_bucket(anchor_blobs(source, rule, buckets), reduce_anchors(rule)), "_codes"))
+    codes = checkpoint(lists(by_bucket(anchor_blobs(source, rule, buckets, "crowd"), reduce_anchors(rule)), "_codes"))
     release(spark)
     texts = squeezed(docs, text_column)
     pairs = pair_blobs(open_ones(texts, codes, text_column), rule, buckets)
@@ -363,7 +392,7 @@ def open_ones(texts: DataFrame, codes: DataFrame, text_column: str) -> DataFrame
 
 
 def finished(rows: DataFrame, rule: Rule, text_column: str, kept_columns: list[str], extra: str, make: Callable) -> DataFrame:
-    """Apply make(rule, row columns, bytes, offsets, unit starts, unit ends, covered) block by block; extra are the columns that it makes."""
+    """Apply make to boxed rows block by block: the kept columns, and those of extra, which it makes."""
     fields = [rows.schema[c] for c in kept_columns]
     chosen = rows.select(*kept_columns, F.col(text_column).alias("_text"), "_codes", "_windows")
     schema = T.StructType(fields + T._parse_datatype_string(extra).fields)

@@ -13,8 +13,8 @@ number all positions; equal bytes have equal names and no name depends on the pa
 
 Defined results: a null text is empty; texts shorter than the length lose nothing; strings may
 overlap and are judged on the input; equal doc_ids follow each other in the order of their
-texts as if their ids rose; an empty table gives an empty result; other columns are ignored by
-the contract's query and kept by `cleaned`.
+texts as if their ids rose; an empty table gives an empty result; other columns, whatever their
+names, are ignored by the contract's query and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import repeats
+from .columns import box, boxed, named
 
 LENGTH, GRAM = 50, 28
 
@@ -65,17 +66,16 @@ def kept_texts(batch, texts, data, offsets, at, starts, ends, covered):
 def judged(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     rule = rule_for(length)
-    slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    rows = repeats.marked(slim, rule)
+    rows = repeats.marked(named(docs, doc_id=id_column, text=text_column), rule, "doc_id", "text")
     return repeats.finished(rows, rule, "text", ["doc_id"], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", digests)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs, all their columns, with what stays of each text."""
     rule = rule_for(length)
-    rows = repeats.marked(docs, rule, id_column, text_column)
-    others = [c for c in docs.columns if c != text_column]
-    return repeats.finished(rows, rule, text_column, others, f"`{text_column}` string, _removed long", kept_texts).select(*docs.columns)
+    text, columns = box(docs, text_column), boxed(docs).columns
+    rows = repeats.marked(boxed(docs), rule, box(docs, id_column), text)
+    return repeats.finished(rows, rule, text, [c for c in columns if c != text], f"{text} string, removed long", kept_texts).select(*columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ ascending doc_id, so the result is that of the table at once.
 
 Defined results: a null text has no words (`cleaned` leaves it null); texts of fewer words
 than a window lose nothing; equal doc_ids in one batch follow each other in the order of their
-texts; an empty table gives an empty result; other columns are ignored by the contract's query
-and kept by `cleaned`.
+texts; an empty table gives an empty result; other columns, whatever their names, are ignored
+by the contract's query and kept by `cleaned`.
 """
 
 from __future__ import annotations
@@ -26,14 +26,16 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repeats
+from .columns import box, boxed, named
 from .spaces import checkpoint, release, shared_dir
 from .squeeze import squeezed
 
-LENGTH, GRAM, BATCHES, MAX_RUNS = 20, 8, 2, 4
+LENGTH, GRAM, BATCHES, MAX_RUNS = 20, 8, 4, 2
 SEPARATORS = b" \t\n\v\f\r"
 
 
@@ -57,23 +59,52 @@ def sorted_run(rule: repeats.Rule):
     return run
 
 
+MANIFEST = "version int, kind string, path string, length int, gram int, buckets long"
+
+
 class FingerprintIndex:
-    """Runs of window hashes, and the texts to verify them, in a folder that all executors share."""
+    """Runs of window hashes, and the texts to verify them, in a folder that all executors share.
+
+    The folder's manifest is a table with the runs and texts of every version of the index; a
+    version's rows are written, in one file, after all else that it needs. So an index that is
+    opened again, by this job or a later one, has what was appended completely, and files of an
+    append that was cut short are never read. There is one writer at a time.
+    """
 
     def __init__(self, spark: SparkSession, rule: repeats.Rule, buckets: int, folder: str | None = None):
         self.spark, self.rule, self.buckets = spark, rule, buckets
         self.folder = folder or f"{shared_dir(spark)}/window-index-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.texts: list[str] = []
-        self.made = 0
+        self.version, self.runs, self.texts = 0, [], []
+        if folder is not None:
+            self.recover()
+
+    def recover(self) -> None:
+        """Take over the last version in the folder, if there is one."""
+        try:
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()  # a row for each run and text of each version
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return
+        self.version = max((r["version"] for r in rows), default=0)
+        last = [r for r in rows if r["version"] == self.version]
+        if any((r["length"], r["gram"]) != (self.rule.length, self.rule.gram) for r in last):
+            raise ValueError(f"the index in {self.folder} is for other windows")
+        self.runs, self.texts = ([r["path"] for r in last if r["kind"] == kind] for kind in ("run", "text"))
+        self.buckets = last[0]["buckets"] if last else self.buckets
+
+    def commit(self, runs: list[str], texts: list[str]) -> None:
+        """Make these the index's runs and texts."""
+        rows = [(self.version + 1, kind, path, self.rule.length, self.rule.gram, self.buckets) for kind, paths in (("run", runs), ("text", texts)) for path in paths]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self.version, self.runs, self.texts = self.version + 1, runs, texts
 
     def append(self, batch: DataFrame, text_column: str = "text") -> DataFrame:
-        """Add a batch that has a unique long `_key`; gives it back with compressed text, `_codes` and `_windows` (see `repeats.finished`)."""
+        """Add a batch that has a unique long `_key`, greater than those of history or not; gives it back with compressed text, `_codes` and `_windows` (see `repeats.finished`)."""
         spark, rule = self.spark, self.rule
-        self.made += 1
-        run, text = f"{self.folder}/run-{self.made:05d}", f"{self.folder}/text-{self.made:05d}"
+        run, text = (f"{self.folder}/{kind}-{self.version + 1:05d}-{uuid.uuid4().hex[:8]}" for kind in ("run", "text"))
         source = batch.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
-        repeats.anchor_blobs(source, rule, self.buckets).groupBy("bucket").applyInArrow(sorted_run(rule), repeats.BLOB).write.parquet(run)
+        repeats.anchor_blobs(source, rule, self.buckets, "gram").groupBy("bucket").applyInArrow(sorted_run(rule), repeats.BLOB).write.parquet(run)
         squeezed(batch, text_column).write.parquet(text)
         release(spark)
         merged = spark.read.parquet(run)
@@ -90,18 +121,16 @@ class FingerprintIndex:
         windows = checkpoint(repeats.lists(repeats.by_bucket(pairs, repeats.reduce_pairs(rule)), "_windows"))
         del pairs
         release(spark)
-        self.runs.append(run)
-        self.texts.append(text)
+        self.commit([*self.runs, run], [*self.texts, text])
         if len(self.runs) > MAX_RUNS:
             self.compact()
         return texts.join(fresh, "_key", "left").join(windows, "_key", "left")
 
     def compact(self) -> None:
         """Merge all runs to one."""
-        self.made += 1
-        path = f"{self.folder}/run-{self.made:05d}"
+        path = f"{self.folder}/run-{self.version + 1:05d}-{uuid.uuid4().hex[:8]}"
         self.spark.read.parquet(*self.runs).filter("not settled").groupBy("bucket").applyInArrow(sorted_run(self.rule), repeats.BLOB).filter("not settled").write.parquet(path)
-        self.runs = [path]
+        self.commit([path], self.texts)
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -115,6 +144,7 @@ def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def indexed(docs: DataFrame, length: int, id_column: str, text_column: str, batches: int) -> tuple[DataFrame, repeats.Rule]:
+    """Boxed docs through an index of their own, batch after batch."""
     rule = rule_for(length)
     index = FingerprintIndex(docs.sparkSession, rule, repeats.bucket_count(docs, text_column))
     out = None
@@ -152,16 +182,15 @@ def kept_texts(batch, texts, data, offsets, at, starts, ends, covered):
 
 def judged(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    rows, rule = indexed(slim, length, "doc_id", "text", batches)
+    rows, rule = indexed(named(docs, doc_id=id_column, text=text_column), length, "doc_id", "text", batches)
     return repeats.finished(rows, rule, "text", ["doc_id"], "n_words long, n_removed long, kept_sha256 string", digests)
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES) -> DataFrame:
     """docs, all their columns, with what stays of each text."""
-    rows, rule = indexed(docs, length, id_column, text_column, batches)
-    others = [c for c in docs.columns if c != text_column]
-    return repeats.finished(rows, rule, text_column, others, f"`{text_column}` string, _removed long", kept_texts).select(*docs.columns)
+    text, columns = box(docs, text_column), boxed(docs).columns
+    rows, rule = indexed(boxed(docs), length, box(docs, id_column), text, batches)
+    return repeats.finished(rows, rule, text, [c for c in columns if c != text], f"{text} string, removed long", kept_texts).select(*columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
