@@ -9,9 +9,10 @@ own. Likeness of two exact digests is 1 if they are equal and else 0.
 Neighbours in ascending doc_id come from one range partitioning by doc_id: texts move once.
 The last document of a partition meets the first of the next one in a small second step.
 
-Defined results: a null text is empty; equal doc_ids follow each other in an order
-that their texts fix; a single document is its own next one; an empty table gives an empty result; other
-columns are ignored.
+Defined results: a null text is empty; equal doc_ids, and null ones, which come first, follow
+each other in the order of their texts and are documents of their own; group_id is the doc_id of
+the group's first document; a single document is its own next one; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import tidied
+from .columns import named
+from .repeats import keyed, unique_ids
 from .spaces import checkpoint
 from .squeeze import squeezed
 
@@ -149,6 +152,18 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The contract's columns, and group_id and copies, of every document."""
+    docs = named(docs, doc_id=id_column, text=text_column)
+    if unique_ids(docs, "doc_id"):
+        return digested(docs, "doc_id", "text")
+    docs = keyed(docs, "doc_id", "text")
+    names = docs.select("_key", "doc_id")
+    found = digested(docs, "_key", "text").withColumnsRenamed({"doc_id": "_key", "group_id": "_group"})
+    found = found.join(names, "_key").join(names.select(F.col("_key").alias("_group"), F.col("doc_id").alias("group_id")), "_group")
+    return found.select(*[f for f, _ in FIELDS if f not in ("part", "role", "edge")], "group_id", "copies")
+
+
+def digested(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """with_next for ids that are unique and not null."""
     kind = docs.schema[id_column].dataType
     kept = ranged_pass(docs, id_column, text_column)
     firsts = kept.filter("role = 'first'").select(F.col("part").alias("to"), F.col("edge").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import BYTE_VALUES, mix, text_blocks, tidied
-from .columns import boxed, free_name, named
+from .columns import box, boxed, free_name, named
 
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 13
@@ -255,11 +255,11 @@ def held_out(id_column: str) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(4)) == 2
 
 
-def predictions(docs: DataFrame, model: Model, *columns: Column, text_column: str = "text") -> DataFrame:
-    """The given columns with lang_pred, score and rejected (with underscores after names that are taken) for every whole text."""
-    made = docs.select(*columns)
-    names_out = [*made.columns, *(free_name(made, c) for c in ("lang_pred", "score", "rejected"))]
-    source = boxed(docs.select(*columns, docs[text_column]))
+def predictions(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs, or the given columns of it, with lang_pred, score and rejected (and underscores after names that are taken) for every whole text."""
+    keep = docs.columns if keep is None else keep
+    inner = boxed(docs)
+    source = inner.select(*[F.col(box(docs, c)).alias(f"c{i}") for i, c in enumerate(keep)], F.col(box(docs, text_column)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +267,8 @@ def predictions(docs: DataFrame, model: Model, *columns: Column, text_column: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
     added = T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields
-    return source.mapInArrow(tidied(run), T.StructType(source.schema.fields[:-1] + added)).toDF(*names_out)
+    kept = source.drop("text")
+    return source.mapInArrow(tidied(run), T.StructType(kept.schema.fields + added)).toDF(*keep, *(free_name(kept.toDF(*keep), f.name) for f in added))
 
 
 def confident(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -288,4 +289,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5 over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.filter(~held_out("doc_id")))
-    return predictions(docs, model, F.col("doc_id"), held_out("doc_id").alias("held_out"))
+    return predictions(docs.withColumn("held_out", held_out("doc_id")), model, keep=["doc_id", "held_out"])

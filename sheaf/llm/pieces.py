@@ -35,10 +35,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import BYTE_VALUES, MASK, mix, prefix_hash, span_hash, text_blocks, tidied
+from .columns import boxed, free_name, named
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 17
@@ -430,7 +430,7 @@ def decode_column(model: Pieces, column: pa.ListArray) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, text_column: str = "text", name: str = "tokens") -> DataFrame:
-    """docs with their token ids; a null text has null tokens."""
+    """docs with their token ids; a null text has null tokens. A name that docs have already gets underscores after it."""
     path = model or public_tokenizers.path(MODEL)
     place = docs.columns.index(text_column)
 
@@ -440,22 +440,24 @@ def encode(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT,
             tokens = encode_column(pieces(path), column, dropout, seed)
             if column.null_count:
                 tokens = pc.if_else(pc.is_valid(column), tokens, pa.scalar(None, tokens.type))
-            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, tokens], [*batch.schema.names, "made"])
 
-    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
+    inner = boxed(docs)
+    return inner.mapInArrow(tidied(run), T.StructType([*inner.schema.fields, T.StructField("made", T.ArrayType(T.IntegerType()))])).toDF(*docs.columns, free_name(docs, name))
 
 
 def decode(encoded: DataFrame, model: str | None = None, tokens: str = "tokens", name: str = "decoded") -> DataFrame:
-    """encoded with the texts of its token ids."""
+    """encoded with the texts of its token ids. A name that it has already gets underscores after it."""
     path = model or public_tokenizers.path(MODEL)
     place = encoded.columns.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = decode_column(pieces(path), batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, "made"])
 
-    return encoded.mapInArrow(tidied(run), T.StructType([*encoded.schema.fields, T.StructField(name, T.StringType())]))
+    inner = boxed(encoded)
+    return inner.mapInArrow(tidied(run), T.StructType([*inner.schema.fields, T.StructField("made", T.StringType())])).toDF(*encoded.columns, free_name(encoded, name))
 
 
 def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -473,7 +475,7 @@ def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: floa
                 same = pc.equal(back, pc.fill_null(part.column(1).cast(pa.large_string()), ""))
                 yield pa.RecordBatch.from_arrays([part.column(0), pc.list_value_length(tokens).cast(pa.int64()), tokens, same], ["doc_id", "n_tokens", "tokens", "lossless"])
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, tokens array<int>, lossless boolean")
+    return named(docs, doc_id=id_column, text=text_column).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, tokens array<int>, lossless boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .columns import named
 from .numbering import row_numbers
 
 ROUNDS = 6
@@ -60,12 +61,8 @@ def permuted(rows: DataFrame, total: int, seed: int, number: str = "row_number",
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, row_number, place, shard and slot of every document."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    narrow = docs.select(
-        F.col(id_column).alias("doc_id"),
-        (F.octet_length(F.col(text_column)).cast("long")).alias("_bytes"),
-        F.crc32(text).alias("text_crc32"),
-    ).select("doc_id", (F.coalesce("_bytes", F.lit(0).cast("long")) + 16).alias("size"), "text_crc32")
+    text = F.coalesce("text", F.lit(""))
+    narrow = named(docs, doc_id=id_column, text=text_column).select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"))
     numbered, total = row_numbers(narrow, "doc_id", "size", "text_crc32")
     placed = permuted(numbered, total, seed)
     return placed.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", (F.col("place") / shards).cast("long"))

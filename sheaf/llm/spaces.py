@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests) a folder of this machine."""
+    """spark.checkpoint.dir of the session; only where it is unset, in local mode (tests), a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isDefined():
             return context.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         found = tempfile.mkdtemp(prefix="sheaf-checkpoints-")
     return found
 
@@ -33,8 +35,11 @@ def release(spark: SparkSession, rounds: int = 2, pause: float = 0.4) -> None:
     """Let Spark drop the shuffle files of steps whose results are checkpointed; call it once nothing refers to them.
 
     What the first collection leaves for the JVM's finalisers only the second one frees; the
-    pauses are for Spark's cleaner, which works in the background.
+    pauses are for Spark's cleaner, which works in the background. It only saves disk: where there
+    is plenty, spark.sheaf.release = false leaves it to Spark's own pace.
     """
+    if spark.conf.get("spark.sheaf.release", "true") == "false":
+        return
     for _ in range(rounds):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -36,9 +36,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .arrays import tidied
+from .columns import named
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -260,8 +260,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LI
             tokens = np.fromiter((count(x) if (x := t.as_py()) else 0 for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(tidied(counted), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return named(docs, doc_id=id_column, text=text_column).mapInArrow(tidied(counted), f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,13 +318,13 @@ def test_language_fit_is_reproducible(spark):
 def test_language_edges(docs, texts, empty):
     model = language.fit(docs)
     assert np.isfinite(model.table).all()
-    out = by_id(language.predictions(docs, model, F.col("doc_id")))
+    out = by_id(language.predictions(docs, model))
     for i, t in enumerate(texts):
         letter = any(c.isalpha() for c in t or "")
         assert (out[i]["lang_pred"] == "und") == (not letter) and 0 <= out[i]["score"] <= 1
     nothing = language.fit(empty)
-    assert {r["lang_pred"] for r in language.predictions(docs, nothing, F.col("doc_id")).collect()} == {"und"}
-    assert language.predictions(empty, model, F.col("doc_id")).collect() == []
+    assert {r["lang_pred"] for r in language.predictions(docs, nothing).collect()} == {"und"}
+    assert language.predictions(empty, model).collect() == []
     assert language.confident(docs, model).columns == docs.columns
 
 
@@ -494,6 +494,35 @@ def test_repeated_ids_come_in_text_order(spark):
     assert sorted(r["n_removed"] for r in suffixes.judged(df).collect()) == [0, 0, len(t.encode()), len(t.encode())]
 
 
+def test_frequent_strings_fill_no_bucket(spark, monkeypatch):
+    """A licence in every document, each with its own words around it: buckets stay even, and results are those of brute force."""
+    licence = words(40, 77)
+    pairs = [(i, f"{words(12, 1000 + i)} x{i} {licence} y{i} {words(12, 5000 + i)}") for i in range(400)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(2).cache()
+    got = {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in by_id(suffixes.judged(df)).items()}
+    assert got == brute_bytes(pairs, 50)
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    assert got == {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in by_id(suffixes.judged(df)).items()}
+    blobs = repeats.anchor_blobs(df, suffixes.rule_for(), 64, "crowd")
+    n = [r["n"] for r in blobs.groupBy("bucket").agg(F.sum("n").alias("n")).collect()]
+    assert max(n) <= 4 * sum(n) / 64
+
+
+def test_index_is_reopened(spark, tmp_path):
+    """An index opened again has all that was committed; what an append left that was cut short is not read."""
+    rule, folder = windows.rule_for(4), str(tmp_path / "index")
+    removed = []
+    for i in range(5):
+        index = windows.FingerprintIndex(spark, rule, 8, folder)
+        assert index.version == len({r["version"] for r in spark.read.parquet(f"{folder}/manifest").collect()}) if i else index.version == 0
+        (tmp_path / "index" / f"run-00099-{i}").mkdir(parents=True)  # of an append that did not end
+        df = repeats.keyed(spark.createDataFrame([(i, words(30, i % 2))], "doc_id long, text string"), "doc_id", "text")
+        removed.append(repeats.finished(index.append(df), rule, "text", ["doc_id"], "n_words long, n_removed long, kept_sha256 string", windows.digests).first()["n_removed"])
+    assert removed == [0, 0, 30, 30, 30] and len(index.runs) <= windows.MAX_RUNS and index.version > 5
+    with pytest.raises(ValueError, match="other windows"):
+        windows.FingerprintIndex(spark, windows.rule_for(6), 8, folder)
+
+
 def test_index_compacts(spark, monkeypatch):
     monkeypatch.setattr(windows, "MAX_RUNS", 2)
     rule = windows.rule_for(4)
@@ -590,6 +619,111 @@ def test_pieces_frames(docs, texts, empty):
 # pipeline and registered queries
 
 
+CLASHES = ["_key", "_codes", "_windows", "_text", "_at", "_part", "tokens", "decoded", "lang_pred", "key", "c0", "c1", "TEXT", "part", "number", "_class", "class_id", "row", "removed", "spans"]
+
+
+@pytest.mark.parametrize("ids", ["unique", "repeated"])
+def test_clashing_columns_keep_their_values(spark, texts, ids):
+    """Every operator and stage that keeps columns, on a table with columns of all names that are made inside."""
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    some = texts[:10]
+    rows_ = [(i if ids == "unique" else i // 2, t, "en", "s", len(t or ""), *(f"{c}-{i}" for c in CLASHES)) for i, t in enumerate(some)]
+    df = spark.createDataFrame(rows_, ["doc_id", "text", "lang", "source", "n_chars", *(f"x{i}" for i in range(len(CLASHES)))]).toDF("doc_id", "text", "lang", "source", "n_chars", *CLASHES)
+    bench = spark.createDataFrame([(1, words(60, 2), "b"), (2, "zz yy", "b")], "item_id long, text string, key string")
+    model_ = language.fit(df)
+    made = {
+        "near": near.deduplicated(df), "suffixes": suffixes.cleaned(df), "windows": windows.cleaned(df), "confident": language.confident(df, model_),
+        "decontaminate": decontaminate.cleaned(df, bench), "blocks": decontaminate.cleaned(df, bench, block_bytes=30),
+        "encode": pieces.encode(df), "decode": pieces.decode(pieces.encode(df), tokens="tokens_"),
+    }
+    made |= {name: stage(spark, df, DATA) for name, stage in corpus_pipeline.STAGES[:-1] if name != "substrings"}
+    values = {r[5]: tuple(r[5:]) for r in rows_}
+    for name, out in made.items():
+        assert out.columns[: len(df.columns)] == df.columns, name
+        got = [tuple(r)[5 : len(df.columns)] for r in out.collect()]
+        assert got and all(values[g[0]] == g for g in got), name
+        assert len(got) == len(some) or name in ("near", "confident", "decontaminate", "blocks", "language", "near_duplicates", "decontamination"), name
+    assert made["encode"].columns[-1] == "tokens_" and made["decode"].columns[-2:] == ["tokens_", "decoded_"]
+    assert sorted(map(str, (r[-1] for r in made["decode"].collect()))) == sorted(map(str, some))
+    for out in (tokens.token_counts(df), near.near_classes(df), sharding.shard(df, 3), language.predictions(df, model_), decontaminate.contamination(df, bench), fingerprint.with_next(df), suffixes.judged(df), windows.judged(df), pieces.encoded_and_checked(df)):
+        assert len(out.collect()) == len(some)
+    urls_ = df.select("doc_id", *CLASHES).toDF("page_id", "url", "host", "path", "label", "fold", "score", "_rule", "_suffix", "_domain", "_section", "_yes", "_n", *(f"h{i}" for i in range(len(CLASHES) - 12)))
+    assert len(urls.classify(urls_).collect()) == len(some)
+
+
+def test_language_samples_distinct_texts(spark):
+    """A group of copies counts once, rare languages stay, and the number of rows is bounded."""
+    common = [("en", f"the {words(8, i)} and") for i in range(600)]
+    for seed in range(3):
+        rows_ = [("en", words(20, seed))] * 8000 + common + [("fr", f"le la les des une {i} bonjour") for i in range(20)]
+        df = spark.createDataFrame(rows_, "lang string, text string").repartition(7)
+        got = language.training_rows(df, "text", "lang", 200).collect()
+        n = {k: len({r["key"] for r in got if r["lang"] == k}) for k in ("en", "fr")}
+        assert n == {"en": 200, "fr": 40} and len(got) == 240
+    assert set(language.fit(df, max_training=200).languages) == {"en", "fr"}
+    alone = spark.createDataFrame([("en", "one text of many copies")] * 8000, "lang string, text string").repartition(4)
+    assert len(language.training_rows(alone, "text", "lang", 3000).collect()) == 2 and language.fit(alone).languages == ["en"]
+
+
+def test_url_sample_and_held_out_rules(spark):
+    same = spark.createDataFrame([(i, "http://a.org/x") for i in range(3000)] + [(i, f"http://b.com/de/{i}") for i in range(40)], "page_id long, url string")
+    assert {(r["host"], r["verdict"]) for r in urls.classify(same, max_training=30).collect()} == {("a.org", "allow"), ("b.com", "block")}
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = urls.classify(pages, held_out=True).filter(f"rule is not null and fold = {urls.FOLDS - 1}")
+    by = {r["rule"]: (r["n"], r["right"] / r["n"]) for r in out.groupBy("rule").agg(F.count("*").alias("n"), F.count_if((F.col("score") >= 0.5) == (F.col("verdict") == "allow")).alias("right")).collect()}
+    assert all(share > 0.8 for n, share in by.values() if n >= 20)
+
+
+def test_fingerprints_without_unique_ids(spark):
+    df = spark.createDataFrame([(None, "Same"), (None, "same "), (3, "SAME"), (3, "other"), (3, "Other"), (4, None), (4, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_chars"], r["group_id"], r["copies"]) for r in fingerprint.with_next(df).collect()), key=repr)
+    assert got == sorted([(0, 4, None, 3), (0, 5, None, 3), (3, 4, None, 3), (3, 5, 3, 2), (3, 5, 3, 2), (4, 0, 4, 2), (4, 0, 4, 2)], key=repr)
+
+
+def test_canonical_form():
+    """Against a plain reading of the definition, character class by character class."""
+    import unicodedata
+
+    for text, want in (("  A\t\nb ", "a b"), ("ﬁ Ｆｕｌｌ", "fi full"), ("Straße", "strasse"), ("a\u0301", "á"), ("Å", "å"), ("x\u00a0\u2003y", "x y"), ("①½", "11⁄2"), ("", ""), ("\u3000", "")):
+        assert fingerprint.canonical(text) == want and fingerprint.canonical(unicodedata.normalize("NFD", text)) == want
+        assert fingerprint.fingerprint(text) == xxhash.xxh3_128_hexdigest(want.encode())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PIECE_TEXT, min_size=1, max_size=4), st.sampled_from([0.1, 0.4]))
+def test_dropout_agenda_by_brute_force(model, texts_, dropout):
+    """Each segment by the plain agenda: among all adjacent pairs that merge and are not skipped, the best rank, the leftmost first."""
+    spelt = {bytes(model.spelt[model.spelt_at[i] : model.spelt_at[i + 1]]): i for i in range(model.size)}
+    for text, got in zip(texts_, pieces.encode_column(model, pa.array(texts_), dropout).to_pylist(), strict=True):
+        want = []
+        raw = text.encode()
+        whose = int(pieces.span_hash(pieces.prefix_hash(pieces.BYTE_VALUES[np.frombuffer(raw, np.uint8)]), np.array([0]), np.array([len(raw)]))[0]) if raw else 0
+        segments = [m[0] for m in re.finditer(r"^ +[^ ]*|^[^ ]+| +[^ ]*", text)]
+        for k, segment in enumerate(segments):
+            marked = (" " if k == 0 else "") + segment
+            variant = pieces.mixed(whose ^ pieces.mixed(k + pieces.SEED * 0x9E3779B97F4A7C15 & pieces.MASK))
+            key = pieces.mixed(variant + (pieces.SEED * 0xD1B54A32D192ED03 & pieces.MASK) & pieces.MASK)
+            chars = [pieces.LITERAL_MARK if c == "\u2581" else pieces.MARK if c == " " else ord(c) for c in marked]
+            symbols, edges, skips = [int(model.symbol_of[c]) for c in chars], list(range(len(chars) + 1)), {}
+            while True:
+                best = None
+                for i in range(len(symbols) - 1):
+                    place = edges[i], edges[i + 1], edges[i + 2]
+                    found = model.pairs.get(symbols[i] << 32 | symbols[i + 1])
+                    if found and place not in skips:
+                        skips[place] = pieces.mixed(key ^ pieces.mixed(place[0] << 42 ^ place[1] << 21 ^ place[2])) >> 11 < dropout * (1 << 53)
+                    if found and not skips[place] and (best is None or found[0] < best[0]):
+                        best = found[0], i, found[1]
+                if best is None:
+                    break
+                symbols[best[1] : best[1] + 2] = [best[2]]
+                del edges[best[1] + 1]
+            for s, a, b in zip(symbols, edges, edges[1:], strict=False):
+                piece = "".join("\u2581" if c == pieces.LITERAL_MARK else " " if c == pieces.MARK else chr(c) for c in chars[a:b]).encode()
+                want += [s] if s < model.size else [int(model.byte_ids[x]) for x in ("\u2581".encode() if piece == b" " and chars[a] == pieces.MARK and b"" not in spelt and s >= model.size else piece)]
+        assert got == want
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     whole = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
@@ -599,6 +733,18 @@ def test_pipeline(spark):
     assert ids <= {k for k, c in classes.items() if k == c} and len(ids) >= 0.95 * len(set(classes.values()))
 
 
+def test_stages_on_edge_cases(spark, docs, empty):
+    """Nulls, empty texts, ties, repeats, clashing columns; and no rows at all."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, DATA)
+        assert out.collect() == [] and (name == "encoding" or out.columns == empty.columns)
+    df = docs
+    for _, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, DATA)
+    got = df.collect()
+    assert len(got) == len({r["doc_id"] for r in got}) > 3 and all(r["lossless"] for r in got)
+
+
 def test_stages_keep_columns(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
