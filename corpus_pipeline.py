@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir), where docs are all documents that the stage before it
 kept, and returns a DataFrame; all but the last return the columns of documents. run() writes
 each stage's result as Parquet to the shared folder and reads it again as the next one's docs.
+
+Defined results of every stage: no documents give no documents; extra columns stay, whatever
+their names; repeated rows are documents of their own. Null, empty and blank texts and texts
+without a letter go in the first stage, unless nothing was there to learn a language from; what
+gets this far without a text stays a class of its own in the second, goes in the third, and has
+no tokens in the last. Ties between near-duplicates go to the least doc_id, of equal ids to the
+least text.
 """
 
 from __future__ import annotations
@@ -13,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import decontaminate, language, near, pieces, windows
+from sheaf.llm.columns import box, boxed
 from sheaf.llm.spaces import release, shared_dir
 
 
@@ -31,8 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: words in windows of 20 words that start earlier are cut out; documents of which nothing stays go."""
-    cut = with_length(windows.cleaned(docs))
-    return cut.filter(F.length(F.trim("text")) > 0)
+    return with_length(windows.cleaned(docs), empty=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +53,15 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pieces.encoded_and_checked(docs)
 
 
-def with_length(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+def with_length(docs: DataFrame, empty: bool = True) -> DataFrame:
+    """docs with n_chars, if they have it, as the text now is; without texts that are blank or null if not `empty`."""
+    inner, text = boxed(docs), box(docs, "text")
+    if "n_chars" in docs.columns:
+        n = box(docs, "n_chars")
+        inner = inner.withColumn(n, F.length(text).cast(inner.schema[n].dataType))
+    if not empty:
+        inner = inner.filter(F.length(F.trim(text)) > 0)
+    return inner.toDF(*docs.columns)
 
 
 STAGES = [
