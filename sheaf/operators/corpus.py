@@ -45,6 +45,31 @@ def with_credibility(papers: DataFrame, signals: DataFrame) -> DataFrame:
     }).drop("new_citations", "new_influential", "new_venue")
 
 
+def with_status(papers: DataFrame, changes: DataFrame) -> DataFrame:
+    """papers with the last status and the last URL that changes (paper_id, ord, status, url) set; nulls set nothing, and unknown papers stay unknown."""
+    last = changes.groupBy("paper_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(f"_{c}") for c in ("status", "url")])
+    out = papers.join(last, "paper_id", "left")
+    return out.withColumns({"fulltext_status": F.coalesce("_status", "fulltext_status"), "open_access_pdf_url": F.coalesce("_url", "open_access_pdf_url")}).drop("_status", "_url")
+
+
+#: Columns of papers that older tables lack: type and default.
+ADDED = {"fulltext_status": ("string", "none"), "open_access_pdf_url": ("string", None), "influential_citation_count": ("int", None), "venue": ("string", None)}
+
+
+def migrated(papers: DataFrame) -> DataFrame:
+    """papers with the columns that they lack, at their defaults; as they are if they lack none."""
+    return papers.withColumns({c: F.lit(default).cast(kind) for c, (kind, default) in ADDED.items() if c not in papers.columns})
+
+
+def seeds_resolved(seeds: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(papers of the seeds (ord, seed), one for each source_id, the first; failures): found has a row (seed, source_id) or (seed, error) for each seed that was looked up."""
+    asked = seeds.select("ord", strip(F.col("seed")).alias("seed")).filter("seed <> ''")
+    looked = asked.join(found, "seed", "left")
+    hits = looked.filter("source_id is not null").groupBy("source_id").agg(F.min_by("seed", "ord").alias("seed"), F.min("ord").alias("ord"))
+    failed = looked.filter("source_id is null").select("ord", F.concat("seed", F.lit(": "), F.coalesce("error", F.lit("not found"))).alias("failure"))
+    return hits, failed
+
+
 def last_written(log: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Put: the last row of each key."""
     return first_seen(log, keys, *(F.desc(c) for c in order))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, strip, tag_body
+from .scans import placed, running
 
 #: The dimension that must reach GATE_SCORE, by kind of candidate.
 GATES = {"graph": "groundedness", "synthesis": "faithfulness", "review": "faithfulness", "plan": "corpus_fit"}
@@ -73,8 +74,21 @@ def with_membership(rows: DataFrame, panel: DataFrame, column: str) -> DataFrame
     return rows.withColumn("_trim", strip(F.col(column))).join(ids, F.col("_trim") == F.col("_id"), "left").withColumn("member", F.coalesce("member", F.lit(False))).drop("_trim", "_id")
 
 
-def synthesis_vetoes(claims: DataFrame, sources: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and reason of syntheses whose first faulty claim (claim_ord, text) has no source, or only invalid ones."""
+#: What candidates without any content are told: fixed values.
+NO_CLAIMS = "Traceability veto: synthesis has zero claims — every claim must cite at least one source paper ID."
+NO_NODES = "Traceability veto: argumentation graph has zero nodes — every node must have a non-empty expert_id."
+
+
+def with_empty(vetoes: DataFrame, candidates: DataFrame | None, content: DataFrame, keys: list[str], reason: str) -> DataFrame:
+    """vetoes, and one for each candidate (keys) that has no content."""
+    if candidates is None:
+        return vetoes
+    empty = candidates.select(*keys).distinct().join(content.select(*keys).distinct(), keys, "left_anti")
+    return vetoes.unionByName(empty.withColumn("reason", F.lit(reason)))
+
+
+def synthesis_vetoes(claims: DataFrame, sources: DataFrame, panel: DataFrame, keys: list[str], candidates: DataFrame | None = None) -> DataFrame:
+    """keys and reason of syntheses whose first faulty claim (claim_ord, text) has no source, or only invalid ones; and of candidates (keys) without any claim."""
     checked = with_membership(sources, panel, "source_id")
     checked = checked.groupBy(*keys, "claim_ord").agg(F.max(valid_source(F.col("source_id"), F.col("member"))).alias("some_valid"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_ord", "source_id"))), lambda s: s["source_id"]), ", ").alias("labels"))
     short = F.substring("text", 1, 80)
@@ -83,11 +97,11 @@ def synthesis_vetoes(claims: DataFrame, sources: DataFrame, panel: DataFrame, ke
         .when(~F.col("some_valid"), F.concat(F.lit("Traceability veto: claim sources are all invalid ids ("), "labels", F.lit(') — sources must be arxiv:… or s2:… paper ids of the provided papers (claim: "'), short, F.lit('"…).')))
     )
     judged = claims.join(checked, [*keys, "claim_ord"], "left").withColumn("reason", message)
-    return judged.groupBy(*keys).agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("claim_ord"))).alias("reason")).filter("reason is not null")
+    return judged.groupBy(*keys).agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("claim_ord"))).alias("reason")).filter("reason is not null").transform(with_empty, candidates, claims, keys, NO_CLAIMS)
 
 
-def graph_vetoes(nodes: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and reason of graphs whose first faulty node (node_ord, expert_id, claim) has a blank or invalid expert."""
+def graph_vetoes(nodes: DataFrame, panel: DataFrame, keys: list[str], candidates: DataFrame | None = None) -> DataFrame:
+    """keys and reason of graphs whose first faulty node (node_ord, expert_id, claim) has a blank or invalid expert; and of candidates (keys) without any node."""
     short = F.substring("claim", 1, 80)
     checked = with_membership(nodes, panel, "expert_id")
     message = (
@@ -95,7 +109,7 @@ def graph_vetoes(nodes: DataFrame, panel: DataFrame, keys: list[str]) -> DataFra
         .when(~valid_source(F.col("expert_id"), F.col("member")), F.concat(F.lit("Traceability veto: node expert_id is invalid ("), "expert_id", F.lit(') — expert_id must be an arxiv:… or s2:… paper id or a known panel id (claim: "'), short, F.lit('"…).')))
     )
     judged = checked.withColumn("reason", message)
-    return judged.groupBy(*keys).agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("node_ord"))).alias("reason")).filter("reason is not null")
+    return judged.groupBy(*keys).agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("node_ord"))).alias("reason")).filter("reason is not null").transform(with_empty, candidates, nodes, keys, NO_NODES)
 
 
 def feedback(scores: DataFrame, keys: list[str], threshold: int = FEEDBACK_THRESHOLD, vetoes: DataFrame | None = None) -> DataFrame:
@@ -122,11 +136,11 @@ def feedback(scores: DataFrame, keys: list[str], threshold: int = FEEDBACK_THRES
 
 
 def guarded(calls: DataFrame, group: list[str], most_calls: int, most_seconds: float) -> DataFrame:
-    """calls (ord, seconds, judges) with whether the run's guards still let each one go ahead."""
-    before = Window.partitionBy(*group).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    spent = F.coalesce(F.sum("seconds").over(before), F.lit(0.0))
-    used = F.coalesce(F.count("*").over(before), F.lit(0))
-    return calls.withColumn("stopped_by", F.when(spent > most_seconds, "time").when(used + F.coalesce("judges", F.lit(0)) >= most_calls, "calls"))
+    """calls (ord, seconds, judges) with whether the run's guards still let each one go ahead; a run may have any number of calls."""
+    rows = running(placed(calls, group, ["ord"]), group, "_used", "sum", F.lit(1), before=True)
+    rows = running(rows, group, "_spent", "sum", F.coalesce(F.col("seconds").cast("double"), F.lit(0.0)), before=True)
+    stop = F.when(F.col("_spent") > most_seconds, "time").when(F.col("_used") + F.coalesce("judges", F.lit(0)) >= most_calls, "calls")
+    return rows.withColumn("stopped_by", stop).drop("_used", "_spent", "_at", "_part")
 
 
 def sampling(n: int, diverse: bool, seed: int = 42) -> list[tuple[int, float, float, int, int | None]]:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, sections, strip, tag_bodies, tag_body
 from ..functions.vectors import cosine
+from ..session import settled
 from .retrieval import first_seen
 
 EVIDENCE_CHARS, EVIDENCE_SECTIONS = 3000, 3
+HEURISTIC_CHARS, UNVERIFIED_CHARS = 200, 100
 SEEDS, LEVEL_BEST, LEVEL_LEAST, PER_EDGE = 3, 10, 0.3, 100
 
 
@@ -121,6 +123,38 @@ def evidence(nodes: DataFrame, texts: DataFrame, tiers: DataFrame) -> DataFrame:
     return quotes.join(held, "source_id", "left").join(tiers.filter("tier <> 'Unknown'"), "source_id", "left")
 
 
+def heuristic_nodes(nodes: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """nodes (graph_id, node_id, claim, expert_id, status), and an unverified one for each item retrieved for their graph (graph_id, ord, source_id, content)."""
+    n = F.row_number().over(Window.partitionBy("graph_id").orderBy("ord")) - 1
+    added = retrieved.select("graph_id", F.concat(F.lit("heuristic_n"), n.cast("string")).alias("node_id"), F.substring("content", 1, HEURISTIC_CHARS).alias("claim"), F.col("source_id").alias("expert_id"), F.lit("unverified").alias("status"))
+    return nodes.select("graph_id", "node_id", "claim", "expert_id", "status").unionByName(added)
+
+
+def fallen_back(attempts: DataFrame, kind: str) -> DataFrame:
+    """Which way of resolving each draft's gaps is taken: (draft_id, taken).
+
+    attempts have the outcome of the ways that were tried (draft_id, way `patch` or `full`,
+    outcome `parsed`, `unparsed` or `error`). The first one that is parsed is taken, a patch
+    before a full regeneration, and else the heuristic. An error lets a graph fall through to
+    the next way and ends a synthesis with `abort`, unless a way before it was parsed.
+    """
+    first = F.when(F.col("way") == "patch", 1).otherwise(2)
+    by = attempts.groupBy("draft_id").agg(F.min(F.when(F.col("outcome") == "parsed", first)).alias("good"), F.min(F.when(F.col("outcome") == "error", first)).alias("bad"))
+    aborts = (F.col("bad") < F.coalesce("good", F.lit(3))) if kind == "synthesis" else F.lit(False)
+    return by.select("draft_id", F.when(aborts, "abort").when(F.col("good") == 1, "patch").when(F.col("good") == 2, "full").otherwise("heuristic").alias("taken"))
+
+
+def unverified(nodes: DataFrame) -> DataFrame:
+    """Nodes that a draft lists as not verified, with the start of their claim; absent quotes are not among them."""
+    return nodes.filter(F.col("status").isin("failed", "unverified")).select("graph_id", "node_id", F.substring("claim", 1, UNVERIFIED_CHARS).alias("claim"))
+
+
+def drafted(extractions: DataFrame) -> DataFrame:
+    """Of each question's extractions (question_id, expert_id, ok): how many count, how many failed and are skipped, and whether references between graphs are to be resolved, which takes two."""
+    counted = extractions.groupBy("question_id").agg(F.count_if("ok").alias("n_graphs"), F.count_if(~F.col("ok")).alias("n_failed"))
+    return counted.withColumn("resolves", F.col("n_graphs") > 1)
+
+
 def fan_in(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes by expert and edges by relation: (kind, name, n)."""
     experts = nodes.groupBy(F.col("expert_id").alias("name")).agg(F.count("*").alias("n")).select(F.lit("expert").alias("kind"), "name", "n")
@@ -157,7 +191,6 @@ def frontier(start: DataFrame, edges: DataFrame, papers: DataFrame, anchor: Data
         scored = new.withColumn("relevance", cosine(F.col("embedding"), F.col("anchor"))).filter(F.col("relevance") >= least)
         order = Window.partitionBy("seed").orderBy(F.desc("relevance"), "paper_id")
         last = scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= best).select("seed", "paper_id", F.lit(level).alias("level"), "relevance")
-        if start.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            last = last.checkpoint()
+        last = settled(last)
         visited = visited.unionByName(last)
     return visited

@@ -148,7 +148,18 @@ def inherited_quotes(claims: DataFrame, sources: DataFrame, nodes: DataFrame, qu
     wanting = sources.join(refs.select("claim_id").distinct(), "claim_id", "left_anti").join(quotes.filter("status = 'verified'").select("claim_id", "source_id").distinct(), ["claim_id", "source_id"], "left_anti")
     usable = nodes.filter((F.col("status") == "verified") & ~blank(F.col("quote"))).select(F.col("expert_id").alias("source_id"), "node_ord", "claim", "quote", content_tokens(F.col("claim")).alias("_node"))
     told = wanting.join(claims.select("claim_id", content_tokens(F.col("text")).alias("_claim")), "claim_id")
-    met = told.join(usable.filter(F.size("_node") >= MIN_OVERLAP), "source_id").withColumn("overlap", F.size(F.array_intersect("_node", "_claim"))).withColumn("score", F.col("overlap") / F.size("_node"))
+    # a claim with enough of a node's words has one of its rarest, all but so many that the rest is too few;
+    # by these few words they meet, so a source may have any number of both
+    usable = usable.filter(F.size("_node") >= MIN_OVERLAP).withColumn("_name", F.struct("source_id", "node_ord", F.xxhash64("claim", "quote")))
+    words = told.select("source_id", "claim_id", F.explode("_claim").alias("_word")).distinct()
+    frequency = words.groupBy("source_id", "_word").agg(F.count("*").alias("_n"))
+    ordered = usable.select("_name", "source_id", F.size("_node").alias("_size"), F.explode("_node").alias("_word")).join(frequency, ["source_id", "_word"], "left")
+    ordered = ordered.groupBy("_name", "source_id", "_size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_word"))).alias("_words"))
+    needed = F.greatest(F.lit(MIN_OVERLAP), F.ceil(F.col("_size") * F.lit(INHERIT_SCORE) - 1e-9)).cast("int")
+    rare = ordered.select("_name", "source_id", F.explode(F.slice("_words", F.lit(1), F.greatest(F.lit(0), F.col("_size") - needed + 1))).alias("w")).select("_name", "source_id", "w._word")
+    pairs = words.join(rare, ["source_id", "_word"]).select("claim_id", "_name").distinct()
+    met = told.join(pairs, "claim_id").join(usable.drop("source_id").distinct(), "_name").filter(F.col("source_id") == F.col("_name.source_id"))
+    met = met.withColumn("overlap", F.size(F.array_intersect("_node", "_claim"))).withColumn("score", F.col("overlap") / F.size("_node"))
     good = met.filter((F.col("overlap") >= MIN_OVERLAP) & (F.col("score") >= INHERIT_SCORE))
     best = good.groupBy("claim_id", "source_id").agg(F.min_by("quote", F.struct(-F.col("score"), F.octet_length("claim"), "node_ord")).alias("quote"))
     return best.join(quotes.select("claim_id", "source_id", "quote"), ["claim_id", "source_id", "quote"], "left_anti")

@@ -7,76 +7,153 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
 from ..functions.vectors import cosine, similarity
+from ..session import settled
 
 RRF_K, FLOOR, MEAN_FLOOR, MAX_SHARE, MIN_SOURCES, OVERFETCH = 60, 0.3, 0.48, 0.6, 3, 3
 #: Query vectors that are sent to the executors at once.
 QUERY_BLOCK = 4096
 
 
-def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, mode: str = "exact", id_column: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest chunks of every query (query_id, query_vector): distance, similarity and rank.
+def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, mode: str = "exact", id_column: str = "chunk_id", vector: str = "embedding", metric: str = "l2", least: float | None = None, apart: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """The k nearest chunks of every query (query_id, query_vector) with their rank: distance and similarity, or, of the metric `cosine`, relevance, of which `least` is the least.
 
     condition filters chunks. `exact` filters first; `overfetch` takes OVERFETCH * k first and
-    filters these, as an index that filters afterwards does. Queries are a stated set; they go
-    to the executors in blocks of at most QUERY_BLOCK, so what is sent is bounded. Each Arrow
-    batch of chunks keeps its k best for each query, found by a matrix product and then
-    measured exactly, so few rows are shuffled. Vectors of another length than the query's match nothing.
+    filters these, as an index that filters afterwards does. apart are pairs of a query's and a
+    chunk's columns that must differ, as ids where queries are chunks themselves.
+
+    Queries are a stated set; they go to the executors in blocks of at most QUERY_BLOCK. With
+    several blocks each is sent, used, settled and let go before the next, so the driver and a
+    task hold one at a time. Each task keeps its k best for each query over all its chunks,
+    found by matrix products and measured exactly, so few rows are shuffled. Vectors of another
+    length than the query's, and of length zero by cosine, match nothing.
     """
     keep = F.lit(True) if condition is None else condition
     source = chunks.filter(keep) if mode == "exact" else chunks
     fetch = k * OVERFETCH if mode == "overfetch" and condition is not None else k
-    order = Window.partitionBy("query_id").orderBy("distance", id_column)
+    score = "distance" if metric == "l2" else "relevance"
+    order = Window.partitionBy("query_id").orderBy(F.col(score) if metric == "l2" else F.desc(score), id_column)
     place = source.columns.index(vector)
-    others = [f for i, f in enumerate(source.schema.fields) if i != place]
-    schema = T.StructType([queries.schema["query_id"], *others, T.StructField("distance", T.DoubleType())])
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        some = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        part = source.mapInArrow(best_of_batches(some.select("query_id", "query_vector").toArrow(), place, fetch), schema)
-        part = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fetch)
-        out = part if out is None else out.unionByName(part)
+    schema = T.StructType([queries.schema["query_id"], *(f for i, f in enumerate(source.schema.fields) if i != place), T.StructField(score, T.DoubleType())])
+    asked = queries.select("query_id", "query_vector", *[F.col(q).alias(f"_{i}") for i, (q, _) in enumerate(apart)])
+    different = [source.columns.index(c) for _, c in apart]
+
+    def ranked(block: pa.Table) -> DataFrame:
+        part = source.mapInArrow(best_of_task(block, place, fetch, metric, least, different), schema)
+        return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fetch)
+
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if first.num_rows <= QUERY_BLOCK:
+        out = ranked(first)
+    else:
+        blocks = -(-asked.count() // QUERY_BLOCK)
+        out = None
+        for b in range(blocks):
+            part = settled(ranked(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()))
+            out = part if out is None else out.unionByName(part)
     if fetch != k:
         out = out.filter(keep).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return out.withColumn("similarity", similarity(F.col("distance")))
-
-
-def best_of_batches(queries: pa.Table, place: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: each batch's k nearest rows of every query, ties with the last one included."""
-    by_length: dict[int, list[int]] = {}
-    vectors = queries.column("query_vector").to_pylist()
-    for i, v in enumerate(vectors):
-        if v:
-            by_length.setdefault(len(v), []).append(i)
-    matrices = {n: (np.array(at), np.array([vectors[i] for i in at], np.float64)) for n, at in by_length.items()}
-    names = queries.column("query_id").combine_chunks()
+    return out.withColumn("similarity", similarity(F.col("distance"))) if metric == "l2" else out
+
+
+class Best:
+    """The k least values of each query so far, ties with the last one included, and the rows that have them."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.limit = k, np.full(queries, np.inf)
+        self.which, self.value, self.rows = [], [], []
+        self.n, self.most = 0, max(1 << 14, 4 * k * queries)
+
+    def add(self, which: np.ndarray, value: np.ndarray, rows: pa.RecordBatch) -> None:
+        self.which.append(which)
+        self.value.append(value)
+        self.rows.append(rows)
+        self.n += len(which)
+        if self.n > self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        which, value = np.concatenate(self.which), np.concatenate(self.value)
+        order = np.lexsort((value, which))
+        first = np.searchsorted(which[order], np.arange(len(self.limit) + 1))
+        last = first[:-1] + self.k - 1
+        full = last < first[1:]
+        self.limit[full] = value[order[last[full]]]
+        kept = np.flatnonzero(value <= self.limit[which])
+        rows = pa.Table.from_batches(self.rows).take(pa.array(kept)).combine_chunks().to_batches()
+        self.which, self.value, self.rows = [which[kept]], [value[kept]], rows
+        self.n = len(kept)
+
+
+def best_of_task(queries: pa.Table, place: int, k: int, metric: str, least: float | None, different: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the task's k nearest rows of every query."""
+    queries = queries.combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(queries["query_vector"]), 0).to_numpy()
+    names = queries.column("query_id").combine_chunks() if queries.num_rows else pa.array([], queries.schema.field("query_id").type)
+    matrices = {}
+    for n in sorted(set(lengths.tolist()) - {0}):
+        at = np.flatnonzero(lengths == n)
+        matrices[n] = at, pc.list_flatten(queries["query_vector"].take(pa.array(at))).to_numpy().reshape(-1, n).astype(np.float64)
+    not_these = [np.array(queries[f"_{i}"].to_pylist(), object) for i in range(len(different))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {n: Best(len(at), k) for n, (at, _) in matrices.items()}
+        schema = None
         for batch in batches:
             column = batch.column(place)
             lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
             rest = batch.select([i for i in range(batch.num_columns) if i != place])
+            schema = rest.schema
             for n, (at, q) in matrices.items():
                 have = np.flatnonzero(lengths == n)
                 if not len(have):
                     continue
                 e = column.take(pa.array(have)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
-                squares = (e * e).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (e @ q.T)
-                last = np.partition(squares, min(k, len(e)) - 1, axis=0)[min(k, len(e)) - 1]
-                row, which = np.nonzero(squares <= last + 1e-9 * (1 + np.abs(last)))
-                distance = np.sqrt(((e[row] - q[which]) ** 2).sum(axis=1))
-                taken = rest.take(pa.array(have[row]))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at[which])), *taken.columns, pa.array(distance)], ["query_id", *taken.schema.names, "distance"])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    if metric == "l2":
+                        rough = (e * e).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (e @ q.T)
+                    else:
+                        norms = np.sqrt((e * e).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None]
+                        rough = -(e @ q.T) / norms
+                rough = np.where(np.isnan(rough), np.inf, rough)
+                for values, i in zip(not_these, different, strict=True):
+                    mine, theirs = np.array(batch.column(i).take(pa.array(have)).to_pylist(), object), values[at]
+                    rough[(mine[:, None] == theirs[None]) | (mine[:, None] == None) | (theirs[None] == None)] = np.inf  # noqa: E711
+                # this batch's last one that may count, and the task's so far
+                last = np.partition(rough, min(k, len(e)) - 1, axis=0)[min(k, len(e)) - 1]
+                so_far = best[n].limit ** 2 if metric == "l2" else best[n].limit
+                last = np.minimum(last, so_far)
+                row, which = np.nonzero((rough <= last + 1e-9 * (1 + np.abs(last))) & np.isfinite(rough))
+                if metric == "l2":
+                    value = np.sqrt(((e[row] - q[which]) ** 2).sum(axis=1))
+                else:
+                    value = -(e[row] * q[which]).sum(axis=1) / (np.sqrt((e[row] ** 2).sum(axis=1)) * np.sqrt((q[which] ** 2).sum(axis=1)))
+                    if least is not None:
+                        row, which, value = (x[value <= -least] for x in (row, which, value))
+                if len(row):
+                    best[n].add(which, value, rest.take(pa.array(have[row])))
+        for n, (at, _) in matrices.items():
+            if best[n].n:
+                best[n].prune()
+                for rows in pa.Table.from_batches(best[n].rows, schema).combine_chunks().to_batches():
+                    value = best[n].value[0] if metric == "l2" else -best[n].value[0]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at[best[n].which[0]])), *rows.columns, pa.array(value)], ["query_id", *rows.schema.names, "distance" if metric == "l2" else "relevance"])
 
     return run
 
 
+def capability(spark: SparkSession, store: str, queries: DataFrame) -> DataFrame:
+    """For each query whether the store, a table of the session's catalogue, is there: (query_id, status, reason)."""
+    there = spark.catalog.tableExists(store)
+    reason = None if there else f"vector store {store} is not available"
+    return queries.select("query_id", F.lit("ok" if there else "degraded").alias("status"), F.lit(reason).cast("string").alias("reason"))
+
+
 def ranked_by_cosine(candidates: DataFrame, anchor: Column, least: float, most: int, group: str = "query_id", id_column: str = "id", vector: str = "embedding") -> DataFrame:
     """Candidates of each group with a cosine of at least `least` to the anchor, the best `most`."""
     scored = candidates.withColumn("relevance", cosine(F.col(vector), anchor)).filter(F.col("relevance") >= least)
@@ -171,10 +248,13 @@ def rerank_reason(dropped: Column, least: float) -> Column:
 
 def citation_relevance(hits: DataFrame) -> DataFrame:
     """relevance of hits by citations over the query's most cited one, between 0 and 1; 0.3 where unknown; and canonical_id."""
-    most = F.greatest(F.max("citation_count").over(Window.partitionBy("query_id")), F.lit(1))
+    most = F.greatest("_most", F.lit(1))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("citation_count") / most))
     canonical = F.when(F.col("arxiv_id").isNotNull(), F.concat(F.lit("arxiv:"), "arxiv_id")).otherwise(F.concat(F.lit("s2:"), "s2_id"))
-    return hits.withColumn("relevance", F.coalesce(share, F.lit(0.3))).withColumn("canonical_id", canonical)
+    # a maximum, aggregated before its shuffle, so a query may have any number of hits
+    top = hits.groupBy(F.col("query_id").alias("_query")).agg(F.max("citation_count").alias("_most"))
+    out = hits.join(top, F.col("query_id").eqNullSafe(F.col("_query")))
+    return out.withColumn("relevance", F.coalesce(share, F.lit(0.3))).withColumn("canonical_id", canonical).drop("_query", "_most")
 
 
 def topical(hits: DataFrame, replies: DataFrame) -> DataFrame:

@@ -42,7 +42,11 @@ BASES = {
     "weights": "SELECT concat('dim', k) AS dim, CAST(k AS DOUBLE) / 15 AS weight FROM (SELECT DISTINCT l_linenumber AS k FROM {lineitem} WHERE l_linenumber <= 5) x",
     "nodes": "SELECT concat('n', l_partkey % 300) AS node_id, l_linenumber AS graph_ord, l_orderkey AS node_ord, concat('e', l_suppkey % 13) AS expert_id, l_returnflag AS claim FROM {lineitem}",
     "edges": "SELECT concat('n', l_partkey % 200) AS source, concat('n', l_suppkey % 90) AS target, l_linenumber AS graph_ord, l_orderkey AS edge_ord, l_linestatus AS relation FROM {lineitem}",
-    "quotes": "SELECT item_id AS quote_id, doc_id AS source_id, CASE WHEN item_id % 3 = 0 THEN upper(b.text) WHEN item_id % 3 = 1 THEN concat(' ', b.text, ' ') ELSE concat(b.text, ' x') END AS quote, d.text AS text FROM {benchmark} b JOIN {documents} d ON d.doc_id % 20 = b.item_id % 20 AND contains(d.text, b.text)",
+    "panel_wide": "SELECT DISTINCT concat('e', s_suppkey % 17) AS source_id FROM {supplier}",
+    "cited": """SELECT l_orderkey AS claim_id, concat('e', l_suppkey % 13) AS source_id FROM {lineitem}
+        UNION ALL SELECT o_orderkey, concat(CASE WHEN o_orderkey % 5 = 1 THEN 'm' ELSE 'c' END, o_orderkey % 17) FROM {orders}""",
+    "quotes": """SELECT doc_id AS quote_id, doc_id AS source_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 5, 60) WHEN 1 THEN translate(substr(text, 5, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN substr(text, 5, 60) || ' zz'
+        ELSE '  ' || substr(text, 5, 60) || ' ' END AS quote, text FROM {documents}""",
     "calls": "SELECT event_id AS call_id, event_type AS endpoint, CAST(event_id % 997 AS DOUBLE) * 1.25 AS arrival, user_id FROM {events}",
     "drafts": "SELECT conv_id AS doc, turn AS pos, role, text FROM {conversations}",
     "authored": """SELECT concat('e', n_nationkey) AS source_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 1990 + n_nationkey END AS year, n_name AS title, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat('http://x/', n_nationkey) END AS url, n_nationkey AS k, n_name AS name FROM {nation}""",

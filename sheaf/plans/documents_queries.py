@@ -179,7 +179,7 @@ def packed_chunks(t):
 
 @query("html_chunks", None)
 def html_chunks(t):
-    return corpora.html_chunks(t("pages"), section="article", paragraph="p", id_column="page_id").select("page_id", "section", "chunk_index", F.length("content").alias("n"))
+    return corpora.html_chunks(t("pages"), section="article", paragraph="p", headings=("h1", "h2", "h3"), title="title", id_column="page_id").select("page_id", "section", "chunk_index", F.length("content").alias("n"))
 
 
 @query("json_papers", " SELECT doc_id, concat('s2:x', doc_id) AS paper_id, 2000 + doc_id % 20 AS year, doc_id % 50 AS citation_count FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, concat('arxiv:', doc_id), 2000 + doc_id % 20, doc_id % 50 FROM documents WHERE doc_id % 2 = 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_tokens
 from ..operators import fitness, graph, provenance
 from .base import all_quotes, query
+from .retrieval_queries import COSINE
 
 REPLY = "CASE doc_id % 8 WHEN 0 THEN concat('<fitness_evaluation><score> ', doc_id % 9, ' </score><rationale>ok</rationale></fitness_evaluation>') WHEN 1 THEN concat('score is ', 1 + doc_id % 5, ' of many') WHEN 2 THEN '  ' WHEN 3 THEN 'no digits at all, 77' WHEN 4 THEN concat('<score>about ', 1 + doc_id % 5, '</score>') WHEN 5 THEN concat('<score>', doc_id, '</score> trailing <b>') WHEN 6 THEN concat(repeat('x ', 110), ' 3') ELSE concat('a4b ', 1 + doc_id % 5) END"
 SCORED = "CASE doc_id % 8 WHEN 0 THEN greatest(1, least(5, doc_id % 9)) WHEN 1 THEN 1 + doc_id % 5 WHEN 4 THEN 1 + doc_id % 5 WHEN 5 THEN greatest(1, least(5, doc_id)) WHEN 7 THEN 1 + doc_id % 5 END"
@@ -42,20 +43,36 @@ def validity_rank(t):
 VALID = "(trim(source_id) <> '' AND (regexp_matches(lower(trim(source_id)), '^(arxiv:|s2:)') OR trim(source_id) IN (SELECT source_id FROM panel)))"
 
 
-@query("traceability_veto", f", s AS (SELECT claim_id, max(CAST({VALID} AS INT)) AS ok, string_agg(source_id, ', ' ORDER BY source_ord) AS labels FROM claim_sources WHERE claim_id % 4 <> 0 GROUP BY claim_id), j AS (SELECT run_id, claims.claim_id, CASE WHEN ok IS NULL THEN 'no sources' WHEN ok = 0 THEN labels END AS why FROM claims LEFT JOIN s USING (claim_id)) SELECT run_id, arg_min(why, claim_id) AS why FROM j WHERE why IS NOT NULL GROUP BY run_id", "claims", "claim_sources", "panel")
+TRACED = f""", s AS (SELECT claim_id, max(CAST({VALID} AS INT)) AS ok, string_agg(source_id, ', ' ORDER BY source_ord) AS labels FROM claim_sources WHERE claim_id % 4 <> 0 GROUP BY claim_id),
+j AS (SELECT run_id, claims.claim_id, CASE WHEN ok IS NULL THEN 'no sources' WHEN ok = 0 THEN labels END AS why FROM claims LEFT JOIN s USING (claim_id))
+SELECT run_id, arg_min(why, claim_id) AS why FROM j WHERE why IS NOT NULL GROUP BY run_id
+UNION ALL SELECT c_custkey, 'zero claims' FROM customer WHERE c_custkey NOT IN (SELECT run_id FROM claims)"""
+
+
+# every fourth claim of the fixture has no sources, and some customers have no claims
+@query("traceability_veto", TRACED, "claims", "claim_sources", "panel")
 def traceability_veto(t):
     claims = t("claims").withColumn("claim_ord", F.col("claim_id"))
     sources = t("claim_sources").filter("claim_id % 4 <> 0").join(claims.select("claim_id", "run_id", "claim_ord"), "claim_id")
-    vetoes = fitness.synthesis_vetoes(claims, sources, t("panel"), ["run_id"])
+    candidates = t("customer").select(F.col("c_custkey").alias("run_id"))
+    vetoes = fitness.synthesis_vetoes(claims, sources, t("panel"), ["run_id"], candidates)
     labels = F.regexp_extract("reason", r"invalid ids \((.*)\) — sources", 1)
-    return vetoes.select("run_id", F.when(F.contains("reason", F.lit("has no sources")), "no sources").otherwise(labels).alias("why"))
+    why = F.when(F.contains("reason", F.lit("has no sources")), "no sources").when(F.contains("reason", F.lit("zero claims")), "zero claims").otherwise(labels)
+    return vetoes.select("run_id", why.alias("why"))
+
+
+GRAPHED = """, j AS (SELECT graph_ord, node_ord, CASE WHEN node_ord % 3 = 0 THEN '' ELSE expert_id END AS e FROM nodes),
+k AS (SELECT graph_ord, node_ord * 1000 AS o, CASE WHEN e = '' THEN 'empty' WHEN e NOT IN (SELECT source_id FROM panel) THEN e END AS why FROM j)
+SELECT graph_ord, min(o) // 1000 AS node_ord FROM k WHERE why IS NOT NULL GROUP BY graph_ord
+UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey NOT IN (SELECT graph_ord FROM nodes)"""
 
 
-@query("graph_veto", ", j AS (SELECT graph_ord, node_ord, CASE WHEN node_ord % 3 = 0 THEN '' ELSE expert_id END AS e FROM nodes), k AS (SELECT graph_ord, node_ord * 1000 AS o, CASE WHEN e = '' THEN 'empty' WHEN e NOT IN (SELECT source_id FROM panel) THEN e END AS why FROM j) SELECT graph_ord, min(o) // 1000 AS node_ord FROM k WHERE why IS NOT NULL GROUP BY graph_ord", "nodes", "panel")
+@query("graph_veto", GRAPHED, "nodes", "panel")
 def graph_veto(t):
     nodes = t("nodes").withColumn("expert_id", F.expr("CASE WHEN node_ord % 3 = 0 THEN '' ELSE expert_id END")).withColumn("claim", F.col("node_ord").cast("string"))
-    vetoes = fitness.graph_vetoes(nodes, t("panel"), ["graph_ord"])
-    return vetoes.select("graph_ord", F.regexp_extract("reason", r'(?:"|claim: ")(\d+)"', 1).cast("long").alias("node_ord"))
+    candidates = nodes.select("graph_ord").unionByName(t("nation").select(F.col("n_nationkey").alias("graph_ord")))
+    vetoes = fitness.graph_vetoes(nodes, t("panel"), ["graph_ord"], candidates)
+    return vetoes.select("graph_ord", F.regexp_extract("reason", r'(?:"|claim: ")(\d+)"', 1).try_cast("bigint").alias("node_ord"))
 
 
 @query("feedback_doc", ", f AS (SELECT run_id, candidate, string_agg(CASE WHEN score IS NULL OR score <= 3 THEN concat('- **', dim, '**: ', CASE WHEN score IS NULL THEN 'score unavailable (parse failure)' ELSE concat('score=', score) END) END, chr(10) ORDER BY dim_ord, dim, score NULLS FIRST) AS p, string_agg(CASE WHEN score > 3 THEN concat('- **', dim, '**: score=', score) END, chr(10) ORDER BY dim_ord) AS s FROM scores GROUP BY ALL) SELECT run_id, candidate, concat('## Priority Improvements (Score ≤ 3)', chr(10), coalesce(p || chr(10), 'No dimensions below threshold — candidate is strong.' || chr(10)), chr(10), '## Strengths to Preserve', chr(10), coalesce(s || chr(10), 'No dimensions above threshold.' || chr(10)), chr(10), '## Evolutionary Guidance', chr(10), CASE WHEN p IS NULL THEN 'The candidate meets the threshold on all scored dimensions. Focus on preserving identified strengths in the revised draft.' ELSE 'Focus on resolving the priority improvements listed above. Preserve the strengths while addressing the low-scoring dimensions.' END, chr(10)) AS feedback FROM f", "scores")
@@ -104,20 +121,27 @@ def agreement_level(t):
     return provenance.agreement(t("claims"), t("claim_sources"), t("panel")).select("claim_id", "agreement_level")
 
 
-@query("expert_coverage", ", m AS (SELECT source_id FROM panel WHERE source_id NOT IN (SELECT source_id FROM claim_sources WHERE claim_id % 50 = 0)) SELECT round(((SELECT count(*) FROM panel) - (SELECT count(*) FROM m)) / (SELECT count(*) FROM panel), 6) AS coverage", "claim_sources", "panel")
+COVERED = ", m AS (SELECT source_id FROM panel_wide WHERE source_id NOT IN (SELECT source_id FROM cited)) SELECT round(((SELECT count(*) FROM panel_wide) - (SELECT count(*) FROM m)) / (SELECT count(*) FROM panel_wide), 6) AS coverage"
+
+
+@query("expert_coverage", COVERED, "panel_wide", "cited")
 def expert_coverage(t):
-    return provenance.coverage(t("panel"), t("claim_sources").filter("claim_id % 50 = 0"))[1]
+    return provenance.coverage(t("panel_wide"), t("cited"))[1]
 
 
-@query("missing_experts", " SELECT source_id FROM panel WHERE source_id NOT IN (SELECT source_id FROM claim_sources WHERE claim_id % 500 = 0)", "claim_sources", "panel")
+@query("missing_experts", " SELECT source_id FROM panel_wide WHERE source_id NOT IN (SELECT source_id FROM cited)", "panel_wide", "cited")
 def missing_experts(t):
-    return provenance.coverage(t("panel"), t("claim_sources").filter("claim_id % 500 = 0"))[0]
+    return provenance.coverage(t("panel_wide"), t("cited"))[0]
+
+
+MINORITY = """, c AS (SELECT source_id, max(CAST(coalesce(agreement_level <> 'minority', true) AS INT)) AS o, count(DISTINCT claim_id) AS n_claims FROM cited JOIN claims USING (claim_id) GROUP BY source_id)
+SELECT source_id, n_claims FROM c WHERE o = 0 AND source_id NOT IN ('m1', 'm2')"""
 
 
-@query("minority_only", ", c AS (SELECT source_id, max(CAST(coalesce(agreement_level <> 'minority', true) AS INT)) AS o, count(DISTINCT claim_id) AS n_claims FROM claim_sources JOIN claims USING (claim_id) WHERE claim_id % 40 = 1 GROUP BY source_id) SELECT source_id, n_claims FROM c WHERE o = 0 AND source_id NOT IN ('e1', 'e2')", "claims", "claim_sources")
+@query("minority_only", MINORITY, "claims", "cited")
 def minority_only(t):
-    reports = t("panel").filter("source_id in ('e1', 'e2')")
-    return provenance.minority_only(t("claims"), t("claim_sources").filter("claim_id % 40 = 1"), reports)
+    reports = t("cited").filter("source_id in ('m1', 'm2')").select("source_id")
+    return provenance.minority_only(t("claims"), t("cited"), reports)
 
 
 @query("label_vocabularies", " SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'emerging' WHEN 1 THEN 'single-source' END AS support, CASE doc_id % 4 WHEN 2 THEN 'majority' ELSE 'divided' END AS agreement FROM documents")
@@ -148,7 +172,11 @@ def revision_guard(t):
     return t("documents").select("doc_id", provenance.revision_kept(F.col("doc_id") % 4, F.col("doc_id") % 5, F.col("doc_id") % 3 != 0).alias("keeps"))
 
 
-@query("quote_verify", " SELECT quote_id, source_id, CASE WHEN contains(text, trim(quote)) THEN 'verified' WHEN contains(lower(text), lower(quote)) THEN 'paraphrased' ELSE 'absent' END AS status FROM quotes", "quotes")
+VERIFIED = r"""SELECT quote_id, source_id, CASE WHEN coalesce(quote, '') = '' OR coalesce(text, '') = '' THEN 'unverified' WHEN contains(text, regexp_replace(quote, '^\s+|\s+$', '', 'g')) THEN 'verified'
+WHEN contains(lower(text), lower(quote)) THEN 'paraphrased' ELSE 'absent' END AS status FROM quotes"""
+
+
+@query("quote_verify", " " + VERIFIED, "quotes")
 def quote_verify(t):
     q = t("quotes")
     texts = t("documents").select(F.col("doc_id").alias("source_id"), "text")
@@ -164,10 +192,17 @@ def content_tokens_query(t):
     return t("benchmark").select("item_id", F.size(tokens).alias("n_tokens"), F.array_join(F.array_sort(tokens), " ").alias("tokens"))
 
 
-@query("quote_snap", f"WITH q AS (SELECT item_id AS quote_id, text AS quote FROM benchmark), s AS (SELECT quote_id, quote, row_number() OVER () AS pos, trim(x, ' ' || chr(10) || chr(9)) AS sentence FROM (SELECT b.item_id AS quote_id, b.text AS quote, unnest(regexp_split_to_array(regexp_replace(d.text, '([.!?])[ \\t\\n\\r\\f]', '\\1' || chr(1), 'g'), chr(1) || '|\\n')) AS x FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)), k AS (SELECT quote_id, sentence, len(list_intersect({TOKENS.format('quote')}, {TOKENS.format('sentence')})) AS o, len({TOKENS.format('quote')}) AS n FROM s WHERE sentence <> '') SELECT quote_id, round(max(o / n), 6) AS score FROM k WHERE o >= 4 AND n >= 4 AND o / n >= 0.55 GROUP BY quote_id")
+# a quote of every document: some of its words, and one that it has not
+SNAPPED = rf"""WITH d AS (SELECT doc_id AS quote_id, 'zzzz ' || array_to_string(string_split(text, ' ')[3:14], ' ') AS quote, text FROM documents),
+s AS (SELECT quote_id, quote, trim(x, ' ' || chr(10) || chr(9)) AS sentence FROM (SELECT quote_id, quote, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\r\f]', '\1' || chr(1), 'g'), chr(1) || '|\n')) AS x FROM d)),
+k AS (SELECT quote_id, len(list_intersect({TOKENS.format('quote')}, {TOKENS.format('sentence')})) AS o, len({TOKENS.format('quote')}) AS n FROM s WHERE sentence <> '')
+SELECT quote_id, round(max(o / n), 6) AS score FROM k WHERE o >= 4 AND n >= 4 AND o / n >= 0.55 GROUP BY quote_id"""
+
+
+@query("quote_snap", SNAPPED)
 def quote_snap(t):
-    met = t("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")).join(t("documents").select(F.col("doc_id").alias("quote_id"), "text"), "quote_id")
-    return provenance.snapped(met).select("quote_id", "score")
+    quote = F.expr("'zzzz ' || array_join(slice(split(text, ' '), 3, 12), ' ')")
+    return provenance.snapped(t("documents").select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), "text")).select("quote_id", "score")
 
 
 @query("snap_verified", None)
@@ -187,9 +222,9 @@ def attach_quotes(t):
     return provenance.node_quotes(refs, nodes, have).select("claim_id", "source_id", "quote")
 
 
-@query("inherit_quote", ", c AS (SELECT claim_id, claim_id % 13 AS k FROM claims WHERE claim_id % 3 = 0) SELECT claim_id, concat('e', k) AS source_id, concat('quote ', k) AS quote FROM c WHERE k % 2 = 0", "claims")
+@query("inherit_quote", ", c AS (SELECT claim_id, claim_id % 13 AS k FROM claims) SELECT claim_id, concat('e', k) AS source_id, concat('quote ', k) AS quote FROM c WHERE k % 2 = 0", "claims")
 def inherit_quote(t):
-    claims = t("claims").filter("claim_id % 3 = 0").select("claim_id", F.expr("concat('alpha beta gamma delta epsilon number', claim_id % 13)").alias("text"))
+    claims = t("claims").select("claim_id", F.expr("concat('alpha beta gamma delta epsilon number', claim_id % 13)").alias("text"))
     sources = claims.select("claim_id", F.expr("concat('e', claim_id % 13)").alias("source_id"))
     nodes = t("nation").filter("n_nationkey < 13").selectExpr("concat('e', n_nationkey) AS expert_id", "n_nationkey AS node_ord", "CASE WHEN n_nationkey % 2 = 0 THEN concat('alpha beta gamma delta zeta eta number', n_nationkey) ELSE 'alpha beta other words here' END AS claim", "concat('quote ', n_nationkey) AS quote", "'verified' AS status")
     none = claims.filter("false").select("claim_id", F.lit("").alias("source_id"), F.lit("").alias("quote"), F.lit("").alias("status"))
@@ -248,10 +283,61 @@ def cache_misses(t):
     return graph.cached(t("documents").select(F.col("doc_id").alias("cache_key")), t("labels").select(F.col("doc_id").alias("cache_key"), "quality"))[1]
 
 
-@query("bfs_frontier", None)
+def level(n: int) -> str:
+    """The ten best of candidates n{n} (seed, p), as l{n}."""
+    return f"""l{n} AS (SELECT seed, p, c FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY c DESC, p) AS r FROM (SELECT k.seed, k.p, {COSINE} AS c FROM n{n} k JOIN embeddings e ON e.vec_id = k.p JOIN embeddings q ON q.vec_id = k.seed) WHERE c >= 0) WHERE r <= 10)"""
+
+
+FRONTIER = f"""WITH g AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem), s AS (SELECT vec_id AS seed FROM embeddings WHERE vec_id % 100 = 0),
+n1 AS (SELECT DISTINCT seed, dst AS p FROM s JOIN g ON src = seed WHERE dst <> seed), {level(1)},
+n2 AS (SELECT seed, dst AS p FROM l1 JOIN g ON src = p EXCEPT (SELECT seed, p FROM l1 UNION SELECT seed, seed FROM s)), {level(2)}
+SELECT seed, seed AS paper_id, 0 AS level, 1.0 AS relevance FROM s UNION ALL SELECT seed, p, 1, round(c, 6) FROM l1 UNION ALL SELECT seed, p, 2, round(c, 6) FROM l2"""
+
+
+@query("bfs_frontier", FRONTIER)
 def bfs_frontier(t):
     papers = t("embeddings").select(F.col("vec_id").alias("paper_id"), "embedding")
     start = papers.filter("paper_id % 100 = 0").select(F.col("paper_id").alias("seed"), "paper_id")
-    edges = t("lineitem").select((F.col("l_partkey") % 500).alias("src"), (F.col("l_orderkey") % 500).alias("dst"), F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END").alias("kind"), F.col("l_orderkey").alias("edge_ord"))
+    edges = t("lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.expr("CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END").alias("kind"), F.col("l_orderkey").alias("edge_ord"))
     anchor = papers.filter("paper_id % 100 = 0").select(F.col("paper_id").alias("seed"), F.col("embedding").alias("anchor"))
     return graph.frontier(start, edges, papers, anchor, least=0.0)
+
+
+HEURISTIC = """ SELECT graph_ord AS graph_id, node_id, claim, expert_id, 'verified' AS status FROM nodes
+UNION ALL SELECT doc_id % 7, concat('heuristic_n', row_number() OVER (PARTITION BY doc_id % 7 ORDER BY doc_id) - 1), substr(text, 1, 200), concat('d', doc_id), 'unverified' FROM documents"""
+
+
+@query("heuristic_nodes", HEURISTIC, "nodes")
+def heuristic_nodes(t):
+    nodes = t("nodes").select(F.col("graph_ord").alias("graph_id"), "node_id", "claim", "expert_id", F.lit("verified").alias("status"))
+    retrieved = t("documents").select((F.col("doc_id") % 7).alias("graph_id"), F.col("doc_id").alias("ord"), F.expr("concat('d', doc_id)").alias("source_id"), F.col("text").alias("content"))
+    return graph.heuristic_nodes(nodes, retrieved)
+
+
+FALLBACK = """WITH a AS (SELECT o_orderkey AS draft_id, o_orderkey % 3 AS p, o_orderkey % 5 AS f FROM orders)
+SELECT 'graph' AS kind, draft_id, CASE WHEN p = 0 THEN 'patch' WHEN f < 2 THEN 'full' ELSE 'heuristic' END AS taken FROM a
+UNION ALL SELECT 'synthesis', draft_id, CASE WHEN p = 0 THEN 'patch' WHEN p = 2 THEN 'abort' WHEN f < 2 THEN 'full' WHEN f = 4 THEN 'abort' ELSE 'heuristic' END FROM a"""
+
+
+@query("resolve_fallback", FALLBACK)
+def resolve_fallback(t):
+    o = t("orders").select(F.col("o_orderkey").alias("draft_id"))
+    patch = o.select("draft_id", F.lit("patch").alias("way"), F.expr("CASE draft_id % 3 WHEN 0 THEN 'parsed' WHEN 1 THEN 'unparsed' ELSE 'error' END").alias("outcome"))
+    full = o.select("draft_id", F.lit("full").alias("way"), F.expr("CASE WHEN draft_id % 5 < 2 THEN 'parsed' WHEN draft_id % 5 < 4 THEN 'unparsed' ELSE 'error' END").alias("outcome"))
+    attempts = patch.unionByName(full)
+    each = [graph.fallen_back(attempts, kind).select(F.lit(kind).alias("kind"), "draft_id", "taken") for kind in ("graph", "synthesis")]
+    return each[0].unionByName(each[1])
+
+
+@query("unverified_nodes", " SELECT doc_id % 7 AS graph_id, concat('n', doc_id) AS node_id, substr(text, 1, 100) AS claim FROM documents WHERE doc_id % 4 IN (0, 1)")
+def unverified_nodes(t):
+    status = F.expr("CASE doc_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'unverified' WHEN 2 THEN 'absent' ELSE 'verified' END")
+    return graph.unverified(t("documents").select((F.col("doc_id") % 7).alias("graph_id"), F.expr("concat('n', doc_id)").alias("node_id"), F.col("text").alias("claim"), status.alias("status")))
+
+
+DRAFTED = """ SELECT run_id AS question_id, count(*) FILTER (WHERE claim_id % 4 <> 0) AS n_graphs, count(*) FILTER (WHERE claim_id % 4 = 0) AS n_failed, count(*) FILTER (WHERE claim_id % 4 <> 0) > 1 AS resolves FROM claims GROUP BY run_id"""
+
+
+@query("drafted_graphs", DRAFTED, "claims")
+def drafted_graphs(t):
+    return graph.drafted(t("claims").select(F.col("run_id").alias("question_id"), F.col("claim_id").alias("expert_id"), (F.col("claim_id") % 4 != 0).alias("ok")))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..operators import corpus, retrieval
 from .base import query
 
@@ -43,8 +42,8 @@ def knn_filtered_overfetch(t):
 
 @query("cosine_rank", f"WITH met AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE} AS c FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM met WHERE c >= 0.3) SELECT query_id, id, round(c, 6) AS relevance, rank FROM r WHERE rank <= 10")
 def cosine_rank(t):
-    met = t("embeddings").withColumnRenamed("vec_id", "id").join(F.broadcast(vector_queries(t)), F.col("id") != F.col("query_id"))
-    return retrieval.ranked_by_cosine(met, F.col("query_vector"), 0.3, 10).select("query_id", "id", "relevance", "rank")
+    chunks = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.nearest(vector_queries(t), chunks, 10, id_column="id", metric="cosine", least=0.3, apart=(("query_id", "id"),)).select("query_id", "id", "relevance", "rank")
 
 
 FUSED = """, s AS (SELECT query_id, source_type, source_id, sum(1.0 / (60.0 + rank)) AS score, min(lane * 1000 + rank) AS f, arg_min(title, lane * 1000 + rank) AS title FROM lanes GROUP BY ALL),
@@ -194,17 +193,18 @@ def tier_counts(t):
     return credibility_tier(t).groupBy("tier").agg(F.count("*").alias("n")).select("tier", corpus.tier_rank(F.col("tier")).alias("tier_rank"), "n")
 
 
-PANEL = """, h AS (SELECT doc AS conv, concat('d', doc) AS source_id, min(pos) AS position FROM drafts GROUP BY doc),
-p AS (SELECT doc, string_agg(CASE WHEN trim(role) <> '' THEN '## ' || role || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS prose FROM drafts WHERE doc % 5 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc)
-SELECT source_id, coalesce(prose, 'fallback ' || conv) AS prose, 'T' AS title, 'Unknown' AS tier FROM h LEFT JOIN p ON h.conv = p.doc"""
+PANEL = f""", h AS (SELECT doc AS conv, concat('d', doc) AS source_id, min(pos) AS position FROM drafts GROUP BY doc),
+p AS (SELECT doc, string_agg(CASE WHEN trim(role) <> '' THEN '## ' || role || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY pos) AS prose FROM drafts WHERE doc % 5 <> 0 AND trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY doc),
+m AS (SELECT doc_id AS conv, title, {TIER} AS tier FROM papers)
+SELECT source_id, coalesce(prose, 'fallback ' || h.conv) AS prose, coalesce(title, 'T') AS title, coalesce(tier, 'Unknown') AS tier FROM h LEFT JOIN p ON h.conv = p.doc LEFT JOIN m ON m.conv = h.conv"""
 
 
-@query("panel_assembly", PANEL, "drafts")
+@query("panel_assembly", PANEL, "drafts", "papers")
 def panel_assembly(t):
     d = t("drafts")
     hits = d.select(F.expr("concat('d', doc)").alias("source_id"), F.col("pos").alias("position"), F.lit("T").alias("title"), F.expr("concat('fallback ', doc)").alias("content"))
     chunks = d.filter("doc % 5 <> 0").select(F.expr("concat('d', doc)").alias("paper_id"), F.col("pos").alias("chunk_index"), F.col("role").alias("section"), F.col("text").alias("content"))
-    papers = t("papers").filter("false").select("paper_id", "title", "year", "authors", "citation_count", "influential_count", "venue")
+    papers = t("papers").select(F.expr("concat('d', doc_id)").alias("paper_id"), "title", "year", "authors", "citation_count", "influential_count", "venue")
     return corpus.panel(hits, chunks, papers).select("source_id", "prose", "title", "tier")
 
 
@@ -266,12 +266,45 @@ SELECT query_id, id AS source_id, round(relevance, 6) AS relevance FROM f WHERE
 @query("retrieval_pipeline", PIPELINE)
 def retrieval_pipeline(t):
     q = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("query_vector"))
-    met = t("embeddings").withColumnRenamed("vec_id", "id").join(F.broadcast(q), F.col("id") != F.col("query_id"))
-    met = met.select("query_id", "id", "label", "own", vectors.l2(F.col("embedding"), F.col("query_vector")).alias("d"), vectors.cosine(F.col("embedding"), F.col("query_vector")).alias("c"))
+    chunks = t("embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    other = ("query_id", "id")
+    found = [
+        retrieval.nearest(q, chunks, 10, id_column="id", apart=(other,)),
+        retrieval.nearest(q, chunks, 10, id_column="id", metric="cosine", apart=(other, ("own", "label"))),
+        retrieval.nearest(q, chunks, 10, F.col("label") == 1, id_column="id", apart=(other,)),
+    ]
+    lanes = [f.select("query_id", F.lit(n).alias("lane"), "rank", F.lit("vector").alias("source_type"), F.col("id").alias("source_id")) for n, f in enumerate(found)]
+    return retrieval.gated(retrieval.fused(lanes[0].unionByName(lanes[1]).unionByName(lanes[2])), q.select("query_id"))[0].select("query_id", "source_id", "relevance")
 
-    def lane(n, rows, *order):
-        w = Window.partitionBy("query_id").orderBy(*order)
-        return rows.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", F.lit(n).alias("lane"), "rank", F.lit("vector").alias("source_type"), F.col("id").alias("source_id"))
 
-    lanes = lane(0, met, "d", "id").unionByName(lane(1, met.filter("label <> own"), F.desc("c"), "id")).unionByName(lane(2, met.filter("label = 1"), "d", "id"))
-    return retrieval.gated(retrieval.fused(lanes), q.select("query_id"))[0].select("query_id", "source_id", "relevance")
+@query("degraded_store", " SELECT vec_id AS query_id, 'degraded' AS status, 'vector store no_such_store is not available' AS reason FROM embeddings WHERE vec_id % 50 = 0")
+def degraded_store(t):
+    q = vector_queries(t)
+    return retrieval.capability(q.sparkSession, "no_such_store", q)
+
+
+@query("fulltext_status_set", """, c AS (SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'arxiv:' WHEN 1 THEN 's2:' ELSE 'local:' END, doc_id) AS paper_id, quality, toxic FROM labels)
+SELECT paper_id, coalesce(CASE WHEN quality = 1 THEN 'indexed' WHEN toxic = 1 THEN 'failed' END, 'none') AS fulltext_status, CASE WHEN toxic = 1 THEN concat('http://x/', paper_id) END AS open_access_pdf_url FROM papers LEFT JOIN c USING (paper_id)""", "papers")
+def fulltext_status_set(t):
+    labels = t("labels").select(F.expr("concat(CASE doc_id % 3 WHEN 0 THEN 'arxiv:' WHEN 1 THEN 's2:' ELSE 'local:' END, doc_id)").alias("paper_id"), "quality", "toxic")
+    first = labels.select("paper_id", F.lit(1).alias("ord"), F.expr("IF(toxic = 1, 'failed', NULL)").alias("status"), F.expr("IF(toxic = 1, concat('http://x/', paper_id), NULL)").alias("url"))
+    then = labels.filter("quality = 1").select("paper_id", F.lit(2).alias("ord"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("url"))
+    return corpus.with_status(corpus.migrated(t("papers").select("paper_id")), first.unionByName(then)).select("paper_id", "fulltext_status", "open_access_pdf_url")
+
+
+@query("migrated_papers", " SELECT paper_id, venue, 'none' AS fulltext_status, CAST(NULL AS VARCHAR) AS open_access_pdf_url, CAST(NULL AS BIGINT) AS influential_citation_count FROM papers", "papers")
+def migrated_papers(t):
+    return corpus.migrated(t("papers").select("paper_id", "venue"))
+
+
+SEEDS = """WITH s AS (SELECT o_orderkey AS ord, concat('seed', o_orderkey) AS seed, CASE WHEN o_orderkey % 7 > 1 THEN concat('arxiv:', o_orderkey % 1000) END AS f FROM orders)
+SELECT f AS source_id, arg_min(seed, ord) AS seed, CAST(NULL AS VARCHAR) AS failure FROM s WHERE f IS NOT NULL GROUP BY f
+UNION ALL SELECT NULL, NULL, concat(seed, CASE WHEN ord % 7 = 0 THEN ': not found' ELSE ': no answer' END) FROM s WHERE f IS NULL"""
+
+
+@query("seed_resolve", SEEDS)
+def seed_resolve(t):
+    o = t("orders").select(F.col("o_orderkey").alias("ord"), F.expr("concat(' seed', o_orderkey, ' ')").alias("seed"), F.col("o_orderkey").alias("k"))
+    found = o.filter("k % 7 <> 0").select(F.trim("seed").alias("seed"), F.expr("IF(k % 7 = 1, NULL, concat('arxiv:', k % 1000))").alias("source_id"), F.expr("IF(k % 7 = 1, 'no answer', NULL)").alias("error"))
+    hits, failed = corpus.seeds_resolved(o.select("ord", "seed"), found)
+    return hits.select("source_id", "seed", F.lit(None).cast("string").alias("failure")).unionByName(failed.select(F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("seed"), "failure"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,17 @@ def session(cpus: int | None = None, partitions: int | None = None) -> SparkSess
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared checkpoint folder, cut off from its plan: it stays as it is, whatever executor is lost.
+
+    The folder is spark.checkpoint.dir; only in local mode, where it may be unset, one of this machine.
+    """
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheaf-checkpoints-"))
+    return df.checkpoint(eager=True)

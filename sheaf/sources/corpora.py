@@ -62,18 +62,22 @@ def plain_chunks(texts: DataFrame, most: int = CHUNK_BYTES) -> DataFrame:
 
 
 class Sections(HTMLParser):
-    """Paragraphs of an HTML text under their sections, in document order; nested sections count as their own too."""
+    """Paragraphs of an HTML text under their sections, in document order; nested sections count as their own too.
 
-    def __init__(self, section: str, paragraph: str):
+    section, paragraph, headings and title are written `tag.class` or `tag`.
+    """
+
+    def __init__(self, section: str, paragraph: str, headings: tuple[str, ...], title: str):
         super().__init__(convert_charrefs=True)
-        self.section, self.paragraph = section, paragraph
+        self.section, self.paragraph, self.headings, self.title_is = section, paragraph, headings, title
         self.stack: list[tuple[str, int | None, bool]] = []
         self.sections: list[dict] = []
         self.loose: list[str] = []
-        self.title = ""
+        self.title: str | None = None
         self.text: list[str] | None = None
-        self.heading: tuple[int, list[str]] | None = None
-        self.in_title = self.hidden = False
+        self.heading: tuple[int, str, list[str]] | None = None
+        self.naming: tuple[str, list[str]] | None = None
+        self.hidden = False
 
     VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 
@@ -96,18 +100,19 @@ class Sections(HTMLParser):
         if begins:
             self.text = []
         open_sections = [s for _, s, _ in self.stack if s is not None]
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tag in ("h1", "h2", "h3") and open_sections and self.sections[open_sections[-1]]["heading"] is None:
-            self.heading = open_sections[-1], []
-        self.in_title = tag == "title"
+        if self.heading is None and open_sections and self.sections[open_sections[-1]]["heading"] is None and any(self.is_one(h, tag, classes) for h in self.headings):
+            self.heading = open_sections[-1], tag, []
+        if self.title is None and self.naming is None and self.is_one(self.title_is, tag, classes):
+            self.naming = tag, []
         self.hidden = tag in ("script", "style")
         self.stack.append((tag, section, begins))
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
-            self.title += data
-        elif not self.hidden:
+        if not self.hidden:
+            if self.naming is not None:
+                self.naming[1].append(data)
             if self.heading is not None:
-                self.heading[1].append(data)
+                self.heading[2].append(data)
             elif self.text is not None:
                 self.text.append(data)
 
@@ -120,10 +125,12 @@ class Sections(HTMLParser):
                 self.end_paragraph()
             if name == tag:
                 break
-        self.in_title = self.hidden = False
-        if self.heading is not None and tag in ("h1", "h2", "h3"):
-            self.sections[self.heading[0]]["heading"] = " ".join("".join(self.heading[1]).split())
+        self.hidden = False
+        if self.heading is not None and tag == self.heading[1]:
+            self.sections[self.heading[0]]["heading"] = " ".join("".join(self.heading[2]).split())
             self.heading = None
+        if self.naming is not None and tag == self.naming[0]:
+            self.title, self.naming = " ".join("".join(self.naming[1]).split()), None
 
     def end_paragraph(self) -> None:
         text = " ".join("".join(self.text or []).split())
@@ -141,7 +148,11 @@ class Sections(HTMLParser):
             self.end_paragraph()
 
 
-def html_paragraphs(pages: DataFrame, section: str = "section.ltx_section", paragraph: str = "div.ltx_para", id_column: str = "paper_id", html_column: str = "html") -> DataFrame:
+#: What headings and titles are in papers as HTML: fixed values.
+HEADINGS, TITLE = ("h2.ltx_title_section", "h3.ltx_title_subsection", "h1.ltx_title_document"), "h1.ltx_title_document"
+
+
+def html_paragraphs(pages: DataFrame, section: str = "section.ltx_section", paragraph: str = "div.ltx_para", headings: tuple[str, ...] = HEADINGS, title: str = TITLE, id_column: str = "paper_id", html_column: str = "html") -> DataFrame:
     """(id, section_ord, section, parts) of HTML texts: the paragraphs of each section, or, without sections, each one alone under the title."""
     kind = pages.schema[id_column].dataType.simpleString()
 
@@ -149,12 +160,12 @@ def html_paragraphs(pages: DataFrame, section: str = "section.ltx_section", para
         for batch in batches:
             out = []
             for key, html in zip(batch[id_column], batch[html_column], strict=True):
-                parser = Sections(section, paragraph)
+                parser = Sections(section, paragraph, headings, title)
                 parser.feed(html or "")
                 parser.close()
                 rows = [(s["heading"] or s["id"], s["parts"]) for s in parser.sections if s["parts"]]
                 if not parser.sections:
-                    label = " ".join(parser.title.split()) or "document"
+                    label = "document" if parser.title is None else parser.title
                     rows = [(label, [p]) for p in parser.loose]
                 out += [(key, i, *r) for i, r in enumerate(rows)]
             yield pd.DataFrame(out, columns=[id_column, "section_ord", "section", "parts"])
@@ -162,7 +173,7 @@ def html_paragraphs(pages: DataFrame, section: str = "section.ltx_section", para
     return pages.select(id_column, html_column).mapInPandas(run, f"{id_column} {kind}, section_ord int, section string, parts array<string>")
 
 
-def html_chunks(pages: DataFrame, most: int = CHUNK_BYTES, **where: str) -> DataFrame:
+def html_chunks(pages: DataFrame, most: int = CHUNK_BYTES, **where) -> DataFrame:
     """(id, section, chunk_index, content) of HTML texts, numbered through the document."""
     key = where.get("id_column", "paper_id")
     each = html_paragraphs(pages, **where).withColumn("chunks", packed(F.col("parts"), most))

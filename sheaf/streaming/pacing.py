@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.retrieval import first_seen
+from ..operators.scans import placed, running
 
 #: Seconds between the calls of an endpoint, calls in a run, days that a vector is kept.
 INTERVALS = {"s2": 1.1, "s2_keyed": 0.5, "arxiv": 3.0, "ar5iv": 1.0, "pdf": 1.0}
@@ -21,19 +22,17 @@ def paced(calls: DataFrame, interval: float | Column, endpoint: str = "endpoint"
     """calls with the second at which each is granted: not before it arrives, nor within the interval after the grant before it.
 
     In order of arrival, grant i is the greatest of arrival j + (i - j) * interval over j <= i:
-    a running maximum. An endpoint's calls are served one after the other by their nature.
+    a running maximum, found by a partitioned prefix scan, so an endpoint may have any number of calls.
     """
     d = F.lit(float(interval)) if isinstance(interval, (int, float)) else interval
-    w = Window.partitionBy(endpoint).orderBy(arrival, order)
-    n = F.row_number().over(w) - 1
-    slack = calls.withColumn("_n", n).withColumn("_d", d).withColumn("_slack", F.col(arrival) - F.col("_n") * F.col("_d"))
-    top = F.max("_slack").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return slack.withColumn("granted", top + F.col("_n") * F.col("_d")).withColumn("waited", F.col("granted") - F.col(arrival)).drop("_n", "_d", "_slack")
+    rows = running(placed(calls.withColumn("_d", d), [endpoint], [arrival, order]), [endpoint], "_n", "sum", F.lit(1), before=True)
+    top = running(rows, [endpoint], "_top", "max", F.col(arrival) - F.col("_n") * F.col("_d"))
+    return top.withColumn("granted", F.col("_top") + F.col("_n") * F.col("_d")).withColumn("waited", F.col("granted") - F.col(arrival)).drop("_n", "_d", "_top", "_at", "_part")
 
 
 def budgeted(calls: DataFrame, budget: int, keys: list[str], *order: str) -> DataFrame:
-    """calls with whether they are within the first `budget` of their key."""
-    return calls.withColumn("allowed", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= budget)
+    """calls with whether they are within the first `budget` of their key, which may have any number of calls."""
+    return running(placed(calls, keys, list(order)), keys, "_n", "sum", F.lit(1)).withColumn("allowed", F.col("_n") <= budget).drop("_n", "_at", "_part")
 
 
 def backoff(attempt: Column, retry_after: Column, most: int = 3) -> Column:

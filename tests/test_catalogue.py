@@ -34,7 +34,7 @@ def test_oracle(spark, duck, name):
     mine = sorted(repr([plain(v) for v in r]) for r in df.select(*columns).collect())
     found = duck.execute(catalogue.ORACLES[name])
     names = [d[0] for d in found.description]
-    assert sorted(names) == columns
+    assert sorted(names) == columns and mine
     theirs = sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in found.fetchall())
     assert mine == theirs
 
@@ -42,7 +42,7 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_rows(spark, name):
     df = catalogue.QUERIES[name](spark, DATA)
-    assert df.columns and df.count() >= 0
+    assert df.count() > 0
 
 
 def test_flagship(spark):
