@@ -10,10 +10,12 @@ become a token, and for every position inside it the last token and the token co
 to the present. States are interned; a transition is computed the first time it is taken, so
 a text costs a table look-up for each symbol.
 
-A text is cut into chunks. A chunk's state map sends the state before it to the state after
-it and the number of tokens: white space resets every state, so the map is a head (run from
-whichever state comes in), a constant, and a tail state. State maps compose associatively and
-a text's count is the parallel prefix scan of its chunks' maps.
+A text is cut into chunks of CHUNK characters. A chunk's state map sends the state before it to
+the state after it and the number of tokens. The state before a chunk is what has been read of
+an unfinished word; white space resets it, so a map is a head (which ends the word that comes
+in), a constant number of tokens, and a tail (the state that it leaves), all but the head and the
+tail the same for every state. State maps compose associatively and a text's count is the
+prefix scan of its chunks' maps, pairwise and in rounds.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); strings of special tokens
 inside a text are one token each, as the library's default has it; repeated rows are counted
@@ -42,7 +44,8 @@ from .columns import named
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-CHUNK = 1 << 20
+#: Characters of a chunk: longer texts are counted by composed state maps.
+CHUNK = 1 << 12
 #: Compiled states and remembered words before the tables are emptied.
 MAX_STATES, MAX_WORDS = 100_000, 250_000
 #: White space of the vocabulary's pattern, as the inside of a class.
@@ -164,10 +167,18 @@ class Transducer:
         return total + (table[state].get(code) or self.advance(state, code))[1]
 
 
+@lru_cache(1)
+def classes() -> tuple[str, str]:
+    """Letters and numbers, compiled once on the driver and sent with the tasks."""
+    return category_class("L"), category_class("N")
+
+
 @lru_cache(2)
-def counter(path: str) -> TokenCounter:
+def counter(path: str, letters: str | None = None, numbers: str | None = None) -> TokenCounter:
     """One compiled vocabulary for each Python worker, kept from task to task."""
-    return TokenCounter(path)
+    if letters is None or numbers is None:
+        letters, numbers = classes()
+    return TokenCounter(path, letters, numbers)
 
 
 class StateMap:
@@ -182,7 +193,7 @@ class StateMap:
 class TokenCounter:
     """Counts tokens of texts as the vocabulary's library does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, letters: str, numbers: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -190,7 +201,6 @@ class TokenCounter:
         self.machine = Transducer(model["vocab"], merges, model["end_of_word_suffix"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        letters, numbers = category_class("L"), category_class("N")
         #: The vocabulary's own pattern (a fixed value), with classes spelt out.
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
         self.space = re.compile(f"[{SPACE}]")
@@ -219,7 +229,7 @@ class TokenCounter:
         first = self.space.search(chunk)
         if first is None:
             return StateMap(chunk)
-        last = max(i for i in (chunk.rfind(m) for m in set(self.space.findall(chunk))))
+        last = len(chunk) - 1 - self.space.search(chunk[::-1]).start()
         return StateMap(chunk[: first.start()], self.lexed(chunk[first.start() : last]), chunk[last:])
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
@@ -251,10 +261,10 @@ class TokenCounter:
 def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    kind = docs.schema[id_column].dataType
+    kind, (letters, numbers) = docs.schema[id_column].dataType, classes()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        count = counter(path, letters, numbers).count
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             tokens = np.fromiter((count(x) if (x := t.as_py()) else 0 for t in batch.column(1)), np.int64, batch.num_rows)
