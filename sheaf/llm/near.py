@@ -49,6 +49,8 @@ SKETCHES, LEAST = 10, 2
 CHUNK, CHUNK_TEXTS = 150_000, 1000
 #: Pairs of a k-mer up to which they are counted one by one, and columns of a matrix product.
 FEW, COLUMNS = 64, 4096
+#: Pairs of a cell up to which they are counted one by one.
+SMALL_CELL = 200
 SEPARATORS = b" \t\n\v\f\r"
 IS_WORD = np.ones(256, np.bool_)
 IS_WORD[list(SEPARATORS)] = False
@@ -227,27 +229,41 @@ def rest_links(buckets: DataFrame, content: DataFrame, shingle: int, threshold:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell").combine_chunks()
-        cell = table["cell"].to_numpy()
+        # a text that is in several cells is taken apart once
+        keys, once, text = np.unique(table["_key"].to_numpy(), return_index=True, return_inverse=True)
+        parts = [shingles(data, offsets, shingle)[:2] for _, _, data, offsets in text_blocks(texts_of(table["_text"].take(pa.array(once)).combine_chunks()))]
+        grams = np.concatenate([g for g, _ in parts] or [np.zeros(0, np.uint64)])
+        at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(to) for _, to in parts] or [np.zeros(0, np.int64)]))))
+        kmers = labelled_kmers(grams, at) if len(grams) else grams
+        kmers = kmers[np.lexsort((kmers, np.repeat(np.arange(len(keys)), np.diff(at))))]
+        comp_of = table["comp"].to_numpy()[once]
+        cell, stray = table["cell"].to_numpy(), table["stray"].to_numpy(zero_copy_only=False)
         edges = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
-        found = [cell_links(table.slice(a, b - a), shingle, threshold) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"u": pa.array([u for f in found for u, _ in f], pa.int64()), "v": pa.array([v for f in found for _, v in f], pa.int64())})
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mine = text[a:b]
+            links = cell_links(mine[stray[a:b]], mine[~stray[a:b]], comp_of, grams, kmers, at, threshold)
+            found.update((max(keys[i], keys[j]), min(keys[i], keys[j])) for i, j in links)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
     return rows.groupBy("group").applyInArrow(run, "u long, v long").distinct()
 
 
-def cell_links(cell: pa.Table, shingle: int, threshold: float) -> list[tuple[int, int]]:
-    """The links of one cell (stray, _key, comp, _text), the greater key first."""
-    stray, keys, comps = (cell[c].to_numpy(zero_copy_only=False) for c in ("stray", "_key", "comp"))
-    strays, others = np.flatnonzero(stray), np.flatnonzero(~stray)
+def cell_links(strays: np.ndarray, others: np.ndarray, comp_of: np.ndarray, grams: np.ndarray, kmers: np.ndarray, at: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """The links of one cell, as pairs of texts: strays and others are numbers of texts, kmers are sorted within each text."""
     if not len(strays) or not len(others):
         return []
-    parts = [shingles(data, offsets, shingle)[:2] for _, _, data, offsets in text_blocks(texts_of(cell["_text"].combine_chunks()))]
-    grams = np.concatenate([g for g, _ in parts])
-    at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(to) for _, to in parts]))))
     sizes = np.diff(at)
-    common = common_counts(labelled_kmers(grams, at), sizes, strays, others)
-    needed = np.ceil(threshold * (sizes[strays][:, None] + sizes[others][None, :]) / (1 + threshold) - 1e-9)
-    x, y = np.nonzero((common >= needed) & (comps[strays][:, None] != comps[others][None, :]))
+    a, b = sizes[strays][:, None], sizes[others][None, :]
+    needed = np.ceil(threshold * (a + b) / (1 + threshold) - 1e-9)
+    x, y = np.nonzero((np.minimum(a, b) >= needed) & (comp_of[strays][:, None] != comp_of[others][None, :]))
+    if not len(x):
+        return []
+    if len(x) <= SMALL_CELL:
+        common = np.array([common_count(kmers[at[i] : at[i + 1]], kmers[at[j] : at[j + 1]]) for i, j in zip(strays[x].tolist(), others[y].tolist(), strict=True)])
+    else:
+        common = common_counts(kmers, at, strays, others)[x, y]
+    enough = np.flatnonzero(common >= needed[x, y])
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -256,22 +272,30 @@ def cell_links(cell: pa.Table, shingle: int, threshold: float) -> list[tuple[int
         return c
 
     out = []
-    for k in np.argsort(-common[x, y], kind="stable").tolist():
+    for k in enough[np.argsort(-common[enough], kind="stable")].tolist():
         i, j = int(strays[x[k]]), int(others[y[k]])
-        p, q = find(int(comps[i])), find(int(comps[j]))
+        p, q = find(int(comp_of[i])), find(int(comp_of[j]))
         if p != q and similarity(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]], threshold):
             root[max(p, q)] = min(p, q)
-            out.append((int(max(keys[i], keys[j])), int(min(keys[i], keys[j]))))
+            out.append((i, j))
     return out
 
 
-def common_counts(kmers: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def common_count(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats share."""
+    place = np.searchsorted(b, a)
+    return int(np.count_nonzero(b[np.minimum(place, len(b) - 1)] == a))
+
+
+def common_counts(kmers: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """How many k-mers each text of left shares with each of right; a text has each k-mer once."""
-    side = np.full((2, len(sizes)), -1)
-    side[0, left], side[1, right] = np.arange(len(left)), np.arange(len(right))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    _, column = np.unique(kmers, return_inverse=True)
-    (lr, lc), (rr, rc) = ((side[s][row][side[s][row] >= 0], column[side[s][row] >= 0]) for s in (0, 1))
+    rows = []
+    for side in (left, right):
+        n = np.diff(at)[side]
+        ends = np.cumsum(n)
+        rows.append((np.repeat(np.arange(len(side)), n), kmers[np.arange(ends[-1]) - np.repeat(ends - n - at[side], n)]))
+    _, column = np.unique(np.concatenate([k for _, k in rows]), return_inverse=True)
+    (lr, lc), (rr, rc) = (rows[0][0], column[: len(rows[0][0])]), (rows[1][0], column[len(rows[0][0]) :])
     width = int(column.max()) + 1 if len(column) else 0
     nl, nr = np.bincount(lc, minlength=width), np.bincount(rc, minlength=width)
     out = np.zeros(len(left) * len(right), np.float32)

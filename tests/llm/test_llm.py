@@ -209,6 +209,39 @@ def test_near_templates(spark, shared, changed):
     assert {k: r["class_id"] for k, r in out.items()} == {k: k - k % 2 for k in range(2 * n)} and all(r["n_links"] == 1 for r in out.values())
 
 
+def test_cells(monkeypatch):
+    """Common k-mers and the components of a cell against brute force, counted one by one and by matrix products."""
+    r = random.Random(2)
+    monkeypatch.setattr(near, "COLUMNS", 50)
+    for _ in range(12):
+        base, texts = [f"w{r.randint(0, 50)}" for _ in range(60)], []
+        for _ in range(30):
+            w = list(base) if r.random() < 0.7 else [f"w{r.randint(0, 30)}" for _ in range(r.randint(1, 80))]
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"e{r.randint(0, 5)}"
+            texts.append(" ".join(w))
+        blob = np.frombuffer("".join(texts).encode(), np.uint8)
+        grams, at, _, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
+        kmers = near.labelled_kmers(grams, at)
+        kmers = kmers[np.lexsort((kmers, np.repeat(np.arange(30), np.diff(at))))]
+        strays, others = np.array(sorted(r.sample(range(30), 12))), np.arange(30)
+        sets = [set(kmers[at[i] : at[i + 1]].tolist()) for i in range(30)]
+        assert near.common_counts(kmers, at, strays, others).tolist() == [[len(sets[i] & sets[j]) for j in others] for i in strays]
+        found = []
+        for small in (0, 1000):
+            monkeypatch.setattr(near, "SMALL_CELL", small)
+            found.append(near.cell_links(strays, others, np.arange(30), grams, kmers, at, 0.8))
+        assert found[0] == found[1]
+        roots = []
+        for links in (found[0], [(i, j) for i in strays for j in others if i != j and near.similarity(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]])]):
+            root = list(range(30))
+            for i, j in links:
+                p, q = root[i], root[j]
+                root = [min(p, q) if x in (p, q) else x for x in root]
+            roots.append(root)
+        assert roots[0] == roots[1]
+
+
 def test_near_repeated_ids(spark, empty):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here now"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(r["class_size"] for r in near.near_classes(df).collect()) == [1, 1, 3, 3, 3]
