@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,12 +145,12 @@ def guarded(calls: DataFrame, group: list[str], most_calls: int, most_seconds: f
     return rows.withColumn("stopped_by", stop).drop("_used", "_spent", "_at", "_part")
 
 
-def sampling(n: int, diverse: bool, seed: int = 42) -> list[tuple[int, float, float, int, int | None]]:
-    """(trajectory, temperature, top_p, top_k, seed): all alike, or spread over 0.5 - 1.0 with seeds of their own."""
+def sampling(n: int, diverse: bool, seed: int = 42, temperatures: tuple[float, float] = (0.5, 1.0), shares: tuple[float, float] = (0.85, 0.95)) -> list[tuple[int, float, float, int, int | None]]:
+    """(trajectory, temperature, top_p, top_k, seed): all alike, or drawn from the ranges, each trajectory with a seed of its own."""
     if not diverse:
         return [(i, 1.0, 1.0, 0, None) for i in range(n)]
-    step = 0.5 / max(1, n - 1)
-    return [(i, round(0.5 + step * i, 4), round(0.85 + 0.1 * i / max(1, n - 1), 4), 40, seed + i) for i in range(n)]
+    draws = [random.Random(seed + i) for i in range(n)]
+    return [(i, r.uniform(*temperatures), r.uniform(*shares), 40, seed + i) for i, r in enumerate(draws)]
 
 
 def telemetry(scores: DataFrame) -> DataFrame:

@@ -61,6 +61,19 @@ class Engine:
         papers = files.select("paper_id", F.lit("local").alias("source"), "title").join(texts.filter("failure is null").select("paper_id"), "paper_id", "left_semi")
         return papers, chunks, texts.filter("failure is not null").select("paper_id", "failure")
 
+    def lanes(self, queries: DataFrame, chunks: DataFrame, live: list[DataFrame]) -> DataFrame:
+        """The lanes that `search` takes: the stored chunks (paper_id, chunk_index, source_type, title, embedding) nearest to each query's vector, one for each paper, as lane 0, and the live lanes (query_id, rank, source_type, source_id, title) as 1 and on.
+
+        A store of several chunks for each paper is asked for more of them, and a paper keeps the rank of its nearest one.
+        """
+        found = retrieval.nearest(queries, chunks, self.options.most_top_k, id_column="chunk_id")
+        best = found.groupBy("query_id", F.col("paper_id").alias("source_id")).agg(F.min("rank").alias("first"), F.min_by("source_type", "rank").alias("source_type"), F.min_by("title", "rank").alias("title"))
+        order = Window.partitionBy("query_id").orderBy("first")
+        out = best.select("query_id", F.lit(0).alias("lane"), F.row_number().over(order).alias("rank"), "source_type", "source_id", "title").filter(F.col("rank") <= self.options.top_k)
+        for n, rows in enumerate([] if self.options.local_only else live, 1):
+            out = out.unionByName(rows.select("query_id", F.lit(n).alias("lane"), "rank", "source_type", "source_id", "title"))
+        return out
+
     def search(self, lanes: DataFrame, queries: DataFrame, scores: DataFrame | None = None, replies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """(hits by position, a status for each query): fuse, gate, rerank, top k, topicality.
 

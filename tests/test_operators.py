@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
 from sheaf.functions.vectors import cosine, l2
-from sheaf.operators import citations, corpus, fitness, graph, provenance, retrieval
+from sheaf.operators import citations, corpus, fitness, graph, provenance, retrieval, scans
 from sheaf.operators.joins import as_of
+from sheaf.plans import review
 from sheaf.sources import corpora
 from sheaf.streaming import pacing
 
@@ -70,6 +72,70 @@ def test_nearest_blocks(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.nearest(queries, chunks, 3).select("query_id", "chunk_id").collect())) == whole and len(whole) == 30
 
 
+def test_nearest_in_blocks_by_cosine_with_exclusions(spark, monkeypatch):
+    """Tasks that prune, blocks, ties, nulls, other lengths, null vectors and zero ones: as by brute force."""
+    r = np.random.default_rng(3)
+    vectors = [(i, i % 3 if i % 7 else None, [float(x) for x in r.integers(-2, 3, 4)]) for i in range(300)] + [(300, 1, None), (301, 1, [1.0]), (302, 1, [0.0] * 4)]
+    chunks = spark.createDataFrame(vectors, "chunk_id int, label int, embedding array<double>").repartition(3)
+    queries = [(i, lab, v) for i, lab, v in vectors if v and len(v) == 4 and any(v)][:40]
+    asked = spark.createDataFrame(queries, "query_id int, own int, query_vector array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 16)
+
+    class Small(retrieval.Best):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.most = 20
+
+    monkeypatch.setattr(retrieval, "Best", Small)
+    got = retrieval.nearest(asked, chunks, 5, metric="cosine", least=0.2, apart=(("query_id", "chunk_id"), ("own", "label")))
+    want = []
+    for q, own, v in queries:
+        found = []
+        for c, lab, e in vectors:
+            if e and len(e) == 4 and any(e) and c != q and lab is not None and own is not None and lab != own:
+                cosine = sum(a * b for a, b in zip(v, e, strict=True)) / (sum(a * a for a in v) ** 0.5 * sum(b * b for b in e) ** 0.5)
+                if cosine >= 0.2 + 1e-12:
+                    found.append((-round(cosine, 9), c))
+        want += [(q, -s) for s, _ in sorted(found)[:5]]
+    assert sorted((x["query_id"], round(x["relevance"], 9)) for x in got.collect()) == sorted(want)
+
+
+def test_lanes_to_search(spark):
+    engine = review.Engine(spark)
+    chunks = spark.createDataFrame([(i, f"p{i // 2}", i % 2, "paper", f"t{i // 2}", [float(i), 1.0]) for i in range(12)], "chunk_id int, paper_id string, chunk_index int, source_type string, title string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [4.0, 1.0]), (2, [11.0, 1.0])], "query_id int, query_vector array<double>")
+    live = spark.createDataFrame([(1, 1, "paper", "p9", "t9")], "query_id int, rank int, source_type string, source_id string, title string")
+    lanes = engine.lanes(queries, chunks, [live])
+    first = {(r["query_id"], r["lane"]): r["source_id"] for r in lanes.filter("rank = 1").collect()}
+    assert first == {(1, 0): "p2", (2, 0): "p5", (1, 1): "p9"}
+    hits, status = engine.search(lanes, queries.select("query_id"))
+    assert {r["query_id"] for r in hits.collect()} == {1, 2} and status.count() == 2
+
+
+def test_headings_by_class(spark):
+    html = "<h1 class='ltx_title_document'>Paper</h1><h2>no</h2><section class='ltx_section' id='S1'><h2 class='other'>not this</h2><h2 class='ltx_title_section'>One</h2><div class='ltx_para'>a</div></section>"
+    loose = "<title>tab</title><h1 class='x ltx_title_document'>Paper</h1><div class='ltx_para'>a</div>"
+    pages = spark.createDataFrame([(1, html), (2, loose), (3, "<title>tab</title><div class='ltx_para'>b</div>")], "paper_id int, html string")
+    assert {(r["paper_id"], r["section"], r["content"]) for r in corpora.html_chunks(pages).collect()} == {(1, "One", "a"), (2, "Paper", "a"), (3, "document", "b")}
+
+
+def test_scans_of_a_hot_group(spark):
+    rows = [(("a" if i % 10 else None), i, float(i % 13)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, o int, v double").repartition(8)
+    placed = scans.placed(df, ["g"], ["o"])
+    got = {r["o"]: (r["n"], r["top"]) for r in scans.running(scans.running(placed, ["g"], "n", "sum", F.lit(1), before=True), ["g"], "top", "max", F.col("v")).collect()}
+    seen = {}
+    for g, o, v in rows:
+        n, top = seen.get(g, (0, float("-inf")))
+        assert got[o] == (n, max(top, v))
+        seen[g] = n + 1, max(top, v)
+
+
+def test_sampling_draws():
+    a = fitness.sampling(5, True)
+    assert a == fitness.sampling(5, True) and len({x[1] for x in a}) == 5 and all(0.5 <= x[1] <= 1 and 0.85 <= x[2] <= 0.95 for x in a)
+
+
 def test_vectors(spark):
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, l2(a, b)) == 5.0 and one(spark, cosine(a, b)) == 0.0 and one(spark, cosine(a, a)) == pytest.approx(1.0)
@@ -167,7 +233,7 @@ def test_plain_chunks_stop_at_references(spark):
 def test_html_sections(spark):
     html = '<title>T</title><section class="ltx_section" id="S1"><h2>One</h2><div class="ltx_para">a<br>b</div><section class="ltx_section" id="S2"><div class="ltx_para">c</div></section></section>'
     pages = spark.createDataFrame([(1, html), (2, '<div class="ltx_para">flat</div>'), (3, None)], "paper_id int, html string")
-    assert [tuple(r) for r in corpora.html_chunks(pages).orderBy("paper_id", "chunk_index").collect()] == [(1, "One", 0, "a b\n\nc"), (1, "S2", 1, "c"), (2, "document", 0, "flat")]
+    assert [tuple(r) for r in corpora.html_chunks(pages, headings=("h1", "h2", "h3"), title="title").orderBy("paper_id", "chunk_index").collect()] == [(1, "One", 0, "a b\n\nc"), (1, "S2", 1, "c"), (2, "document", 0, "flat")]
 
 
 def test_atom(spark):
