@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
@@ -97,6 +98,34 @@ def candidate_selection(t):
     return fitness.best_first(c, ["run_id"]).filter("rank = 1").select("run_id", "candidate")
 
 
+TOURNAMENT = """, c AS (SELECT run_id, candidate, candidate % 5 = 0 AS veto, candidate % 4 = 0 AS again,
+  CASE WHEN candidate % 5 = 0 THEN 0 ELSE round(coalesce(sum(score * coalesce(weight, 0)) / nullif(sum(CASE WHEN score IS NOT NULL THEN coalesce(weight, 0) END), 0), 0), 9) END AS w,
+  candidate % 5 <> 0 AND coalesce(max(CASE WHEN dim = 'dim1' THEN score END) >= 4, false) AS valid FROM scores LEFT JOIN weights USING (dim) GROUP BY run_id, candidate),
+k AS (SELECT *, CASE WHEN veto THEN 1 ELSE 1 + (SELECT count(*) FROM weights) END AS calls, row_number() OVER (PARTITION BY run_id, again ORDER BY candidate) AS n, row_number() OVER (PARTITION BY run_id, again ORDER BY valid DESC, w DESC, candidate) AS place FROM c),
+s0 AS (SELECT run_id, sum(calls) AS spent FROM k WHERE NOT again GROUP BY run_id),
+w0 AS (SELECT k.run_id, candidate, valid, w, spent AS calls FROM k JOIN s0 ON s0.run_id = k.run_id WHERE NOT again AND place = 1),
+w1 AS (SELECT a.run_id, (NOT a.valid AND r.run_id IS NOT NULL) AS tried, (tried AND (r.valid OR r.w > a.w)) AS better, CASE WHEN better THEN r.candidate ELSE a.candidate END AS candidate, CASE WHEN better THEN r.valid ELSE a.valid END AS valid,
+  CASE WHEN better THEN r.w ELSE a.w END AS w, a.calls + CASE WHEN tried THEN r.calls ELSE 0 END AS calls FROM w0 a LEFT JOIN (SELECT * FROM k WHERE again AND n = 1) r ON r.run_id = a.run_id),
+w2 AS (SELECT a.run_id, (NOT a.valid AND r.run_id IS NOT NULL) AS tried2, (tried2 AND (r.valid OR r.w > a.w)) AS better2, CASE WHEN better2 THEN r.candidate ELSE a.candidate END AS candidate, CASE WHEN better2 THEN r.valid ELSE a.valid END AS valid,
+  CASE WHEN better2 THEN r.w ELSE a.w END AS w, a.calls + CASE WHEN tried2 THEN r.calls ELSE 0 END AS calls FROM w1 a LEFT JOIN (SELECT * FROM k WHERE again AND n = 2) r ON r.run_id = a.run_id)
+SELECT run_id, candidate, valid, round(w, 6) AS weighted, CAST(calls AS BIGINT) AS n_calls FROM w2"""
+
+
+@query("plan_tournament", TOURNAMENT, "scores", "weights")
+def plan_tournament(t):
+    scores, weights = (t(n).withColumn("dim", F.when(F.col("dim") == "dim1", "corpus_fit").otherwise(F.col("dim"))) for n in ("scores", "weights"))
+    order = Window.partitionBy("run_id", F.col("candidate") % 4 == 0).orderBy("candidate")
+    candidates = scores.select("run_id", "candidate").distinct().withColumn("redraft", F.when(F.col("candidate") % 4 == 0, F.row_number().over(order)).otherwise(0))
+    vetoes = candidates.filter("candidate % 5 = 0").select("run_id", "candidate", F.lit("lint").alias("reason"))
+    return fitness.plan_tournament(candidates, scores, weights, vetoes)
+
+
+@query("synthesis_patch", " SELECT run_id, text, agreement_level FROM claims UNION ALL SELECT doc_id, substr(text, 1, 40), 'divided' FROM documents WHERE doc_id % 3 = 0", "claims")
+def synthesis_patch(t):
+    patch = t("documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("run_id"), F.substring("text", 1, 40).alias("text"))
+    return graph.patched(t("claims").select("run_id", "text", "agreement_level"), patch)
+
+
 NORMAL = """, x AS (SELECT claim_id, source_ord, source_id, regexp_replace(split_part(source_id, ':', 1), '^new_', '') AS bare FROM claim_sources),
 m AS (SELECT claim_id, source_ord, x.source_id, (SELECT arg_max(p.source_id, length(p.source_id)) FROM panel p WHERE bare = p.source_id OR starts_with(bare, p.source_id || '_') OR starts_with(bare, p.source_id || ':')) AS a,
 (SELECT arg_max(p.source_id, length(p.source_id)) FROM panel p WHERE x.source_id = p.source_id OR starts_with(x.source_id, p.source_id || '_') OR starts_with(x.source_id, p.source_id || ':')) AS b FROM x),
