@@ -49,6 +49,8 @@ SKETCHES, LEAST = 10, 2
 CHUNK, CHUNK_TEXTS = 150_000, 1000
 #: Pairs of a k-mer up to which they are counted one by one, and columns of a matrix product.
 FEW, COLUMNS = 64, 4096
+#: Matches for each k-mer from which on an alignment is filled row by row.
+DENSE = 16
 #: Pairs of a cell up to which they are counted one by one.
 SMALL_CELL = 200
 SEPARATORS = b" \t\n\v\f\r"
@@ -104,31 +106,41 @@ def order_sketches(grams: np.ndarray, at: np.ndarray, sketches: int = SKETCHES,
 
 
 def matched(a: np.ndarray, b: np.ndarray, needed: int) -> int:
-    """Length of the longest common subsequence of two k-mer sequences, or 0 if it is under `needed`; exact."""
+    """Length of the longest common subsequence of two k-mer sequences, or 0 if it is under `needed`; exact.
+
+    From the alignment's end, `needed` bounds how far the places of matched k-mers stray: by so
+    many that one text has and the other can do without. Matches inside that band are put in order
+    one by one, or, where repeated k-mers make very many, the band is filled row by row.
+    """
     if min(len(a), len(b)) < needed:
         return 0
-    ua, ia, ca = np.unique(a, return_index=True, return_counts=True)
-    ub, ib, cb = np.unique(b, return_index=True, return_counts=True)
-    _, x, y = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if np.minimum(ca[x], cb[y]).sum() < needed:
-        return 0  # not even as bags
-    once = (ca[x] == 1) & (cb[y] == 1)
-    order = np.argsort(ia[x[once]])
-    places = ib[y[once]][order]
-    # the longest rising run of places among k-mers that both have once
-    tails: list[int] = []
-    if len(places) and (np.diff(places) > 0).all():
-        rising = len(places)
-    else:
-        for p in places.tolist():
-            t = bisect_left(tails, p)
-            tails[t : t + 1] = [p]
-        rising = len(tails)
-    if rising >= needed and len(x) == once.sum():
-        return rising
-    # banded: from the alignment's end (i, j) at least needed - i - ... bounds how far i - j strays
     low, high = -(len(a) - needed), len(b) - needed
-    previous = np.zeros(high - low + 2, np.int32)  # over diagonals j - i = low .. high, and one in front
+    order = np.argsort(b, kind="stable")
+    sorted_b = b[order]
+    first, last = np.searchsorted(sorted_b, a, "left"), np.searchsorted(sorted_b, a, "right")
+    n = last - first
+    ends = np.cumsum(n)
+    if ends[-1] > DENSE * (len(a) + len(b)):
+        return banded(a, b, needed, low, high)
+    # the matches of each place in a, those in b from the last to the first, so that a rising run has one of each
+    i = np.repeat(np.arange(len(a)), n)
+    j = order[np.repeat(last - 1 + ends - n, n) - np.arange(ends[-1])]
+    inside = (j - i >= low) & (j - i <= high)
+    places = j[inside]
+    if len(np.unique(places)) < needed:
+        return 0
+    if (np.diff(places) > 0).all():
+        return len(places)
+    tails: list[int] = []
+    for p in places.tolist():
+        t = bisect_left(tails, p)
+        tails[t : t + 1] = [p]
+    return len(tails) if len(tails) >= needed else 0
+
+
+def banded(a: np.ndarray, b: np.ndarray, needed: int, low: int, high: int) -> int:
+    """matched, by all diagonals j - i = low .. high."""
+    previous = np.zeros(high - low + 2, np.int32)  # over the diagonals, and one in front
     for i in range(len(a)):
         j = np.arange(low, high + 1) + i
         inside = (j >= 0) & (j < len(b))

@@ -133,8 +133,11 @@ def test_banded_alignment(a, edits):
             b.pop(min(at, len(b) - 1))
     m = lcs(a, b)
     want = m / (len(a) + len(b) - m)
-    got = near.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
-    assert got == (pytest.approx(want) if want >= near.THRESHOLD else 0.0)
+    for dense in (0, 16, 1000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(near, "DENSE", dense)
+            got = near.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == (pytest.approx(want) if want >= near.THRESHOLD else 0.0)
 
 
 def brute_classes(pairs):
