@@ -24,7 +24,11 @@ def author_year(t):
     return authored(t).select("source_id", citations.author_year(F.col("authors"), F.col("year")).alias("shown"))
 
 
-CITED = AUTHORS + f", shown AS (SELECT source_id, coalesce({AY}, source_id) AS shown FROM au), c AS (SELECT claim_id, source_ord, coalesce(shown, claim_sources.source_id) AS shown FROM claim_sources LEFT JOIN shown USING (source_id)), d AS (SELECT claim_id, shown, min(source_ord) AS o FROM c GROUP BY ALL)"
+CITED = AUTHORS + (
+    f", shown AS (SELECT source_id, coalesce({AY}, source_id) AS shown FROM au), c AS (SELECT claim_id, source_ord, coalesce(shown, "
+    f"claim_sources.source_id) AS shown FROM claim_sources LEFT JOIN shown USING (source_id)), d AS (SELECT claim_id, shown, min(source_ord) AS o FROM c "
+    f"GROUP BY ALL)"
+)
 
 
 @query("cite_group", CITED + " SELECT claim_id, '(' || string_agg(shown, '; ' ORDER BY o) || ')' AS citation FROM d GROUP BY claim_id", "authored", "claim_sources")
@@ -32,12 +36,18 @@ def cite_group(t):
     return citations.cited(t("claim_sources"), authored(t))
 
 
-@query("references_list", AUTHORS + f" SELECT s.source_id, '- ' || concat_ws('. ', coalesce({AY}, s.source_id), title, nullif(url, '')) AS line FROM (SELECT DISTINCT source_id FROM claim_sources) s LEFT JOIN au USING (source_id)", "authored", "claim_sources")
+@query("references_list", AUTHORS + (
+    f" SELECT s.source_id, '- ' || concat_ws('. ', coalesce({AY}, s.source_id), title, nullif(url, '')) AS line FROM (SELECT DISTINCT source_id "
+    f"FROM claim_sources) s LEFT JOIN au USING (source_id)"
+), "authored", "claim_sources")
 def references_list(t):
     return citations.references(t("claim_sources"), authored(t)).select("source_id", "line")
 
 
-@query("statement_refs", " SELECT doc_id AS doc, 0 AS pos, CAST(doc_id % 7 AS VARCHAR) AS refs FROM documents UNION ALL SELECT doc_id, 2, concat(doc_id % 5, ',', doc_id % 7) FROM documents WHERE doc_id % 5 <> doc_id % 7 UNION ALL SELECT doc_id, 2, CAST(doc_id % 7 AS VARCHAR) FROM documents WHERE doc_id % 5 = doc_id % 7")
+@query("statement_refs", (
+    " SELECT doc_id AS doc, 0 AS pos, CAST(doc_id % 7 AS VARCHAR) AS refs FROM documents UNION ALL SELECT doc_id, 2, concat(doc_id % 5, ',', doc_id % 7) "
+    "FROM documents WHERE doc_id % 5 <> doc_id % 7 UNION ALL SELECT doc_id, 2, CAST(doc_id % 7 AS VARCHAR) FROM documents WHERE doc_id % 5 = doc_id % 7"
+))
 def statement_refs(t):
     docs = t("documents").select(F.col("doc_id").alias("doc"), F.expr("concat('One [C', doc_id % 7, ', C99]. None here! Two [C', doc_id % 5, '] and [x, C', doc_id % 7, ']')").alias("text"))
     claims = docs.select("doc", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("claim_no"))
@@ -68,7 +78,10 @@ def sectioned(t):
 WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
 
 
-@query("section_budget", f", w AS (SELECT doc_id AS doc, {WORDS} AS n, 20 + doc_id % 400 AS b FROM documents) SELECT doc, 'One' AS heading, n AS words, round(n / b, 6) AS ratio, 'budget' AS problem FROM w WHERE n / b < 0.5 OR n / b > 2.0 UNION ALL SELECT doc, 'Three', NULL, NULL, 'missing' FROM w".replace(", w AS", " WITH w AS", 1))
+@query("section_budget", (
+    f", w AS (SELECT doc_id AS doc, {WORDS} AS n, 20 + doc_id % 400 AS b FROM documents) SELECT doc, 'One' AS heading, n AS words, "
+    f"round(n / b, 6) AS ratio, 'budget' AS problem FROM w WHERE n / b < 0.5 OR n / b > 2.0 UNION ALL SELECT doc, 'Three', NULL, NULL, 'missing' FROM w"
+).replace(", w AS", " WITH w AS", 1))
 def section_budget(t):
     plan = t("documents").select(F.col("doc_id").alias("doc"), F.explode(F.array(F.struct(F.lit("One").alias("heading"), (20 + F.col("doc_id") % 400).alias("b")), F.struct(F.lit("Three").alias("heading"), F.lit(10).cast("long").alias("b")))).alias("s")).select("doc", "s.heading", F.col("s.b").alias("budget_words"))
     return citations.budget_hits(sectioned(t), plan)
@@ -86,16 +99,26 @@ def term_drift(t):
     return citations.drifting_terms(docs, docs.select("doc", F.lit("article").alias("term"), F.array(*map(F.lit, ("the", "tion", "QUE", ""))).alias("banned")))
 
 
-@query("thread_callbacks", " SELECT doc_id AS doc, ' zq' AS marker, 1 + CAST(doc_id % 3 > 0 AS BIGINT) AS times, CASE WHEN doc_id % 3 = 0 THEN 'needs setup and payoff' ELSE 'not in its payoff section' END AS problem FROM documents WHERE doc_id % 3 < 2")
+@query("thread_callbacks", (
+    " SELECT doc_id AS doc, ' zq' AS marker, 1 + CAST(doc_id % 3 > 0 AS BIGINT) AS times, CASE "
+    "WHEN doc_id % 3 = 0 THEN 'needs setup and payoff' ELSE 'not in its payoff section' END AS problem FROM documents WHERE doc_id % 3 < 2"
+))
 def thread_callbacks(t):
     docs = t("documents").select(F.col("doc_id").alias("doc"), F.expr("concat('## One\nZQ here', CASE WHEN doc_id % 3 = 1 THEN ' zq' ELSE '' END, '\n## TWO\n', CASE WHEN doc_id % 3 = 2 THEN 'zq again' ELSE 'nothing' END)").alias("text"))
     return citations.thread_hits(docs, docs.select("doc", F.lit(" zq").alias("marker"), F.lit("Two").alias("payoff")))
 
 
-@query("plan_cross_check", " SELECT doc_id AS plan_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown_id' WHEN doc_id % 3 = 0 THEN 'too_many_sections' ELSE 'low_coverage' END AS reason, CASE WHEN doc_id % 5 = 0 THEN 'C9' WHEN doc_id % 3 = 0 THEN 'C1' ELSE '0.50' END AS detail FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0")
+@query("plan_cross_check", (
+    " SELECT doc_id AS plan_id, CASE WHEN doc_id % 5 = 0 THEN 'unknown_id' WHEN doc_id % 3 = 0 THEN 'too_many_sections' ELSE 'low_coverage' END AS reason, "
+    "CASE WHEN doc_id % 5 = 0 THEN 'C9' WHEN doc_id % 3 = 0 THEN 'C1' ELSE '0.50' END AS detail FROM documents "
+    "WHERE doc_id % 5 = 0 OR doc_id % 3 = 0 OR doc_id % 2 = 0"
+))
 def plan_cross_check(t):
     d = t("documents").select(F.col("doc_id").alias("plan_id"))
-    sections = d.withColumn("section_ord", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("claim_ids", F.expr("CASE WHEN section_ord = 1 THEN array('C1', 'C2') WHEN section_ord = 3 AND plan_id % 5 = 0 THEN array('T1', 'C9') WHEN plan_id % 3 = 0 THEN array('C1') ELSE array('T1') END"))
+    sections = d.withColumn("section_ord", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("claim_ids", F.expr((
+        "CASE WHEN section_ord = 1 THEN array('C1', 'C2') WHEN section_ord = 3 AND plan_id % 5 = 0 THEN array('T1', 'C9') "
+        "WHEN plan_id % 3 = 0 THEN array('C1') ELSE array('T1') END"
+    )))
     claims = d.withColumn("claim_no", F.explode(F.expr("CASE WHEN plan_id % 2 = 0 THEN array('C1', 'C2', 'C3', 'C4', 'T1') ELSE array('C1', 'C2', 'C3', 'T1') END")))
     return citations.plan_vetoes(sections, claims)
 
@@ -107,12 +130,19 @@ def plan_core_fields(t):
 
 @query("plan_fields", " SELECT doc_id, 'map' AS archetype, concat('why ', doc_id) AS question, 2 AS n_sections, 'C1,C3' AS ids FROM documents WHERE doc_id % 3 <> 0")
 def plan_fields(t):
-    reply = F.expr("concat('text <plan><archetype> map </archetype><focal_question>', CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('why ', doc_id) END, '</focal_question><section><heading>A</heading><budget>120</budget><claims>C1, C3,</claims></section><section><heading>B</heading></section></plan>')")
+    reply = F.expr((
+        "concat('text <plan><archetype> map </archetype><focal_question>', CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('why ', "
+        "doc_id) END, '</focal_question><section><heading>A</heading><budget>120</budget><claims>C1, C3,</claims></section><section><heading>B</heading></section></plan>')"
+    ))
     plan = t("documents").select("doc_id", citations.plan_of(reply).alias("p")).filter("p is not null")
     return plan.select("doc_id", F.col("p.archetype").alias("archetype"), F.col("p.focal_question").alias("question"), F.size("p.sections").alias("n_sections"), F.array_join(F.element_at("p.sections", 1)["claim_ids"], ",").alias("ids"))
 
 
-@query("corpus_digest", " SELECT doc_id AS doc, concat('## Corpus digest (full texts — not titles)', chr(10), chr(10), '### Claims', chr(10), chr(10), '[C1] (support: emerging; evidence: weak) one', chr(10), '[C2] (support: emerging; evidence: unknown) two ', doc_id, chr(10), chr(10), '### Tensions', chr(10), chr(10), CASE WHEN doc_id % 2 = 0 THEN '[T1] but' ELSE '(none recorded)' END, chr(10)) AS digest FROM documents")
+@query("corpus_digest", (
+    " SELECT doc_id AS doc, concat('## Corpus digest (full texts — not titles)', chr(10), chr(10), '### Claims', chr(10), "
+    "chr(10), '[C1] (support: emerging; evidence: weak) one', chr(10), '[C2] (support: emerging; evidence: unknown) two ', doc_id, chr(10), "
+    "chr(10), '### Tensions', chr(10), chr(10), CASE WHEN doc_id % 2 = 0 THEN '[T1] but' ELSE '(none recorded)' END, chr(10)) AS digest FROM documents"
+))
 def corpus_digest(t):
     d = t("documents").select(F.col("doc_id").alias("doc"))
     one = d.select("doc", F.lit(1).alias("claim_no"), F.lit("emerging").alias("support_level"), F.lit("weak").alias("evidence_grade"), F.lit("one").alias("text"))
@@ -133,7 +163,10 @@ def section_merge(t):
     return citations.mergeable(candidates, plan)
 
 
-@query("edges_markdown", ", s AS (SELECT r_regionkey AS k, r_name AS c FROM region) SELECT n_name AS relation, concat('- ', a.c, ' → ', b.c) AS line FROM nation JOIN s a ON a.k = n_regionkey JOIN s b ON b.k = n_nationkey % 5".replace(", s AS", " WITH s AS", 1))
+@query("edges_markdown", (
+    ", s AS (SELECT r_regionkey AS k, r_name AS c FROM region) SELECT n_name AS relation, concat('- ', a.c, ' → ', b.c) AS line "
+    "FROM nation JOIN s a ON a.k = n_regionkey JOIN s b ON b.k = n_nationkey % 5"
+).replace(", s AS", " WITH s AS", 1))
 def edges_markdown(t):
     nodes = t("region").select(F.col("r_regionkey").alias("node_id"), F.col("r_name").alias("claim"))
     edges = t("nation").select(F.col("n_regionkey").alias("source"), (F.col("n_nationkey") % 5).alias("target"), F.col("n_name").alias("relation"))
@@ -145,7 +178,10 @@ def markdown_sections(t):
     return sectioned(t).select("doc", F.explode(tx.sections(F.col("text"))).alias("s")).select("doc", "s.heading", F.length("s.body").alias("n"))
 
 
-@query("paragraph_counts", " SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), lambda x: x <> '')) AS n FROM documents")
+@query("paragraph_counts", (
+    " SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(10))), "
+    "lambda x: x <> '')) AS n FROM documents"
+))
 def paragraph_counts(t):
     return t("documents").select("doc_id", F.size(tx.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n \n")))).alias("n"))
 
@@ -155,7 +191,10 @@ def last_paragraph(t):
     return t("documents").select("doc_id", tx.last_paragraph(F.concat("text", F.lit("\n\n end "), F.col("doc_id").cast("string"), F.lit(" \n\n  "))).alias("last"))
 
 
-@query("statement_split", r" SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS n FROM documents")
+@query("statement_split", (
+    r" SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]*[.!?]|[^.!?]+$'), "
+    r"lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')) AS n FROM documents"
+))
 def statement_split(t):
     return t("documents").select("doc_id", F.size(tx.statements(F.col("text"))).alias("n"))
 
@@ -182,9 +221,15 @@ def html_chunks(t):
     return corpora.html_chunks(t("pages"), section="article", paragraph="p", headings=("h1", "h2", "h3"), title="title", id_column="page_id").select("page_id", "section", "chunk_index", F.length("content").alias("n"))
 
 
-@query("json_papers", " SELECT doc_id, concat('s2:x', doc_id) AS paper_id, 2000 + doc_id % 20 AS year, doc_id % 50 AS citation_count FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, concat('arxiv:', doc_id), 2000 + doc_id % 20, doc_id % 50 FROM documents WHERE doc_id % 2 = 1")
+@query("json_papers", (
+    " SELECT doc_id, concat('s2:x', doc_id) AS paper_id, 2000 + doc_id % 20 AS year, doc_id % 50 AS citation_count FROM documents WHERE doc_id % 2 = 0 "
+    "UNION ALL SELECT doc_id, concat('arxiv:', doc_id), 2000 + doc_id % 20, doc_id % 50 FROM documents WHERE doc_id % 2 = 1"
+))
 def json_papers(t):
-    one = F.expr("concat('{\"paperId\":\"x', doc_id, '\",\"year\":', 2000 + doc_id % 20, ',\"citationCount\":', doc_id % 50, CASE WHEN doc_id % 2 = 1 THEN concat(',\"externalIds\":{\"ArXiv\":\"', doc_id, '\"}') ELSE '' END, '}')")
+    one = F.expr((
+        "concat('{\"paperId\":\"x', doc_id, '\",\"year\":', 2000 + doc_id % 20, ',\"citationCount\":', doc_id % 50, CASE WHEN doc_id % 2 = 1 THEN "
+        "concat(',\"externalIds\":{\"ArXiv\":\"', doc_id, '\"}') ELSE '' END, '}')"
+    ))
     payload = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('{"data":['), one, F.lit("]}"))).otherwise(one)
     return corpora.api_papers(t("documents").select(F.col("doc_id").alias("cache_key"), payload.alias("payload"))).select(F.col("cache_key").alias("doc_id"), "paper_id", "year", "citation_count")
 

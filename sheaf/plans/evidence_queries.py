@@ -10,7 +10,12 @@ from ..operators import fitness, graph, provenance
 from .base import all_quotes, query
 from .retrieval_queries import COSINE
 
-REPLY = "CASE doc_id % 8 WHEN 0 THEN concat('<fitness_evaluation><score> ', doc_id % 9, ' </score><rationale>ok</rationale></fitness_evaluation>') WHEN 1 THEN concat('score is ', 1 + doc_id % 5, ' of many') WHEN 2 THEN '  ' WHEN 3 THEN 'no digits at all, 77' WHEN 4 THEN concat('<score>about ', 1 + doc_id % 5, '</score>') WHEN 5 THEN concat('<score>', doc_id, '</score> trailing <b>') WHEN 6 THEN concat(repeat('x ', 110), ' 3') ELSE concat('a4b ', 1 + doc_id % 5) END"
+REPLY = (
+    "CASE doc_id % 8 WHEN 0 THEN concat('<fitness_evaluation><score> ', doc_id % 9, ' </score><rationale>ok</rationale></fitness_evaluation>') WHEN 1 THEN "
+    "concat('score is ', 1 + doc_id % 5, ' of many') WHEN 2 THEN '  ' WHEN 3 THEN 'no digits at all, 77' WHEN 4 THEN "
+    "concat('<score>about ', 1 + doc_id % 5, '</score>') WHEN 5 THEN concat('<score>', doc_id, '</score> trailing <b>') WHEN 6 THEN "
+    "concat(repeat('x ', 110), ' 3') ELSE concat('a4b ', 1 + doc_id % 5) END"
+)
 SCORED = "CASE doc_id % 8 WHEN 0 THEN greatest(1, least(5, doc_id % 9)) WHEN 1 THEN 1 + doc_id % 5 WHEN 4 THEN 1 + doc_id % 5 WHEN 5 THEN greatest(1, least(5, doc_id)) WHEN 7 THEN 1 + doc_id % 5 END"
 
 
@@ -19,7 +24,10 @@ def parse_fitness(t):
     return t("documents").select("doc_id", fitness.parsed_score(F.expr(REPLY)).alias("score"))
 
 
-WEIGHTED = ", w AS (SELECT run_id, candidate, coalesce(sum(score * coalesce(weight, 0)) / nullif(sum(CASE WHEN score IS NOT NULL THEN coalesce(weight, 0) END), 0), 0) AS weighted FROM scores LEFT JOIN weights USING (dim) GROUP BY ALL)"
+WEIGHTED = (
+    ", w AS (SELECT run_id, candidate, coalesce(sum(score * coalesce(weight, 0)) / nullif(sum(CASE WHEN score IS NOT NULL THEN "
+    "coalesce(weight, 0) END), 0), 0) AS weighted FROM scores LEFT JOIN weights USING (dim) GROUP BY ALL)"
+)
 
 
 @query("weighted_sum", WEIGHTED + " SELECT run_id, candidate, round(weighted, 6) AS weighted FROM w", "scores", "weights")
@@ -32,7 +40,11 @@ def weights_sum(t):
     return fitness.weights_sum(t("weights"))
 
 
-@query("validity_rank", WEIGHTED + ", v AS (SELECT run_id, candidate, coalesce(max(CASE WHEN dim = 'dim1' THEN score END) >= 4, false) AS valid FROM scores GROUP BY ALL) SELECT run_id, candidate, valid, row_number() OVER (PARTITION BY run_id ORDER BY valid DESC, round(weighted, 9) DESC, candidate) AS rank FROM w JOIN v USING (run_id, candidate)", "scores", "weights")
+@query("validity_rank", WEIGHTED + (
+    ", v AS (SELECT run_id, candidate, coalesce(max(CASE WHEN dim = 'dim1' THEN score END) >= 4, false) AS valid FROM scores GROUP BY ALL) SELECT run_id, "
+    "candidate, valid, row_number() OVER (PARTITION BY run_id ORDER BY valid DESC, round(weighted, 9) DESC, candidate) AS rank "
+    "FROM w JOIN v USING (run_id, candidate)"
+), "scores", "weights")
 def validity_rank(t):
     keys = ["run_id", "candidate"]
     s = t("scores").withColumn("dim", F.when(F.col("dim") == "dim1", "groundedness").otherwise(F.col("dim")))
@@ -76,7 +88,16 @@ def graph_veto(t):
     return vetoes.select("graph_ord", F.regexp_extract("reason", r'(?:"|claim: ")(\d+)"', 1).try_cast("bigint").alias("node_ord"))
 
 
-@query("feedback_doc", ", f AS (SELECT run_id, candidate, string_agg(CASE WHEN score IS NULL OR score <= 3 THEN concat('- **', dim, '**: ', CASE WHEN score IS NULL THEN 'score unavailable (parse failure)' ELSE concat('score=', score) END) END, chr(10) ORDER BY dim_ord, dim, score NULLS FIRST) AS p, string_agg(CASE WHEN score > 3 THEN concat('- **', dim, '**: score=', score) END, chr(10) ORDER BY dim_ord) AS s FROM scores GROUP BY ALL) SELECT run_id, candidate, concat('## Priority Improvements (Score ≤ 3)', chr(10), coalesce(p || chr(10), 'No dimensions below threshold — candidate is strong.' || chr(10)), chr(10), '## Strengths to Preserve', chr(10), coalesce(s || chr(10), 'No dimensions above threshold.' || chr(10)), chr(10), '## Evolutionary Guidance', chr(10), CASE WHEN p IS NULL THEN 'The candidate meets the threshold on all scored dimensions. Focus on preserving identified strengths in the revised draft.' ELSE 'Focus on resolving the priority improvements listed above. Preserve the strengths while addressing the low-scoring dimensions.' END, chr(10)) AS feedback FROM f", "scores")
+@query("feedback_doc", (
+    ", f AS (SELECT run_id, candidate, string_agg(CASE WHEN score IS NULL OR score <= 3 THEN concat('- **', dim, '**: ', CASE "
+    "WHEN score IS NULL THEN 'score unavailable (parse failure)' ELSE concat('score=', score) END) END, chr(10) ORDER BY dim_ord, dim, "
+    "score NULLS FIRST) AS p, string_agg(CASE WHEN score > 3 THEN concat('- **', dim, '**: score=', score) END, chr(10) ORDER BY dim_ord) AS s FROM scores "
+    "GROUP BY ALL) SELECT run_id, candidate, concat('## Priority Improvements (Score ≤ 3)', chr(10), "
+    "coalesce(p || chr(10), 'No dimensions below threshold — candidate is strong.' || chr(10)), chr(10), '## Strengths to Preserve', chr(10), "
+    "coalesce(s || chr(10), 'No dimensions above threshold.' || chr(10)), chr(10), '## Evolutionary Guidance', chr(10), CASE "
+    "WHEN p IS NULL THEN 'The candidate meets the threshold on all scored dimensions. Focus on preserving identified strengths in the revised draft.' ELSE 'Focus on resolving the priority improvements listed above. Preserve the strengths while addressing the low-scoring dimensions.' END, "
+    "chr(10)) AS feedback FROM f"
+), "scores")
 def feedback_doc(t):
     return fitness.feedback(t("scores"), ["run_id", "candidate"])
 
@@ -86,13 +107,21 @@ def score_telemetry(t):
     return fitness.telemetry(t("scores")).select("run_id", "candidate", "dim", "score")
 
 
-@query("trajectory_guards", ", w AS (SELECT *, coalesce(sum(waits) OVER x, 0) AS spent, count(*) OVER x AS used FROM (SELECT endpoint, call_id, CAST(call_id % 7 AS DOUBLE) AS waits, call_id % 3 AS judges FROM calls) WINDOW x AS (PARTITION BY endpoint ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT endpoint, call_id, CASE WHEN spent > 600 THEN 'time' WHEN used + judges >= 150 THEN 'calls' END AS stopped_by FROM w", "calls")
+@query("trajectory_guards", (
+    ", w AS (SELECT *, coalesce(sum(waits) OVER x, 0) AS spent, count(*) OVER x AS used FROM (SELECT endpoint, "
+    "call_id, CAST(call_id % 7 AS DOUBLE) AS waits, call_id % 3 AS judges FROM calls) WINDOW x AS (PARTITION BY endpoint "
+    "ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT endpoint, call_id, CASE WHEN spent > 600 THEN 'time' "
+    "WHEN used + judges >= 150 THEN 'calls' END AS stopped_by FROM w"
+), "calls")
 def trajectory_guards(t):
     calls = t("calls").select("endpoint", "call_id", F.col("call_id").alias("ord"), (F.col("call_id") % 7).cast("double").alias("seconds"), (F.col("call_id") % 3).alias("judges"))
     return fitness.guarded(calls, ["endpoint"], 150, 600).select("endpoint", "call_id", "stopped_by")
 
 
-@query("candidate_selection", WEIGHTED + ", r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(weighted, 9) DESC, candidate) AS rank FROM w) SELECT run_id, candidate FROM r WHERE rank = 1", "scores", "weights")
+@query("candidate_selection", WEIGHTED + (
+    ", r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(weighted, 9) DESC, candidate) AS rank FROM w) SELECT run_id, candidate FROM r "
+    "WHERE rank = 1"
+), "scores", "weights")
 def candidate_selection(t):
     c = fitness.weighted(t("scores"), t("weights"), ["run_id", "candidate"]).withColumns({"valid": F.lit(True), "ord": F.col("candidate"), "weighted": F.round("weighted", 9)})
     return fitness.best_first(c, ["run_id"]).filter("rank = 1").select("run_id", "candidate")
@@ -142,7 +171,12 @@ def strip_invalid(t):
     return provenance.without_invalid(t("claim_sources"), t("panel")).select("claim_id", "source_ord", "source_id")
 
 
-LEVEL = ", n AS (SELECT claim_id, count(DISTINCT source_id) AS n FROM claim_sources WHERE source_id NOT IN ('system', 'system_resolution') GROUP BY claim_id), s AS (SELECT count(*) AS k FROM panel), l AS (SELECT claims.claim_id, n / (SELECT k FROM s) AS r, agreement_level AS old FROM claims LEFT JOIN n USING (claim_id)), lev AS (SELECT claim_id, CASE WHEN r >= 0.75 THEN 'consensus' WHEN r >= 0.5 THEN 'majority' WHEN r >= 0.15 THEN 'divided' WHEN r IS NOT NULL THEN 'minority' ELSE old END AS agreement_level FROM l)"
+LEVEL = (
+    ", n AS (SELECT claim_id, count(DISTINCT source_id) AS n FROM claim_sources WHERE source_id NOT IN ('system', 'system_resolution') GROUP BY claim_id), "
+    "s AS (SELECT count(*) AS k FROM panel), l AS (SELECT claims.claim_id, n / (SELECT k FROM s) AS r, agreement_level AS old FROM claims "
+    "LEFT JOIN n USING (claim_id)), lev AS (SELECT claim_id, CASE WHEN r >= 0.75 THEN 'consensus' WHEN r >= 0.5 THEN 'majority' "
+    "WHEN r >= 0.15 THEN 'divided' WHEN r IS NOT NULL THEN 'minority' ELSE old END AS agreement_level FROM l)"
+)
 
 
 @query("agreement_level", LEVEL + " SELECT * FROM lev", "claims", "claim_sources", "panel")
@@ -150,7 +184,10 @@ def agreement_level(t):
     return provenance.agreement(t("claims"), t("claim_sources"), t("panel")).select("claim_id", "agreement_level")
 
 
-COVERED = ", m AS (SELECT source_id FROM panel_wide WHERE source_id NOT IN (SELECT source_id FROM cited)) SELECT round(((SELECT count(*) FROM panel_wide) - (SELECT count(*) FROM m)) / (SELECT count(*) FROM panel_wide), 6) AS coverage"
+COVERED = (
+    ", m AS (SELECT source_id FROM panel_wide WHERE source_id NOT IN (SELECT source_id FROM cited)) SELECT round(((SELECT count(*) "
+    "FROM panel_wide) - (SELECT count(*) FROM m)) / (SELECT count(*) FROM panel_wide), 6) AS coverage"
+)
 
 
 @query("expert_coverage", COVERED, "panel_wide", "cited")
@@ -173,23 +210,35 @@ def minority_only(t):
     return provenance.minority_only(t("claims"), t("cited"), reports)
 
 
-@query("label_vocabularies", " SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'emerging' WHEN 1 THEN 'single-source' END AS support, CASE doc_id % 4 WHEN 2 THEN 'majority' ELSE 'divided' END AS agreement FROM documents")
+@query("label_vocabularies", (
+    " SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'emerging' WHEN 1 THEN 'single-source' END AS support, CASE doc_id % 4 "
+    "WHEN 2 THEN 'majority' ELSE 'divided' END AS agreement FROM documents"
+))
 def label_vocabularies(t):
     label = F.expr("CASE doc_id % 4 WHEN 0 THEN ' Emerging' WHEN 1 THEN 'SINGLE-source ' WHEN 2 THEN ' Majority ' ELSE 'other' END")
     return t("documents").select("doc_id", provenance.support_level(label).alias("support"), provenance.agreement_label(label).alias("agreement"))
 
 
-@query("gap_candidates", " SELECT claim_id, 'single_source' AS kind FROM claim_sources GROUP BY claim_id HAVING count(*) = 1 UNION ALL SELECT claim_id, 'no_counterargument' FROM claims WHERE agreement_level = 'consensus' AND claim_id % 10 <> 0", "claims", "claim_sources")
+@query("gap_candidates", (
+    " SELECT claim_id, 'single_source' AS kind FROM claim_sources GROUP BY claim_id HAVING count(*) = 1 UNION ALL SELECT claim_id, 'no_counterargument' "
+    "FROM claims WHERE agreement_level = 'consensus' AND claim_id % 10 <> 0"
+), "claims", "claim_sources")
 def gap_candidates(t):
     return provenance.gaps(t("claims"), t("claim_sources"), t("claims").filter("claim_id % 10 = 0").select("claim_id"))
 
 
-@query("draft_gaps", " SELECT doc_id, list_filter([CASE WHEN doc_id % 7 > 2 * (doc_id % 3) THEN 'Check for additional areas of disagreement' END, CASE WHEN doc_id % 2 = 0 THEN 'Identify uncertainties in the expert responses' END], lambda g: g IS NOT NULL) AS gaps FROM documents")
+@query("draft_gaps", (
+    " SELECT doc_id, list_filter([CASE WHEN doc_id % 7 > 2 * (doc_id % 3) THEN 'Check for additional areas of disagreement' END, CASE "
+    "WHEN doc_id % 2 = 0 THEN 'Identify uncertainties in the expert responses' END], lambda g: g IS NOT NULL) AS gaps FROM documents"
+))
 def draft_gaps(t):
     return t("documents").select("doc_id", provenance.draft_gaps(F.col("doc_id") % 7, F.col("doc_id") % 3, F.col("doc_id") % 2).alias("gaps"))
 
 
-@query("heuristic_resolve", ", one AS (SELECT claim_id FROM claim_sources GROUP BY claim_id HAVING count(*) = 1) SELECT DISTINCT claim_id, source_id FROM (SELECT claim_id, source_id FROM claim_sources UNION ALL SELECT claim_id, concat('e', claim_id % 5) FROM one UNION ALL SELECT claim_id, 'r' FROM one)", "claim_sources")
+@query("heuristic_resolve", (
+    ", one AS (SELECT claim_id FROM claim_sources GROUP BY claim_id HAVING count(*) = 1) SELECT DISTINCT claim_id, source_id FROM (SELECT claim_id, "
+    "source_id FROM claim_sources UNION ALL SELECT claim_id, concat('e', claim_id % 5) FROM one UNION ALL SELECT claim_id, 'r' FROM one)"
+), "claim_sources")
 def heuristic_resolve(t):
     claims = t("claims").select("claim_id")
     found = claims.select("claim_id", F.lit(1).alias("ord"), F.expr("concat('e', claim_id % 5)").alias("source_id")).unionByName(claims.select("claim_id", F.lit(2).alias("ord"), F.lit("r").alias("source_id")))
@@ -240,10 +289,16 @@ def snap_verified(t):
     return provenance.quotes_resolved(all_quotes(t("benchmark"), t("documents")).select("quote_id", "source_id", "quote"), texts).select("quote_id", "source_id", "status", "snapped")
 
 
-REFS = ", n1 AS (SELECT node_id, arg_min(expert_id, node_ord * 10 + graph_ord) AS e, arg_min(CASE WHEN node_ord % 2 = 0 THEN 'verified' ELSE 'absent' END, node_ord * 10 + graph_ord) AS st, arg_min(concat('q', node_ord), node_ord * 10 + graph_ord) AS q FROM nodes GROUP BY node_id)"
+REFS = (
+    ", n1 AS (SELECT node_id, arg_min(expert_id, node_ord * 10 + graph_ord) AS e, arg_min(CASE WHEN node_ord % 2 = 0 THEN 'verified' ELSE 'absent' END, "
+    "node_ord * 10 + graph_ord) AS st, arg_min(concat('q', node_ord), node_ord * 10 + graph_ord) AS q FROM nodes GROUP BY node_id)"
+)
 
 
-@query("attach_quotes", REFS + ", r AS (SELECT DISTINCT claim_id, e AS source_id, q AS quote FROM claims JOIN n1 ON n1.node_id = concat('n', claim_id % 300) WHERE st = 'verified' AND claim_id % 6 <> 0) SELECT * FROM r", "nodes", "claims")
+@query("attach_quotes", REFS + (
+    ", r AS (SELECT DISTINCT claim_id, e AS source_id, q AS quote FROM claims JOIN n1 ON n1.node_id = concat('n', claim_id % 300) "
+    "WHERE st = 'verified' AND claim_id % 6 <> 0) SELECT * FROM r"
+), "nodes", "claims")
 def attach_quotes(t):
     nodes = t("nodes").withColumn("node_ord", F.col("node_ord") * 10 + F.col("graph_ord")).withColumns({"status": F.expr("CASE WHEN (node_ord div 10) % 2 = 0 THEN 'verified' ELSE 'absent' END"), "quote": F.expr("concat('q', node_ord div 10)")})
     refs = t("claims").select("claim_id", F.lit(1).alias("ref_ord"), F.expr("concat('n', claim_id % 300)").alias("node_id"))
@@ -270,7 +325,10 @@ def merge_graph_edges(t):
     return graph.merged_edges(t("edges")).select("source", "target", "relation")
 
 
-@query("edge_relation_stats", " SELECT 'expert' AS kind, expert_id AS name, count(*) AS n FROM nodes GROUP BY expert_id UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation", "nodes", "edges")
+@query("edge_relation_stats", (
+    " SELECT 'expert' AS kind, expert_id AS name, count(*) AS n FROM nodes GROUP BY expert_id UNION ALL SELECT 'relation', relation, count(*) FROM edges "
+    "GROUP BY relation"
+), "nodes", "edges")
 def edge_relation_stats(t):
     return graph.fan_in(t("nodes"), t("edges"))
 
@@ -283,7 +341,10 @@ def node_namespaces(t):
 
 @query("gap_blocks", " SELECT doc_id, concat('d', doc_id) AS description, CASE WHEN doc_id % 2 = 0 THEN concat('d', doc_id) ELSE 'q' END AS query FROM documents WHERE doc_id % 3 <> 0")
 def gap_blocks(t):
-    reply = F.expr("concat('x <gap><description>', CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' d', doc_id) END, '</description>', CASE WHEN doc_id % 2 = 0 THEN '' ELSE '<query>q </query>' END, '</gap>')")
+    reply = F.expr((
+        "concat('x <gap><description>', CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat(' d', doc_id) END, '</description>', CASE "
+        "WHEN doc_id % 2 = 0 THEN '' ELSE '<query>q </query>' END, '</gap>')"
+    ))
     return t("documents").select("doc_id", F.explode(graph.gaps_of(reply)).alias("g")).select("doc_id", "g.description", "g.query")
 
 
@@ -301,7 +362,11 @@ def graph_evidence(t):
     return graph.evidence(nodes, texts, tiers).select("source_id", F.size("quotes").alias("n_quotes"), F.size("sections").alias("n_sections"), "tier")
 
 
-@query("seed_selection", ", f AS (SELECT query_id AS question_id, source_id AS paper_id, min(lane * 1000 + rank) AS o FROM lanes GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CAST(substr(paper_id, 2) AS INT) % 10 DESC, o) AS n FROM f) SELECT question_id, paper_id FROM r WHERE n <= 3", "lanes")
+@query("seed_selection", (
+    ", f AS (SELECT query_id AS question_id, source_id AS paper_id, min(lane * 1000 + rank) AS o FROM lanes GROUP BY ALL), r AS (SELECT *, "
+    "row_number() OVER (PARTITION BY question_id ORDER BY CAST(substr(paper_id, 2) AS INT) % 10 DESC, o) AS n FROM f) SELECT question_id, paper_id FROM r "
+    "WHERE n <= 3"
+), "lanes")
 def seed_selection(t):
     found = t("lanes").select(F.col("query_id").alias("question_id"), F.col("lane").alias("search"), "rank", F.col("source_id").alias("paper_id"), (F.expr("CAST(substr(source_id, 2) AS INT)") % 10).alias("citation_count"))
     return graph.seeds(found).select("question_id", "paper_id")
