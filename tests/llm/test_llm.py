@@ -769,6 +769,55 @@ def test_pipeline(spark):
     assert ids <= {k for k, c in classes.items() if k == c} and len(ids) >= 0.95 * len(set(classes.values()))
 
 
+def test_stages_by_brute_force(spark):
+    """Every stage against brute force on its own input, the whole small fixture with passages of the benchmark put in."""
+    base = spark.read.parquet(f"{DATA}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    more = spark.createDataFrame([(10_000 + i, f"{words(25, 900 + i)} {t} {words(25, 950 + i)}", "en", "s", 1) for i, (_, t) in enumerate(items[:12])], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = base.unionByName(more.select(*[F.col(f.name).cast(f.dataType) for f in base.schema])).cache()
+    stages, pairs = dict(corpus_pipeline.STAGES), lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    kept = stages["language"](spark, docs, DATA).cache()
+    model_ = language.fit(docs.filter(~language.held_out("doc_id")))
+    judged = {r["doc_id"] for r in language.predictions(docs, model_, keep=["doc_id"]).filter("not rejected").collect()}
+    assert set(pairs(kept)) == judged and len(judged) > 150
+
+    first = stages["near_duplicates"](spark, kept, DATA).cache()
+    classes = brute_classes([*pairs(kept).items()])
+    assert pairs(first) == {k: pairs(kept)[k] for k, c in classes.items() if k == c}
+
+    cut = stages["substrings"](spark, first, DATA).cache()
+    want = brute_words([*pairs(first).items()], 20)
+    got = pairs(cut)
+    assert set(got) == {k for k, (n, removed, _) in want.items() if n > removed}
+    assert all(hashlib.sha256(" ".join(re.findall(r"[^\x20\x09-\x0D]+", t)).encode()).hexdigest() == want[k][2] for k, t in got.items())
+
+    clean = stages["decontamination"](spark, cut, DATA).cache()
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins = defaultdict(set)
+    for _, t in items:
+        w = norm(t)
+        n = min(10, len(w))
+        wins[n] |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+    least, expected = min([10, *wins]), {}
+    for k, t in got.items():
+        w = norm(t)
+        hit = [False] * len(w)
+        for n, some in wins.items():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in some:
+                    hit[i : i + n] = [True] * n
+        runs = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[h] for h in hit)) if m.end() - m.start() >= least]
+        if sum(b - a for a, b in runs) <= decontaminate.MAX_COVERAGE * len(w):
+            expected[k] = [x for i, x in enumerate(w) if not any(a <= i < b for a, b in runs)]
+    assert {k: norm(t) for k, t in pairs(clean).items()} == expected and any(len(norm(got[k])) > len(v) for k, v in expected.items())
+
+    encoded = {r["doc_id"]: r for r in stages["encoding"](spark, clean, DATA).collect()}
+    column = pa.array([encoded[k]["tokens"] for k in sorted(encoded)], pa.list_(pa.int32()))
+    back = pieces.decode_column(pieces.pieces(public_tokenizers.path(pieces.MODEL)), column).to_pylist()
+    assert dict(zip(sorted(encoded), back, strict=True)) == pairs(clean) and all(r["n_tokens"] == len(r["tokens"]) and r["lossless"] for r in encoded.values())
+
+
 def test_stages_on_edge_cases(spark, docs, empty):
     """Nulls, empty texts, ties, repeats, clashing columns; and no rows at all."""
     for name, stage in corpus_pipeline.STAGES:
