@@ -42,7 +42,7 @@ BASES = {
     "weights": "SELECT concat('dim', k) AS dim, CAST(k AS DOUBLE) / 15 AS weight FROM (SELECT DISTINCT l_linenumber AS k FROM {lineitem} WHERE l_linenumber <= 5) x",
     "nodes": "SELECT concat('n', l_partkey % 300) AS node_id, l_linenumber AS graph_ord, l_orderkey AS node_ord, concat('e', l_suppkey % 13) AS expert_id, l_returnflag AS claim FROM {lineitem}",
     "edges": "SELECT concat('n', l_partkey % 200) AS source, concat('n', l_suppkey % 90) AS target, l_linenumber AS graph_ord, l_orderkey AS edge_ord, l_linestatus AS relation FROM {lineitem}",
-    "panel_wide": "SELECT DISTINCT concat('e', s_suppkey % 17) AS source_id FROM {supplier}",
+    "panel_wide": "SELECT concat('e', s_suppkey % 17) AS source_id FROM {supplier} UNION SELECT concat('x', n_nationkey % 3) FROM {nation}",
     "cited": """SELECT l_orderkey AS claim_id, concat('e', l_suppkey % 13) AS source_id FROM {lineitem}
         UNION ALL SELECT o_orderkey, concat(CASE WHEN o_orderkey % 5 = 1 THEN 'm' ELSE 'c' END, o_orderkey % 17) FROM {orders}""",
     "quotes": """SELECT doc_id AS quote_id, doc_id AS source_id, CASE doc_id % 4 WHEN 0 THEN substr(text, 5, 60) WHEN 1 THEN translate(substr(text, 5, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN substr(text, 5, 60) || ' zz'
