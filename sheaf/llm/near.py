@@ -114,6 +114,15 @@ def matched(a: np.ndarray, b: np.ndarray, needed: int) -> int:
     """
     if min(len(a), len(b)) < needed:
         return 0
+    # what is equal at both ends matches
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    head = int(other[0]) if len(other) else n
+    other = np.flatnonzero(a[head:][::-1][: n - head] != b[head:][::-1][: n - head])
+    tail = int(other[0]) if len(other) else n - head
+    if head + tail:
+        m = head + tail + (matched(a[head : len(a) - tail], b[head : len(b) - tail], max(0, needed - head - tail)) if n > head + tail else 0)
+        return m if m >= needed else 0
     low, high = -(len(a) - needed), len(b) - needed
     order = np.argsort(b, kind="stable")
     sorted_b = b[order]
@@ -127,15 +136,19 @@ def matched(a: np.ndarray, b: np.ndarray, needed: int) -> int:
     j = order[np.repeat(last - 1 + ends - n, n) - np.arange(ends[-1])]
     inside = (j - i >= low) & (j - i <= high)
     places = j[inside]
-    if len(np.unique(places)) < needed:
-        return 0
+    m = rising(places)
+    return m if m >= needed else 0
+
+
+def rising(places: np.ndarray) -> int:
+    """Length of the longest rising subsequence."""
     if (np.diff(places) > 0).all():
         return len(places)
     tails: list[int] = []
     for p in places.tolist():
         t = bisect_left(tails, p)
         tails[t : t + 1] = [p]
-    return len(tails) if len(tails) >= needed else 0
+    return len(tails)
 
 
 def banded(a: np.ndarray, b: np.ndarray, needed: int, low: int, high: int) -> int:
@@ -163,6 +176,22 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return m / (total - m) if m else 0.0
 
 
+def alike(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> bool:
+    """Whether the similarity is at least the threshold; exact, by bounds where they suffice.
+
+    No more k-mers match in order than both texts have, and those of equal labels, in order, do match.
+    """
+    total = len(a) + len(b)
+    needed = max(1, int(np.ceil(threshold * total / (1 + threshold) - 1e-9)))
+    if min(len(a), len(b)) < needed:
+        return False
+    first, second = (labelled_kmers(x, np.array([0, len(x)])) for x in (a, b))
+    both, x, y = np.intersect1d(first, second, assume_unique=True, return_indices=True)
+    if len(both) < needed:
+        return False
+    return rising(y[np.argsort(x)]) >= needed or matched(a, b, needed) > 0
+
+
 def sketched(docs: DataFrame, text_column: str, shingle: int, sketches: int) -> DataFrame:
     """_key, digest of the words, number of words, and sketches (none without words)."""
 
@@ -198,7 +227,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float)
             return found
 
         for batch in batches:
-            near = [similarity(grams(a.as_py()), shingles_of(b.as_py(), unpack, shingle), threshold) > 0 for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            near = [alike(grams(a.as_py()), shingles_of(b.as_py(), unpack, shingle), threshold) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["leader", "member", "near"])
 
     with_member = pairs.join(texts.select(F.col("_key").alias("member"), F.col("_text").alias("b")), "member")
@@ -287,7 +316,7 @@ def cell_links(strays: np.ndarray, others: np.ndarray, comp_of: np.ndarray, gram
     for k in enough[np.argsort(-common[enough], kind="stable")].tolist():
         i, j = int(strays[x[k]]), int(others[y[k]])
         p, q = find(int(comp_of[i])), find(int(comp_of[j]))
-        if p != q and similarity(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]], threshold):
+        if p != q and alike(grams[at[i] : at[i + 1]], grams[at[j] : at[j + 1]], threshold):
             root[max(p, q)] = min(p, q)
             out.append((i, j))
     return out

@@ -137,7 +137,8 @@ def test_banded_alignment(a, edits):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(near, "DENSE", dense)
             got = near.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
-        assert got == (pytest.approx(want) if want >= near.THRESHOLD else 0.0)
+            same = near.alike(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == (pytest.approx(want) if want >= near.THRESHOLD else 0.0) and same == (got > 0)
 
 
 def brute_classes(pairs):
