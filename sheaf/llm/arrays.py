@@ -14,25 +14,52 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18
-BASE = 0x9E3779B97F4A7C15 | 1
+#: The modulus of the rolling hashes is a prime: with one of 2**64, sequences of much structure (Thue-Morse) collide whatever the base.
+PRIME = (1 << 61) - 1
+#: Drawn once at random.
+BASE = 0x15A8C1F07B3D964F
+GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, of any 64 bits."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.minimum(x, x - np.uint64(PRIME))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both under it: of halves of 31 bits, so that no sum passes 64 bits."""
+    low, half = np.uint64((1 << 31) - 1), np.uint64(31)
+    al, ah, bl, bh = a & low, a >> half, b & low, b >> half
+    mid = ah * bl + al * bh
+    high = ah * bh
+    high += high
+    high += mid >> np.uint64(30)
+    mid &= np.uint64((1 << 30) - 1)
+    mid <<= half
+    high += mid
+    high += al * bl
+    return reduced(high)
+
+
 def powers(n: int, base: int = BASE) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept between calls."""
+    """base**0 .. base**n modulo PRIME, kept between calls."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
         size = 1 << max(n, 1 << 16).bit_length()
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
+        have = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            have[done : 2 * done] = times(have[:done], np.uint64(pow(base, done, PRIME)))
+            done *= 2
         _POWERS[base] = have
     return have[: n + 1]
 
 
 def inverse_powers(n: int) -> np.ndarray:
-    return powers(n, pow(BASE, -1, 1 << 64))
+    return powers(n, pow(BASE, -1, PRIME))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,7 +72,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: A pseudo-random 64-bit value for every byte.
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(GOLDEN))
 
 
 def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -68,15 +95,24 @@ def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of values[t] * BASE**t for i <= t < j."""
+    """S with S[j] - S[i] = sum of values[t] * BASE**t for i <= t < j, modulo PRIME."""
+    terms = times(reduced(values), powers(len(values))[:-1])
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[:-1], out=out[1:])
+    # sums of the upper 31 and the lower 30 bits, so that they stay under 64
+    high = np.cumsum(terms >> np.uint64(30), dtype=np.uint64)
+    out[1:] = reduced((high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30)) + np.cumsum(terms & np.uint64((1 << 30) - 1), dtype=np.uint64))
     return out
 
 
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a - b modulo PRIME."""
+    x = a + np.uint64(PRIME) - b
+    return np.minimum(x, x - np.uint64(PRIME))
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of values[start:end]; equal spans have equal hashes wherever they lie."""
-    return mix((prefix[end] - prefix[start]) * inverse_powers(len(prefix))[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(times(minus(prefix[end], prefix[start]), inverse_powers(len(prefix))[start]) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
@@ -84,7 +120,7 @@ def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
     n = len(prefix) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return (prefix[length:] - prefix[:-length]) * inverse_powers(len(prefix))[:n]
+    return times(minus(prefix[length:], prefix[:-length]), inverse_powers(len(prefix))[:n])
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

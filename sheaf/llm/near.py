@@ -10,7 +10,8 @@ A candidate pair is verified by aligning both sequences of k-mers: with m k-mers
 order, the similarity is m / (a + b - m), and at THRESHOLD it is a near-duplicate. The band
 of the alignment is as wide as that threshold lets the alignment stray, so it is exact.
 
-Texts with equal words are one text from the start, so copies are never compared. In a bucket
+Texts with equal words, told by a cryptographic digest of 128 bits of them, are one text from the
+start, so copies are never compared. In a bucket
 of a sketch every text meets two leaders (the least key and the least hashed key), not every
 other text. That only saves comparisons: in a bucket that is still of more than one
 component, matched members too, the pairs of different components are compared in blocks, see
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +60,27 @@ IS_WORD = np.ones(256, np.bool_)
 IS_WORD[list(SEPARATORS)] = False
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(k-mer hashes, their offsets by document, digests of the documents' words, word counts) of a block."""
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k-mer hashes, their offsets by document, word counts) of a block."""
     starts, ends, at = word_spans(data, offsets, IS_WORD)
     words = prefix_hash(span_hash(prefix_hash(BYTE_VALUES[data]), starts, ends))
     n = np.diff(at)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     to = np.concatenate(([0], np.cumsum(count)))
     begin = np.arange(to[-1]) - np.repeat(to[:-1] - at[:-1], count)
-    return span_hash(words, begin, np.minimum(begin + k, np.repeat(at[1:], count))), to, span_hash(words, at[:-1], at[1:]), n
+    return span_hash(words, begin, np.minimum(begin + k, np.repeat(at[1:], count))), to, n
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Cryptographic digests of the documents' words: only texts of equal words have equal ones, however they are made."""
+    starts, _, at = word_spans(data, offsets, IS_WORD)
+    keep = IS_WORD[data]
+    later = np.ones(len(starts), np.bool_)
+    later[at[:-1][np.diff(at) > 0]] = False
+    keep[starts[later] - 1] = True  # one separator between words
+    raw = np.where(IS_WORD[data], data, np.uint8(0x20))[keep].tobytes()
+    to = np.concatenate(([0], np.cumsum(keep)))[offsets].tolist()
+    return [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(to[:-1], to[1:], strict=True)]
 
 
 def labelled_kmers(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -198,16 +212,16 @@ def sketched(docs: DataFrame, text_column: str, shingle: int, sketches: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_blocks(batch.column(1)):
-                grams, at, digest, n = shingles(data, offsets, shingle)
+                grams, at, n = shingles(data, offsets, shingle)
                 some = np.diff(at) > 0
                 values = order_sketches(grams, at, sketches) if some.any() else np.zeros((0, sketches), np.uint64)
                 ends = np.concatenate(([0], np.cumsum(some) * sketches)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(digest.view(np.int64)), pa.array(mix(digest ^ np.add.reduceat(np.append(mix(grams), np.uint64(0)), np.minimum(at[:-1], len(grams)))).view(np.int64)), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64)))],
-                    ["_key", "_digest", "_other", "_words", "_sketches"],
+                    [batch.column(0).slice(first, end - first), pa.array(word_digests(data, offsets), pa.binary()), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel().view(np.int64)))],
+                    ["_key", "_digest", "_words", "_sketches"],
                 )
 
-    return docs.select("_key", text_column).mapInArrow(tidied(run), "_key long, _digest long, _other long, _words long, _sketches array<long>")
+    return docs.select("_key", text_column).mapInArrow(tidied(run), "_key long, _digest binary, _words long, _sketches array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -393,8 +407,8 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     rows = checkpoint(sketched(docs, text_column, shingle, sketches))
     # texts of equal words: one representative
     # aggregates that large groups are joined with are checkpointed, for Spark splits such a group only between plain shuffles
-    heads = checkpoint(rows.filter("_words > 0").groupBy("_digest", "_other", "_words").agg(F.min("_key").alias("_head")))
-    texts = checkpoint(rows.join(heads, ["_digest", "_other", "_words"]).select("_key", "_head", "_words", "_sketches"))
+    heads = checkpoint(rows.filter("_words > 0").groupBy("_digest", "_words").agg(F.min("_key").alias("_head")))
+    texts = checkpoint(rows.join(heads, ["_digest", "_words"]).select("_key", "_head", "_words", "_sketches"))
     members = texts.filter("_key = _head").select("_key", F.col("_words").alias("words"), F.posexplode("_sketches").alias("band", "sketch"))
     mixed = F.struct(F.xxhash64("_key").alias("h"), "_key")
     leaders = checkpoint(members.groupBy("band", "sketch").agg(F.min("_key").alias("l1"), F.min(mixed)["_key"].alias("l2"), F.count("*").alias("n")).filter("n > 1").drop("n"))

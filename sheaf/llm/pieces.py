@@ -346,6 +346,10 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     within = (np.arange(total) - np.repeat(starts, ends - starts)).astype(np.uint64)
     sums = np.add.reduceat(mix(value ^ within * np.uint64(0x9E3779B97F4A7C15)), starts)
     _, chosen, inverse = np.unique(mix(sums + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+    others = np.add.reduceat(mix(value * np.uint64(0xD6E8FEB86659FD93) + within), starts)
+    if (others != others[chosen][inverse]).any():  # the first sum took unlike segments for equal
+        _, chosen, inverse = np.unique(np.stack((sums, others)), axis=1, return_index=True, return_inverse=True)
+        inverse = inverse.ravel()
     lengths = (ends - starts)[chosen]
     offs = np.concatenate(([0], np.cumsum(lengths)))
     flat = marked[np.arange(offs[-1]) - np.repeat(offs[:-1], lengths) + np.repeat(starts[chosen], lengths)]

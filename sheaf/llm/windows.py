@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .columns import box, boxed, named
-from .spaces import checkpoint, release, shared_dir
+from .spaces import release, shared_dir
 from .squeeze import squeezed
 
 LENGTH, GRAM, BATCHES, MAX_RUNS = 20, 8, 4, 2
@@ -59,29 +60,42 @@ def sorted_run(rule: repeats.Rule):
     return run
 
 
-MANIFEST = "version int, kind string, path string, length int, gram int, buckets long"
+MANIFEST = "version int, kind string, path string, batch string, low long, high long, length int, gram int, buckets long"
 
 
-class FingerprintIndex:
-    """Runs of window hashes, and the texts to verify them, in a folder that all executors share.
+@dataclass(frozen=True)
+class Entry:
+    """What the manifest has of one file set: kind is run, text, codes or windows; low and high bound the batch's keys."""
+
+    kind: str
+    path: str
+    batch: str | None = None
+    low: int | None = None
+    high: int | None = None
+
 
-    The folder's manifest is a table with the runs and texts of every version of the index; a
-    version's rows are written, in one file, after all else that it needs. So an index that is
-    opened again, by this job or a later one, has what was appended completely, and files of an
-    append that was cut short are never read. There is one writer at a time.
+class FingerprintIndex:
+    """Runs of window hashes, the texts to verify them, and each batch's result, in a folder that all executors share.
+
+    The folder's manifest is a table with the entries of every version of the index; a version's
+    rows are written, in one file, after all else that it needs. So an index that is opened
+    again, by this job or a later one, has what was appended completely, and files of an append
+    that was cut short are never read. A batch has a name, and its result is stored before the
+    commit: a job that dies after it appends the batch under the same name again and gets that
+    result, and nothing is indexed twice. There is one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, rule: repeats.Rule, buckets: int, folder: str | None = None):
         self.spark, self.rule, self.buckets = spark, rule, buckets
         self.folder = folder or f"{shared_dir(spark)}/window-index-{uuid.uuid4().hex}"
-        self.version, self.runs, self.texts = 0, [], []
+        self.version, self.entries = 0, []
         if folder is not None:
             self.recover()
 
     def recover(self) -> None:
         """Take over the last version in the folder, if there is one."""
         try:
-            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()  # a row for each run and text of each version
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").collect()  # a row for each entry of each version
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -90,19 +104,45 @@ class FingerprintIndex:
         last = [r for r in rows if r["version"] == self.version]
         if any((r["length"], r["gram"]) != (self.rule.length, self.rule.gram) for r in last):
             raise ValueError(f"the index in {self.folder} is for other windows")
-        self.runs, self.texts = ([r["path"] for r in last if r["kind"] == kind] for kind in ("run", "text"))
+        self.entries = [Entry(r["kind"], r["path"], r["batch"], r["low"], r["high"]) for r in last]
         self.buckets = last[0]["buckets"] if last else self.buckets
 
-    def commit(self, runs: list[str], texts: list[str]) -> None:
-        """Make these the index's runs and texts."""
-        rows = [(self.version + 1, kind, path, self.rule.length, self.rule.gram, self.buckets) for kind, paths in (("run", runs), ("text", texts)) for path in paths]
+    def commit(self, entries: list[Entry]) -> None:
+        """Make these what the index has."""
+        rows = [(self.version + 1, e.kind, e.path, e.batch, e.low, e.high, self.rule.length, self.rule.gram, self.buckets) for e in entries]
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
-        self.version, self.runs, self.texts = self.version + 1, runs, texts
-
-    def append(self, batch: DataFrame, text_column: str = "text") -> DataFrame:
-        """Add a batch that has a unique long `_key`, greater than those of history or not; gives it back with compressed text, `_codes` and `_windows` (see `repeats.finished`)."""
+        self.version, self.entries = self.version + 1, entries
+
+    def paths(self, kind: str, batch: str | None = None) -> list[str]:
+        return [e.path for e in self.entries if e.kind == kind and batch in (None, e.batch)]
+
+    @property
+    def runs(self) -> list[str]:
+        return self.paths("run")
+
+    def result(self, batch: str) -> DataFrame:
+        """The stored result of a batch: its rows with compressed text, `_codes` and `_windows` (see `repeats.finished`)."""
+        text, codes, windows = (self.spark.read.parquet(*self.paths(kind, batch)) for kind in ("text", "codes", "windows"))
+        return text.join(codes.filter("not _old").drop("_old"), "_key", "left").join(windows, "_key", "left")
+
+    def key_range(self, batch: DataFrame) -> tuple[int | None, int | None]:
+        """The least and the greatest `_key`; an error if a key is there twice, in the batch or in the history."""
+        low, high, most = batch.groupBy("_key").agg(F.count("*").alias("n")).agg(F.min("_key"), F.max("_key"), F.max("n")).first()
+        if (most or 0) > 1:
+            raise ValueError("a batch has a key twice")
+        meet = [e.path for e in self.entries if e.kind == "text" and None not in (low, e.low) and e.low <= high and low <= e.high]
+        if meet and self.spark.read.parquet(*meet).select("_key").join(batch.select("_key"), "_key", "left_semi").limit(1).count():
+            raise ValueError("a batch has a key that the index has already")
+        return low, high
+
+    def append(self, batch: DataFrame, text_column: str = "text", name: str | None = None) -> DataFrame:
+        """Add a batch that has a long `_key`, unique over all batches; gives its `result`, of an earlier append if the name is known."""
         spark, rule = self.spark, self.rule
-        run, text = (f"{self.folder}/{kind}-{self.version + 1:05d}-{uuid.uuid4().hex[:8]}" for kind in ("run", "text"))
+        if name is not None and self.paths("text", name):
+            return self.result(name)
+        name = name or uuid.uuid4().hex
+        low, high = self.key_range(batch)
+        run, text, codes_at, windows_at = (f"{self.folder}/{kind}-{self.version + 1:05d}-{uuid.uuid4().hex[:8]}" for kind in ("run", "text", "codes", "windows"))
         source = batch.select(F.col("_key").alias("doc_id"), F.col(text_column).alias("text"))
         repeats.anchor_blobs(source, rule, self.buckets, "gram").groupBy("bucket").applyInArrow(sorted_run(rule), repeats.BLOB).write.parquet(run)
         squeezed(batch, text_column).write.parquet(text)
@@ -111,26 +151,26 @@ class FingerprintIndex:
         if self.runs:
             merged = merged.unionByName(spark.read.parquet(*self.runs).filter("not settled").withColumn("old", F.lit(True)))
         codes = repeats.by_bucket(merged, repeats.reduce_anchors(rule))
-        codes = checkpoint(codes.groupBy(F.col("doc_id").alias("_key"), (F.col("code").bitwiseAND(2) > 0).alias("_old")).agg(F.collect_list("code").alias("_codes")))
+        codes.groupBy(F.col("doc_id").alias("_key"), (F.col("code").bitwiseAND(2) > 0).alias("_old")).agg(F.collect_list("code").alias("_codes")).write.parquet(codes_at)
         release(spark)
-        texts, fresh = spark.read.parquet(text), codes.filter("not _old").drop("_old")
-        pairs = repeats.pair_blobs(repeats.open_ones(texts, fresh, text_column), rule, self.buckets)
-        if self.texts:
-            history = repeats.open_ones(spark.read.parquet(*self.texts), codes.filter("_old").drop("_old"), text_column)
+        codes, texts = spark.read.parquet(codes_at), spark.read.parquet(text)
+        pairs = repeats.pair_blobs(repeats.open_ones(texts, codes.filter("not _old").drop("_old"), text_column), rule, self.buckets)
+        if self.paths("text"):
+            history = repeats.open_ones(spark.read.parquet(*self.paths("text")), codes.filter("_old").drop("_old"), text_column)
             pairs = pairs.unionByName(repeats.pair_blobs(history, rule, self.buckets, old=True))
-        windows = checkpoint(repeats.lists(repeats.by_bucket(pairs, repeats.reduce_pairs(rule)), "_windows"))
+        repeats.lists(repeats.by_bucket(pairs, repeats.reduce_pairs(rule)), "_windows").write.parquet(windows_at)
         del pairs
         release(spark)
-        self.commit([*self.runs, run], [*self.texts, text])
+        self.commit([*self.entries, *(Entry(kind, path, name, low, high) for kind, path in (("run", run), ("text", text), ("codes", codes_at), ("windows", windows_at)))])
         if len(self.runs) > MAX_RUNS:
             self.compact()
-        return texts.join(fresh, "_key", "left").join(windows, "_key", "left")
+        return self.result(name)
 
     def compact(self) -> None:
         """Merge all runs to one."""
         path = f"{self.folder}/run-{self.version + 1:05d}-{uuid.uuid4().hex[:8]}"
         self.spark.read.parquet(*self.runs).filter("not settled").groupBy("bucket").applyInArrow(sorted_run(self.rule), repeats.BLOB).filter("not settled").write.parquet(path)
-        self.commit([path], self.texts)
+        self.commit([Entry("run", path), *(e for e in self.entries if e.kind != "run")])
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
@@ -148,8 +188,8 @@ def indexed(docs: DataFrame, length: int, id_column: str, text_column: str, batc
     rule = rule_for(length)
     index = FingerprintIndex(docs.sparkSession, rule, repeats.bucket_count(docs, text_column))
     out = None
-    for batch in batches_of(repeats.keyed(docs, id_column, text_column), batches):
-        rows = index.append(batch, text_column)
+    for number, batch in enumerate(batches_of(repeats.keyed(docs, id_column, text_column), batches)):
+        rows = index.append(batch, text_column, f"batch-{number}")
         out = rows if out is None else out.unionByName(rows)
     return out, rule
 

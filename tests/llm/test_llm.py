@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sheaf.llm import decontaminate, fingerprint, language, near, pieces, queries, repeats, sharding, spaces, suffixes, tokens, urls, windows
+from sheaf.llm import arrays, decontaminate, fingerprint, language, near, pieces, queries, repeats, sharding, spaces, suffixes, tokens, urls, windows
 from sheaf.llm.arrays import distinct_sorted, text_blocks, window_choice
 
 DATA = "/root/testdata/sf0.001"
@@ -189,7 +189,7 @@ def test_near_rest_of_a_bucket(spark):
                 own = [*own[:at], f"c{c}edit{at}", *own[at + 1 :]]
             texts.append(" ".join(boilerplate + own))
     blob = np.frombuffer("".join(texts).encode(), np.uint8)
-    grams, at, _, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
+    grams, at, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
     sketch = near.order_sketches(grams, at, 1)[:, 0]
     similar = [(a, b) for b in range(len(texts)) for a in range(b) if sketch[a] == sketch[b] and near.similarity(grams[at[a] : at[a + 1]], grams[at[b] : at[b + 1]])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -225,7 +225,7 @@ def test_cells(monkeypatch):
                 w[r.randrange(len(w))] = f"e{r.randint(0, 5)}"
             texts.append(" ".join(w))
         blob = np.frombuffer("".join(texts).encode(), np.uint8)
-        grams, at, _, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
+        grams, at, _ = near.shingles(blob, np.cumsum([0, *map(len, texts)]))
         kmers = near.labelled_kmers(grams, at)
         kmers = kmers[np.lexsort((kmers, np.repeat(np.arange(30), np.diff(at))))]
         strays, others = np.array(sorted(r.sample(range(30), 12))), np.arange(30)
@@ -252,6 +252,52 @@ def test_near_repeated_ids(spark, empty):
     assert near.near_classes(empty).collect() == [] and near.deduplicated(empty).collect() == []
 
 
+def thue_morse(n, a, b):
+    return [a if bin(i).count("1") % 2 == 0 else b for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_structured_texts_are_told_apart(spark, n):
+    """Sequences that collide under any polynomial modulo a power of two."""
+    texts = [" ".join(thue_morse(n, "a", "b")), " ".join(thue_morse(n, "b", "a"))]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    same = bool(near.similarity(*(np.array([int("".join(t[i : i + 10 : 2]), 36) for i in range(0, len(t) - 8, 2)], np.uint64) for t in texts)))  # long ones are alike indeed
+    assert [r["class_size"] for r in near.near_classes(df).collect()] == [1 + same] * 2 and same == (n == 4096)
+    assert near.near_classes(df).select("n_links").distinct().collect() == [(int(same),)]
+    # two unlike words of n letters after 19 equal ones
+    common = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(0, common + " " + "".join(thue_morse(n, "a", "b"))), (1, common + " " + "".join(thue_morse(n, "b", "a")))], "doc_id long, text string")
+    assert [r["n_removed"] for r in windows.judged(df).collect()] == [0, 0]
+    # as bytes: strings of 50 that only one text has
+    pairs = [(0, "".join(thue_morse(n, "a", "b"))), (1, "".join(thue_morse(n, "b", "a")))]
+    got = {k: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for k, r in by_id(suffixes.judged(spark.createDataFrame(pairs, "doc_id long, text string"))).items()}
+    assert got == brute_bytes(pairs, 50)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=40), st.data())
+def test_rolling_hash(values, data):
+    x = np.array(values, np.uint64)
+    assert arrays.reduced(x).tolist() == [v % arrays.PRIME for v in values]
+    y = arrays.reduced(x)
+    assert arrays.times(y, y[::-1]).tolist() == [a * b % arrays.PRIME for a, b in zip(y.tolist(), y[::-1].tolist(), strict=True)]
+    prefix = arrays.prefix_hash(x)
+    assert prefix.tolist() == [sum(v * pow(arrays.BASE, t, arrays.PRIME) for t, v in enumerate(values[:n])) % arrays.PRIME for n in range(len(values) + 1)]
+    k = data.draw(st.integers(1, len(values)))
+    twice = arrays.prefix_hash(np.concatenate((x, x)))
+    assert arrays.window_hash(twice, k)[: len(values) - k + 1].tolist() == arrays.window_hash(prefix, k).tolist()
+    n = len(values)
+    assert arrays.span_hash(twice, np.array([0]), np.array([k])) == arrays.span_hash(twice, np.array([n]), np.array([n + k]))
+
+
+def test_word_digests():
+    """Equal for texts of equal words, whatever parts them, and only for those."""
+    texts = ["a b", " a\n\tb ", "ab", "a  b\x0b", "", " ", "b a", "é b", "a b c"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = near.word_digests(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    assert [got.index(x) for x in got] == [0, 0, 2, 0, 4, 4, 6, 7, 8]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100)], "u long, v long")
     out = {r["node"]: r["root"] for r in near.components(links).collect()}
@@ -396,6 +442,37 @@ def test_contamination(spark, docs, texts, empty):
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("blocks", [4 << 20, 250, 30])
+def test_repeated_items_count_once(spark, blocks):
+    """An item_id of several rows is one item, and a null one is counted and not named: as the query's SQL has it."""
+    w, v = words(12, 90), words(15, 91)
+    bench = spark.createDataFrame([(7, w), (7, w), (7, v), (None, w), (8, w), (None, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, w), (2, v), (3, f"{w} and {v}"), (4, "none of it"), (5, None)], "doc_id long, text string")
+    found = decontaminate.contamination(df, bench, block_bytes=blocks)
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {1: ["7", "8", None], 2: ["7"], 3: ["7", "8", None], 4: [], 5: []}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [tuple(r) for r in df.collect()])
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", [tuple(r) for r in bench.collect()])
+    want = con.sql(decontaminate.ORACLE).fetchall()
+    assert sorted(tuple(r) for r in decontaminate.reported(found).collect()) == sorted(want)
+
+
+def test_long_items_in_pieces(spark, monkeypatch):
+    """An item cut in pieces has all its windows still, and no others."""
+    item, other = words(400, 92), words(9, 93)
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    cut = item.split()
+    texts = [item, " ".join(cut[37:90]), " ".join(cut[100:109]), other, f"{other} x {' '.join(cut[200:215])}", item + " " + item]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)
+    assert decontaminate.items_of(bench, 10, "item_id", "text").count() > 20
+    for blocks in (4 << 20, 200):
+        out = by_id(decontaminate.contamination(df, bench, block_bytes=blocks))
+        for i, t in enumerate(texts):
+            assert (out[i]["n_words"], out[i]["n_hit"], out[i]["items"]) == brute_hits(t, [(1, item), (2, other)], 10)
+
+
 def test_cleaned_of_benchmark(spark, docs, texts):
     bench = spark.createDataFrame([(1, words(60, 2))], "item_id long, text string")
     out = by_id(decontaminate.cleaned(docs, bench))
@@ -560,6 +637,29 @@ def test_index_is_reopened(spark, tmp_path):
         windows.FingerprintIndex(spark, windows.rule_for(6), 8, folder)
 
 
+def test_index_append_is_safe_to_repeat(spark, tmp_path):
+    """A job that dies between the commit and its use of the result appends the batch again: same result, nothing new in the index."""
+    rule, folder = windows.rule_for(4), str(tmp_path / "index")
+
+    def batch(i, seeds):
+        return repeats.keyed(spark.createDataFrame([(i * 10 + k, words(30, s)) for k, s in enumerate(seeds)], "doc_id long, text string"), "doc_id", "text")
+
+    def removed(rows):
+        return sorted(tuple(r) for r in repeats.finished(rows, rule, "text", ["doc_id"], "n_words long, n_removed long, kept_sha256 string", windows.digests).select("doc_id", "n_removed").collect())
+
+    for i, seeds, want in ((0, [1, 2, 1], [(0, 0), (1, 0), (2, 30)]), (1, [2, 3], [(10, 30), (11, 0)]), (2, [3, 4], [(20, 30), (21, 0)])):
+        windows.FingerprintIndex(spark, rule, 8, folder).append(batch(i, seeds), name=f"b{i}")  # its result is lost
+        again = windows.FingerprintIndex(spark, rule, 8, folder)
+        version = again.version
+        assert removed(again.append(batch(i, seeds), name=f"b{i}")) == want and again.version == version
+    index = windows.FingerprintIndex(spark, rule, 8, folder)
+    assert removed(index.append(batch(0, [1, 2, 1]), name="b0")) == [(0, 0), (1, 0), (2, 30)]  # also after others and a compaction
+    with pytest.raises(ValueError, match="already"):
+        index.append(batch(2, [9]), name="other")
+    with pytest.raises(ValueError, match="twice"):
+        index.append(batch(7, [9]).unionByName(batch(7, [9])), name="twice")
+
+
 def test_index_compacts(spark, monkeypatch):
     monkeypatch.setattr(windows, "MAX_RUNS", 2)
     rule = windows.rule_for(4)
