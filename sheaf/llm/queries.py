@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, near, phrases, pieces, sharding, suffixes, tokens, urls, windows
+from . import clusters, decontaminate, fingerprint, language, near, phrases, pieces, sharding, suffixes, tokens, urls, windows
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.query,
     "op9_sentencepiece": pieces.query,
     "op10_window_dedup": windows.query,
+    "op12_centroids": clusters.query,
     "op13_collocations": phrases.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
     "op10_window_dedup": windows.ORACLE,
+    "op12_centroids": clusters.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }
