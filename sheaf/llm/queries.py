@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clusters, decontaminate, fingerprint, language, near, phrases, pieces, sharding, suffixes, tokens, urls, windows
+from . import clusters, decontaminate, fingerprint, language, near, phrases, pieces, quality, sharding, suffixes, tokens, urls, windows
 
 QUERIES = {
     "op1_token_counts": tokens.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.query,
     "op9_sentencepiece": pieces.query,
     "op10_window_dedup": windows.query,
+    "op11_quality_rules": quality.query,
     "op12_centroids": clusters.query,
     "op13_collocations": phrases.query,
 }
