@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents_queries, evidence_queries, retrieval_queries, stream_queries
+from . import documents_queries, evidence_queries, replies_queries, retrieval_queries, stream_queries
 from .base import ORACLES, QUERIES
 
-GROUPS = (retrieval_queries, evidence_queries, documents_queries, stream_queries)
+GROUPS = (retrieval_queries, evidence_queries, replies_queries, documents_queries, stream_queries)
 
 __all__ = ["GROUPS", "ORACLES", "QUERIES", "flagship"]
 
