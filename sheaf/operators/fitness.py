@@ -40,10 +40,15 @@ def parsed_score(reply: Column) -> Column:
 
 
 def weighted(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted mean of the scores (keys, dim, score) that are there; dimensions without a weight count 0; 0 if none is there."""
+    """Weighted mean of the scores (keys, dim, score) that are there; dimensions without a weight count 0; 0 if none is there.
+
+    A candidate's few dimensions are added in their order, so the mean is the same however rows are spread.
+    """
     joined = scores.join(weights, "dim", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    there = F.when(F.col("score").isNotNull(), F.col("weight"))
-    return joined.groupBy(*keys).agg(F.coalesce(F.sum(F.col("score") * F.col("weight")) / F.nullif(F.sum(there), F.lit(0.0)), F.lit(0.0)).alias("weighted"))
+    terms = F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("dim", F.col("score").cast("double").alias("score"), F.col("weight").cast("double").alias("weight")))))
+    added = lambda f: F.aggregate("_terms", F.lit(0.0), lambda total, x: total + f(x))
+    mean = added(lambda x: x["score"] * x["weight"]) / F.nullif(added(lambda x: x["weight"]), F.lit(0.0))
+    return joined.groupBy(*keys).agg(terms.alias("_terms")).select(*keys, F.coalesce(mean, F.lit(0.0)).alias("weighted"))
 
 
 def weights_sum(weights: DataFrame) -> DataFrame:
@@ -60,8 +65,8 @@ def validity(scores: DataFrame, keys: list[str], profile: str, vetoes: DataFrame
 
 
 def best_first(candidates: DataFrame, group: list[str]) -> DataFrame:
-    """Rank by validity, then weighted score, then the order they came in (ord)."""
-    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("valid"), F.desc("weighted"), "ord")))
+    """Rank by validity, then weighted score (nine places), then the order they came in (ord)."""
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("valid"), F.desc(F.round("weighted", 9)), "ord")))
 
 
 def plan_tournament(candidates: DataFrame, scores: DataFrame, weights: DataFrame, vetoes: DataFrame, most_redrafts: int = 2) -> DataFrame:

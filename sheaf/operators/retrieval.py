@@ -165,15 +165,18 @@ def fused(lanes: DataFrame, k: int = RRF_K) -> DataFrame:
 
     A key that a lane names more than once gains each time. The payload is that of the first
     lane and rank. Scores are divided by the query's best one; position is the final order, in
-    which ties keep the order of first appearance.
+    which ties keep the order of first appearance. Terms are added in the order of lanes and
+    ranks, and scores are equal if they agree in twelve places, so positions don't depend on
+    where the rows came from.
     """
     keys = ["query_id", "source_type", "source_id"]
     payload = [c for c in lanes.columns if c not in (*keys, "lane", "rank")]
     first = F.struct("lane", "rank")
-    out = lanes.groupBy(*keys).agg(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min(first).alias("_first"), *(F.min_by(c, first).alias(c) for c in payload))
+    out = lanes.groupBy(*keys).agg(F.sort_array(F.collect_list(first)).alias("_terms"), F.min(first).alias("_first"), *(F.min_by(c, first).alias(c) for c in payload))
     best = Window.partitionBy("query_id")
+    out = out.withColumn("score", F.aggregate("_terms", F.lit(0.0), lambda total, x: total + 1.0 / (F.lit(float(k)) + x["rank"]))).drop("_terms")
     out = out.withColumn("relevance", F.col("score") / F.max("score").over(best))
-    return out.withColumn("position", F.row_number().over(best.orderBy(F.desc("score"), "_first"))).drop("_first")
+    return out.withColumn("position", F.row_number().over(best.orderBy(F.desc(F.round("score", 12)), "_first"))).drop("_first")
 
 
 def quality(hits: DataFrame, queries: DataFrame | None = None) -> DataFrame:

@@ -293,3 +293,27 @@ def test_embedding_seam(spark):
     rows = spark.createDataFrame(pd.DataFrame({"embed_text": ["a", "bb"]}))
     out = corpora.embedded(rows, lambda ts: [[float(len(t))] for t in ts], 1)
     assert sorted(r["embedding"][0] for r in out.collect()) == [1.0, 2.0]
+
+
+def test_fusion_and_ranks_do_not_depend_on_the_order_of_rows(spark):
+    """Keys whose ranks are permutations of each other tie whatever order their terms come in; so do equally weighted candidates."""
+    r = np.random.default_rng(3)
+    rows = [(q, lane, int(rank), "t", f"k{i}") for q in range(200) for i in range(6) for lane, rank in enumerate(r.permutation([1, 7, 49, 343]))]
+    lanes = spark.createDataFrame(rows, "query_id int, lane int, rank int, source_type string, source_id string")
+    scores = spark.createDataFrame([(q, i, f"d{d}", float(s)) for q in range(50) for i in range(6) for d, s in enumerate(r.permutation([1, 3, 4]))], "run_id int, candidate int, dim string, score double")
+    weights = spark.createDataFrame([(f"d{d}", 0.1 + 0.7 * d) for d in range(3)], "dim string, weight double")
+    seen = set()
+    for parts in (1, 7, 1000):
+        spread = lanes.orderBy(F.rand(parts)).repartition(parts)
+        positions = tuple(sorted(tuple(x) for x in retrieval.fused(spread).select("query_id", "source_id", "position", "score").collect()))
+        judged = fitness.weighted(scores.orderBy(F.rand(parts)).repartition(parts), weights, ["run_id", "candidate"]).withColumns({"valid": F.lit(True), "ord": F.col("candidate")})
+        ranks = tuple(sorted(tuple(x) for x in fitness.best_first(judged, ["run_id"]).select("run_id", "candidate", "rank", "weighted").collect()))
+        seen.add((positions, ranks))
+    assert len(seen) == 1
+    order = {}
+    for q, source, position, _ in next(iter(seen))[0]:
+        order.setdefault(q, []).append((position, source))
+    first = {}
+    for q, lane, rank, _, source in rows:
+        first[q, source] = min(first.get((q, source), (9, 0)), (lane, rank))
+    assert all([s for _, s in sorted(v)] == sorted((s for _, s in v), key=lambda s: first[q, s]) for q, v in order.items())
