@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import citations
-from ..sources import corpora
+from ..session import shared_folder
+from ..sources import artifacts, corpora
 from .base import query
 
 AY = "CASE WHEN n = 1 THEN s1 WHEN n = 2 THEN concat(s1, ' & ', s2) WHEN n > 2 THEN concat(s1, ' et al.') END || ', ' || coalesce(CAST(year AS VARCHAR), 'n.d.')"
@@ -240,3 +243,22 @@ def nested_artifact(t):
     sources = t("claim_sources").join(claims.select("claim_id", "run_id", "claim_ord"), "claim_id")
     quotes = sources.select("run_id", "claim_ord", F.col("source_ord").alias("quote_ord"), "source_id", F.lit("q").alias("quote"), F.lit("verified").alias("status"))
     return corpora.nested(claims, sources, quotes)
+
+
+ROUND_TRIP = """, s AS (SELECT claim_id, string_agg(source_id, ',' ORDER BY source_ord) AS sources FROM claim_sources GROUP BY claim_id)
+SELECT CAST(run_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY run_id ORDER BY claim_id) - 1 AS claim_no, text, agreement_level, coalesce(sources, '') AS sources, 'q' || CAST(run_id AS VARCHAR) AS question_id FROM claims LEFT JOIN s USING (claim_id)"""
+
+
+@query("artifact_round_trip", ROUND_TRIP, "claims", "claim_sources")
+def artifact_round_trip(t):
+    """Each run's claims written as one YAML file and read again."""
+    sources = t("claim_sources").groupBy("claim_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("source_ord", "source_id"))), lambda x: x["source_id"]).alias("sources"))
+    whole = t("claims").join(sources, "claim_id", "left")
+    claims = F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text", "agreement_level", "sources"))), lambda x: F.struct(x["text"].alias("text"), x["agreement_level"].alias("agreement_level"), x["sources"].alias("sources")))
+    runs = whole.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(claims.alias("claims"), F.concat(F.lit("q"), F.first("run_id").cast("string")).alias("question_id"))
+    spark = runs.sparkSession
+    spark.dataSource.register(artifacts.ArtifactSource)
+    folder = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+    runs.write.format("artifact").mode("append").save(folder)
+    read = spark.read.format("artifact").load(folder).select("run_id", F.posexplode("claims").alias("claim_no", "c"), "question_id")
+    return read.select("run_id", "claim_no", "c.text", "c.agreement_level", F.array_join("c.sources", ",").alias("sources"), "question_id")

@@ -29,15 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A copy of df in the shared checkpoint folder, cut off from its plan: it stays as it is, whatever executor is lost.
-
-    The folder is spark.checkpoint.dir; only in local mode, where it may be unset, one of this machine.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only in local mode, where it may be unset, a folder of this machine."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sheaf-checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A copy of df in the shared folder, cut off from its plan: it stays as it is, whatever executor is lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
