@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import corpus, retrieval
+from ..operators import corpus, retrieval, vector_index
 from .base import query
 
 DISTANCE = "sqrt(list_sum(list_transform(range(1, 65), lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)) * (CAST(q.embedding[i] AS DOUBLE) - CAST(e.embedding[i] AS DOUBLE)))))"
@@ -37,6 +37,15 @@ def knn_l2_topk(t):
     return knn_columns(retrieval.nearest(vector_queries(t), vector_chunks(t), 10))
 
 
+@query("knn_pivot_index", (
+    f"WITH {MET}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM met) SELECT query_id, chunk_id, rank, "
+    f"round(d, 6) AS distance, round(1 / (1 + d), 6) AS similarity FROM r WHERE rank <= 10"
+))
+def knn_pivot_index(t):
+    index = vector_index.build(vector_chunks(t), 64, pivots=64, rows=64)
+    return vector_index.search(index, vector_queries(t), 10).select("query_id", F.col("id").alias("chunk_id"), "rank", "distance", "similarity")
+
+
 @query("knn_filtered_exact", (
     f"WITH {MET}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM met WHERE label = 1) SELECT query_id, "
     f"chunk_id, rank, round(d, 6) AS distance, round(1 / (1 + d), 6) AS similarity FROM r WHERE rank <= 5"
