@@ -20,9 +20,14 @@ MOST_PDF_BYTES, PDF_SECONDS = 20 * 1024 * 1024, 60
 
 def local_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Files under a folder: paper_id, title, kind, length and content; the folder may be in any store."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return local_papers(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), folder)
+
+
+def local_papers(files: DataFrame, folder: str) -> DataFrame:
+    """Of binary files under a folder, a table or a stream, those that are texts, as papers."""
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.element_at(F.split(name, r"\."), -1))
+    spark = files.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     base = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
     relative = F.element_at(F.split("path", base, 2), -1)
