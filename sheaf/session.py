@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def session(cpus: int | None = None, partitions: int | None = None) -> SparkSession:
@@ -44,3 +45,11 @@ def settled(df: DataFrame) -> DataFrame:
     """A copy of df in the shared folder, cut off from its plan: it stays as it is, whatever executor is lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def observed(observation: Observation, name: str = "n") -> int:
+    """A counter that was observed; 0 where Spark saw before the job that there was no row, and left it out."""
+    try:
+        return observation.get[name] or 0
+    except Py4JJavaError:
+        return 0

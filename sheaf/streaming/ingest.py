@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_BYTES
 from ..operators.corpus import not_ingested
+from ..session import observed
 from ..sources.corpora import file_texts, local_papers, plain_chunks
 
 LEDGER = "batch_id long, fingerprint decimal(38,0), n_files long, n_skipped long, n_failed long, n_texts long, n_chunks long"
@@ -65,7 +66,7 @@ class FolderIngest:
         written = self.spark.read.schema(TEXTS).parquet(self.place("texts", batch_id))
         chunks = plain_chunks(written.filter("failure IS NULL").select("paper_id", "text"), self.chunk_bytes)
         chunks.observe(cut, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(self.place("chunks", batch_id))
-        n_seen, n_read, n_failed, n_chunks = seen.get["n"], read.get["n"], read.get["failed"], cut.get["n"]
+        n_seen, n_read, n_failed, n_chunks = observed(seen), observed(read), observed(read, "failed"), observed(cut)
         row = (batch_id, fingerprint, n_seen, n_seen - n_read, n_failed, n_read - n_failed, n_chunks)
         self.spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("append").parquet(f"{self.target}/ledger")
 
