@@ -1,10 +1,11 @@
-"""Queries over marked-up replies, made of the documents' own texts: whole, cut, malformed and missing ones."""
+"""Queries over models' marked-up replies and paper APIs' payloads, made of the documents' own texts: whole, cut, malformed and missing ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import replies
+from ..sources import payloads
 from .base import query
 
 #: The start of a text in brackets, so that trimming can't touch it; and the same as markup.
@@ -96,3 +97,33 @@ def resolved_graphs(t):
     patch = f"""CASE doc_id % 4 WHEN 0 THEN concat('<patch><add><node id="p1"><text>', {MARKED}, '</text><source>s1</source></node></add></patch>') WHEN 1 THEN '<patch><add></patch>' WHEN 2 THEN '' END"""
     full = f"""CASE doc_id % 3 WHEN 0 THEN concat('<graph><node id="g1"><text>', {MARKED}, '</text><source>s2</source></node></graph>') WHEN 1 THEN '<graph><node></graph>' END"""
     return replies.resolved_graphs(nodes, tried(t, patch, full, "doc_id % 4 = 3", "doc_id % 3 = 2"), retrieved)
+
+
+def payload_table(t):
+    """A payload for each document: of all kinds by its id, every eleventh cut short, every thirteenth of another shape; its paper is named by the id and titled by the text's start."""
+    d = t("documents").withColumn("paper", F.expr("named_struct('paperId', concat('p', doc_id), 'title', substr(text, 1, 30), 'year', 1990 + doc_id % 30, 'citationCount', doc_id % 50, 'externalIds', IF(doc_id % 4 = 0, named_struct('ArXiv', concat('a', doc_id)), IF(doc_id % 4 = 1, named_struct('ArXiv', ' '), NULL)), 'authors', array(named_struct('name', source), named_struct('name', CAST(NULL AS STRING))))"))
+    body = F.to_json("paper")
+    wrapped = F.expr("""CASE doc_id % 5 WHEN 0 THEN body WHEN 1 THEN concat('{"total":2,"data":[', body, ',{"title":"no id"},null]}') WHEN 2 THEN concat('[null,', body, ',{"paperId":null}]')
+        WHEN 3 THEN concat('{"data":[{"citingPaper":', body, '},{"citingPaper":null},{"citingPaper":{"paperId":"q', doc_id % 9, '","year":"soon","citationCount":7}}]}') ELSE concat('{"data":[{"citedPaper":{"paperId":"r', doc_id % 9, '"},"contexts":[]},{},{"citedPaper":', body, '}]}') END""")
+    payload = F.expr("CASE WHEN doc_id % 11 = 0 THEN substr(whole, 1, 12) WHEN doc_id % 13 = 0 THEN '7' WHEN doc_id % 17 = 0 THEN ' ' WHEN doc_id % 19 = 0 THEN NULL ELSE whole END")
+    kind = F.expr("CASE doc_id % 5 WHEN 0 THEN 'paper' WHEN 1 THEN 'search' WHEN 2 THEN 'batch' WHEN 3 THEN 'citations' ELSE 'references' END")
+    return d.withColumn("body", body).withColumn("whole", wrapped).select(F.col("doc_id").alias("cache_key"), F.expr("concat('s2:of', doc_id)").alias("paper_id"), kind.alias("kind"), payload.alias("payload"))
+
+
+PAYLOADS = """ WITH d AS (SELECT doc_id, doc_id % 5 AS k, substr(text, 1, 30) AS title, source, NOT (doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 17 = 0 OR doc_id % 19 = 0) AS good FROM documents),
+own AS (SELECT doc_id, CASE k WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS ord, CASE WHEN doc_id % 4 = 0 THEN concat('arxiv:a', doc_id) ELSE concat('s2:p', doc_id) END AS paper_id, coalesce(title, '') AS title, 1990 + doc_id % 30 AS year, doc_id % 50 AS citation_count, coalesce(source, '') AS authors, k FROM d WHERE good),
+others AS (SELECT doc_id, CASE k WHEN 3 THEN 2 ELSE 0 END AS ord, concat(CASE k WHEN 3 THEN 's2:q' ELSE 's2:r' END, doc_id % 9) AS paper_id, '' AS title, CAST(NULL AS BIGINT) AS year, CASE k WHEN 3 THEN 7 ELSE 0 END AS citation_count, '' AS authors, k FROM d WHERE good AND k IN (3, 4)),
+every AS (SELECT * FROM own UNION ALL SELECT * FROM others)"""
+
+
+@query("payload_papers", PAYLOADS + """ SELECT doc_id AS cache_key, ord, paper_id, title, year, citation_count, authors, CAST(NULL AS VARCHAR) AS reason FROM every
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN doc_id % 11 = 0 THEN 'not JSON' WHEN doc_id % 13 = 0 THEN concat('not a ', CASE k WHEN 0 THEN 'paper' WHEN 1 THEN 'search' WHEN 2 THEN 'batch' WHEN 3 THEN 'citations' ELSE 'references' END, ' payload') ELSE 'empty payload' END FROM d WHERE NOT good""")
+def payload_papers(t):
+    p = payload_table(t)
+    good = payloads.papers(p).select("cache_key", "ord", "paper_id", "title", "year", "citation_count", F.array_join("authors", ",").alias("authors"))
+    return good.unionByName(payloads.failures(p).select("cache_key", "reason"), allowMissingColumns=True)
+
+
+@query("payload_edges", PAYLOADS + " SELECT concat('s2:of', doc_id) AS src, paper_id AS dst, CASE k WHEN 3 THEN 1 ELSE 0 END AS kind, ord AS edge_ord FROM every WHERE k IN (3, 4)")
+def payload_edges(t):
+    return payloads.edges(payload_table(t))
