@@ -13,6 +13,8 @@ from .scans import placed, running
 #: The dimension that must reach GATE_SCORE, by kind of candidate.
 GATES = {"graph": "groundedness", "synthesis": "faithfulness", "review": "faithfulness", "plan": "corpus_fit"}
 GATE_SCORE, FEEDBACK_THRESHOLD = 4, 3
+#: The calls that a tournament may take in a run.
+MOST_CALLS = 32
 
 
 def clamped(digits: Column) -> Column:
@@ -69,14 +71,15 @@ def best_first(candidates: DataFrame, group: list[str]) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("valid"), F.desc(F.round("weighted", 9)), "ord")))
 
 
-def plan_tournament(candidates: DataFrame, scores: DataFrame, weights: DataFrame, vetoes: DataFrame, most_redrafts: int = 2) -> DataFrame:
+def plan_tournament(candidates: DataFrame, scores: DataFrame, weights: DataFrame, vetoes: DataFrame, most_redrafts: int = 2, most_calls: int = MOST_CALLS) -> DataFrame:
     """The plan that each run develops under: (run_id, candidate, valid, weighted, n_calls).
 
     candidates (run_id, candidate, redraft: 0 for drafts, 1, 2, ... for redrafts as they would
     come) are vetoed (run_id, candidate, reason), and then not judged at all, or judged by scores
     (run_id, candidate, dim, score). The best draft wins. As long as the winner is not valid the
     next redraft, if there is one, is tried and replaces it if it is better. Calls are one for
-    each draft and redraft tried, and one for each dimension (weights) that one is judged by.
+    each draft and redraft tried, and one for each dimension (weights) that one is judged by; a
+    redraft whose calls would take the run past most_calls is not tried, and none after it.
     """
     keys = ["run_id", "candidate"]
     judged = scores.join(vetoes.select(*keys), keys, "left_anti")
@@ -86,11 +89,13 @@ def plan_tournament(candidates: DataFrame, scores: DataFrame, weights: DataFrame
     rated = rated.select(*keys, "redraft", F.struct(F.coalesce("valid", F.lit(False)).alias("valid"), F.round(F.coalesce("weighted", F.lit(0.0)), 9).alias("weighted"), F.col("candidate")).alias("plan"), F.when(F.col("vetoed"), 1).otherwise(F.col("n_dims") + 1).alias("calls"))
     drafts = rated.filter("redraft = 0").groupBy("run_id").agg(F.min_by("plan", F.struct(~F.col("plan.valid"), -F.col("plan.weighted"), "candidate")).alias("winner"), F.sum("calls").alias("n_calls"))
     tried = rated.filter((F.col("redraft") > 0) & (F.col("redraft") <= most_redrafts)).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("redraft", "plan", "calls"))).alias("redrafts"))
-    start = F.struct("winner", F.col("n_calls").cast("bigint").alias("n_calls"))
+    start = F.struct("winner", F.col("n_calls").cast("bigint").alias("n_calls"), F.lit(False).alias("over"))
 
     def step(now: Column, r: Column) -> Column:
         better = (r["plan"]["valid"] & ~now["winner"]["valid"]) | ((r["plan"]["valid"] == now["winner"]["valid"]) & (r["plan"]["weighted"] > now["winner"]["weighted"]))
-        return F.when(now["winner"]["valid"], now).otherwise(F.struct(F.when(better, r["plan"]).otherwise(now["winner"]).alias("winner"), (now["n_calls"] + r["calls"]).cast("bigint").alias("n_calls")))
+        over = now["n_calls"] + r["calls"] > most_calls
+        ended = F.struct(now["winner"].alias("winner"), now["n_calls"].alias("n_calls"), F.lit(True).alias("over"))
+        return F.when(now["winner"]["valid"] | now["over"], now).when(over, ended).otherwise(F.struct(F.when(better, r["plan"]).otherwise(now["winner"]).alias("winner"), (now["n_calls"] + r["calls"]).cast("bigint").alias("n_calls"), F.lit(False).alias("over")))
 
     end = drafts.join(tried, "run_id", "left").withColumn("end", F.when(F.col("redrafts").isNull(), start).otherwise(F.aggregate("redrafts", start, step)))
     return end.select("run_id", "end.winner.candidate", "end.winner.valid", "end.winner.weighted", "end.n_calls")

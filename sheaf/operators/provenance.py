@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, content_tokens, sentences, strip
@@ -39,8 +39,12 @@ def normalised_sources(sources: DataFrame, panel: DataFrame) -> DataFrame:
     return first_seen(panel_id_of(sources, panel, "source_id", "claim_id", "source_ord"), ["claim_id", "source_id"], "source_ord")
 
 
-def without_invalid(rows: DataFrame, panel: DataFrame, column: str = "source_id") -> DataFrame:
-    return with_membership(rows, panel, column).filter(valid_source(F.col(column), F.col("member"))).drop("member")
+def without_invalid(rows: DataFrame, panel: DataFrame, column: str = "source_id", counters: Observation | None = None) -> DataFrame:
+    """rows of valid sources; counters, if given, observes `n` rows and how many are `stripped` when the result is computed."""
+    judged = with_membership(rows, panel, column).withColumn("_valid", F.coalesce(valid_source(F.col(column), F.col("member")), F.lit(False)))
+    if counters is not None:
+        judged = judged.observe(counters, F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_valid")).alias("stripped"))
+    return judged.filter("_valid").drop("member", "_valid")
 
 
 def agreement(claims: DataFrame, sources: DataFrame, panel: DataFrame) -> DataFrame:
@@ -125,13 +129,19 @@ def snapped(quotes: DataFrame) -> DataFrame:
     return good.groupBy("quote_id").agg(best.alias("b")).select("quote_id", F.col("b.sentence").alias("sentence"), F.col("b.score").alias("score"))
 
 
-def quotes_resolved(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """quotes verified, and those that are not replaced by the sentence they snap to, as verified."""
+def quotes_resolved(quotes: DataFrame, texts: DataFrame, counters: Observation | None = None) -> DataFrame:
+    """quotes verified, and those that are not replaced by the sentence they snap to, as verified.
+
+    counters, if given, observes `n` quotes and how many are `verified`, `snapped` and `absent`.
+    """
     judged = quotes_verified(quotes, texts, "absent")
     failed = judged.filter(~F.col("status").isin("verified", "unverified")).filter("text is not null").select("quote_id", "quote", "text")
     out = judged.drop("text").join(snapped(failed), "quote_id", "left")
     hit = F.col("sentence").isNotNull()
-    return out.withColumns({"quote": F.coalesce("sentence", "quote"), "status": F.when(hit, "verified").otherwise(F.col("status")), "snapped": hit}).drop("sentence", "score")
+    out = out.withColumns({"quote": F.coalesce("sentence", "quote"), "status": F.when(hit, "verified").otherwise(F.col("status")), "snapped": hit}).drop("sentence", "score")
+    if counters is not None:
+        out = out.observe(counters, F.count(F.lit(1)).alias("n"), F.count_if("snapped").alias("snapped"), *(F.count_if(F.col("status") == s).alias(s) for s in ("verified", "absent")))
+    return out
 
 
 def node_quotes(refs: DataFrame, nodes: DataFrame, quotes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as tx
@@ -317,3 +318,29 @@ def test_fusion_and_ranks_do_not_depend_on_the_order_of_rows(spark):
     for q, lane, rank, _, source in rows:
         first[q, source] = min(first.get((q, source), (9, 0)), (lane, rank))
     assert all([s for _, s in sorted(v)] == sorted((s for _, s in v), key=lambda s: first[q, s]) for q, v in order.items())
+
+
+@pytest.mark.parametrize(("most", "winner", "calls"), [(32, 3, 12), (11, 2, 9), (6, 1, 6), (5, 1, 6)])
+def test_tournament_keeps_its_ceiling(spark, most, winner, calls):
+    """Two drafts, then redrafts that get better but not valid but for the last; each costs three calls."""
+    candidates = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (0, 2, 1), (0, 3, 2)], "run_id int, candidate int, redraft int")
+    scores = spark.createDataFrame([(0, c, d, float(s)) for c, pair in enumerate([(1, 1), (2, 2), (3, 3), (4, 4)]) for d, s in zip(("corpus_fit", "x"), pair, strict=True)], "run_id int, candidate int, dim string, score double")
+    weights = spark.createDataFrame([("corpus_fit", 0.5), ("x", 0.5)], "dim string, weight double")
+    vetoes = spark.createDataFrame([], "run_id int, candidate int, reason string")
+    got = fitness.plan_tournament(candidates, scores, weights, vetoes, most_calls=most).first()
+    assert (got["candidate"], got["n_calls"]) == (winner, calls)
+
+
+def test_counters_are_observed(spark):
+    """Counters of stripped sources and resolved quotes are those of a recount, without a job of their own."""
+    panel = spark.createDataFrame([("e1",)], "source_id string")
+    rows = spark.createDataFrame([(1, "e1"), (2, "bogus"), (3, "arxiv:7"), (4, None)], "claim_id int, source_id string")
+    seen = Observation()
+    kept = provenance.without_invalid(rows, panel, counters=seen).collect()
+    assert {r["claim_id"] for r in kept} == {1, 3} and seen.get == {"n": 4, "stripped": 2}
+    quotes = spark.createDataFrame([("a", "e1", "exact words here"), ("b", "e1", "one two three four five"), ("c", "none", "x"), ("d", "e1", "nothing like it at all")], "quote_id string, source_id string, quote string")
+    texts = spark.createDataFrame([("e1", "The exact words here. One two three four six seven.")], "source_id string, text string")
+    seen = Observation()
+    got = provenance.quotes_resolved(quotes, texts, seen).collect()
+    assert seen.get["n"] == len(got) == 4
+    assert (seen.get["verified"], seen.get["snapped"], seen.get["absent"]) == (sum(r["status"] == "verified" for r in got), sum(r["snapped"] for r in got), sum(r["status"] == "absent" for r in got)) == (2, 1, 2)
