@@ -6,12 +6,14 @@ what they would have been asked is not rebuilt here. All else is plans over tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import citations, corpus, fitness, graph, provenance, retrieval
+from ..operators import citations, corpus, fitness, graph, provenance, replies, retrieval
+from ..session import settled
 from ..sources import corpora
 
 PROFILES = {"v1": "delphi", "v2": "lit-review", "v3": "lit-review-long"}
@@ -158,6 +160,53 @@ class Engine:
             checked = checked.withColumn("quote_id", F.col("quote_id").cast("string")).withColumn("inherited", F.lit(False)).unionByName(more)
         return Tables(claims, sources, checked, made.refs), provenance.coverage(panel, sources)[0]
 
+    def revised(self, made: Tables, revision: DataFrame) -> tuple[Tables, bool]:
+        """(the synthesis that a revision's reply gives, whether it is taken): it is not if it can't be parsed, or has claims but no source any more while the one before had some.
+
+        revision has one row, the reply. What was lost is judged on the parsed claims, before their ids are normalised.
+        """
+        got = settled(replies.parsed(revision.select(F.lit(1).alias("reply_id"), F.lit("synthesis").alias("kind"), "reply", F.lit(self.options.profile if self.options.profile == "v1" else "v2").alias("profile"))))
+        had = made.sources.limit(1).count()
+        verdict = got.select((F.col("status") != "failed").alias("parsed"), F.coalesce(replies.lost_sources(got), F.lit(False)).alias("lost")).first()
+        if verdict is None or not verdict["parsed"] or (had and verdict["lost"]):
+            return made, False
+        each = got.select(F.posexplode("synthesis.claims").alias("claim_id", "c"))
+        quotes = each.select("claim_id", F.posexplode("c.quotes").alias("quote_ord", "q"))
+        return Tables(
+            each.select("claim_id", "c.text", "c.agreement_level"),
+            each.select("claim_id", F.posexplode("c.sources").alias("source_ord", "source_id")),
+            quotes.select(F.concat_ws("|", F.lit("revised"), "claim_id", "quote_ord").alias("quote_id"), "claim_id", F.col("q.source").alias("source_id"), F.col("q.text").alias("quote"), "q.node_id"),
+            each.select("claim_id", F.posexplode("c.node_refs").alias("ref_ord", "node_id")),
+        ), True
+
+    def finished(self, made: Tables, nodes: DataFrame, texts: DataFrame, panel: DataFrame, revision: DataFrame | None = None, reports: DataFrame | None = None) -> tuple[Tables, DataFrame, DataFrame]:
+        """(the synthesis after all steps, the panel members that nobody cites still, minority reports to be added).
+
+        The steps of `post_processed`; where a panel member is not cited and there is a revision's
+        reply, the revision, if it is taken, through the same steps again; and in v1 the sources
+        that only minority claims cite and that have no report (source_id).
+        """
+        out, missing = self.post_processed(made, nodes, texts, panel)
+        if revision is not None and missing.limit(1).count():
+            again, taken = self.revised(out, revision)
+            if taken:
+                out, missing = self.post_processed(again, nodes, texts, panel)
+        if self.options.profile != "v1":
+            return out, missing, panel.select("source_id", F.lit(0).cast("long").alias("n_claims")).limit(0)
+        known = reports if reports is not None else panel.select("source_id").limit(0)
+        return out, missing, provenance.minority_only(out.claims, out.sources, known).join(panel.select("source_id").distinct(), "source_id", "left_semi")
+
+    def live(self, log: DataFrame, found: DataFrame, queries: DataFrame, chunks_of: Callable[[DataFrame], DataFrame], stored: DataFrame, k: int, skip: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The live lane: papers that were found (a log of writes, as `corpus.upserted` takes it) are ingested, then every query is searched in the whole store.
+
+        chunks_of makes chunks (chunk_id, paper_id, embedding, ...) of papers; those in skip (paper_id), or with chunks in
+        stored already, are not made anew. Gives (the papers after the writes, the k nearest chunks of each query).
+        """
+        papers = corpus.upserted(log.unionByName(found, allowMissingColumns=True))
+        known = stored.select("paper_id").distinct() if skip is None else stored.select("paper_id").union(skip.select("paper_id")).distinct()
+        new = corpus.not_ingested(papers.join(found.select("paper_id").distinct(), "paper_id", "left_semi"), known)
+        return papers, retrieval.nearest(queries, stored.unionByName(chunks_of(new)), k)
+
     def rendered(self, documents: DataFrame, claims: DataFrame, sources: DataFrame, papers: DataFrame) -> DataFrame:
         """documents (doc, text) with author-year citations for their claims' markers, and the list of references at the end."""
         clean = citations.sanitised(documents, claims)

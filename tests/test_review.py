@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.plans.review import Engine, Options, Tables
 
@@ -72,3 +73,56 @@ def test_panel_is_conserved(spark):
     made, check = Engine(spark).panel(hits, chunks, papers)
     rows = {r["source_id"]: r for r in made.collect()}
     assert rows["p"]["prose"] == "a\n\n## S\n\nb" and rows["p"]["tier"] == "High" and rows["q"]["prose"] == "only" and rows["q"]["tier"] == "Unknown" and check.first()["verdict"] == "ok"
+
+
+def synthesis(spark):
+    """A synthesis that cites one of two panel members."""
+    claims = spark.createDataFrame([(1, "alpha beta", None)], "claim_id int, text string, agreement_level string")
+    sources = spark.createDataFrame([(1, 1, "e1_n3")], "claim_id int, source_ord int, source_id string")
+    quotes = spark.createDataFrame([], "quote_id string, claim_id int, source_id string, quote string, node_id string")
+    return Tables(claims, sources, quotes, spark.createDataFrame([], "claim_id int, ref_ord int, node_id string"))
+
+
+@pytest.mark.parametrize(("reply", "texts", "missing"), [
+    (None, ["alpha beta"], ["e2"]),
+    ("no synthesis at all", ["alpha beta"], ["e2"]),
+    ("<synthesis><claim><text>lost</text></claim></synthesis>", ["alpha beta"], ["e2"]),
+    ('<synthesis><claim><text>one</text><source id="e1"/></claim><claim><text>two</text><source id="e2:evidence"/><quote source="e2">exact words</quote></claim></synthesis>', ["one", "two"], []),
+    ('<synthesis><claim><text>one</text><source id="e1"/></claim></synthesis>', ["one"], ["e2"]),
+])
+def test_revision(spark, reply, texts, missing):
+    """A revision replaces the synthesis, through all steps again, unless it can't be read or has lost its sources."""
+    panel = spark.createDataFrame([("e1",), ("e2",)], "source_id string")
+    nodes = spark.createDataFrame([], "node_id string, node_ord int, expert_id string, claim string, quote string, status string")
+    known = spark.createDataFrame([("e2", "The exact words here.")], "source_id string, text string")
+    revision = None if reply is None else spark.createDataFrame([(reply,)], "reply string")
+    out, left, reports = Engine(spark).finished(synthesis(spark), nodes, known, panel, revision)
+    assert sorted(r["text"] for r in out.claims.collect()) == texts and sorted(r["source_id"] for r in left.collect()) == missing and reports.count() == 0
+    if len(texts) == 2:
+        assert [(r["source_id"], r["status"]) for r in out.quotes.collect()] == [("e2", "verified")]
+        assert sorted((r["claim_id"], r["source_id"]) for r in out.sources.collect()) == [(0, "e1"), (1, "e2")]
+
+
+def test_revision_of_the_first_profile(spark):
+    """v1 computes levels anew and reports members that only minority claims cite."""
+    panel = spark.createDataFrame([(f"e{i}",) for i in range(1, 11)], "source_id string")
+    nodes = spark.createDataFrame([], "node_id string, node_ord int, expert_id string, claim string, quote string, status string")
+    texts = spark.createDataFrame([], "source_id string, text string")
+    many = "".join(f'<source id="e{i}"/>' for i in range(1, 9))
+    reply = f'<synthesis><claim><text>all</text>{many}</claim><claim><text>few</text><source id="e9"/></claim><claim><text>few too</text><source id="e10"/></claim></synthesis>'
+    out, missing, reports = Engine(spark, Options(profile="v1")).finished(synthesis(spark), nodes, texts, panel, spark.createDataFrame([(reply,)], "reply string"), spark.createDataFrame([("e10",)], "source_id string"))
+    assert {r["text"]: r["agreement_level"] for r in out.claims.collect()} == {"all": "consensus", "few": "minority", "few too": "minority"}
+    assert missing.count() == 0 and [r["source_id"] for r in reports.collect()] == ["e9"]
+
+
+def test_live_lane(spark):
+    """What was found is ingested, but for what the store has, and searched with the whole store."""
+    columns = "paper_id string, seq int, source string, title string, abstract string, fetched_at string"
+    log = spark.createDataFrame([("a", 1, "s2", "A", "x", "1")], columns)
+    found = spark.createDataFrame([("a", 2, "arxiv", "A2", " ", "2"), ("b", 2, "arxiv", "B", "y", "2")], columns)
+    stored = spark.createDataFrame([("a#0", "a", [0.0, 0.0])], "chunk_id string, paper_id string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0])], "query_id int, query_vector array<float>")
+    made = lambda papers: papers.select(F.concat("paper_id", F.lit("#0")).alias("chunk_id"), "paper_id", F.array(F.lit(1.0), F.lit(1.0)).cast("array<float>").alias("embedding"))
+    papers, hits = Engine(spark).live(log, found, queries, made, stored, 5)
+    assert {r["paper_id"]: (r["title"], r["abstract"]) for r in papers.collect()} == {"a": ("A2", "x"), "b": ("B", "y")}
+    assert [r["chunk_id"] for r in hits.orderBy("rank").collect()] == ["b#0", "a#0"]
