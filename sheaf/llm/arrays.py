@@ -29,8 +29,22 @@ def reduced(x: np.ndarray) -> np.ndarray:
     return np.minimum(x, x - np.uint64(PRIME))
 
 
+#: Elements that are multiplied at a time: a long document's work arrays stay small.
+STEP = 1 << 16
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a * b modulo PRIME, both under it: of halves of 31 bits, so that no sum passes 64 bits."""
+    """a * b modulo PRIME, both under it; b may be one number."""
+    if a.size <= STEP:
+        return product(a, b)
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), STEP):
+        out[i : i + STEP] = product(a[i : i + STEP], b[i : i + STEP] if np.ndim(b) else b)
+    return out
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of halves of 31 bits, so that no sum passes 64 bits."""
     low, half = np.uint64((1 << 31) - 1), np.uint64(31)
     al, ah, bl, bh = a & low, a >> half, b & low, b >> half
     mid = ah * bl + al * bh
@@ -96,11 +110,14 @@ def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """S with S[j] - S[i] = sum of values[t] * BASE**t for i <= t < j, modulo PRIME."""
-    terms = times(reduced(values), powers(len(values))[:-1])
-    out = np.zeros(len(values) + 1, np.uint64)
-    # sums of the upper 31 and the lower 30 bits, so that they stay under 64
-    high = np.cumsum(terms >> np.uint64(30), dtype=np.uint64)
-    out[1:] = reduced((high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30)) + np.cumsum(terms & np.uint64((1 << 30) - 1), dtype=np.uint64))
+    n, by = len(values), powers(len(values))
+    out = np.zeros(n + 1, np.uint64)
+    for i in range(0, n, STEP):
+        terms = product(reduced(values[i : i + STEP]), by[i : i + STEP][: n - i])
+        # sums of the upper 31 and the lower 30 bits, so that they stay under 64
+        high = np.cumsum(terms >> np.uint64(30), dtype=np.uint64)
+        sums = reduced((high >> np.uint64(31)) + ((high & np.uint64((1 << 31) - 1)) << np.uint64(30)) + np.cumsum(terms & np.uint64((1 << 30) - 1), dtype=np.uint64))
+        out[i + 1 : i + 1 + len(sums)] = reduced(sums + out[i])
     return out
 
 
