@@ -300,9 +300,10 @@ def fulltext_coverage(t):
 
 @query("seed_id_classify", " SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'doi' WHEN 2 THEN 'doi' WHEN 3 THEN 'arxiv' WHEN 4 THEN 'corpus' ELSE 's2' END AS kind FROM documents")
 def seed_id_classify(t):
+    # an arXiv id has four or five digits after its month, whatever the doc_id
     seed = F.expr((
         "CASE doc_id % 6 WHEN 0 THEN concat('ArXiv:', doc_id) WHEN 1 THEN concat('10.1000/x', doc_id) WHEN 2 THEN concat(' DOI:', doc_id) WHEN 3 THEN "
-        "concat('2101.', 10000 + doc_id, 'v2') WHEN 4 THEN concat('CorpusID:', doc_id) ELSE concat('ab', doc_id) END"
+        "concat('2101.', 10000 + doc_id % 90000, 'v2') WHEN 4 THEN concat('CorpusID:', doc_id) ELSE concat('ab', doc_id) END"
     ))
     return t("documents").select("doc_id", corpus.seed_kind(seed).alias("kind"))
 
