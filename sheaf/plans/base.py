@@ -65,6 +65,10 @@ def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RUN = 5
 
 
+#: A text in upper case character by character, as DuckDB's upper makes it: one that has no single capital (ligatures) stays; Spark's own makes two of it.
+UPPER = "array_join(transform(regexp_extract_all({0}, '(?s).', 0), c -> CASE WHEN c = 'ß' THEN 'ẞ' WHEN length(upper(c)) = 1 THEN upper(c) WHEN length(initcap(c)) = 1 THEN initcap(c) ELSE c END), '')"
+
+
 def all_quotes(items: DataFrame, documents: DataFrame) -> DataFrame:
     """As the base `quotes`, but of all documents that contain an item's text, whatever their ids.
 
@@ -81,7 +85,7 @@ def all_quotes(items: DataFrame, documents: DataFrame) -> DataFrame:
     ids = by_run.join(long, "run").select(F.col("source_id").alias("s"), F.col("quote_id").alias("q")).distinct()
     with_text = ids.join(d, F.col("s").eqNullSafe(F.col("source_id"))).join(b.filter(F.size("words") >= RUN + 2).drop("words"), F.col("q").eqNullSafe(F.col("quote_id"))).drop("s", "q")
     met = with_text.unionByName(d.join(b.filter(F.size("words") < RUN + 2).drop("words"), F.contains("text", "item")))
-    quote = F.expr("CASE WHEN quote_id % 3 = 0 THEN upper(item) WHEN quote_id % 3 = 1 THEN concat(' ', item, ' ') ELSE concat(item, ' x') END")
+    quote = F.expr(f"CASE WHEN quote_id % 3 = 0 THEN {UPPER.format('item')} WHEN quote_id % 3 = 1 THEN concat(' ', item, ' ') ELSE concat(item, ' x') END")
     return met.filter(F.contains("text", "item")).select("quote_id", "source_id", quote.alias("quote"), "text")
 
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from sheaf.plans import catalogue
-from sheaf.plans.base import TABLES, all_quotes
+from sheaf.plans.base import TABLES, UPPER, all_quotes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -82,3 +82,16 @@ def same_as_sql(spark, duck, name, folder, **tables):
 
 def test_seed_kinds_of_large_ids(spark, duck, tmp_path):
     assert same_as_sql(spark, duck, "seed_id_classify", tmp_path, documents="SELECT * REPLACE (doc_id + 89999 AS doc_id) FROM documents")
+
+
+def test_quotes_in_capitals_of_letters_without_a_single_one(spark, duck, tmp_path):
+    """An item with a sharp s and too few words to snap, in two documents."""
+    item = "SELECT * REPLACE (3 AS item_id, 'daß Maß' AS text) FROM (SELECT * FROM benchmark LIMIT 1)"
+    docs = "SELECT * REPLACE (CASE WHEN doc_id % 50 = 0 THEN 'So, daß Maß voll ist. ' || text ELSE text END AS text) FROM documents"
+    assert same_as_sql(spark, duck, "snap_verified", tmp_path, benchmark=item, documents=docs)
+
+
+def test_upper_of_each_character(spark, duck):
+    texts = ["Straße ŉ ﬁn ΐ é ÿ ǆ 😀x", "", "a\nb", None]
+    mine = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", f"{UPPER.format('t')} AS u").orderBy("i").collect()
+    assert [r["u"] for r in mine] == [duck.execute("SELECT upper(?)", [t]).fetchall()[0][0] for t in texts]

@@ -344,3 +344,10 @@ def test_counters_are_observed(spark):
     got = provenance.quotes_resolved(quotes, texts, seen).collect()
     assert seen.get["n"] == len(got) == 4
     assert (seen.get["verified"], seen.get["snapped"], seen.get["absent"]) == (sum(r["status"] == "verified" for r in got), sum(r["snapped"] for r in got), sum(r["status"] == "absent" for r in got)) == (2, 1, 2)
+
+
+def test_a_quote_of_several_sources_snaps_in_each_by_itself(spark):
+    quotes = spark.createDataFrame([(1, "a", "one two three four five"), (1, "b", "one two three four five")], "quote_id int, source_id string, quote string")
+    texts = spark.createDataFrame([("a", "Other words. One two three four six."), ("b", "Nothing like it at all.")], "source_id string, text string")
+    got = provenance.quotes_resolved(quotes, texts).select("source_id", "quote", "status", "snapped").collect()
+    assert sorted(map(tuple, got)) == [("a", "One two three four six.", "verified", True), ("b", "one two three four five", "absent", False)]
