@@ -18,6 +18,12 @@ from ..session import settled
 RRF_K, FLOOR, MEAN_FLOOR, MAX_SHARE, MIN_SOURCES, OVERFETCH = 60, 0.3, 0.48, 0.6, 3, 3
 #: Query vectors that are sent to the executors at once.
 QUERY_BLOCK = 4096
+#: What a task has in memory at once: chunks, pairs of a chunk and a query, vector components that are measured exactly, parts of its best rows.
+ROWS, CELLS, VALUES, MOST_PARTS = 1 << 13, 1 << 20, 1 << 21, 1 << 10
+#: Codes of null and of values that no query has.
+NONE, OTHER = -2, -1
+#: Types of ids that Arrow sorts as Spark does.
+SORTED_ALIKE = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.StringType(), T.DateType(), T.TimestampType())
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, mode: str = "exact", id_column: str = "chunk_id", vector: str = "embedding", metric: str = "l2", least: float | None = None, apart: tuple[tuple[str, str], ...] = ()) -> DataFrame:
@@ -30,8 +36,9 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | N
     Queries are a stated set; they go to the executors in blocks of at most QUERY_BLOCK. With
     several blocks each is sent, used, settled and let go before the next, so the driver and a
     task hold one at a time. Each task keeps its k best for each query over all its chunks,
-    found by matrix products and measured exactly, so few rows are shuffled. Vectors of another
-    length than the query's, and of length zero by cosine, match nothing.
+    found by matrix products of bounded size and measured exactly, so few rows are shuffled, and
+    a task's memory depends on k and QUERY_BLOCK, not on how many chunks, or copies of one, it
+    has. Vectors of another length than the query's, and of length zero by cosine, match nothing.
     """
     keep = F.lit(True) if condition is None else condition
     source = chunks.filter(keep) if mode == "exact" else chunks
@@ -42,9 +49,10 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | N
     schema = T.StructType([queries.schema["query_id"], *(f for i, f in enumerate(source.schema.fields) if i != place), T.StructField(score, T.DoubleType())])
     asked = queries.select("query_id", "query_vector", *[F.col(q).alias(f"_{i}") for i, (q, _) in enumerate(apart)])
     different = [source.columns.index(c) for _, c in apart]
+    ids = source.columns.index(id_column) if source.schema[id_column].dataType in SORTED_ALIKE else None
 
     def ranked(block: pa.Table) -> DataFrame:
-        part = source.mapInArrow(best_of_task(block, place, fetch, metric, least, different), schema)
+        part = source.mapInArrow(best_of_task(block, place, fetch, metric, least, different, ids), schema)
         return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= fetch)
 
     first = asked.limit(QUERY_BLOCK + 1).toArrow()
@@ -62,10 +70,10 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | N
 
 
 class Best:
-    """The k least values of each query so far, ties with the last one included, and the rows that have them."""
+    """The k least values of each query so far, equal ones in the order of their ids; where ids have no order that Arrow knows, ties with the last one stay."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.limit = k, np.full(queries, np.inf)
+    def __init__(self, queries: int, k: int, ids: int | None, limit: float = np.inf):
+        self.k, self.ids, self.limit = k, ids, np.full(queries, limit)
         self.which, self.value, self.rows = [], [], []
         self.n, self.most = 0, max(1 << 14, 4 * k * queries)
 
@@ -74,24 +82,51 @@ class Best:
         self.value.append(value)
         self.rows.append(rows)
         self.n += len(which)
-        if self.n > self.most:
+        if self.n > self.most or len(self.rows) > MOST_PARTS:
             self.prune()
 
     def prune(self) -> None:
-        which, value = np.concatenate(self.which), np.concatenate(self.value)
-        order = np.lexsort((value, which))
-        first = np.searchsorted(which[order], np.arange(len(self.limit) + 1))
+        which, value, rows = np.concatenate(self.which), np.concatenate(self.value), pa.Table.from_batches(self.rows).combine_chunks()
+        order, first = ordered(which, value, None if self.ids is None else rows.column(self.ids), len(self.limit))
         last = first[:-1] + self.k - 1
         full = last < first[1:]
         self.limit[full] = value[order[last[full]]]
-        kept = np.flatnonzero(value <= self.limit[which])
-        rows = pa.Table.from_batches(self.rows).take(pa.array(kept)).combine_chunks().to_batches()
-        self.which, self.value, self.rows = [which[kept]], [value[kept]], rows
+        kept = np.sort(order[np.arange(len(order)) - first[which[order]] < self.k]) if self.ids is not None else np.flatnonzero(value <= self.limit[which])
+        self.which, self.value, self.rows = [which[kept]], [value[kept]], rows.take(pa.array(kept)).combine_chunks().to_batches()
         self.n = len(kept)
 
 
-def best_of_task(queries: pa.Table, place: int, k: int, metric: str, least: float | None, different: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: the task's k nearest rows of every query."""
+def ordered(which: np.ndarray, value: np.ndarray, ids: pa.Array | pa.ChunkedArray | None, queries: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the order by query, value and id, each query's first place in it)."""
+    place = np.zeros(len(which), np.int64)
+    if ids is not None:
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(which))
+    order = np.lexsort((place, value, which))
+    return order, np.searchsorted(which[order], np.arange(queries + 1))
+
+
+def coded(values: list, codes: dict) -> np.ndarray:
+    """Each value's code; NONE for nulls, OTHER for values without one."""
+    return np.array([NONE if v is None else codes.get(v, OTHER) for v in values], np.int64)
+
+
+def measured(e: np.ndarray, q: np.ndarray, row: np.ndarray, which: np.ndarray, metric: str) -> np.ndarray:
+    """The distance, or the negative cosine, of pairs of rows, some at a time."""
+    out, step = np.empty(len(row)), max(1, VALUES // e.shape[1])
+    for i in range(0, len(row), step):
+        x, y = e[row[i : i + step]], q[which[i : i + step]]
+        if metric == "l2":
+            out[i : i + step] = np.sqrt(((x - y) ** 2).sum(axis=1))
+        else:
+            out[i : i + step] = -(x * y).sum(axis=1) / (np.sqrt((x**2).sum(axis=1)) * np.sqrt((y**2).sum(axis=1)))
+    return out
+
+
+def best_of_task(queries: pa.Table, place: int, k: int, metric: str, least: float | None, different: list[int], ids: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: the task's k nearest rows of every query; ids is the place of the ids that part ties.
+
+    All queries meet all rows, but only CELLS of these pairs at a time.
+    """
     queries = queries.combine_chunks()
     lengths = pc.fill_null(pc.list_value_length(queries["query_vector"]), 0).to_numpy()
     names = queries.column("query_id").combine_chunks() if queries.num_rows else pa.array([], queries.schema.field("query_id").type)
@@ -99,54 +134,76 @@ def best_of_task(queries: pa.Table, place: int, k: int, metric: str, least: floa
     for n in sorted(set(lengths.tolist()) - {0}):
         at = np.flatnonzero(lengths == n)
         matrices[n] = at, pc.list_flatten(queries["query_vector"].take(pa.array(at))).to_numpy().reshape(-1, n).astype(np.float64)
-    not_these = [np.array(queries[f"_{i}"].to_pylist(), object) for i in range(len(different))]
+    theirs = [queries[f"_{i}"].to_pylist() for i in range(len(different))]
+    codes = [{v: i for i, v in enumerate({v for v in values if v is not None})} for values in theirs]
+    not_these = [coded(values, c) for values, c in zip(theirs, codes, strict=True)]
+    ids = None if ids is None else ids - (ids > place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {n: Best(len(at), k) for n, (at, _) in matrices.items()}
+        best = {n: Best(len(at), k, ids, np.inf if least is None else -least) for n, (at, _) in matrices.items()}
+        rows = max(1, min(ROWS, VALUES // max(matrices, default=1)))
         schema = None
-        for batch in batches:
-            column = batch.column(place)
-            lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
-            rest = batch.select([i for i in range(batch.num_columns) if i != place])
-            schema = rest.schema
-            for n, (at, q) in matrices.items():
-                have = np.flatnonzero(lengths == n)
-                if not len(have):
-                    continue
-                e = column.take(pa.array(have)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    if metric == "l2":
-                        rough = (e * e).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None] - 2 * (e @ q.T)
-                    else:
-                        norms = np.sqrt((e * e).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None]
-                        rough = -(e @ q.T) / norms
-                rough = np.where(np.isnan(rough), np.inf, rough)
-                for values, i in zip(not_these, different, strict=True):
-                    mine, theirs = np.array(batch.column(i).take(pa.array(have)).to_pylist(), object), values[at]
-                    rough[(mine[:, None] == theirs[None]) | (mine[:, None] == None) | (theirs[None] == None)] = np.inf  # noqa: E711
-                # this batch's last one that may count, and the task's so far
-                last = np.partition(rough, min(k, len(e)) - 1, axis=0)[min(k, len(e)) - 1]
-                so_far = best[n].limit ** 2 if metric == "l2" else best[n].limit
-                last = np.minimum(last, so_far)
-                row, which = np.nonzero((rough <= last + 1e-9 * (1 + np.abs(last))) & np.isfinite(rough))
-                if metric == "l2":
-                    value = np.sqrt(((e[row] - q[which]) ** 2).sum(axis=1))
-                else:
-                    value = -(e[row] * q[which]).sum(axis=1) / (np.sqrt((e[row] ** 2).sum(axis=1)) * np.sqrt((q[which] ** 2).sum(axis=1)))
-                    if least is not None:
-                        row, which, value = (x[value <= -least] for x in (row, which, value))
-                if len(row):
-                    best[n].add(which, value, rest.take(pa.array(have[row])))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                column = batch.column(place)
+                lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+                rest = batch.select([i for i in range(batch.num_columns) if i != place])
+                schema = rest.schema
+                mine = [coded(batch.column(i).to_pylist(), c) for i, c in zip(different, codes, strict=True)]
+                for n, (at, q) in matrices.items():
+                    have = np.flatnonzero(lengths == n)
+                    if not len(have):
+                        continue
+                    e = column.take(pa.array(have)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.float64)
+                    step = max(1, CELLS // len(have))
+                    for a in range(0, len(at), step):
+                        some = slice(a, a + step)
+                        pairs = nearest_pairs(e, q[some], k, metric, least, best[n].limit[some], [(m[have], t[at[some]]) for m, t in zip(mine, not_these, strict=True)])
+                        row, which, value = pairs
+                        if ids is not None and len(row) > k * len(q[some]):
+                            # many at one distance
+                            order, first = ordered(which, value, rest.column(ids).take(pa.array(have[row])), len(q[some]))
+                            kept = order[np.arange(len(order)) - first[which[order]] < k]
+                            row, which, value = row[kept], which[kept], value[kept]
+                        if len(row):
+                            best[n].add(which + a, value, rest.take(pa.array(have[row])))
         for n, (at, _) in matrices.items():
             if best[n].n:
                 best[n].prune()
-                for rows in pa.Table.from_batches(best[n].rows, schema).combine_chunks().to_batches():
+                for rows_ in pa.Table.from_batches(best[n].rows, schema).combine_chunks().to_batches():
                     value = best[n].value[0] if metric == "l2" else -best[n].value[0]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at[best[n].which[0]])), *rows.columns, pa.array(value)], ["query_id", *rows.schema.names, "distance" if metric == "l2" else "relevance"])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at[best[n].which[0]])), *rows_.columns, pa.array(value)], ["query_id", *rows_.schema.names, "distance" if metric == "l2" else "relevance"])
 
     return run
 
 
+def nearest_pairs(e: np.ndarray, q: np.ndarray, k: int, metric: str, least: float | None, limit: np.ndarray, apart: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, value) of pairs that may be among each query's k least: no worse than the k-th of these rows, and than its limit. apart: codes that must differ."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rough = e @ q.T
+        if metric == "l2":
+            rough *= -2
+            rough += (e * e).sum(axis=1)[:, None]
+            rough += (q * q).sum(axis=1)[None]
+        else:
+            rough /= -np.sqrt((e * e).sum(axis=1))[:, None]
+            rough /= np.sqrt((q * q).sum(axis=1))[None]
+    rough[np.isnan(rough)] = np.inf
+    for mine, theirs in apart:
+        rough[mine[:, None] == theirs[None]] = np.inf
+        rough[mine == NONE] = np.inf
+        rough[:, theirs == NONE] = np.inf
+    # these rows' last one that may count, and the task's so far
+    last = np.partition(rough, min(k, len(e)) - 1, axis=0)[min(k, len(e)) - 1]
+    last = np.minimum(last, limit**2 if metric == "l2" else limit)
+    row, which = np.nonzero((rough <= last + 1e-9 * (1 + np.abs(last))) & np.isfinite(rough))
+    value = measured(e, q, row, which, metric)
+    if metric != "l2" and least is not None:
+        row, which, value = (x[value <= -least] for x in (row, which, value))
+    return row, which, value
+
+
 def capability(spark: SparkSession, store: str, queries: DataFrame) -> DataFrame:
     """For each query whether the store, a table of the session's catalogue, is there: (query_id, status, reason)."""
     there = spark.catalog.tableExists(store)

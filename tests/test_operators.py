@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -351,3 +354,42 @@ def test_a_quote_of_several_sources_snaps_in_each_by_itself(spark):
     texts = spark.createDataFrame([("a", "Other words. One two three four six."), ("b", "Nothing like it at all.")], "source_id string, text string")
     got = provenance.quotes_resolved(quotes, texts).select("source_id", "quote", "status", "snapped").collect()
     assert sorted(map(tuple, got)) == [("a", "One two three four six.", "verified", True), ("b", "one two three four five", "absent", False)]
+
+
+def vectors_of(x):
+    return pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))
+
+
+@pytest.mark.parametrize(("metric", "different"), [("l2", []), ("cosine", [0, 1])])
+def test_nearest_has_few_pairs_in_memory(metric, different):
+    """3,000 queries against 9,000 vectors in one batch: all pairs would take 216 MB."""
+    x = np.random.default_rng(3).normal(size=(9000, 8))
+    asked = pa.table({"query_id": pa.array(range(3000)), "query_vector": vectors_of(x[:3000]), "_0": pa.array(range(3000)), "_1": pa.array([i % 3 for i in range(3000)])})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9000)), pa.array([i % 3 for i in range(9000)]), vectors_of(x)], ["id", "label", "embedding"])
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(retrieval.best_of_task(asked, 2, 4, metric, None, different, 0)(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6 and found.num_rows == 12000
+    rows = found.filter(pa.compute.equal(found["query_id"], 17)).sort_by([("distance" if metric == "l2" else "relevance", "ascending" if metric == "l2" else "descending")])
+    x = x.astype(np.float32).astype(float)
+    value = ((x - x[17]) ** 2).sum(axis=1) if metric == "l2" else -(x @ x[17]) / np.linalg.norm(x, axis=1)
+    if different:
+        value[[i for i in range(9000) if i % 3 == 17 % 3]] = np.inf
+    assert rows["id"].to_pylist() == np.argsort(value)[:4].tolist()
+
+
+def test_nearest_keeps_k_of_many_copies():
+    """Of any number of copies a task keeps k for each query, those of the least ids in Spark's order."""
+    asked = pa.table({"query_id": pa.array([1, 2]), "query_vector": vectors_of(np.array([[1.0, 0.0], [0.0, 1.0]]))})
+    names = [f"v{i}" for i in range(30000)]
+    batches = [pa.RecordBatch.from_arrays([vectors_of(np.ones((10000, 2))), pa.array(names[i : i + 10000])], ["embedding", "id"]) for i in (20000, 0, 10000)]
+    found = pa.Table.from_batches(list(retrieval.best_of_task(asked, 0, 3, "l2", None, [], 1)(iter(batches)))).to_pylist()
+    assert sorted((r["query_id"], r["id"]) for r in found) == [(q, i) for q in (1, 2) for i in sorted(names)[:3]]
+
+
+def test_nearest_apart_of_nulls_and_ids_without_order(spark):
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, None, [1.0, 0.0])], "query_id int, own string, query_vector array<float>")
+    c = spark.createDataFrame([(1.5, "a", [1.0, 0.0]), (2.5, "b", [1.0, 0.0]), (3.5, None, [1.0, 0.0]), (0.5, "c", [1.0, 0.1])], "id double, tag string, embedding array<float>")
+    got = retrieval.nearest(q, c, 2, id_column="id", apart=(("own", "tag"),)).select("query_id", "id", "rank").collect()
+    assert sorted(map(tuple, got)) == [(1, 0.5, 2), (1, 2.5, 1)]
