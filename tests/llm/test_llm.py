@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -955,3 +956,23 @@ def test_oracles(spark, name):
     got = queries.QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(repr, map(tuple, got.select(*names).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+@pytest.mark.parametrize("release", ["true", "false"])
+def test_checkpoint_drops_its_shuffle_files(spark, release):
+    """They go with the query, not when the JVM happens to collect garbage; what else reads the plan makes them again."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.toString() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if "shuffle_" in f.toString()}
+    spark.conf.set("spark.sheaf.release", release)
+    try:
+        before = files()
+        counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+        kept = spaces.checkpoint(counted)
+        end = time.time() + 10
+        while release == "true" and files() - before and time.time() < end:
+            time.sleep(0.1)
+        assert bool(files() - before) == (release == "false")
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, counted.collect()))
+        assert spark.conf.get(spaces.ENDS_WITH_QUERY) == "false"
+    finally:
+        spark.conf.unset("spark.sheaf.release")
