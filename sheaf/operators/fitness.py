@@ -45,8 +45,9 @@ def weighted(scores: DataFrame, weights: DataFrame, keys: list[str]) -> DataFram
     """Weighted mean of the scores (keys, dim, score) that are there; dimensions without a weight count 0; 0 if none is there.
 
     A candidate's few dimensions are added in their order, so the mean is the same however rows are spread.
+    The weights, a row for each dimension, go to the scores.
     """
-    joined = scores.join(weights, "dim", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    joined = scores.join(F.broadcast(weights), "dim", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     terms = F.sort_array(F.collect_list(F.when(F.col("score").isNotNull(), F.struct("dim", F.col("score").cast("double").alias("score"), F.col("weight").cast("double").alias("weight")))))
     added = lambda f: F.aggregate("_terms", F.lit(0.0), lambda total, x: total + f(x))
     mean = added(lambda x: x["score"] * x["weight"]) / F.nullif(added(lambda x: x["weight"]), F.lit(0.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_tokens
 from ..operators import fitness, graph, provenance
-from .base import all_quotes, query
+from .base import all_quotes, dealt, query
 from .retrieval_queries import COSINE
 
 REPLY = (
@@ -207,7 +207,8 @@ SELECT source_id, n_claims FROM c WHERE o = 0 AND source_id NOT IN ('m1', 'm2')"
 @query("minority_only", MINORITY, "claims", "cited")
 def minority_only(t):
     reports = t("cited").filter("source_id in ('m1', 'm2')").select("source_id")
-    return provenance.minority_only(t("claims"), t("cited"), reports)
+    claims, cited = dealt((t("claims"), "claim_id"), (t("cited"), "claim_id"))
+    return provenance.minority_only(claims, cited, reports)
 
 
 @query("label_vocabularies", (

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from sheaf.plans import catalogue
+from sheaf.plans import base, catalogue
 from sheaf.plans.base import TABLES, UPPER, all_quotes
 
 DATA = "/root/testdata/sf0.001"
@@ -95,3 +95,18 @@ def test_upper_of_each_character(spark, duck):
     texts = ["Straße ŉ ﬁn ΐ é ÿ ǆ 😀x", "", "a\nb", None]
     mine = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").selectExpr("i", f"{UPPER.format('t')} AS u").orderBy("i").collect()
     assert [r["u"] for r in mine] == [duck.execute("SELECT upper(?)", [t]).fetchall()[0][0] for t in texts]
+
+
+@pytest.mark.parametrize("name", ["score_telemetry", "feedback_doc", "weighted_sum", "validity_rank", "candidate_selection", "minority_only"])
+def test_partitions_grow_with_rows(spark, monkeypatch, name):
+    """Tables of 7,500 rows at 500 a partition: whatever joins, windows or groups them does so in 15 or more tasks."""
+    monkeypatch.setattr(base, "ROWS_OF_PART", 500)
+    parts = []
+    monkeypatch.setattr(base, "dealt", lambda *f, dealt=base.dealt: [parts.append(d.rdd.getNumPartitions()) or d for d in dealt(*f)])
+    monkeypatch.setattr("sheaf.plans.evidence_queries.dealt", base.dealt)
+    df = catalogue.QUERIES[name](spark, DATA)
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").count() + spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert parts and min(parts) >= rows / 500 > 4
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    heavy = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "ENSURE_REQUIREMENTS" in x and ("orderkey" in x or "claim_id" in x or "dim#" in x or "candidate" in x and name != "validity_rank")]  # it joins a row for each candidate
+    assert not heavy
