@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import CHUNK_BYTES, is_references_heading, packed, paragraphs
 
@@ -153,6 +157,20 @@ class Sections(HTMLParser):
             self.end_paragraph()
 
 
+#: Bytes of HTML that a task parses before it sends what came of them.
+HTML_BYTES = 1 << 20
+
+
+def some_rows(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of at most HTML_BYTES of a text column, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HTML_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 #: What headings and titles are in papers as HTML: fixed values.
 HEADINGS, TITLE = ("h2.ltx_title_section", "h3.ltx_title_subsection", "h1.ltx_title_document"), "h1.ltx_title_document"
 
@@ -161,21 +179,27 @@ def html_paragraphs(pages: DataFrame, section: str = "section.ltx_section", para
     """(id, section_ord, section, parts) of HTML texts: the paragraphs of each section, or, without sections, each one alone under the title."""
     kind = pages.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, html in zip(batch[id_column], batch[html_column], strict=True):
-                parser = Sections(section, paragraph, headings, title)
-                parser.feed(html or "")
-                parser.close()
-                rows = [(s["heading"] or s["id"], s["parts"]) for s in parser.sections if s["parts"]]
-                if not parser.sections:
-                    label = "document" if parser.title is None else parser.title
-                    rows = [(label, [p]) for p in parser.loose]
-                out += [(key, i, *r) for i, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=[id_column, "section_ord", "section", "parts"])
-
-    return pages.select(id_column, html_column).mapInPandas(run, f"{id_column} {kind}, section_ord int, section string, parts array<string>")
+    ids = to_arrow_schema(pages.select(id_column).schema).field(0).type
+    schema = pa.schema([(id_column, ids), ("section_ord", pa.int32()), ("section", pa.string()), ("parts", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for piece in some_rows(whole, 1):
+                out: list[list] = [[], [], [], []]
+                for key, html in zip(piece.column(0), piece.column(1), strict=True):
+                    parser = Sections(section, paragraph, headings, title)
+                    parser.feed(html.as_py() or "")
+                    parser.close()
+                    rows = [(s["heading"] or s["id"], s["parts"]) for s in parser.sections if s["parts"]]
+                    if not parser.sections:
+                        label = "document" if parser.title is None else parser.title
+                        rows = [(label, [p]) for p in parser.loose]
+                    for i, (heading, parts) in enumerate(rows):
+                        for o, x in zip(out, (key.as_py(), i, heading, parts), strict=True):
+                            o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(o, f.type) for o, f in zip(out, schema, strict=True)], schema=schema)
+
+    return pages.select(id_column, html_column).mapInArrow(run, f"{id_column} {kind}, section_ord int, section string, parts array<string>")
 
 
 def html_chunks(pages: DataFrame, most: int = CHUNK_BYTES, **where) -> DataFrame:

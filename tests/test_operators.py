@@ -393,3 +393,9 @@ def test_nearest_apart_of_nulls_and_ids_without_order(spark):
     c = spark.createDataFrame([(1.5, "a", [1.0, 0.0]), (2.5, "b", [1.0, 0.0]), (3.5, None, [1.0, 0.0]), (0.5, "c", [1.0, 0.1])], "id double, tag string, embedding array<float>")
     got = retrieval.nearest(q, c, 2, id_column="id", apart=(("own", "tag"),)).select("query_id", "id", "rank").collect()
     assert sorted(map(tuple, got)) == [(1, 0.5, 2), (1, 2.5, 1)]
+
+
+def test_html_is_parsed_in_pieces(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["a" * 40, "b" * 40, None, "c" * 300, ""])], ["id", "html"])
+    monkeypatch.setattr(corpora, "HTML_BYTES", 100)
+    assert [p.column(0).to_pylist() for p in corpora.some_rows(batch, 1)] == [[0, 1, 2], [3], [4]]
