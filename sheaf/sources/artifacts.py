@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -51,6 +52,8 @@ SCHEMAS = {
 LEFT_OUT = {"support_level", "evidence_grade", "method", "year", "lineage", "quotes", "node_refs", "citation", "status", "snapped", "inherited", "node_id", "gap_type", "gaps"}
 FILES_OF_TASK = 64
 PENDING = "_pending-"
+#: Folders that a task deals its files to by their names, so that the driver looks for runs that are there twice in one after the other.
+FOLDERS = 64
 
 
 def shaped(value: Any, kind: T.DataType) -> Any:
@@ -121,6 +124,11 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
+def listed(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    """The files of a folder that may not be there."""
+    return [i for i in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if i.type == fs.FileType.File]
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[str]
@@ -128,9 +136,9 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    """(temporary path, file name) of a task's files."""
+    """The folder of a task's files, which have their names already; the driver is not sent a list of them."""
 
-    files: list[tuple[str, str]]
+    folder: str
 
 
 class ArtifactSource(DataSource):
@@ -193,7 +201,7 @@ class ArtifactWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, root = opened(self.path)
-        folder, files = f"{root}/{self.pending}/{uuid.uuid4().hex}", []
+        folder, names = f"{root}/{self.pending}/{uuid.uuid4().hex}", set()
         store.create_dir(folder)
         for row in iterator:
             got = dict(zip(self.schema.names, row, strict=True))
@@ -202,23 +210,31 @@ class ArtifactWriter(DataSourceWriter):
             name = f"{quote(str(got['run_id']), safe='')}.{self.form}"
             artifact = shaped(got, self.schema)
             artifact.pop("run_id")
-            with store.open_output_stream(f"{folder}/{len(files)}") as f:
+            if name in names:
+                raise ValueError("a run is there twice")
+            names.add(name)
+            part = f"{folder}/{zlib.crc32(name.encode()) % FOLDERS}"
+            store.create_dir(part)
+            with store.open_output_stream(f"{part}/{name}") as f:
                 f.write((yaml_of(artifact) if self.form == "yaml" else xml_of(artifact)).encode())
-            files.append((f"{folder}/{len(files)}", name))
-        return Written(files)
+        return Written(folder)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        files = [x for m in messages if m is not None for x in m.files]
-        if len({name for _, name in files}) < len(files):
-            self.abort(messages)
-            raise ValueError("a run is there twice")
         store, root = opened(self.path)
         store.create_dir(root)
-        old = {i.path for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.File and i.extension == self.form} if self.overwrite else set()
-        for temporary, name in files:
-            store.move(temporary, f"{root}/{name}")
-        for path in old - {f"{root}/{name}" for _, name in files}:
-            store.delete_file(path)
+        parts = [[f"{m.folder}/{i}" for m in messages if m is not None] for i in range(FOLDERS)]
+        for same in parts:
+            names = [i.base_name for p in same for i in listed(store, p)]
+            if len(set(names)) < len(names):
+                self.abort(messages)
+                raise ValueError("a run is there twice")
+        old = {i.base_name for i in listed(store, root) if i.extension == self.form} if self.overwrite else set()
+        for part in (p for same in parts for p in same):
+            for i in listed(store, part):
+                store.move(i.path, f"{root}/{i.base_name}")
+                old.discard(i.base_name)
+        for name in old:
+            store.delete_file(f"{root}/{name}")
         self.drop_pending()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:

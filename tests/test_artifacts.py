@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.sources import artifacts
 
@@ -94,3 +96,15 @@ def test_files_of_other_runs_are_not_opened(source, tmp_path):
 def test_options(source, tmp_path, options):
     with pytest.raises(Exception, match="artifact needs"):
         source.read.format("artifact").options(**options).load(str(tmp_path)).collect()
+
+
+def test_what_the_driver_is_sent_does_not_grow_with_the_files(tmp_path):
+    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("narrative", T.StringType())])
+    sizes = []
+    for n in (3, 300):
+        writer = artifacts.ArtifactWriter(str(tmp_path / str(n)), "synthesis", "yaml", schema, False)
+        sent = [writer.write(iter([(f"r{t}-{i}", "x") for i in range(n)])) for t in range(2)]
+        sizes.append(len(pickle.dumps(sent[0])))
+        writer.commit(sent)
+        assert len(os.listdir(tmp_path / str(n))) == 2 * n
+    assert sizes[1] < sizes[0] + 20
