@@ -55,7 +55,7 @@ BASES = {
 
 #: Bases that join and number the rows of a key, with the keys of their tables.
 DEALT = {"scores": {"lineitem": "l_orderkey", "orders": "o_orderkey"}, "claim_sources": {"lineitem": "l_orderkey"}}
-#: Rows of a partition of these, some 60 to 150 MB when they are sorted or grouped.
+#: Rows of a partition of these.
 ROWS_OF_PART = 1 << 19
 
 
