@@ -6,6 +6,7 @@ stay in the processor's caches; a longer document is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -178,12 +179,20 @@ def distinct_sorted(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def give_back() -> None:
+    """What the allocators of this process keep of freed memory goes back: Arrow's, and under numpy the C library's, if it has a call for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, and at its end what Arrow's allocator keeps goes back: workers outlive their tasks, and an executor has several."""
+    """run, and at its end freed memory goes back: workers outlive their tasks, and an executor has several."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return whole
