@@ -49,7 +49,7 @@ LITERAL_MARK = 0x110000
 LONG = 64
 NONE = np.int64(1) << 40
 #: Bytes of text whose segments are worked on together; the more, the more of them are alike.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 STEP = 1 << 17
 
 
@@ -327,12 +327,14 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     text = codes.astype(np.int64)
     text = np.where(text == MARK, LITERAL_MARK, np.where(text == 0x20, MARK, text))
     marked[np.arange(len(codes)) + np.repeat(shift[1:], np.diff(at))] = text
+    del codes, text, first_bytes  # here and below: what is as long as the block goes before more of it is made
     bounds = at + shift
     mark = marked == MARK
     cut = mark & np.concatenate(([True], ~mark[:-1]))
     cut[bounds[:-1][some]] = True
     starts = np.flatnonzero(cut)
     ends = np.concatenate((starts[1:], [total]))
+    del mark, cut
     of_doc = np.searchsorted(bounds, starts, side="right") - 1
     first = np.searchsorted(starts, bounds)
     ordinal = np.arange(len(starts)) - first[of_doc]
@@ -350,9 +352,11 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     if (others != others[chosen][inverse]).any():  # the first sum took unlike segments for equal
         _, chosen, inverse = np.unique(np.stack((sums, others)), axis=1, return_index=True, return_inverse=True)
         inverse = inverse.ravel()
+    del value, within, sums, others
     lengths = (ends - starts)[chosen]
     offs = np.concatenate(([0], np.cumsum(lengths)))
     flat = marked[np.arange(offs[-1]) - np.repeat(offs[:-1], lengths) + np.repeat(starts[chosen], lengths)]
+    del marked
     # long segments are cut where no piece spans
     seg_start, seg_of = offs[:-1], np.arange(len(chosen))
     base = np.zeros(len(chosen), np.int64)
@@ -471,7 +475,7 @@ def encoded_and_checked(docs: DataFrame, model: str | None = None, dropout: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 512  # decoded bytes stay few
+            step = 256  # decoded bytes stay few
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 tokens = encode_column(pieces(path), part.column(1), dropout, seed)

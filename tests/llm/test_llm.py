@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -997,3 +998,17 @@ def test_workers_give_freed_memory_back():
     before = resident()
     assert list(arrays.tidied(run)(iter([1]))) == [1]
     assert resident() - before < 60
+
+
+def test_encoding_needs_little_memory():
+    """Work arrays are as long as a block; those that are done with go before others are made."""
+    model = pieces.pieces(public_tokenizers.path(pieces.MODEL))
+    column = pa.array([words(1200, i) for i in range(256)])
+    pieces.encode_column(model, column.slice(0, 1))
+    tracemalloc.start()
+    try:
+        pieces.encode_column(model, column)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 110
