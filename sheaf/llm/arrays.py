@@ -109,9 +109,9 @@ def text_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
         at = end
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of values[t] * BASE**t for i <= t < j, modulo PRIME."""
-    n, by = len(values), powers(len(values))
+def prefix_hash(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """S with S[j] - S[i] = sum of values[t] * base**t for i <= t < j, modulo PRIME."""
+    n, by = len(values), powers(len(values), base)
     out = np.zeros(n + 1, np.uint64)
     for i in range(0, n, STEP):
         terms = product(reduced(values[i : i + STEP]), by[i : i + STEP][: n - i])
@@ -133,6 +133,21 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(times(minus(prefix[end], prefix[start]), inverse_powers(len(prefix))[start]) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: What two bytes add up to, their values times BASE**0 and BASE**1, by their number as a little-endian pair.
+PAIR_VALUES = reduced(reduced(np.tile(BYTE_VALUES, 256)) + times(reduced(np.repeat(BYTE_VALUES, 256)), np.uint64(BASE)))
+
+
+def text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """span_hash of whole texts by BYTE_VALUES, over pairs of bytes."""
+    square = pow(BASE, 2, PRIME)
+    pairs = prefix_hash(PAIR_VALUES[data[: len(data) & ~1].view("<u2")], square)
+    prefix = pairs[offsets >> 1]
+    odd = np.flatnonzero(offsets & 1)
+    last = offsets[odd] - 1
+    prefix[odd] = reduced(prefix[odd] + times(reduced(BYTE_VALUES[data[last]]), powers(len(pairs), square)[last >> 1]))
+    return mix(times(minus(prefix[1:], prefix[:-1]), inverse_powers(len(data) + 1)[offsets[:-1]]) + np.diff(offsets).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def window_hash(prefix: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all windows of one length, unmixed."""
     n = len(prefix) - length

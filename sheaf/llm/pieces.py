@@ -1,8 +1,8 @@
 """Operator 9: SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A merge-type (BPE) SentencePiece model is applied by its agenda: of all adjacent pairs whose
-concatenation is a piece, the one with the best score merges, the leftmost first. Before that
-a keyed hash of the candidate's place decides whether it is skipped, with probability
+concatenation is a piece, the one with the best score merges, the leftmost first. When it is
+its turn a keyed hash of the candidate's place decides whether it is skipped, with probability
 DROPOUT; a skipped candidate never merges, later ones over the same characters are candidates
 of their own. The key is made of the seed, the text's hash and the ordinal of the segment in it, so
 that each occurrence of a word has decisions of its own, and a text is always cut alike.
@@ -10,8 +10,7 @@ that each occurrence of a word has decisions of its own, and a text is always cu
 Segments (spaces with what follows them) never merge with each other in such a vocabulary, so
 the agendas of all distinct segments of a block run in step with numpy, one merge in each at a
 time. The occurrences of a segment share its agenda as long as their decisions are the same;
-where they differ the agenda is copied, one for each outcome, and goes on for those
-occurrences alone. Long segments are cut where no piece spans the cut, and what is still long
+where they differ those that skip go on with a copy. Long segments are cut where no piece spans the cut, and what is still long
 has an agenda with a heap.
 
 Decoding concatenates the pieces' bytes and takes the added first space off. It is lossless
@@ -26,6 +25,7 @@ are kept by `encode` and ignored by the query. Without dropout the tokens are th
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +37,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .arrays import BYTE_VALUES, MASK, mix, prefix_hash, span_hash, text_blocks, tidied
+from .arrays import BYTE_VALUES, GOLDEN, MASK, mix, prefix_hash, span_hash, text_blocks, text_hashes, tidied  # noqa: F401 (tests)
 from .columns import boxed, free_name, named
 
 MODEL = "piece_bpe_32k.model"
@@ -47,10 +47,14 @@ MARK = 0x2581
 LITERAL_MARK = 0x110000
 #: Segments of more symbols get a heap.
 LONG = 64
-NONE = np.int64(1) << 40
+#: The bits of a place in a segment of LONG symbols; what no rank above these bits reaches.
+PLACE, FAR = np.int32(63), np.int32(0x7FFFFFFF)
+#: Segments of like lengths: up to these.
+WIDTHS = (4, 6, 8, 11, 15, 22, 36)
 #: Bytes of text whose segments are worked on together; the more, the more of them are alike.
 TOGETHER = 1 << 20
-STEP = 1 << 17
+STEP = 1 << 18
+TABLE = 1 << 12
 
 
 class Pieces:
@@ -83,19 +87,16 @@ class Pieces:
         if any(chr(MARK) in p.lstrip(chr(MARK)) for p in usable):
             raise ValueError("a piece spans segments")
         self.joints = np.array(sorted(ord(a) << 32 | ord(b) for a, b in joints), np.int64)
-        self.bits = max(16, (len(keys) * 8).bit_length())
-        self.key_at = np.full(1 << self.bits, -1, np.int64)
-        self.rank_at = np.zeros(1 << self.bits, np.int32)
-        self.into_at = np.zeros(1 << self.bits, np.int32)
-        self.probes = 1
+        if len(order) > FAR >> 6:
+            raise ValueError("too many scores")
+        self.bits = max(16, (len(keys) * 4).bit_length())
+        #: A slot is a pair's key, then rank and result.
+        self.table = np.full(2 << self.bits, -1, np.int64)
         slots = self.slot(np.array(keys, np.int64))
         for key, rank, to, slot in zip(keys, ranks, into, slots.tolist(), strict=True):
-            tries = 1
-            while self.key_at[slot] >= 0:
-                slot = (slot + 1) & ((1 << self.bits) - 1)
-                tries += 1
-            self.key_at[slot], self.rank_at[slot], self.into_at[slot] = key, rank, to
-            self.probes = max(self.probes, tries)
+            while self.table[slot] >= 0:
+                slot = slot + 2 & self.table.size - 1
+            self.table[slot], self.table[slot + 1] = key, rank << 38 | to
         self.pairs = dict(zip(keys, zip(ranks, into, strict=True), strict=True))
         spelt = [b""] * n
         for p, i in usable.items():
@@ -106,25 +107,24 @@ class Pieces:
         self.spelt_at = np.concatenate(([0], np.cumsum([len(x) for x in spelt])))
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys.astype(np.uint64)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (keys.view(np.uint64) * np.uint64(GOLDEN) >> np.uint64(64 - self.bits) << np.uint64(1)).view(np.int64)
 
     def merges(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (NONE if they don't merge) and result of adjacent symbols."""
+        """Rank, above the bits of a place (FAR if they don't merge), and result of adjacent symbols."""
         keys = left.astype(np.int64) << 32 | right
         slot = self.slot(keys)
-        rank = np.full(len(keys), NONE)
-        into = np.zeros(len(keys), np.int32)
-        at = np.arange(len(keys))
-        for _ in range(self.probes):
-            have = self.key_at[slot]
+        have = self.table[slot]
+        found = np.where(have == keys, self.table[slot + 1], FAR.astype(np.int64) << 32)
+        at = np.flatnonzero((have != keys) & (have >= 0))
+        keys, slot = keys[at], slot[at]
+        while len(at):
+            slot = slot + 2 & self.table.size - 1
+            have = self.table[slot]
             hit = have == keys
-            rank[at[hit]] = self.rank_at[slot[hit]]
-            into[at[hit]] = self.into_at[slot[hit]]
+            found[at[hit]] = self.table[slot[hit] + 1]
             more = ~hit & (have >= 0)
-            if not more.any():
-                break
-            at, keys, slot = at[more], keys[more], (slot[more] + 1) & ((1 << self.bits) - 1)
-        return rank, into
+            at, keys, slot = at[more], keys[more], slot[more]
+        return (found >> 32).astype(np.int32), found.astype(np.int32)
 
 
 @lru_cache(2)
@@ -139,132 +139,153 @@ def place_hash(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.nda
 
 def skipped(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
     """The keyed hash's decisions for candidates."""
-    return (mix(key ^ place) >> np.uint64(11)).astype(np.float64) < dropout * (1 << 53)
+    return mix(key ^ place) >> np.uint64(11) < np.uint64(math.ceil(dropout * (1 << 53)))
 
 
 def run_agendas(model: Pieces, symbols: np.ndarray, starts: np.ndarray, base: np.ndarray, of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(result of each occurrence, symbols of the results, their sizes) of segments (starts: offsets into symbols, with the end).
+    """(result of each occurrence, symbols of the results, their sizes) of segments of LONG symbols at most (starts: offsets into symbols, with the end).
 
     base is the place of each segment's first symbol in the whole segment that it was cut from;
-    of and keys are the occurrences' segments, ascending, and keys. A state is what an agenda has
-    come to, and has the occurrences that share it.
+    of and keys are the occurrences' segments and keys. A state is what an agenda has come to, and
+    has the occurrences that share it. States are the columns of matrices, and rows are places in the
+    segment: a merge leaves its symbol at the place of its first character, so nothing moves.
     """
-    lengths = np.diff(starts)
-    results, sizes, n_results = [], [], 0
+    size = np.diff(starts)
+    used, width, room = len(size), int(size.max()), 2 * len(size)
+    owner = np.repeat(np.arange(used), size)
+    row = np.arange(len(symbols)) - np.repeat(starts[:-1], size)
+    # best: rank and place of the pair with the next symbol, FAR if it doesn't merge; into: what it makes
+    sym, best, into = np.full((width, room), -1, np.int32), np.full((width, room), FAR, np.int32), np.empty((width, room), np.int32)
+    nxt, prv = np.empty((width, room), np.int8), np.empty((width, room), np.int8)
+    nxt[:, :used], prv[:, :used] = np.arange(1, width + 1)[:, None], np.arange(-1, width - 1)[:, None]
+    sym[row, owner] = symbols
+    at = np.flatnonzero(owner[1:] == owner[:-1])
+    found, to = model.merges(symbols[at], symbols[at + 1])
+    best[row[at], owner[at]], into[row[at], owner[at]] = found | row[at].astype(np.int32), to
+    base = base.astype(np.uint64)
+    results, sizes, n_results = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
     result = np.zeros(len(of), np.int64)
-    long = lengths > LONG
-    for o in np.flatnonzero(long[of]) if long.any() else ():
-        s = of[o]
-        out = one_agenda(model, symbols[starts[s] : starts[s + 1]], keys[o], int(base[s]), dropout)
-        results.append(out)
-        sizes.append([len(out)])
-        result[o] = n_results
-        n_results += 1
-    begin = np.arange(len(symbols)) - np.repeat(starts[:-1], lengths)
-    stay, short = np.repeat(~long, lengths), np.flatnonzero(~long)
-    symbols, begin, count = symbols[stay], begin[stay], lengths[short]
-    owner, sbase = np.repeat(np.arange(len(short)), count), base[short]
-    stop = begin + 1
-    number = np.cumsum(~long) - 1
-    who = np.flatnonzero(~long[of])  # occurrences that are not done
-    state, key = number[of[who]], keys[who]
-    rank, into = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int32)
-    fresh = np.arange(len(symbols))  # places of new pairs with the next symbol
-    while len(symbols):
-        rank[fresh] = NONE
-        at = fresh[fresh + 1 < len(symbols)]
-        at = at[owner[at] == owner[at + 1]]
-        found, to = model.merges(symbols[at], symbols[at + 1])
-        some = np.flatnonzero(found < NONE)
-        at = at[some]
-        rank[at], into[at] = found[some], to[some]
-        heads = np.concatenate(([0], np.cumsum(count)))
-        if dropout > 0 and len(at):
-            # every occurrence decides on the new candidates of its state, a bit for each
-            whose = owner[at]
-            place = place_hash(sbase[whose] + begin[at], sbase[whose] + begin[at + 1], sbase[whose] + stop[at + 1])
-            n_new = np.bincount(whose, minlength=len(count))
-            new_at = np.concatenate(([0], np.cumsum(n_new)))
-            mine = n_new[state]
-            asked = np.flatnonzero(mine)
-            mine = mine[asked]
-            ends = np.cumsum(mine)
-            bit = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - mine, mine)
-            skip = skipped(np.repeat(key[asked], mine), place[np.repeat(new_at[state[asked]], mine) + bit], dropout)
-            pattern = np.zeros(len(state), np.uint64)
-            if len(asked):
-                pattern[asked] = np.add.reduceat(skip.astype(np.uint64) << bit.astype(np.uint64), ends - mine)
-            split = np.flatnonzero(pattern)
-            if len(split):
-                _, first, inverse = np.unique(mix(pattern[split] + mix(state[split].astype(np.uint64) + np.uint64(1))), return_index=True, return_inverse=True)
-                parent, bits = state[split][first], pattern[split][first]
-                kept = np.bincount(state[pattern == 0], minlength=len(count)) > 0
-                # copies of the parents, without the candidates that they skip
-                width = count[parent]
-                offs = np.concatenate(([0], np.cumsum(width)))
-                copied = np.arange(offs[-1]) - np.repeat(offs[:-1] - heads[parent], width)
-                drops = n_new[parent]
-                child = np.repeat(np.arange(len(parent)), drops)
-                j = np.arange(len(child)) - np.repeat(np.cumsum(drops) - drops, drops)
-                gone = (bits[child] >> j.astype(np.uint64)) & np.uint64(1) == 1
-                child, j = child[gone], j[gone]
-                old = np.flatnonzero(kept[owner])
-                source = np.concatenate((old, copied))
-                symbols, begin, stop, rank, into = (x[source] for x in (symbols, begin, stop, rank, into))
-                rank[len(old) + offs[child] + at[new_at[parent[child]] + j] - heads[parent[child]]] = NONE
-                renamed = np.cumsum(kept) - 1
-                n_kept = int(kept.sum())
-                count, sbase = np.concatenate((count[kept], width)), np.concatenate((sbase[kept], sbase[parent]))
-                owner = np.repeat(np.arange(len(count)), count)
-                heads = np.concatenate(([0], np.cumsum(count)))
-                state = renamed[state]
-                state[split] = n_kept + inverse
-        # the best rank, the leftmost of equal ones
-        order = (rank << 22) | begin
-        best = np.minimum.reduceat(order, heads[:-1])
-        live = best >> 22 < NONE
-        if not live.all():
-            mine = live[owner]
-            done = ~live
-            results.append(symbols[~mine])
-            sizes.append(count[done])
-            ended = done[state]
-            result[who[ended]] = n_results + (np.cumsum(done) - 1)[state[ended]]
-            n_results += int(done.sum())
-            who, key, state = who[~ended], key[~ended], (np.cumsum(live) - 1)[state[~ended]]
-            symbols, begin, stop, rank, into, order = (x[mine] for x in (symbols, begin, stop, rank, into, order))
-            count, sbase, best = count[live], sbase[live], best[live]
-            if not len(symbols):
+    who, state, key = np.arange(len(of)), of, keys
+    count = np.bincount(of, minlength=used)
+    while True:
+        top = best[:, :used].min(axis=0)
+        live = top < FAR
+        on = np.flatnonzero(live)
+        if 3 * len(on) < 2 * used or not len(on):
+            # states that have come to their ends go
+            done = np.flatnonzero(~live)
+            last = sym[:, done].T
+            there = last >= 0
+            results.append(last[there])
+            sizes.append(there.sum(axis=1))
+            number = np.empty(used, np.int64)
+            number[done], number[on] = np.arange(n_results, n_results + len(done)), np.arange(len(on))
+            n_results += len(done)
+            more = live[state]
+            result[who[~more]] = number[state[~more]]
+            if not len(on):
                 break
-        at = np.flatnonzero(order == np.repeat(best, count))
-        symbols[at] = into[at]
-        stop[at] = stop[at + 1]
-        keep = np.ones(len(symbols), np.bool_)
-        keep[at + 1] = False
-        at = at - np.arange(len(at))  # each of these places lost one symbol for every merge before it
-        symbols, begin, stop, rank, into = (x[keep] for x in (symbols, begin, stop, rank, into))
-        count = count - 1
-        owner = np.repeat(np.arange(len(count)), count)
-        fresh = np.stack((at - 1, at), axis=1).ravel()
-        fresh = fresh[(fresh >= 0) & (owner[fresh] == np.repeat(np.arange(len(count)), 2))]
-    return result, np.concatenate([np.zeros(0, np.int32), *results]), np.concatenate([np.zeros(0, np.int64), *sizes])
+            who, key, state = who[more], key[more], number[state[more]]
+            used = len(on)
+            for x in (sym, best, into, nxt, prv):
+                x[:, :used] = x[:, on]
+            base, size, count, top = base[on], size[on], count[on], top[on]
+            live, on = np.ones(used, np.bool_), np.arange(used)
+        first = (top[on] & PLACE).astype(np.int64)
+        middle = nxt[first, on].astype(np.int64)
+        end = nxt[middle, on].astype(np.int64)
+        if dropout > 0:
+            # every occurrence decides on the candidate that is its state's next one; those that skip it go on in a copy
+            place = np.zeros(used, np.uint64)
+            place[on] = place_hash(base[on] + first.view(np.uint64), base[on] + middle.view(np.uint64), base[on] + end.view(np.uint64))
+            skip = np.flatnonzero(skipped(key, place[state], dropout) & live[state])
+            if len(skip):
+                whose = state[skip]
+                n_skip = np.bincount(whose, minlength=used)
+                split = np.flatnonzero((n_skip > 0) & (n_skip < count))
+                whole = np.flatnonzero((n_skip == count) & live)
+                best[top[whole] & PLACE, whole] = FAR
+                merging = n_skip[on] < count[on]
+                if len(split):
+                    new = np.arange(used, used + len(split))
+                    if used + len(split) > room:
+                        room = 2 * (used + len(split))
+                        sym, best, into, nxt, prv = (wider(x, used, room) for x in (sym, best, into, nxt, prv))
+                    for x in (sym, best, into, nxt, prv):
+                        x[:, used : used + len(split)] = x[:, split]
+                    best[top[split] & PLACE, new] = FAR
+                    count[split] -= n_skip[split]
+                    base, size, count = np.concatenate((base, base[split])), np.concatenate((size, size[split])), np.concatenate((count, n_skip[split]))
+                    renamed = np.arange(used)
+                    renamed[split] = new
+                    state[skip] = renamed[whose]
+                    used += len(split)
+                on, first, middle, end = on[merging], first[merging], middle[merging], end[merging]
+        # flat places of the pairs' symbols
+        sym_, best_, into_, nxt_, prv_ = (x.reshape(-1) for x in (sym, best, into, nxt, prv))
+        left, right = first * room + on, middle * room + on
+        sym_[left], sym_[right] = into_[left], -1
+        best_[left], best_[right] = FAR, FAR
+        nxt_[left] = end
+        follows = np.flatnonzero(end < size[on])
+        after = end[follows] * room + on[follows]
+        prv_[after] = first[follows]
+        before = prv_[left].astype(np.int64)
+        leads = np.flatnonzero(before >= 0)
+        before = before[leads]
+        at = np.concatenate((before * room + on[leads], left[follows]))
+        found, to = model.merges(sym_[at], sym_[np.concatenate((left[leads], after))])
+        best_[at] = found | np.concatenate((before, first[follows])).astype(np.int32)
+        into_[at] = to
+    return result, np.concatenate(results), np.concatenate(sizes)
+
+
+def wider(matrix: np.ndarray, used: int, room: int) -> np.ndarray:
+    """The used columns of a matrix in one that has room for more."""
+    out = np.empty((len(matrix), room), matrix.dtype)
+    out[:, :used] = matrix[:, :used]
+    return out
 
 
 def in_parts(model: Pieces, symbols: np.ndarray, starts: np.ndarray, base: np.ndarray, of: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """run_agendas on parts of about STEP symbols or occurrences, whose arrays stay in the processor's caches; offsets instead of sizes."""
-    n, a, before = len(starts) - 1, 0, 0
-    first = np.searchsorted(of, np.arange(n + 1))
-    result, out, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-    load = starts + first
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(load, load[a] + STEP, side="right")) - 1)
-        r, got, size = run_agendas(model, symbols[starts[a] : starts[b]], starts[a : b + 1] - starts[a], base[a:b], of[first[a] : first[b]] - a, keys[first[a] : first[b]], dropout)
-        result.append(r + before)
+    """run_agendas on parts of segments of like lengths, about STEP symbols or occurrences, whose arrays stay in the processor's caches; offsets instead of sizes.
+
+    Segments of more than LONG symbols have agendas with heaps, one for each occurrence.
+    """
+    lengths = np.diff(starts)
+    by_length = np.argsort(np.minimum(lengths, LONG + 1).astype(np.uint8), kind="stable")
+    place = np.empty_like(by_length)
+    place[by_length] = np.arange(len(by_length))
+    of = place[of]
+    begins, base, lengths = starts[:-1][by_length], base[by_length], lengths[by_length]
+    offs = np.concatenate(([0], np.cumsum(lengths)))
+    first = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(lengths)))))
+    load = offs + first
+    n, edges = int(np.searchsorted(lengths, LONG, side="right")), [0]
+    while edges[-1] < n:
+        a = edges[-1]
+        alike = int(np.searchsorted(lengths, next((w for w in WIDTHS if w >= lengths[a]), LONG), side="right"))
+        edges.append(max(a + 1, min(n, alike, int(np.searchsorted(load, load[a] + STEP, side="right")) - 1)))
+    # the occurrences by their parts
+    part = np.repeat(np.arange(len(edges)), np.diff([*edges, len(lengths)]))[of]
+    order = np.argsort(part.astype(np.uint16) if len(edges) < 1 << 16 else part, kind="stable")
+    of, keys = of[order], keys[order]
+    result, out, sizes, before = np.zeros(len(of), np.int64), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        flat = symbols[np.arange(offs[a], offs[b]) + np.repeat(begins[a:b] - offs[a:b], lengths[a:b])]
+        mine = slice(first[a], first[b])
+        r, got, size = run_agendas(model, flat, offs[a : b + 1] - offs[a], base[a:b], of[mine] - a, keys[mine], dropout)
+        result[order[mine]] = r + before
         out.append(got)
         sizes.append(size)
         before += len(size)
-        a = b
-    return np.concatenate(result), np.concatenate(out), np.cumsum(np.concatenate(sizes))
+    for o in range(first[n], len(of)):
+        s = of[o]
+        out.append(one_agenda(model, symbols[begins[s] : begins[s] + lengths[s]], keys[o], int(base[s]), dropout))
+        sizes.append([len(out[-1])])
+        result[order[o]] = before
+        before += 1
+    return result, np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
 
 def mixed(x: int) -> int:
@@ -311,44 +332,53 @@ def one_agenda(model: Pieces, symbols: np.ndarray, key: np.uint64, base: int, dr
     return np.array([s for s, a in zip(sym, alive, strict=True) if a], np.int32)
 
 
+def place_weights(within: np.ndarray, salt: int) -> np.ndarray:
+    """A pseudo-random number for each place in a segment; of a table, if no segment is very long."""
+    n = int(within.max()) + 1
+    places = np.arange(n) if n <= TABLE else within
+    numbers = mix((2 * places + salt).view(np.uint64) * np.uint64(GOLDEN))
+    return numbers[within] if n <= TABLE else numbers
+
+
 def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(token ids, offsets of the documents) of a block of texts."""
     docs = len(offsets) - 1
     codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    first_bytes = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    at = first_bytes[offsets]
+    at = offsets - np.searchsorted(np.flatnonzero(data & 0xC0 == 0x80), offsets)
     some = np.diff(at) > 0
     # a mark before each text that is not empty
     total = len(codes) + int(some.sum())
     if not total:
         return np.zeros(0, np.int32), np.zeros(docs + 1, np.int64)
     shift = np.concatenate(([0], np.cumsum(some)))
-    marked = np.full(total, MARK, np.int64)
-    text = codes.astype(np.int64)
-    text = np.where(text == MARK, LITERAL_MARK, np.where(text == 0x20, MARK, text))
-    marked[np.arange(len(codes)) + np.repeat(shift[1:], np.diff(at))] = text
-    del codes, text, first_bytes  # here and below: what is as long as the block goes before more of it is made
     bounds = at + shift
-    mark = marked == MARK
+    added = np.zeros(total, np.bool_)
+    added[bounds[:-1][some]] = True
+    marked = np.empty(total, np.uint32)
+    marked[~added] = codes
+    del codes  # here and below: what is as long as the block goes before more of it is made
+    marked[marked == MARK] = LITERAL_MARK
+    mark = (marked == 0x20) | added
+    marked[mark] = MARK
     cut = mark & np.concatenate(([True], ~mark[:-1]))
-    cut[bounds[:-1][some]] = True
+    cut |= added
     starts = np.flatnonzero(cut)
     ends = np.concatenate((starts[1:], [total]))
-    del mark, cut
+    del mark, cut, added
     of_doc = np.searchsorted(bounds, starts, side="right") - 1
     first = np.searchsorted(starts, bounds)
     ordinal = np.arange(len(starts)) - first[of_doc]
     variant = np.zeros(len(starts), np.uint64)
     if dropout > 0:
-        whose = span_hash(prefix_hash(BYTE_VALUES[data]), offsets[:-1], offsets[1:])
+        whose = text_hashes(data, offsets)
         variant = mix(whose[of_doc] ^ mix(ordinal.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & MASK)))
     keys = mix(variant + np.uint64(seed * 0xD1B54A32D192ED03 & MASK))
-    # distinct segments by two independent sums of hashed characters; their lengths count too
-    value = mix(marked.astype(np.uint64) + np.uint64(1))
-    within = (np.arange(total) - np.repeat(starts, ends - starts)).astype(np.uint64)
-    sums = np.add.reduceat(mix(value ^ within * np.uint64(0x9E3779B97F4A7C15)), starts)
+    # distinct segments by two independent sums of hashed characters, each times a number of its place; their lengths count too
+    value = mix(marked + np.uint64(1))
+    within = np.arange(total) - np.repeat(starts, ends - starts)
+    sums = np.add.reduceat(value * place_weights(within, 1), starts)
     _, chosen, inverse = np.unique(mix(sums + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
-    others = np.add.reduceat(mix(value * np.uint64(0xD6E8FEB86659FD93) + within), starts)
+    others = np.add.reduceat(value * place_weights(within, 2), starts)
     if (others != others[chosen][inverse]).any():  # the first sum took unlike segments for equal
         _, chosen, inverse = np.unique(np.stack((sums, others)), axis=1, return_index=True, return_inverse=True)
         inverse = inverse.ravel()
@@ -361,7 +391,7 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     seg_start, seg_of = offs[:-1], np.arange(len(chosen))
     base = np.zeros(len(chosen), np.int64)
     if (lengths > LONG).any():
-        joint = flat[:-1] << 32 | flat[1:]
+        joint = flat[:-1].astype(np.int64) << 32 | flat[1:]
         place = np.minimum(np.searchsorted(model.joints, joint), len(model.joints) - 1)
         free = np.concatenate(([False], model.joints[place] != joint)) & np.repeat(lengths > LONG, lengths)
         free[offs[:-1]] = True
@@ -373,12 +403,9 @@ def encode_block(model: Pieces, data: np.ndarray, offsets: np.ndarray, dropout:
     parts = np.diff(part_at)[inverse]
     part_ends = np.cumsum(parts)
     of = np.arange(part_ends[-1]) - np.repeat(part_ends - parts - part_at[inverse], parts)
-    order = np.argsort(of, kind="stable")
-    result, symbols, sym_at = in_parts(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), base, of[order], np.repeat(keys, parts)[order], dropout)
+    mine, symbols, sym_at = in_parts(model, model.symbol_of[flat], np.concatenate((seg_start, [len(flat)])), base, of, np.repeat(keys, parts), dropout)
     ids, id_at = with_bytes(model, symbols, sym_at)
     # back to the occurrences
-    mine = np.empty(len(of), np.int64)
-    mine[order] = result
     counts = np.diff(id_at)[mine]
     ends_ = np.concatenate(([0], np.cumsum(counts)))
     out = ids[np.arange(ends_[-1]) - np.repeat(ends_[:-1] - id_at[mine], counts)]
@@ -390,16 +417,20 @@ def with_bytes(model: Pieces, symbols: np.ndarray, at: np.ndarray) -> tuple[np.n
     odd = np.flatnonzero(symbols >= model.size)
     if not len(odd):
         return symbols, at
+    distinct, which = np.unique(symbols[odd], return_inverse=True)
     spelt = []
-    for s in symbols[odd].tolist():
+    for s in distinct.tolist():
         code = model.extra.get(s, s - model.size - (1 << 20))
         spelt.append(chr(MARK if code == LITERAL_MARK else code).encode("utf-8", "surrogatepass"))
+    lengths = np.array([len(b) for b in spelt])
     widths = np.ones(len(symbols), np.int64)
-    widths[odd] = [len(b) for b in spelt]
+    widths[odd] = lengths[which]
     ends = np.cumsum(widths)
     ids = np.repeat(symbols, widths)
-    for e, b in zip(ends[odd].tolist(), spelt, strict=True):
-        ids[e - len(b) : e] = model.byte_ids[np.frombuffer(b, np.uint8)]
+    for k in range(4):  # the bytes of a character, from its last
+        some = lengths[which] > k
+        byte = model.byte_ids[[b[-1 - k] if len(b) > k else 0 for b in spelt]]
+        ids[ends[odd[some]] - 1 - k] = byte[which[some]]
     return ids, np.concatenate(([0], ends))[at]
 
 

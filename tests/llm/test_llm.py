@@ -754,6 +754,28 @@ def test_pieces_vary(model):
     assert len(ids) > len(plain) and ids != pieces.encode_column(model, pa.array([t]), 0.3, seed=99).to_pylist()[0] and ids == pieces.encode_column(model, pa.array([t]), 0.3).to_pylist()[0]
 
 
+def test_pieces_decide_late(model, monkeypatch):
+    """An occurrence decides on a candidate when it is the next to merge, and on few others; agendas are shared until then."""
+    asked, looked_up = [], []
+    skipped, merges = pieces.skipped, pieces.Pieces.merges
+    monkeypatch.setattr(pieces, "skipped", lambda key, place, dropout: (asked.append(len(place)), skipped(key, place, dropout))[1])
+    monkeypatch.setattr(pieces.Pieces, "merges", lambda self, left, right: (looked_up.append(len(left)), merges(self, left, right))[1])
+    texts_ = [words(200, i) for i in range(100)]
+    ids = pieces.encode_column(model, pa.array(texts_), 0.1)
+    merged = sum(len(t) + 1 for t in texts_) - len(ids.values)
+    assert merged > 30_000
+    assert sum(asked) < 1.5 * merged and sum(looked_up) < merged
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=40), min_size=1, max_size=6))
+def test_text_hashes(some):
+    data = np.frombuffer(b"".join(some), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in some]))).astype(np.int64)
+    want = arrays.span_hash(arrays.prefix_hash(arrays.BYTE_VALUES[data]), offsets[:-1], offsets[1:])
+    assert arrays.text_hashes(data, offsets).tolist() == want.tolist()
+
+
 def test_pieces_frames(docs, texts, empty):
     out = by_id(pieces.decode(pieces.encode(docs)))
     assert {k: r["decoded"] for k, r in out.items()} == dict(enumerate(texts))
