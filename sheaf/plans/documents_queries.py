@@ -245,6 +245,8 @@ def nested_artifact(t):
     return corpora.nested(claims, sources, quotes)
 
 
+#: Claims of a folder of files, which is written and listed by one task.
+CLAIMS_OF_FOLDER = 1 << 16
 ROUND_TRIP = """, s AS (SELECT claim_id, string_agg(source_id, ',' ORDER BY source_ord) AS sources FROM claim_sources GROUP BY claim_id)
 SELECT CAST(run_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY run_id ORDER BY claim_id) - 1 AS claim_no, text, agreement_level, coalesce(sources, '') AS sources, 'q' || CAST(run_id AS VARCHAR) AS question_id FROM claims LEFT JOIN s USING (claim_id)"""
 
@@ -253,12 +255,15 @@ SELECT CAST(run_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY run_id
 def artifact_round_trip(t):
     """Each run's claims written as one YAML file and read again."""
     sources = t("claim_sources").groupBy("claim_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("source_ord", "source_id"))), lambda x: x["source_id"]).alias("sources"))
-    whole = t("claims").join(sources, "claim_id", "left")
+    spark = sources.sparkSession
+    folders = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t("claims").count() // CLAIMS_OF_FOLDER))
+    run = F.col("run_id").cast("string")
+    # a folder's runs are one task's
+    whole = t("claims").join(sources, "claim_id", "left").withColumn("folder", artifacts.folder_of(run, folders)).repartitionById(folders, "folder")
     claims = F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "text", "agreement_level", "sources"))), lambda x: F.struct(x["text"].alias("text"), x["agreement_level"].alias("agreement_level"), x["sources"].alias("sources")))
-    runs = whole.groupBy(F.col("run_id").cast("string").alias("run_id")).agg(claims.alias("claims"), F.concat(F.lit("q"), F.first("run_id").cast("string")).alias("question_id"))
-    spark = runs.sparkSession
+    runs = whole.groupBy("folder", run.alias("run_id")).agg(claims.alias("claims"), F.concat(F.lit("q"), F.first("run_id").cast("string")).alias("question_id")).drop("folder")
     spark.dataSource.register(artifacts.ArtifactSource)
     folder = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
-    runs.write.format("artifact").mode("append").save(folder)
+    runs.write.format("artifact").option("folders", folders).mode("append").save(folder)
     read = spark.read.format("artifact").load(folder).select("run_id", F.posexplode("claims").alias("claim_no", "c"), "question_id")
     return read.select("run_id", "claim_no", "c.text", "c.agreement_level", F.array_join("c.sources", ",").alias("sources"), "question_id")

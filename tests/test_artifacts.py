@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import pickle
+from urllib.parse import quote
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,80 @@ def test_what_the_driver_is_sent_does_not_grow_with_the_files(tmp_path):
         writer.commit(sent)
         assert len(os.listdir(tmp_path / str(n))) == 2 * n
     assert sizes[1] < sizes[0] + 20
+
+
+def dealt(df, path, folders, mode="append"):
+    df.write.format("artifact").option("folders", folders).mode(mode).save(path)
+
+
+def tree(path):
+    return sorted(os.path.relpath(os.path.join(d, n), path) for d, _, names in os.walk(path) for n in names)
+
+
+def test_runs_in_folders(source, tmp_path):
+    path, ids = str(tmp_path / "out"), [*(f"r{i}" for i in range(12)), "a/b", "ü 1"]
+    df = syntheses(source, ids)
+    dealt(df.repartition(5), path, 3)
+    assert plain(read(source, path)) == plain(df)
+    at = {r["run_id"]: r["n"] for r in df.select("run_id", artifacts.folder_of(F.col("run_id"), 3).alias("n")).collect()}
+    assert tree(path) == sorted(f"{at[i]:05d}-of-00003/{quote(i, safe='')}.yaml" for i in ids)
+    syntheses(source, ["r1", "new"]).withColumn("narrative", F.lit("new")).write.format("artifact").mode("append").save(path)
+    assert {r["run_id"] for r in read(source, path).filter("narrative = 'new'").collect()} == {"r1", "new"} and read(source, path).count() == len(ids) + 1
+    with pytest.raises(Exception, match="in 3 folders, not in 4"):
+        dealt(df, path, 4)
+    with pytest.raises(Exception, match="there twice"):
+        dealt(df.unionByName(df.limit(1)).repartition(5), path, 3)
+    assert read(source, path).count() == len(ids) + 1
+    (tmp_path / "out" / "00000-of-00003" / "zz.yaml").write_text("{not yaml")
+    some = source.read.format("artifact").option("runs", '["r1", "a/b", "none"]').load(path)
+    assert [r["run_id"] for r in some.orderBy("run_id").collect()] == ["a/b", "r1"]
+
+
+def test_overwrite_may_change_folders(source, tmp_path):
+    path = str(tmp_path / "out")
+    for folders, ids in ((None, ["a", "b", "c"]), (2, ["b", "d", "e"]), (2, ["d"]), (5, ["f"]), (None, ["g", "h"])):
+        df = syntheses(source, ids)
+        if folders is None and not os.path.exists(path):
+            df.write.format("artifact").mode("append").save(path)
+        elif folders is None:
+            df.write.format("artifact").mode("overwrite").save(path)
+        else:
+            dealt(df, path, folders, "overwrite")
+        assert plain(read(source, path)) == plain(df)
+        assert len(tree(path)) == len(ids) and {("/" in n) for n in tree(path)} == {folders is not None}
+    assert sorted(os.listdir(path)) == ["g.yaml", "h.yaml"]
+    with pytest.raises(Exception, match="in no folders, not in 2"):
+        dealt(df, path, 2)
+    for bad in (0, -1, "x"):
+        with pytest.raises(Exception, match="artifact needs a number of folders"):
+            dealt(df, str(tmp_path / "other"), bad)
+
+
+def test_what_plans_a_read_does_not_grow_with_the_files(tmp_path):
+    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("narrative", T.StringType())])
+    sizes = []
+    for n in (30, 3000):
+        path = str(tmp_path / str(n))
+        writer = artifacts.ArtifactWriter(path, "synthesis", "yaml", schema, False, 4)
+        writer.commit([writer.write(iter([(f"r{i}", "x") for i in range(n)]))])
+        reader = artifacts.ArtifactReader(path, "synthesis", "yaml", schema, None)
+        parts = reader.partitions()
+        assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"r{i}" for i in range(n))
+        sizes.append(len(pickle.dumps(parts)))
+    assert sizes[0] == sizes[1]
+
+
+def test_the_query_has_a_task_a_folder(spark):
+    from sheaf.plans.catalogue import QUERIES
+
+    got = QUERIES["artifact_round_trip"](spark, "/root/testdata/sf0.01")
+    assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert got.count() == 15000 and got.select("run_id").distinct().count() > 1400
+
+
+def test_tasks_of_a_target_without_folders_are_limited(tmp_path, monkeypatch):
+    monkeypatch.setattr(artifacts, "TASKS", 5)
+    for i in range(700):
+        (tmp_path / f"r{i}.yaml").touch()
+    parts = artifacts.ArtifactReader(str(tmp_path), "synthesis", "yaml", T.StructType(), None).partitions()
+    assert len(parts) == 5 and sorted(n for p in parts for n in p.names) == sorted(os.listdir(tmp_path))
